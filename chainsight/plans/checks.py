@@ -412,3 +412,235 @@ SELECT fold_id, round(raw / sum(raw) OVER (), 6) AS weight FROM wt""")
 def q_fold_weights(spark, sf):
     from ..operators import signals
     return round_doubles(signals.fold_weights(fx.members(spark, sf).select("fold_id").distinct()))
+
+
+# ---------------------------------------------------------------- chain ingest
+
+def _merged(spark, sf) -> DataFrame:
+    from ..operators import chain
+    lg = fx.legs(spark, sf)
+    return chain.merge_feeds(fx.iv_feed(spark, sf, lg), fx.oi_feed(spark, sf, lg), fx.ohlc_feed(spark, sf, lg))
+
+
+_KEYS_ND = " AND ".join(f"i.{k} IS NOT DISTINCT FROM {{a}}.{k}" for k in
+                        ("symbol", "trade_date", "expiration", "strike", "right_"))
+_MERGE_SQL = with_views("iv_feed", "oi_feed", "ohlc_feed", extra=f"""
+oi_d AS (SELECT * EXCLUDE (rn) FROM (SELECT symbol, trade_date, expiration, strike, right_, open_interest,
+           row_number() OVER (PARTITION BY symbol, trade_date, expiration, strike, right_
+                              ORDER BY seq DESC, open_interest DESC) AS rn FROM oi_feed) WHERE rn = 1),
+oh_d AS (SELECT * EXCLUDE (rn) FROM (SELECT symbol, trade_date, expiration, strike, right_, close, volume,
+           row_number() OVER (PARTITION BY symbol, trade_date, expiration, strike, right_
+                              ORDER BY seq DESC, close DESC, volume DESC) AS rn FROM ohlc_feed) WHERE rn = 1),
+merged AS (SELECT i.*, o.open_interest, h.close, h.volume FROM iv_feed i
+           LEFT JOIN oi_d o ON {_KEYS_ND.format(a='o')}
+           LEFT JOIN oh_d h ON {_KEYS_ND.format(a='h')}),
+spot AS (SELECT symbol, trade_date, expiration, arg_min(underlying_price, seq) AS und_price FROM iv_feed
+         WHERE underlying_price IS NOT NULL AND underlying_price <> 0 GROUP BY 1, 2, 3),
+banded AS (SELECT m.*, s.und_price FROM merged m LEFT JOIN spot s USING (symbol, trade_date, expiration)
+           WHERE s.und_price IS NULL OR TRY_CAST(m.strike AS DOUBLE) BETWEEN s.und_price * 0.8 AND s.und_price * 1.2),
+parsed AS (SELECT *, TRY_CAST(NULLIF(bid, '') AS DOUBLE) AS b_, TRY_CAST(NULLIF(ask, '') AS DOUBLE) AS a_ FROM banded),
+rows_ AS (SELECT trade_date, CAST(NULL AS VARCHAR) AS "Timestamp", symbol AS "Symbol",
+        CAST(TRY_CAST(expiration AS DATE) AS VARCHAR) AS "Expiry", TRY_CAST(strike AS DOUBLE) AS "Strike",
+        CASE WHEN right_ = 'CALL' THEN 'C' WHEN right_ = 'PUT' THEN 'P' ELSE right_ END AS righttype,
+        round((b_ + a_) / 2, 4) AS "Price", TRY_CAST(NULLIF(close, '') AS DOUBLE) AS "Last",
+        TRY_CAST(NULLIF(close, '') AS DOUBLE) AS "Close", b_ AS "Bid", a_ AS "Ask",
+        TRY_CAST(NULLIF(volume, '') AS DOUBLE) AS "Volume", TRY_CAST(NULLIF(open_interest, '') AS DOUBLE) AS "OpenInterest",
+        TRY_CAST(NULLIF(implied_vol, '') AS DOUBLE) AS "IV", CAST(NULL AS DOUBLE) AS "Delta", CAST(NULL AS DOUBLE) AS "Gamma",
+        CAST(NULL AS DOUBLE) AS "Theta", CAST(NULL AS DOUBLE) AS "Vega", underlying_price AS "UndPrice"
+      FROM parsed WHERE b_ IS NOT NULL AND a_ IS NOT NULL AND round((b_ + a_) / 2, 4) > 0)""")
+
+
+@register("j1_chain_merge", _MERGE_SQL + "SELECT * FROM merged")
+def q_chain_merge(spark, sf):
+    return _merged(spark, sf)
+
+
+@register("d1_keep_last_open_interest", _MERGE_SQL + "SELECT * FROM oi_d")
+def q_keep_last(spark, sf):
+    from ..operators import chain
+    oi = fx.oi_feed(spark, sf)
+    keys = ["symbol", "trade_date", "expiration", "strike", "right_"]
+    return chain.dedupe_last(oi, keys).drop("seq")
+
+
+@register("d3_first_underlying", _MERGE_SQL + "SELECT * FROM spot")
+def q_first_underlying(spark, sf):
+    from ..operators import chain
+    return chain.first_underlying(fx.iv_feed(spark, sf))
+
+
+@register("p2_chain_rows", _MERGE_SQL + "SELECT * FROM rows_")
+def q_chain_rows(spark, sf):
+    from ..operators import chain
+    return chain.build_chain_rows(_merged(spark, sf))
+
+
+@register("a4_daily_open_interest", _MERGE_SQL + """
+SELECT CAST(trade_date AS DATE) AS snap_date, round(sum("OpenInterest"), 6) AS total_oi FROM rows_
+WHERE "Symbol" = '1-URGENT' GROUP BY 1""")
+def q_daily_open_interest(spark, sf):
+    from ..operators import chain
+    return round_doubles(chain.daily_open_interest(chain.build_chain_rows(_merged(spark, sf)), "1-URGENT"))
+
+
+@register("p1_conform", _MERGE_SQL + """
+SELECT trade_date, "Timestamp", "Symbol", "Expiry", "Strike", righttype, "Price", "Last", "Close", "Bid", "Ask",
+       "Volume", "OpenInterest", "IV", "Delta", "Gamma", "Theta", "Vega", "UndPrice" FROM rows_""")
+def q_conform(spark, sf):
+    from ..operators import chain
+    rows = chain.build_chain_rows(_merged(spark, sf))
+    # shuffle the column order and drop two columns: conform restores the fixed schema
+    return chain.conform(rows.select(*reversed([c for c in rows.columns if c not in ("Theta", "Vega")])))
+
+
+_TF = "(CAST(date_trunc('month', {d}) AS DATE) + CAST((5 - isodow(date_trunc('month', {d})) + 7) % 7 + 14 AS INTEGER))"
+
+
+@register("t1_monthly_expiries", with_views("expirations") + f"""
+, e AS (SELECT symbol, TRY_CAST(expiration AS DATE) AS expiry FROM expirations WHERE expiration >= '1998-01-15'),
+e2 AS (SELECT *, datediff('month', DATE '1998-01-01', date_trunc('month', expiry)) AS mo,
+              abs(datediff('day', CAST({_TF.format(d='expiry')} AS DATE), expiry)) AS dist FROM e WHERE expiry IS NOT NULL),
+best AS (SELECT symbol, mo, expiry, row_number() OVER (PARTITION BY symbol, mo ORDER BY dist, expiry) AS rk
+         FROM e2 WHERE mo >= 0 AND mo < 18),
+sel AS (SELECT symbol, expiry, row_number() OVER (PARTITION BY symbol ORDER BY expiry) AS rk2 FROM best WHERE rk = 1)
+SELECT symbol, expiry FROM sel WHERE rk2 <= 10""")
+def q_monthly_expiries(spark, sf):
+    from ..operators import chain
+    return chain.monthly_expiries(fx.expirations(spark, sf), "1998-01-15")
+
+
+@register("p5_third_friday", with_views("expirations") + f"""
+SELECT DISTINCT CAST(date_trunc('month', TRY_CAST(expiration AS DATE)) AS DATE) AS month_start,
+       CAST({_TF.format(d='TRY_CAST(expiration AS DATE)')} AS DATE) AS third_friday FROM expirations""")
+def q_third_friday(spark, sf):
+    from ..functions.columns import third_friday
+    e = fx.expirations(spark, sf).select(F.to_date("expiration").alias("d"))
+    return e.select(F.trunc("d", "MM").alias("month_start"), third_friday("d").alias("third_friday")).distinct()
+
+
+@register("t2_expiry_calendar", with_views("und") + f"""
+, d AS (SELECT DISTINCT trade_date AS as_of FROM und),
+m AS (SELECT as_of, CAST(date_trunc('month', as_of) + INTERVAL (i) MONTH AS DATE) AS mstart FROM d, range(12) t(i)),
+f AS (SELECT as_of, CAST({_TF.format(d='mstart')} AS DATE) AS tf FROM m)
+SELECT as_of, strftime(tf, '%Y%m%d') AS expiry FROM f WHERE tf > as_of""")
+def q_expiry_calendar(spark, sf):
+    from ..operators import chain
+    d = fx.und(spark, sf).select(F.col("trade_date").alias("as_of")).distinct()
+    return chain.expiry_calendar(d)
+
+
+@register("t6_band_strikes", with_views("chain", "und") + """
+SELECT DISTINCT c.symbol, c.trade_date, c.expiry, c.right_, c.strike FROM chain c JOIN und u
+  ON c.symbol = u.symbol AND c.trade_date = u.trade_date
+WHERE c.strike BETWEEN u.und_price * 0.5 AND u.und_price * 1.5""")
+def q_band_strikes(spark, sf):
+    from ..operators import chain
+    return chain.band_strikes(fx.chain(spark, sf), fx.und(spark, sf))
+
+
+_TICK_FIELDS = ["Bid", "Ask", "Last", "Close", "T99"]
+_TICKS_SQL = with_views("ticks", extra="""
+named AS (SELECT *, CASE tick_type WHEN 1 THEN 'Bid' WHEN 2 THEN 'Ask' WHEN 4 THEN 'Last' WHEN 6 THEN 'High'
+                  WHEN 7 THEN 'Low' WHEN 9 THEN 'Close' WHEN 14 THEN 'Open' WHEN 8 THEN 'Volume'
+                  WHEN 27 THEN 'CallOpenInterest' WHEN 28 THEN 'PutOpenInterest' WHEN 78 THEN 'OpenInterest'
+                  ELSE 'T' || CAST(tick_type AS VARCHAR) END AS field FROM ticks),
+lastv AS (SELECT req_id, field, value FROM (SELECT *, row_number() OVER (PARTITION BY req_id, field
+          ORDER BY ts DESC, seq DESC) AS rn FROM named) WHERE rn = 1),
+wide AS (SELECT req_id, max(value) FILTER (WHERE field = 'Bid') AS "Bid", max(value) FILTER (WHERE field = 'Ask') AS "Ask",
+                max(value) FILTER (WHERE field = 'Last') AS "Last", max(value) FILTER (WHERE field = 'Close') AS "Close",
+                max(value) FILTER (WHERE field = 'T99') AS "T99" FROM lastv GROUP BY req_id)""")
+
+
+@register("d4_latest_ticks", _TICKS_SQL + "SELECT * FROM wide")
+def q_latest_ticks(spark, sf):
+    from ..operators import chain
+    return chain.latest_ticks(fx.ticks(spark, sf), _TICK_FIELDS)
+
+
+@register("s8_tick_names", _TICKS_SQL + "SELECT field, count(*) AS n FROM named GROUP BY field")
+def q_tick_names(spark, sf):
+    from ..operators import chain
+    return chain.tick_names(fx.ticks(spark, sf)).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("p10_contract_prices", _TICKS_SQL + """
+SELECT req_id,
+       coalesce(CASE WHEN "Last" > 0 THEN "Last" END, CASE WHEN "Close" > 0 THEN "Close" END) AS price,
+       CASE WHEN coalesce(nullif("Last", 0), nullif("Close", 0), nullif("Bid", 0), nullif("Ask", 0)) > 0
+            THEN coalesce(nullif("Last", 0), nullif("Close", 0), nullif("Bid", 0), nullif("Ask", 0)) END AS spot
+FROM wide""")
+def q_contract_prices(spark, sf):
+    from ..operators import chain
+    w = chain.contract_prices(chain.latest_ticks(fx.ticks(spark, sf), _TICK_FIELDS))
+    return w.select("req_id", "price", "spot")
+
+
+@register("p6_trade_date_cutoff", with_views("ticks") + """
+SELECT seq, CAST(ts - INTERVAL 7 HOUR AS DATE) AS trade_date FROM ticks""")
+def q_trade_date_cutoff(spark, sf):
+    from ..functions.columns import trade_date_by_cutoff
+    return fx.ticks(spark, sf).select("seq", trade_date_by_cutoff("ts", 7).alias("trade_date"))
+
+
+@register("p8_d2_daily_bars", with_views("bars") + """
+, p AS (SELECT *, TRY_STRPTIME(split_part(time, ' ', 1), '%Y%m%d')::DATE AS quote_date FROM bars)
+SELECT symbol, quote_date, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, quote_date
+       ORDER BY seq, time, close, volume) AS rn FROM p WHERE quote_date IS NOT NULL) WHERE rn = 1""")
+def q_daily_bars(spark, sf):
+    from ..operators import chain
+    return chain.daily_bars(fx.bars(spark, sf))
+
+
+_FEED_SQL = with_views("price_feed", "stored", extra="""
+parsed AS (SELECT seq, symbol, TRY_CAST(substr(created, 1, 10) AS DATE) AS quote_date,
+                  TRY_CAST(NULLIF(close, '') AS DOUBLE) AS close FROM price_feed),
+ok AS (SELECT * FROM parsed WHERE quote_date IS NOT NULL AND close IS NOT NULL),
+last AS (SELECT symbol, max(quote_date) AS last_date FROM stored GROUP BY symbol),
+slice AS (SELECT ok.* FROM ok LEFT JOIN last USING (symbol)
+          WHERE quote_date > coalesce(last_date, DATE '2001-06-30' - 1096) AND quote_date <= DATE '2001-06-30'),
+dedup AS (SELECT symbol, quote_date, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, quote_date
+          ORDER BY seq DESC, close DESC) AS rn FROM slice) WHERE rn = 1)""")
+
+
+@register("p7_parse_price_feed", _FEED_SQL + "SELECT seq, symbol, quote_date, close FROM ok WHERE quote_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'")
+def q_parse_price_feed(spark, sf):
+    from ..sources import sinks
+    p = sinks.parse_price_feed(fx.price_feed(spark, sf), "1996-01-01", "1999-12-31")
+    return p.select("seq", "symbol", "quote_date", "close")
+
+
+@register("j6_incremental_slice", _FEED_SQL + "SELECT seq, symbol, quote_date, close FROM slice")
+def q_incremental_slice(spark, sf):
+    from ..sources import sinks
+    p = sinks.parse_price_feed(fx.price_feed(spark, sf))
+    return sinks.incremental_slice(p, fx.stored(spark, sf), "2001-06-30").select("seq", "symbol", "quote_date", "close")
+
+
+@register("k2_upsert", _FEED_SQL + """
+SELECT s.symbol, s.quote_date, s.close FROM stored s ANTI JOIN dedup d ON s.symbol = d.symbol AND s.quote_date = d.quote_date
+UNION ALL SELECT symbol, quote_date, close FROM dedup""")
+def q_upsert(spark, sf):
+    from ..sources import sinks
+    p = sinks.parse_price_feed(fx.price_feed(spark, sf))
+    batch = sinks.incremental_slice(p, fx.stored(spark, sf), "2001-06-30").select("seq", "symbol", "quote_date", "close")
+    return sinks.upsert(fx.stored(spark, sf), batch, ["symbol", "quote_date"])
+
+
+@register("k3_replace_range", with_views("stored", "bars", extra="""
+p AS (SELECT *, TRY_STRPTIME(split_part(time, ' ', 1), '%Y%m%d')::DATE AS quote_date FROM bars),
+b AS (SELECT symbol, quote_date, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol, quote_date
+       ORDER BY seq, time, close, volume) AS rn FROM p WHERE quote_date IS NOT NULL) WHERE rn = 1
+       AND symbol IN ('1-URGENT', '4-NOT SPECIFIED') AND quote_date BETWEEN DATE '1998-06-01' AND DATE '1998-09-30'
+       AND day(quote_date) % 3 <> 0)""") + """
+SELECT symbol, quote_date, close FROM stored
+WHERE NOT (quote_date BETWEEN (SELECT min(quote_date) FROM b) AND (SELECT max(quote_date) FROM b)
+           AND symbol IN (SELECT symbol FROM b))
+UNION ALL SELECT symbol, quote_date, close FROM b""")
+def q_replace_range(spark, sf):
+    from ..operators import chain
+    from ..sources import sinks
+    b = chain.daily_bars(fx.bars(spark, sf))
+    b = b.filter(F.col("symbol").isin("1-URGENT", "4-NOT SPECIFIED")
+                 & F.col("quote_date").between(F.lit("1998-06-01").cast("date"), F.lit("1998-09-30").cast("date"))
+                 & (F.dayofmonth("quote_date") % 3 != 0))
+    return sinks.replace_range(fx.stored(spark, sf), b)
