@@ -644,3 +644,171 @@ def q_replace_range(spark, sf):
                  & F.col("quote_date").between(F.lit("1998-06-01").cast("date"), F.lit("1998-09-30").cast("date"))
                  & (F.dayofmonth("quote_date") % 3 != 0))
     return sinks.replace_range(fx.stored(spark, sf), b)
+
+
+# ---------------------------------------------------------------- features
+
+def _sql_greeks() -> str:
+    t = "(CAST(dte AS DOUBLE) / 365)"
+    d1 = f"((ln(und_price / strike) + 0.5 * iv * iv * {t}) / (iv * sqrt({t})))"
+    pdf = "(exp(-0.5 * d1 * d1) / sqrt(2 * pi()))"
+    tt = "(1.0 / (1.0 + 0.2316419 * abs(d1)))"
+    poly = (f"({tt} * (0.319381530 + {tt} * (-0.356563782 + {tt} * (1.781477937 + {tt} * "
+            f"(-1.821255978 + {tt} * 1.330274429)))))")
+    up = f"(1.0 - exp(-0.5 * abs(d1) * abs(d1)) / sqrt(2 * pi()) * {poly})"
+    cdf = f"(CASE WHEN d1 >= 0 THEN {up} ELSE 1.0 - {up} END)"
+    ok = "und_price > 0 AND strike > 0 AND iv > 0 AND dte > 0"
+    return f"""g0 AS (SELECT *, {d1} AS d1 FROM c),
+g AS (SELECT *, CASE WHEN {ok} THEN {pdf} / (und_price * iv * sqrt({t})) END AS gamma,
+             CASE WHEN {ok} THEN (CASE WHEN right_ = 'C' THEN {cdf} ELSE {cdf} - 1.0 END) END AS delta FROM g0)"""
+
+
+_FEAT_SQL = with_views("chain", "und", extra=f"""
+ex AS (SELECT DISTINCT symbol, trade_date, expiry FROM chain),
+ex2 AS (SELECT *, CAST(expiry - trade_date AS INTEGER) AS dte,
+               dense_rank() OVER (PARTITION BY symbol, trade_date ORDER BY expiry) AS exp_rank
+        FROM ex WHERE expiry - trade_date >= 0),
+c AS (SELECT ch.*, e.dte, e.exp_rank, u.und_price FROM chain ch JOIN ex2 e USING (symbol, trade_date, expiry)
+      JOIN und u USING (symbol, trade_date) WHERE e.exp_rank <= 2),
+{_sql_greeks()},
+base AS (SELECT symbol, trade_date, any_value(und_price) AS S,
+   sum(oi) FILTER (WHERE exp_rank = 1 AND right_ = 'P') / sum(oi) FILTER (WHERE exp_rank = 1 AND right_ = 'C') AS pc_ratio_front,
+   sum(oi) FILTER (WHERE exp_rank = 2 AND right_ = 'P') / sum(oi) FILTER (WHERE exp_rank = 2 AND right_ = 'C') AS pc_ratio_back,
+   sum(gamma * oi * 100 * und_price * CASE WHEN right_ = 'C' THEN 1.0 ELSE -1.0 END) FILTER (WHERE exp_rank = 1) AS net_gex,
+   sum(gamma * oi * 100 * und_price * CASE WHEN right_ = 'C' THEN 1.0 ELSE -1.0 END) FILTER (WHERE exp_rank = 2) AS net_gex_back,
+   min(dte) FILTER (WHERE exp_rank = 1) AS dte_front
+   FROM g GROUP BY 1, 2),
+wall AS (SELECT symbol, trade_date, right_, strike FROM (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date, right_
+           ORDER BY oi DESC, abs(strike - und_price), strike) AS rn FROM g WHERE exp_rank = 1) WHERE rn = 1),
+skew AS (SELECT symbol, trade_date, right_, iv FROM (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date, right_
+           ORDER BY abs(abs(delta) - 0.25), strike) AS rn FROM g WHERE exp_rank = 1 AND delta IS NOT NULL) WHERE rn = 1),
+st AS (SELECT symbol, trade_date, strike, any_value(und_price) AS S,
+         sum(oi) FILTER (WHERE right_ = 'C') AS call_oi, sum(oi) FILTER (WHERE right_ = 'P') AS put_oi,
+         sum(oi) AS oi, sum(iv) AS iv_sum, count(iv) AS iv_n FROM g WHERE exp_rank = 1 GROUP BY 1, 2, 3),
+conc AS (SELECT symbol, trade_date, sum(oi * oi) / pow(sum(oi), 2) AS oi_concentration FROM st GROUP BY 1, 2),
+atm AS (SELECT symbol, trade_date, iv_sum / iv_n AS atm_iv FROM (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date
+           ORDER BY abs(strike - S), strike) AS rn FROM st) WHERE rn = 1),
+pain AS (SELECT a.symbol, a.trade_date, a.strike AS k,
+           sum(coalesce(b.call_oi, 0) * greatest(a.strike - b.strike, 0) + coalesce(b.put_oi, 0) * greatest(b.strike - a.strike, 0)) AS pain
+         FROM st a JOIN st b ON a.symbol = b.symbol AND a.trade_date = b.trade_date GROUP BY 1, 2, 3),
+mp AS (SELECT symbol, trade_date, k AS mp_k FROM (SELECT *, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY pain, k) AS rn
+       FROM pain) WHERE rn = 1),
+feat AS (SELECT b.symbol, b.trade_date, b.pc_ratio_front, b.pc_ratio_back,
+   (wc.strike - b.S) / b.S AS call_wall_dist_pct, (wp.strike - b.S) / b.S AS put_wall_dist_pct,
+   (wc.strike - b.S) / b.S - (wp.strike - b.S) / b.S AS wall_spread_pct,
+   b.net_gex, b.net_gex_back, CASE WHEN b.net_gex IS NULL THEN NULL WHEN b.net_gex < 0 THEN 1 ELSE 0 END AS gex_flip,
+   (mp.mp_k - b.S) / b.S AS max_pain_dist_pct, atm.atm_iv, sp.iv - sc.iv AS iv_skew, conc.oi_concentration, b.dte_front
+ FROM base b
+ LEFT JOIN wall wc ON wc.symbol = b.symbol AND wc.trade_date = b.trade_date AND wc.right_ = 'C'
+ LEFT JOIN wall wp ON wp.symbol = b.symbol AND wp.trade_date = b.trade_date AND wp.right_ = 'P'
+ LEFT JOIN skew sc ON sc.symbol = b.symbol AND sc.trade_date = b.trade_date AND sc.right_ = 'C'
+ LEFT JOIN skew sp ON sp.symbol = b.symbol AND sp.trade_date = b.trade_date AND sp.right_ = 'P'
+ LEFT JOIN conc ON conc.symbol = b.symbol AND conc.trade_date = b.trade_date
+ LEFT JOIN atm ON atm.symbol = b.symbol AND atm.trade_date = b.trade_date
+ LEFT JOIN mp ON mp.symbol = b.symbol AND mp.trade_date = b.trade_date)""")
+
+_CF = ["pc_ratio_front", "pc_ratio_back", "call_wall_dist_pct", "put_wall_dist_pct", "wall_spread_pct",
+       "net_gex", "net_gex_back", "gex_flip", "max_pain_dist_pct", "atm_iv", "iv_skew", "oi_concentration",
+       "dte_front"]
+_GEX2 = {"net_gex": 2, "net_gex_back": 2}
+
+
+def _feat_select(cols):
+    out = []
+    for c in cols:
+        if c in ("gex_flip", "dte_front", "symbol", "trade_date"):
+            out.append(c)
+        else:
+            out.append(f"round({c}, {_GEX2.get(c, 6)}) AS {c}")
+    return ", ".join(out)
+
+
+@register("f1_f13_chain_features", _FEAT_SQL + f"SELECT {_feat_select(['symbol', 'trade_date'] + _CF)} FROM feat")
+def q_chain_features(spark, sf):
+    from ..operators import features
+    out = features.chain_features(fx.chain(spark, sf), fx.und(spark, sf))
+    return round_doubles(out, overrides=_GEX2)
+
+
+@register("f7_max_pain", _FEAT_SQL + "SELECT symbol, trade_date, mp_k AS max_pain_strike FROM mp")
+def q_max_pain(spark, sf):
+    from ..operators import features
+    c = features.prepared_chain(fx.chain(spark, sf), fx.und(spark, sf)).filter(F.col("exp_rank") == 1)
+    return features.max_pain(features._strike_table(c))
+
+
+@register("f0_expiry_rank", _FEAT_SQL + "SELECT symbol, trade_date, expiry, dte, CAST(exp_rank AS INTEGER) AS exp_rank FROM ex2")
+def q_expiry_rank(spark, sf):
+    from ..operators import features
+    return features.expiry_ranks(fx.chain(spark, sf))
+
+
+@register("f23_greeks", _FEAT_SQL + """
+SELECT symbol, trade_date, expiry, strike, right_, round(gamma, 6) AS gamma, round(delta, 6) AS delta FROM g""")
+def q_greeks(spark, sf):
+    from ..operators import features
+    g = features.prepared_chain(fx.chain(spark, sf), fx.und(spark, sf))
+    return round_doubles(g.select("symbol", "trade_date", "expiry", "strike", "right_", "gamma", "delta"))
+
+
+def _price_feat_sql(src: str, price: str) -> str:
+    def ov(frame=""):
+        return f"OVER (PARTITION BY symbol ORDER BY quote_date {frame})"
+    return f"""pf0 AS (SELECT symbol, quote_date, {price} AS p, row_number() {ov()} AS rn,
+     {price} / lag({price}, 1) {ov()} - 1 AS daily_ret, {price} / lag({price}, 20) {ov()} - 1 AS ret_20d,
+     {price} / lag({price}, 60) {ov()} - 1 AS ret_60d, avg({price}) {ov('ROWS BETWEEN 199 PRECEDING AND CURRENT ROW')} AS sma
+   FROM {src}),
+pf1 AS (SELECT *, CASE WHEN rn >= 200 THEN sma END AS sma_200,
+     CASE WHEN count(daily_ret) {ov('ROWS BETWEEN 19 PRECEDING AND CURRENT ROW')} = 20
+          THEN stddev_samp(daily_ret) {ov('ROWS BETWEEN 19 PRECEDING AND CURRENT ROW')} END AS vol_20d,
+     CASE WHEN count(daily_ret) {ov('ROWS BETWEEN 4 PRECEDING AND CURRENT ROW')} = 5
+          THEN stddev_samp(daily_ret) {ov('ROWS BETWEEN 4 PRECEDING AND CURRENT ROW')} END AS vol_5d FROM pf0),
+pf AS (SELECT symbol, quote_date, sma_200,
+     CASE WHEN sma_200 IS NULL THEN NULL WHEN p > sma_200 THEN 1 ELSE 0 END AS above_sma200,
+     ret_20d, ret_60d, vol_20d, daily_ret, vol_5d,
+     CASE WHEN vol_20d IS NULL THEN NULL
+          WHEN vol_20d > 2 * avg(vol_20d) {ov('ROWS BETWEEN 251 PRECEDING AND CURRENT ROW')} THEN 0 ELSE 1 END AS vol_regime
+   FROM pf1)"""
+
+
+_PF = ["sma_200", "above_sma200", "ret_20d", "ret_60d", "vol_20d", "daily_ret", "vol_5d", "vol_regime"]
+
+
+# sma_200 averages 200 seven-decimal closes: exact decimal ties at 6 dp are common and the engines
+# round ties differently, so it is compared at 4 dp on both sides
+_SMA4 = {"sma_200": 4}
+
+
+def _pf_select(prefix=""):
+    return ", ".join(c if c in ("above_sma200", "vol_regime") else
+                     f"round({prefix}{c}, {_SMA4.get(c, 6)}) AS {c}" for c in _PF)
+
+
+@register("f14_f21_price_features", with_views("px", extra=_price_feat_sql("px", "close"))
+          + f"SELECT symbol, quote_date, {_pf_select()} FROM pf")
+def q_price_features(spark, sf):
+    from ..operators import features
+    out = features.price_features(fx.px(spark, sf))
+    return round_doubles(out.select("symbol", "quote_date", *_PF), overrides=_SMA4)
+
+
+@register("f22_history_gate", with_views("stored") + """
+SELECT symbol, quote_date FROM stored WHERE symbol IN (SELECT symbol FROM stored GROUP BY symbol HAVING count(*) >= 270)""")
+def q_history_gate(spark, sf):
+    from ..operators import features
+    return features.history_gate(fx.stored(spark, sf)).select("symbol", "quote_date")
+
+
+_FT_SQL = _FEAT_SQL.rstrip() + ",\nusrc AS (SELECT symbol, trade_date AS quote_date, und_price FROM und),\n" + \
+    _price_feat_sql("usrc", "und_price") + "\n"
+
+
+@register("s1_feature_table", _FT_SQL + f"""
+SELECT f.symbol, f.trade_date AS quote_date, u.und_price, {_feat_select(_CF).replace('round(', 'round(f.')},
+       {_pf_select('pf.')}
+FROM feat f JOIN und u ON f.symbol = u.symbol AND f.trade_date = u.trade_date
+JOIN pf ON pf.symbol = f.symbol AND pf.quote_date = f.trade_date""")
+def q_feature_table(spark, sf):
+    from ..operators import features
+    return round_doubles(features.feature_table(fx.chain(spark, sf), fx.und(spark, sf)), overrides={**_GEX2, **_SMA4},
+                         skip=("und_price",))
