@@ -37,14 +37,15 @@ def _w(part: str = "symbol", order: str = "quote_date", frame: str = "") -> str:
 
 # ---------------------------------------------------------------- labels, quality
 
-_LABEL_SQL = with_views("px", extra=f"""
+_LAB_CTES = f"""
 t AS (SELECT symbol, quote_date, close,
         lead(close, 1) {_w()} / close - 1 AS fwd_ret_1d,
         max(close) {_w(frame='ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING')} / close - 1 AS path_fwd_ret_max,
         min(close) {_w(frame='ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING')} / close - 1 AS path_fwd_ret_min
       FROM px),
 lab AS (SELECT *, CASE WHEN path_fwd_ret_max >= 0.015 THEN 1 WHEN path_fwd_ret_min <= -0.015 THEN -1 ELSE 0 END AS label
-        FROM t WHERE path_fwd_ret_max IS NOT NULL AND path_fwd_ret_min IS NOT NULL)""")
+        FROM t WHERE path_fwd_ret_max IS NOT NULL AND path_fwd_ret_min IS NOT NULL)"""
+_LABEL_SQL = with_views("px", extra=_LAB_CTES)
 
 
 @register("w4_path_labels", _LABEL_SQL + """
@@ -150,7 +151,7 @@ def _bt(spark, sf) -> DataFrame:
 
 
 _RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-_RES_SQL = with_views("proba", extra=f"""
+_RES_CTES = f"""
 bt0 AS (SELECT *, lead(close, 1) {_w()} / close - 1 AS fwd_ret_1d FROM proba),
 res AS (SELECT *,
    CASE WHEN proba_down_ens >= proba_flat_ens AND proba_down_ens >= proba_up_ens THEN 0
@@ -172,7 +173,8 @@ res AS (SELECT *,
         ELSE 0 END AS live_signal_dir
    FROM bt0),
 pos AS (SELECT *, coalesce(lag(signal_dir, 1) {_w()}, 0) AS position_dir FROM res),
-bt AS (SELECT *, position_dir * fwd_ret_1d AS strat_ret FROM pos WHERE fwd_ret_1d IS NOT NULL)""")
+bt AS (SELECT *, position_dir * fwd_ret_1d AS strat_ret FROM pos WHERE fwd_ret_1d IS NOT NULL)"""
+_RES_SQL = with_views("proba", extra=_RES_CTES)
 
 
 def _metrics_sql(src: str, keys: str, win=True, pf=True, dim=True) -> str:
@@ -812,3 +814,239 @@ def q_feature_table(spark, sf):
     from ..operators import features
     return round_doubles(features.feature_table(fx.chain(spark, sf), fx.und(spark, sf)), overrides={**_GEX2, **_SMA4},
                          skip=("und_price",))
+
+
+# ---------------------------------------------------------------- walk-forward preparation
+
+_ALLF = _CF + _PF
+_ROUND_ML = {**_GEX2, **_SMA4}
+
+
+def _r(c, prefix=""):
+    return f"round({prefix}{c}, {_ROUND_ML.get(c, 6)})"
+
+
+_ML_SQL = _FT_SQL.rstrip() + ",\n" + f"""ftab AS (SELECT f.symbol, f.trade_date AS quote_date, u.und_price,
+   {', '.join(f'CAST(f.{c} AS DOUBLE) AS {c}' for c in _CF)}, {', '.join(f'CAST(pf.{c} AS DOUBLE) AS {c}' for c in _PF)}
+   FROM feat f JOIN und u ON f.symbol = u.symbol AND f.trade_date = u.trade_date
+   JOIN pf ON pf.symbol = f.symbol AND pf.quote_date = f.trade_date),
+flab AS (SELECT *, lead(und_price, 1) {_w()} / und_price - 1 AS fwd_ret_1d,
+   max(und_price) {_w(frame='ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING')} / und_price - 1 AS pmax,
+   min(und_price) {_w(frame='ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING')} / und_price - 1 AS pmin FROM ftab),
+flab2 AS (SELECT *, CASE WHEN pmax >= 0.015 THEN 1 WHEN pmin <= -0.015 THEN -1 ELSE 0 END AS label
+          FROM flab WHERE pmax IS NOT NULL AND pmin IS NOT NULL),
+ml AS (SELECT symbol, quote_date, {', '.join(f'coalesce({c}, median({c}) OVER (PARTITION BY symbol)) AS {c}' for c in _ALLF)},
+   label, fwd_ret_1d, label + 1 AS y FROM flab2),
+mi AS (SELECT symbol, ym, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ym) - 1 AS INTEGER) AS m_idx
+       FROM (SELECT DISTINCT symbol, CAST(date_trunc('month', quote_date) AS DATE) AS ym FROM ml)),
+mc AS (SELECT symbol, count(*) AS n_months FROM mi GROUP BY 1),
+fp AS (SELECT symbol, unnest(range(0, CAST(floor((n_months - 36) / 3) AS BIGINT))) AS fold_id FROM mc WHERE n_months >= 39),
+mlm AS (SELECT ml.*, mi.m_idx FROM ml JOIN mi ON ml.symbol = mi.symbol AND CAST(date_trunc('month', ml.quote_date) AS DATE) = mi.ym),
+asg AS (SELECT m.*, CAST(f.fold_id AS INTEGER) AS fold_id, 'train' AS role FROM mlm m JOIN fp f
+          ON m.symbol = f.symbol AND m.m_idx >= f.fold_id * 3 AND m.m_idx < f.fold_id * 3 + 36
+        UNION ALL
+        SELECT m.*, CAST(f.fold_id AS INTEGER) AS fold_id, 'test' AS role FROM mlm m JOIN fp f
+          ON m.symbol = f.symbol AND m.m_idx >= f.fold_id * 3 + 36 AND m.m_idx < f.fold_id * 3 + 39)
+"""
+
+
+def _ml(spark, sf):
+    from ..operators import features, walkforward as wf
+    ft = labels.path_labels(features.feature_table(fx.chain(spark, sf), fx.und(spark, sf)), price_col="und_price")
+    return wf.ml_table(ft)
+
+
+def _assigned(spark, sf):
+    from ..operators import walkforward as wf
+    ml, cols = _ml(spark, sf)
+    idx = wf.month_index(ml)
+    return wf.assign_folds(idx, wf.fold_counts(idx)), cols
+
+
+@register("p15_null_shares", _ML_SQL + "SELECT " + ", ".join(
+    f"round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS {c}" for c in _ALLF) + " FROM flab2")
+def q_null_shares(spark, sf):
+    from ..operators import features, walkforward as wf
+    ft = labels.path_labels(features.feature_table(fx.chain(spark, sf), fx.und(spark, sf)), price_col="und_price")
+    return round_doubles(wf.sparse_feature_shares(ft, _ALLF))
+
+
+@register("m1_ml_table", _ML_SQL + f"""SELECT symbol, quote_date, {', '.join(f'{_r(c)} AS {c}' for c in _ALLF)},
+    label, round(fwd_ret_1d, 6) AS fwd_ret_1d, y FROM ml""")
+def q_ml_table(spark, sf):
+    ml, _ = _ml(spark, sf)
+    return round_doubles(ml, overrides=_ROUND_ML)
+
+
+@register("w10_month_index", _ML_SQL + "SELECT symbol, ym, m_idx FROM mi")
+def q_month_index(spark, sf):
+    from ..operators import walkforward as wf
+    ml, _ = _ml(spark, sf)
+    return wf.month_index(ml).select("symbol", "ym", F.col("m_idx").cast("int").alias("m_idx")).distinct()
+
+
+@register("m2_fold_plan", _ML_SQL + """
+SELECT fp.symbol, CAST(fp.fold_id AS INTEGER) AS fold_id, a.ym AS train_start, b.ym AS train_end, c.ym AS test_start,
+       d.ym AS test_end FROM fp
+JOIN mi a ON a.symbol = fp.symbol AND a.m_idx = fp.fold_id * 3 JOIN mi b ON b.symbol = fp.symbol AND b.m_idx = fp.fold_id * 3 + 35
+JOIN mi c ON c.symbol = fp.symbol AND c.m_idx = fp.fold_id * 3 + 36 JOIN mi d ON d.symbol = fp.symbol AND d.m_idx = fp.fold_id * 3 + 38""")
+def q_fold_plan(spark, sf):
+    from ..operators import walkforward as wf
+    ml, _ = _ml(spark, sf)
+    return wf.fold_plan(wf.month_index(ml))
+
+
+@register("j2_fold_assignment", _ML_SQL + "SELECT symbol, quote_date, fold_id, role FROM asg")
+def q_fold_assignment(spark, sf):
+    a, _ = _assigned(spark, sf)
+    return a.select("symbol", "quote_date", "fold_id", "role")
+
+
+@register("a22_fold_sizes", _ML_SQL + """
+SELECT symbol, fold_id, count_if(role = 'train') AS n_train, count_if(role = 'test') AS n_test,
+       count_if(role = 'train') >= 50 AND count_if(role = 'test') >= 5 AS trained FROM asg GROUP BY 1, 2""")
+def q_fold_sizes(spark, sf):
+    from ..operators import walkforward as wf
+    a, _ = _assigned(spark, sf)
+    return wf.fold_sizes(a)
+
+
+def _scaler_sql():
+    cols = []
+    for c in _ALLF:
+        sc = 2 if c in _GEX2 else 6
+        cols.append(f"round(avg({c}), {sc}) AS mean_{c}")
+        cols.append(f"round(CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END, {sc}) AS scale_{c}")
+    return "SELECT symbol, fold_id, " + ", ".join(cols) + " FROM asg WHERE role = 'train' GROUP BY 1, 2"
+
+
+@register("a23_scaler_stats", _ML_SQL + _scaler_sql())
+def q_scaler_stats(spark, sf):
+    from ..operators import walkforward as wf
+    a, cols = _assigned(spark, sf)
+    st = wf.scaler_stats(a, cols)
+    return round_doubles(st, overrides={f"{p}_{c}": 2 for c in _GEX2 for p in ("mean", "scale")})
+
+
+@register("a26_date_range", _ML_SQL + "SELECT symbol, min(quote_date) AS date_min, max(quote_date) AS date_max FROM ml GROUP BY 1")
+def q_date_range(spark, sf):
+    from ..operators import walkforward as wf
+    ml, _ = _ml(spark, sf)
+    return wf.date_range(ml, by=["symbol"])
+
+
+@register("p18_class_codes", _ML_SQL + "SELECT label, y, y - 1 AS back FROM ml")
+def q_class_codes(spark, sf):
+    from ..operators import signals
+    ml, _ = _ml(spark, sf)
+    return ml.select("label", signals.encode_class("label").cast("int").alias("y"), signals.decode_class("y").alias("back"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+_EVAL_SQL = with_views("proba", extra=_RES_CTES + ",\n" + _LAB_CTES + ",\n" + """
+ev0 AS (SELECT r.symbol, r.quote_date, l.label, r.pred_dir_ens AS pred_dir, r.signal_dir AS pred_dir_ens,
+               r.proba_up_ens, r.proba_down_ens FROM res r JOIN lab l ON r.symbol = l.symbol AND r.quote_date = l.quote_date),
+emi AS (SELECT symbol, ym, row_number() OVER (PARTITION BY symbol ORDER BY ym) - 1 AS m_idx
+        FROM (SELECT DISTINCT symbol, CAST(date_trunc('month', quote_date) AS DATE) AS ym FROM ev0)),
+emc AS (SELECT symbol, count(*) AS n_months FROM emi GROUP BY 1),
+efp AS (SELECT symbol, unnest(range(0, CAST(floor((n_months - 36) / 3) AS BIGINT))) AS fold_id FROM emc WHERE n_months >= 39),
+ev AS (SELECT e.*, CAST(f.fold_id AS INTEGER) AS fold_id, a.ym AS train_start, c.ym AS test_start, d.ym AS test_end
+       FROM ev0 e JOIN emi m ON e.symbol = m.symbol AND CAST(date_trunc('month', e.quote_date) AS DATE) = m.ym
+       JOIN efp f ON f.symbol = e.symbol AND m.m_idx >= f.fold_id * 3 + 36 AND m.m_idx < f.fold_id * 3 + 39
+       JOIN emi a ON a.symbol = f.symbol AND a.m_idx = f.fold_id * 3
+       JOIN emi c ON c.symbol = f.symbol AND c.m_idx = f.fold_id * 3 + 36
+       JOIN emi d ON d.symbol = f.symbol AND d.m_idx = f.fold_id * 3 + 38)""")
+
+
+def _eval(spark, sf):
+    from ..operators import walkforward as wf
+    lab = labels.path_labels(fx.px(spark, sf), price_col="close").select("symbol", "quote_date", "label")
+    res = _results(spark, sf).select("symbol", "quote_date", F.col("pred_dir_ens").alias("pred_dir"),
+                                     F.col("signal_dir").alias("pred_dir_ens"), "proba_up_ens", "proba_down_ens")
+    ev = res.join(lab, ["symbol", "quote_date"], "inner")
+    idx = wf.month_index(ev)
+    a = wf.assign_folds(idx, wf.fold_counts(idx)).filter(F.col("role") == "test")
+    plan = wf.fold_plan(idx).select("symbol", "fold_id", "train_start", "test_start", "test_end")
+    return a.join(plan, ["symbol", "fold_id"], "inner")
+
+
+def _f1_sql(p):
+    parts, pres = [], []
+    for c in (-1, 0, 1):
+        tp = f"count_if(label = {c} AND {p} = {c})"
+        fp = f"count_if(label <> {c} AND {p} = {c})"
+        fn = f"count_if(label = {c} AND {p} <> {c})"
+        den = f"(2 * {tp} + {fp} + {fn})"
+        parts.append(f"CASE WHEN {den} > 0 THEN 2.0 * {tp} / {den} ELSE 0.0 END")
+        pres.append(f"CASE WHEN {den} > 0 THEN 1 ELSE 0 END")
+    return f"(({' + '.join(parts)}) / ({' + '.join(pres)}))"
+
+
+@register("a7_fold_metrics", _EVAL_SQL + f"""
+SELECT symbol, fold_id, count(*) AS rows, min(train_start) AS train_start, min(test_start) AS test_start,
+       min(test_end) AS test_end, round(avg(CASE WHEN label = pred_dir THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round({_f1_sql('pred_dir')}, 6) AS macro_f1,
+       round(avg(CASE WHEN label = pred_dir_ens THEN 1.0 ELSE 0.0 END), 6) AS acc_ens,
+       round({_f1_sql('pred_dir_ens')}, 6) AS f1_ens
+FROM ev GROUP BY 1, 2""")
+def q_fold_metrics(spark, sf):
+    from ..operators import evaluate
+    return round_doubles(evaluate.fold_metrics(_eval(spark, sf), by=["symbol"]))
+
+
+@register("a27_mean_fold_accuracy", _EVAL_SQL + """
+, fm AS (SELECT symbol, fold_id, avg(CASE WHEN label = pred_dir THEN 1.0 ELSE 0.0 END) AS acc,
+                avg(CASE WHEN label = pred_dir_ens THEN 1.0 ELSE 0.0 END) AS acc_e FROM ev GROUP BY 1, 2)
+SELECT symbol, round(avg(acc), 6) AS mean_accuracy, round(avg(acc_e), 6) AS mean_acc_ens FROM fm GROUP BY 1""")
+def q_mean_fold_accuracy(spark, sf):
+    from ..operators import evaluate
+    return round_doubles(evaluate.mean_fold_accuracy(evaluate.fold_metrics(_eval(spark, sf), by=["symbol"]), by=["symbol"]))
+
+
+@register("a8_confusion_matrix", _EVAL_SQL + """
+SELECT l.label, count_if(pred_dir_ens = -1) AS pred_down, count_if(pred_dir_ens = 0) AS pred_flat,
+       count_if(pred_dir_ens = 1) AS pred_up
+FROM (SELECT -1 AS label UNION ALL SELECT 0 UNION ALL SELECT 1) l LEFT JOIN ev ON ev.label = l.label GROUP BY l.label""")
+def q_confusion_matrix(spark, sf):
+    from ..operators import evaluate
+    return evaluate.confusion_matrix(_eval(spark, sf))
+
+
+def _report_sql():
+    rows = []
+    for c, name in ((-1, "Down"), (0, "Flat"), (1, "Up")):
+        tp = f"count_if(label = {c} AND pred_dir_ens = {c})"
+        fp = f"count_if(label <> {c} AND pred_dir_ens = {c})"
+        fn = f"count_if(label = {c} AND pred_dir_ens <> {c})"
+        rows.append(f"""SELECT '{name}' AS class,
+  CASE WHEN {tp} + {fp} > 0 THEN {tp} / ({tp} + {fp}) ELSE 0.0 END AS precision,
+  CASE WHEN {tp} + {fn} > 0 THEN {tp} / ({tp} + {fn}) ELSE 0.0 END AS recall,
+  CASE WHEN 2 * {tp} + {fp} + {fn} > 0 THEN 2.0 * {tp} / (2 * {tp} + {fp} + {fn}) ELSE 0.0 END AS f1,
+  {tp} + {fn} AS support FROM ev""")
+    return ",\ncls AS (" + " UNION ALL ".join(rows) + ")\n" + """
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM cls
+UNION ALL SELECT 'accuracy', NULL, NULL, round((SELECT avg(CASE WHEN label = pred_dir_ens THEN 1.0 ELSE 0.0 END) FROM ev), 6),
+       (SELECT count(*) FROM ev)
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), (SELECT count(*) FROM ev) FROM cls
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6), (SELECT count(*) FROM ev) FROM cls"""
+
+
+@register("a9_classification_report", _EVAL_SQL + _report_sql())
+def q_classification_report(spark, sf):
+    from ..operators import evaluate
+    return round_doubles(evaluate.classification_report(_eval(spark, sf)))
+
+
+@register("a10_threshold_sweep", _EVAL_SQL + """,
+thr AS (SELECT CAST(round((6 + i) * 0.05, 2) AS DOUBLE) AS threshold FROM range(10) t(i))
+SELECT threshold,
+  round(avg(CASE WHEN proba_up_ens >= threshold THEN CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END END), 6) AS up_precision,
+  round(avg(CASE WHEN proba_down_ens >= threshold THEN CASE WHEN label = -1 THEN 1.0 ELSE 0.0 END END), 6) AS down_precision,
+  round(avg(CASE WHEN proba_up_ens >= threshold THEN 1.0 ELSE 0.0 END), 6) AS up_coverage,
+  round(avg(CASE WHEN proba_down_ens >= threshold THEN 1.0 ELSE 0.0 END), 6) AS down_coverage
+FROM ev, thr GROUP BY threshold""")
+def q_threshold_sweep(spark, sf):
+    from ..operators import evaluate
+    return round_doubles(evaluate.threshold_sweep(_eval(spark, sf)))
