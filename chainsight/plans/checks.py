@@ -1050,3 +1050,64 @@ FROM ev, thr GROUP BY threshold""")
 def q_threshold_sweep(spark, sf):
     from ..operators import evaluate
     return round_doubles(evaluate.threshold_sweep(_eval(spark, sf)))
+
+
+# ---------------------------------------------------------------- feature statistics
+
+def _flab(spark, sf):
+    from ..operators import features
+    ft = features.feature_table(fx.chain(spark, sf), fx.und(spark, sf))
+    return labels.path_labels(ft, price_col="und_price")
+
+
+_PAIRS = [(a, b) for i, a in enumerate(_ALLF) for b in _ALLF[i + 1:]]
+_CORR_SQL = _ML_SQL.rstrip() + ",\n" + "cw AS (SELECT " + ", ".join(
+    f'corr({a}, {b}) AS "{a}|{b}"' for a, b in _PAIRS) + " FROM flab2),\n" + """
+cl AS (UNPIVOT cw ON COLUMNS(*) INTO NAME k VALUE r),
+corr_long AS (SELECT split_part(k, '|', 1) AS feature_a, split_part(k, '|', 2) AS feature_b,
+                     CASE WHEN isnan(r) THEN NULL ELSE r END AS r FROM cl)
+"""
+
+
+@register("a11_corr_matrix", _CORR_SQL + "SELECT feature_a, feature_b, round(r, 6) AS r FROM corr_long")
+def q_corr_matrix(spark, sf):
+    from ..operators import stats
+    return round_doubles(stats.corr_matrix(_flab(spark, sf), _ALLF))
+
+
+@register("a12_correlated_pairs", _CORR_SQL + """
+SELECT feature_a, feature_b, round(r, 6) AS r, round(abs(r), 6) AS abs_r FROM corr_long WHERE abs(r) >= 0.7""")
+def q_correlated_pairs(spark, sf):
+    from ..operators import stats
+    return round_doubles(stats.correlated_pairs(stats.corr_matrix(_flab(spark, sf), _ALLF)))
+
+
+_UNPIV = f"UNPIVOT (SELECT {', '.join(_ALLF)} FROM flab2) ON {', '.join(_ALLF)} INTO NAME feature VALUE value"
+
+
+@register("a14_histogram", _ML_SQL.rstrip() + f""",
+hl AS ({_UNPIV}),
+rg AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM hl GROUP BY 1),
+hb AS (SELECT hl.feature, CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((value - lo) / (hi - lo) * 50), 49) AS INTEGER) END AS bin,
+              lo, hi FROM hl JOIN rg USING (feature))
+SELECT feature, bin, round(any_value(lo) + bin * ((any_value(hi) - any_value(lo)) / 50), 6) AS bin_lo,
+       round(any_value(lo) + (bin + 1) * ((any_value(hi) - any_value(lo)) / 50), 6) AS bin_hi, count(*) AS n
+FROM hb GROUP BY 1, 2""")
+def q_histogram(spark, sf):
+    from ..operators import stats
+    return round_doubles(stats.histogram(_flab(spark, sf), _ALLF), overrides={"bin_lo": 6, "bin_hi": 6})
+
+
+@register("a13_mutual_information", _ML_SQL.rstrip() + f""",
+mc0 AS (SELECT * FROM flab2 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _ALLF)}),
+ml0 AS (UNPIVOT (SELECT label, {', '.join(_ALLF)} FROM mc0) ON {', '.join(_ALLF)} INTO NAME feature VALUE value),
+mrg AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM ml0 GROUP BY 1),
+mb AS (SELECT ml0.feature, label, CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((value - lo) / (hi - lo) * 20), 19) AS INTEGER) END AS bin
+       FROM ml0 JOIN mrg USING (feature)),
+jt AS (SELECT feature, bin, label, count(*) AS n FROM mb GROUP BY 1, 2, 3),
+jt2 AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS nn, sum(n) OVER (PARTITION BY feature, bin) AS nb,
+               sum(n) OVER (PARTITION BY feature, label) AS nl FROM jt)
+SELECT feature, round(sum((n / nn) * ln((n * nn) / (nb * nl))), 6) AS mi_score FROM jt2 GROUP BY 1""")
+def q_mutual_information(spark, sf):
+    from ..operators import stats
+    return round_doubles(stats.mutual_information(_flab(spark, sf), _ALLF))
