@@ -92,11 +92,20 @@ def ensemble_average(member_probs: DataFrame, weights: DataFrame, keys: list[str
     the fold count); the aggregation is partial (map-side) per key.
     """
     wk = [fold_col] + list(weight_keys or [])
-    j = (member_probs.join(F.broadcast(weights), wk, "left")
-         .withColumn("weight", F.coalesce(F.col("weight"), F.lit(0.0))))
-    w = F.when(F.col("weight") > 0, F.col("weight"))
+    # keyed by fold only, the weights table is bounded by the fold count: broadcast it;
+    # keyed by (symbol, fold) it grows with the symbol count, so AQE picks the join
+    w_side = F.broadcast(weights) if not weight_keys else weights
+    j = member_probs.join(w_side, wk, "left")
+    return weighted_average(j, keys, probs, out)
+
+
+def weighted_average(members: DataFrame, keys: list[str], probs=("p_down", "p_flat", "p_up"),
+                     out=("proba_down_ens", "proba_flat_ens", "proba_up_ens"),
+                     weight_col: str = "weight") -> DataFrame:
+    """A24 core: sum(w * p) / sum(w) per key over members with w > 0; 1/3 each when none."""
+    w = F.when(F.col(weight_col) > 0, F.col(weight_col))
     aggs = [F.sum(w * F.col(p)).alias(f"_s{i}") for i, p in enumerate(probs)]
-    g = j.groupBy(*keys).agg(*aggs, F.sum(w).alias("_w"))
+    g = members.groupBy(*keys).agg(*aggs, F.sum(w).alias("_w"))
     third = F.lit(1.0 / 3.0)
     return g.select(*keys, *[
         F.coalesce(F.try_divide(F.col(f"_s{i}"), F.col("_w")), third).alias(o)

@@ -1111,3 +1111,36 @@ SELECT feature, round(sum((n / nn) * ln((n * nn) / (nb * nl))), 6) AS mi_score F
 def q_mutual_information(spark, sf):
     from ..operators import stats
     return round_doubles(stats.mutual_information(_flab(spark, sf), _ALLF))
+
+
+# ---------------------------------------------------------------- model (rows-only checks)
+
+@register("m3_m5_walkforward_ensemble")
+def q_walkforward_ensemble(spark, sf):
+    from ..operators import model
+    ml, cols = _ml(spark, sf)
+    res = model.train_walkforward(ml, cols, classifier="logistic")
+    return res.results.select("symbol", "quote_date", "fold_id", "model_id", "label", "pred_dir", "proba_down",
+                              "proba_flat", "proba_up", "proba_down_ens", "proba_flat_ens", "proba_up_ens",
+                              "pred_dir_ens", "train_start", "test_start")
+
+
+@register("j8_causal_ensemble", with_views("members", "px", extra="""
+mi AS (SELECT symbol, ym, row_number() OVER (PARTITION BY symbol ORDER BY ym) - 1 AS m_idx
+       FROM (SELECT DISTINCT symbol, CAST(date_trunc('month', quote_date) AS DATE) AS ym FROM px)),
+wt AS (SELECT fold_id, pow(0.7, count(*) OVER () - row_number() OVER (ORDER BY fold_id)) AS raw
+       FROM (SELECT DISTINCT fold_id FROM members) f),
+w AS (SELECT fold_id, raw / sum(raw) OVER () AS weight FROM wt),
+m AS (SELECT mb.*, CASE WHEN te.ym < CAST(date_trunc('month', mb.quote_date) AS DATE) THEN w.weight ELSE 0 END AS wgt
+      FROM members mb JOIN w USING (fold_id) JOIN mi te ON te.symbol = mb.symbol AND te.m_idx = mb.fold_id * 3 + 35)""") + """
+SELECT symbol, quote_date,
+  round(coalesce(sum(wgt * p_down) FILTER (WHERE wgt > 0) / sum(wgt) FILTER (WHERE wgt > 0), 1.0 / 3), 6) AS proba_down_ens,
+  round(coalesce(sum(wgt * p_flat) FILTER (WHERE wgt > 0) / sum(wgt) FILTER (WHERE wgt > 0), 1.0 / 3), 6) AS proba_flat_ens,
+  round(coalesce(sum(wgt * p_up) FILTER (WHERE wgt > 0) / sum(wgt) FILTER (WHERE wgt > 0), 1.0 / 3), 6) AS proba_up_ens
+FROM m GROUP BY 1, 2""")
+def q_causal_ensemble(spark, sf):
+    from ..operators import model, signals, walkforward as wf
+    m = fx.members(spark, sf)
+    w = signals.fold_weights(m.select("fold_id").distinct())
+    plan = wf.fold_plan(wf.month_index(fx.px(spark, sf)))
+    return round_doubles(model.causal_ensemble(m, w, plan, weight_keys=()))
