@@ -1144,3 +1144,63 @@ def q_causal_ensemble(spark, sf):
     w = signals.fold_weights(m.select("fold_id").distinct())
     plan = wf.fold_plan(wf.month_index(fx.px(spark, sf)))
     return round_doubles(model.causal_ensemble(m, w, plan, weight_keys=()))
+
+
+# ---------------------------------------------------------------- streaming
+
+@register("r5_trade_day_buckets", with_views("ticks") + """
+SELECT CAST(ts - INTERVAL 7 HOUR AS DATE) AS trade_date, count(*) AS n_ticks, round(sum(value), 6) AS value_sum
+FROM ticks GROUP BY 1""")
+def q_trade_day_buckets(spark, sf):
+    from ..streaming import jobs
+    return round_doubles(jobs.trade_day_buckets(fx.ticks(spark, sf)))
+
+
+@register("r2_tick_window_snapshots", with_views("ticks", extra="""
+named AS (SELECT *, CASE tick_type WHEN 1 THEN 'Bid' WHEN 2 THEN 'Ask' WHEN 4 THEN 'Last' WHEN 9 THEN 'Close'
+                  ELSE 'T' || CAST(tick_type AS VARCHAR) END AS field, date_trunc('minute', ts) AS ws FROM ticks),
+lastv AS (SELECT ws, req_id, field, value FROM (SELECT *, row_number() OVER (PARTITION BY ws, req_id, field
+          ORDER BY ts DESC, seq DESC) AS rn FROM named) WHERE rn = 1)""") + """
+SELECT ws AS window_start, ws + INTERVAL 1 MINUTE AS window_end, req_id,
+       max(value) FILTER (WHERE field = 'Bid') AS "Bid", max(value) FILTER (WHERE field = 'Ask') AS "Ask",
+       max(value) FILTER (WHERE field = 'Last') AS "Last", max(value) FILTER (WHERE field = 'Close') AS "Close",
+       max(value) FILTER (WHERE field = 'T99') AS "T99"
+FROM lastv GROUP BY 1, 2, 3""")
+def q_tick_window_snapshots(spark, sf):
+    from ..streaming import jobs
+    out = jobs.tick_snapshot_stream(fx.ticks(spark, sf), _TICK_FIELDS)
+    return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                      "req_id", *_TICK_FIELDS)
+
+
+def _scratch(spark, name):
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/work/{name}-{uuid.uuid4().hex[:10]}"
+
+
+@register("r1_chain_snapshot_stream")
+def q_chain_snapshot_stream(spark, sf):
+    """End-to-end stream: IV feed files landed by week, streamed through merge/band/build/append."""
+    from ..streaming import jobs
+    root = _scratch(spark, "r1")
+    lg = fx.legs(spark, sf)
+    fx.iv_feed(spark, sf, lg).repartition(8, "trade_date").write.option("header", True).csv(f"{root}/landing")
+    q = jobs.chain_snapshot_stream(spark, f"{root}/landing", fx.oi_feed(spark, sf, lg), fx.ohlc_feed(spark, sf, lg),
+                                   f"{root}/out", checkpoint=f"{root}/ckpt", max_files=2)
+    q.awaitTermination()
+    from ..operators.chain import CHAIN_SCHEMA
+    return spark.read.parquet(f"{root}/out").select(*[c for c, _ in CHAIN_SCHEMA])
+
+
+@register("r3_price_topup_stream")
+def q_price_topup_stream(spark, sf):
+    """End-to-end stream: EOD feed files upserted per micro-batch into a versioned price table."""
+    from ..sources import sinks
+    from ..streaming import jobs
+    root = _scratch(spark, "r3")
+    sinks.write_table_version(fx.stored(spark, sf), f"{root}/prices")
+    fx.price_feed(spark, sf).repartition(4).write.option("header", True).csv(f"{root}/landing")
+    q = jobs.price_topup_stream(spark, f"{root}/landing", f"{root}/prices", checkpoint=f"{root}/ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(sinks.latest_version(spark, f"{root}/prices"))
