@@ -127,7 +127,7 @@ def train_walkforward(ml: DataFrame, features: list[str], classifier: str = "log
     for the look-ahead-free variant).
     """
     idx = wf.month_index(ml)
-    assigned = wf.assign_folds(idx, wf.fold_counts(idx), n_train, n_test)
+    assigned = wf.assign_folds(idx, wf.fold_counts(idx, n_train, n_test), n_train, n_test)
     # reused by every fit and by scoring: cut the lineage into the shared checkpoint dir
     assigned = cut_lineage(assigned)
     sizes = wf.fold_sizes(assigned)

@@ -128,9 +128,11 @@ def assign_folds(indexed: DataFrame, n_folds: DataFrame, n_train: int | None = N
     return x.select(*indexed.columns, F.explode(both).alias("_f")).select(*indexed.columns, "_f.fold_id", "_f.role")
 
 
-def fold_counts(indexed: DataFrame, by: list[str] | None = None) -> DataFrame:
+def fold_counts(indexed: DataFrame, n_train: int | None = None, n_test: int | None = None,
+                by: list[str] | None = None) -> DataFrame:
     """Number of folds F per symbol (one row per symbol) from the month index."""
-    n, t = DEFAULTS.n_train_months, DEFAULTS.n_test_months
+    n = DEFAULTS.n_train_months if n_train is None else n_train
+    t = DEFAULTS.n_test_months if n_test is None else n_test
     keys = list(by or ["symbol"])
     per = indexed.groupBy(*keys).agg((F.max("m_idx") + 1).alias("_M"))
     return per.select(*keys, F.when(F.col("_M") >= n + t, F.floor((F.col("_M") - n) / t)).otherwise(0)
