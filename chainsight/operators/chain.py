@@ -96,15 +96,20 @@ def first_underlying(iv: DataFrame, keys: list[str] | None = None, seq_col: str
 # ---------------------------------------------------------------- merge and rows
 
 def merge_feeds(iv: DataFrame, oi: DataFrame, ohlc: DataFrame, keys: list[str] | None = None,
-                seq_col: str = "seq") -> DataFrame:
+                seq_col: str = "seq", dedupe: bool = True) -> DataFrame:
     """IV rows LEFT JOIN open interest and OHLC on (symbol, day, expiry, strike, right).
 
     Keys compare as raw text (NULL-safe, like dict keys); duplicate keys on
     the right sides keep the last arrival (D1); IV duplicates are kept.
     """
     keys = keys or FEED_KEYS
-    oi_d = dedupe_last(oi.select(*keys, seq_col, "open_interest"), keys, seq_col).drop(seq_col)
-    oh_d = dedupe_last(ohlc.select(*keys, seq_col, "close", "volume"), keys, seq_col).drop(seq_col)
+    if dedupe:
+        oi_d = dedupe_last(oi.select(*keys, seq_col, "open_interest"), keys, seq_col).drop(seq_col)
+        oh_d = dedupe_last(ohlc.select(*keys, seq_col, "close", "volume"), keys, seq_col).drop(seq_col)
+    else:
+        # sides already keep-last deduplicated (e.g. once, before a stream starts)
+        oi_d = oi.select(*keys, "open_interest")
+        oh_d = ohlc.select(*keys, "close", "volume")
 
     def _join(left, right):
         r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
@@ -124,14 +129,7 @@ def build_chain_rows(merged: DataFrame, snapshot_ts=None, atm_range: float | Non
     dropped if either is missing; price = round((bid + ask) / 2, 4), dropped
     if <= 0; last and close both from the OHLC close; greeks NULL.
     """
-    r = DEFAULTS.atm_range if atm_range is None else atm_range
-    x = merged
-    if band:
-        spot = first_underlying(merged)
-        x = x.join(spot, ["symbol", "trade_date", "expiration"], "left")
-        strike = C.text_number("strike")
-        lo, hi = F.col("und_price") * (1 - r), F.col("und_price") * (1 + r)
-        x = x.filter(F.col("und_price").isNull() | strike.between(lo, hi))
+    x = band_filter(merged, atm_range) if band else merged
     bid, ask = C.text_number("bid"), C.text_number("ask")
     x = x.withColumns({"_bid": bid, "_ask": ask}).filter(F.col("_bid").isNotNull() & F.col("_ask").isNotNull())
     x = x.withColumn("_price", F.round((F.col("_bid") + F.col("_ask")) / 2, 4)).filter(F.col("_price") > 0)
@@ -150,6 +148,29 @@ def build_chain_rows(merged: DataFrame, snapshot_ts=None, atm_range: float | Non
         und.alias("UndPrice"))
 
 
+def band_filter(iv: DataFrame, atm_range: float | None = None, spot: DataFrame | None = None) -> DataFrame:
+    """P4 on the IV feed: keep strikes within spot * (1 -/+ r), spot = D3 of the same feed;
+    expiries without a known spot keep every row."""
+    r = DEFAULTS.atm_range if atm_range is None else atm_range
+    spot = first_underlying(iv) if spot is None else spot
+    x = iv.join(spot, ["symbol", "trade_date", "expiration"], "left")
+    strike = C.text_number("strike")
+    lo, hi = F.col("und_price") * (1 - r), F.col("und_price") * (1 + r)
+    return x.filter(F.col("und_price").isNull() | strike.between(lo, hi)).drop("und_price")
+
+
+def chain_snapshot(iv: DataFrame, oi: DataFrame, ohlc: DataFrame, snapshot_ts=None,
+                   atm_range: float | None = None, dedupe: bool = True) -> DataFrame:
+    """J1 + D1 + D3 + P4 + P2 + P3: the chain rows of a snapshot from the three feeds.
+
+    The band filter and its spot depend only on IV columns and the merge is a
+    row-preserving left join, so the IV rows are banded BEFORE the merge:
+    same rows as banding the merged frame, with a smaller join input.
+    """
+    banded = band_filter(iv, atm_range)
+    return build_chain_rows(merge_feeds(banded, oi, ohlc, dedupe=dedupe), snapshot_ts, band=False)
+
+
 def conform(df: DataFrame, schema=None) -> DataFrame:
     """Force the chain schema: missing columns NULL, fixed order, numerics coerced (bad -> NULL)."""
     schema = schema or CHAIN_SCHEMA

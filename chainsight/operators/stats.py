@@ -20,20 +20,21 @@ def _long(df: DataFrame, features: list[str], extra: list[str] | None = None) ->
 
 def corr_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson r for every pair i < j, pairwise complete (a row with a NULL in either
-    column is skipped for that pair), all pairs in ONE aggregation, returned long."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    column is skipped for that pair), returned long (feature_a, feature_b, r).
 
-    def r(a, b):
-        # ANSI-safe Pearson r on the pair's complete rows: a constant column gives NULL, not an error
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x = F.when(both, F.col(a).cast("double"))
-        y = F.when(both, F.col(b).cast("double"))
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-    wide = df.agg(*[r(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                             F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])
-    out = wide.select(F.explode(arr).alias("p")).select("p.*")
+    Each row is exploded into one (pair, x, y) record per pair and grouped by
+    pair: three small aggregates whose partial (map-side) state is one row
+    per pair and task, instead of one very wide aggregate whose planning and
+    code generation dominate. r = covar_pop / (std_pop x * std_pop y), NULL
+    for a constant column (ANSI-safe, no division error).
+    """
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    # one SQL generator expression: building hundreds of Column objects through py4j costs seconds
+    args = ", ".join(f"'{a}', '{b}', CAST(`{a}` AS DOUBLE), CAST(`{b}` AS DOUBLE)" for a, b in pairs)
+    long = (df.selectExpr(f"stack({len(pairs)}, {args}) AS (feature_a, feature_b, x, y)")
+            .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    out = long.groupBy("feature_a", "feature_b").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
     return out.withColumn("r", F.when(F.isnan("r"), None).otherwise(F.col("r")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..session import cut_lineage
 
 
 # ---------------------------------------------------------------- P15-P17, M1
@@ -60,7 +61,11 @@ def ml_table(feat: DataFrame, candidates=None, by: list[str] | None = None,
              keys=("symbol", "quote_date")) -> tuple[DataFrame, list[str]]:
     """M1: P15 + P16, keep keys + features + label + fwd_ret_1d, drop NULL labels, add y = label + 1."""
     by = ["symbol"] if by is None else by
-    cols = keep_dense_features(feat, candidates)
+    present = [c for c in (candidates or DEFAULTS.feature_cols_base) if c in feat.columns]
+    # the null-share job and the table itself read the same input: write it once to the
+    # shared checkpoint dir (reliable, lineage cut) instead of computing the features twice
+    feat = cut_lineage(feat.select(*keys, *present, "label", "fwd_ret_1d"))
+    cols = keep_dense_features(feat, present)
     t = feat.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols], "label", "fwd_ret_1d")
     t = median_fill(t, cols, by)
     t = t.dropna(subset=["label"]).withColumn("y", (F.col("label") + 1).cast("int"))

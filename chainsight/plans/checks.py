@@ -471,8 +471,20 @@ def q_first_underlying(spark, sf):
     return chain.first_underlying(fx.iv_feed(spark, sf))
 
 
+def _snapshot(spark, sf) -> DataFrame:
+    from ..operators import chain
+    lg = fx.legs(spark, sf)
+    return chain.chain_snapshot(fx.iv_feed(spark, sf, lg), fx.oi_feed(spark, sf, lg), fx.ohlc_feed(spark, sf, lg))
+
+
 @register("p2_chain_rows", _MERGE_SQL + "SELECT * FROM rows_")
 def q_chain_rows(spark, sf):
+    return _snapshot(spark, sf)
+
+
+@register("p4_band_after_merge", _MERGE_SQL + "SELECT * FROM rows_")
+def q_band_after_merge(spark, sf):
+    """Same rows when the band is applied to the merged frame (the reference's order)."""
     from ..operators import chain
     return chain.build_chain_rows(_merged(spark, sf))
 
@@ -482,7 +494,7 @@ SELECT CAST(trade_date AS DATE) AS snap_date, round(sum("OpenInterest"), 6) AS t
 WHERE "Symbol" = '1-URGENT' GROUP BY 1""")
 def q_daily_open_interest(spark, sf):
     from ..operators import chain
-    return round_doubles(chain.daily_open_interest(chain.build_chain_rows(_merged(spark, sf)), "1-URGENT"))
+    return round_doubles(chain.daily_open_interest(_snapshot(spark, sf), "1-URGENT"))
 
 
 @register("p1_conform", _MERGE_SQL + """
@@ -490,7 +502,7 @@ SELECT trade_date, "Timestamp", "Symbol", "Expiry", "Strike", righttype, "Price"
        "Volume", "OpenInterest", "IV", "Delta", "Gamma", "Theta", "Vega", "UndPrice" FROM rows_""")
 def q_conform(spark, sf):
     from ..operators import chain
-    rows = chain.build_chain_rows(_merged(spark, sf))
+    rows = _snapshot(spark, sf)
     # shuffle the column order and drop two columns: conform restores the fixed schema
     return chain.conform(rows.select(*reversed([c for c in rows.columns if c not in ("Theta", "Vega")])))
 
@@ -1055,9 +1067,11 @@ def q_threshold_sweep(spark, sf):
 # ---------------------------------------------------------------- feature statistics
 
 def _flab(spark, sf):
+    """Labelled feature table, written once to the checkpoint dir (a stored feature table)."""
     from ..operators import features
+    from ..session import cut_lineage
     ft = features.feature_table(fx.chain(spark, sf), fx.und(spark, sf))
-    return labels.path_labels(ft, price_col="und_price")
+    return cut_lineage(labels.path_labels(ft, price_col="und_price"))
 
 
 _PAIRS = [(a, b) for i, a in enumerate(_ALLF) for b in _ALLF[i + 1:]]

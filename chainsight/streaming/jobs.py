@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import chain
 from ..sources import sinks
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 IV_COLUMNS = ["seq", "symbol", "trade_date", "expiration", "strike", "right_", "bid", "ask",
               "implied_vol", "underlying_price"]
@@ -45,11 +45,15 @@ def chain_snapshot_stream(spark: SparkSession, iv_dir: str, oi: DataFrame, ohlc:
     """IV CSV files -> J1 (stream-static) -> P4/P2/P1 -> K1 append, one output dir per epoch."""
     src = (spark.readStream.schema(_all_string(IV_COLUMNS)).option("header", True)
            .option("maxFilesPerTrigger", max_files).csv(iv_dir))
+    keys = chain.FEED_KEYS
+    # the static sides are keep-last deduplicated once and checkpointed, not once per micro-batch
+    oi_d = cut_lineage(chain.dedupe_last(oi.select(*keys, "seq", "open_interest"), keys).drop("seq"))
+    oh_d = cut_lineage(chain.dedupe_last(ohlc.select(*keys, "seq", "close", "volume"), keys).drop("seq"))
 
     def write(batch: DataFrame, epoch: int) -> None:
         iv = batch.withColumn("seq", F.col("seq").cast("bigint")).withColumn(
             "trade_date", F.to_date("trade_date"))
-        rows = chain.conform(chain.build_chain_rows(chain.merge_feeds(iv, oi, ohlc), snapshot_ts))
+        rows = chain.conform(chain.chain_snapshot(iv, oi_d, oh_d, snapshot_ts, dedupe=False))
         rows.write.mode("overwrite").partitionBy("trade_date").parquet(f"{out.rstrip('/')}/batch_id={epoch}")
 
     return (src.writeStream.foreachBatch(write)
