@@ -12,8 +12,9 @@ Scoring writes member probabilities as a LONG table
 one weighted aggregation (A24), never with one join or column per fold.
 
 The reference trains 3-class gradient-boosted trees; Spark's GBT is
-binary only and no multi-class booster is installed, so ``classifier``
-is "logistic" (multinomial, default), "forest", or "gbt"
+binary only and no multi-class booster is installed, so ``classifier`` is
+"softmax" (default: every fold in ONE grouped job, see ``softmax.py``),
+or a ``pyspark.ml`` pipeline per fold: "logistic", "forest", "gbt"
 (one-vs-rest GBTs, normalised). Numbers therefore differ from the reference.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..session import cut_lineage
-from . import signals, walkforward as wf
+from . import signals, softmax, walkforward as wf
 
 PROBS = ("p_down", "p_flat", "p_up")
 
@@ -87,7 +88,7 @@ class WalkForwardResult:
 
     def __init__(self, results, models, scalers, weights, features, plan, members):
         self.results = results
-        self.models = models          # {(symbol, fold_id): PipelineModel}
+        self.models = models          # coefficient DataFrame (softmax) or {(symbol, fold_id): PipelineModel}
         self.scalers = scalers        # DataFrame (symbol, fold_id, mean_*, scale_*)
         self.weights = weights        # DataFrame (symbol, fold_id, weight)
         self.features = features
@@ -99,9 +100,11 @@ def member_probabilities(rows: DataFrame, models: dict, scalers: DataFrame, feat
                          keys=("symbol", "quote_date")) -> DataFrame:
     """Every row scored by every trained fold model of its symbol (with that fold's scaler).
 
-    One transform per fold on the rows of its symbol; the outputs are
-    unioned into the long member table.
+    ``models`` is either the softmax coefficient table (declarative scoring,
+    one plan) or a dict of fitted pipelines (one transform per fold, unioned).
     """
+    if isinstance(models, DataFrame):
+        return softmax.score(rows, models, scalers, features, keys)
     outs = []
     for (sym, fid), model in sorted(models.items()):
         r = rows.filter(F.col("symbol") == sym).withColumn("fold_id", F.lit(fid).cast("int"))
@@ -116,7 +119,7 @@ def member_probabilities(rows: DataFrame, models: dict, scalers: DataFrame, feat
     return out
 
 
-def train_walkforward(ml: DataFrame, features: list[str], classifier: str = "logistic",
+def train_walkforward(ml: DataFrame, features: list[str], classifier: str = "softmax",
                       n_train: int | None = None, n_test: int | None = None, alpha: float | None = None,
                       parallelism: int = 4) -> WalkForwardResult:
     """M2-M5: folds, per-fold scaler + classifier, test predictions, recency-weighted ensemble.
@@ -130,23 +133,27 @@ def train_walkforward(ml: DataFrame, features: list[str], classifier: str = "log
     assigned = wf.assign_folds(idx, wf.fold_counts(idx, n_train, n_test), n_train, n_test)
     # reused by every fit and by scoring: cut the lineage into the shared checkpoint dir
     assigned = cut_lineage(assigned)
-    sizes = wf.fold_sizes(assigned)
-    trained = [(r["symbol"], int(r["fold_id"])) for r in
-               sizes.filter("trained").select("symbol", "fold_id").collect()]
-    if not trained:
+    sizes = cut_lineage(wf.fold_sizes(assigned))
+    if not sizes.filter("trained").limit(1).take(1):
         raise RuntimeError("No folds were trained; check train/test size thresholds.")
     stats = wf.scaler_stats(assigned, features)
     stats = cut_lineage(stats)
-    train_rows = scale_rows(assigned.filter(F.col("role") == "train"), stats, features)
-    pipe = _pipeline(features, classifier)
+    train_rows = scale_rows(assigned.filter(F.col("role") == "train").join(
+        sizes.filter("trained").select("symbol", "fold_id"), ["symbol", "fold_id"], "left_semi"), stats, features)
+    if classifier == "softmax":
+        models = cut_lineage(softmax.train_grouped(train_rows, features))
+    else:
+        pipe = _pipeline(features, classifier)
+        trained = [(r["symbol"], int(r["fold_id"])) for r in
+                   sizes.filter("trained").select("symbol", "fold_id").collect()]
 
-    def fit(key):
-        sym, fid = key
-        part = train_rows.filter((F.col("symbol") == sym) & (F.col("fold_id") == fid))
-        return key, pipe.fit(part)
+        def fit(key):
+            sym, fid = key
+            part = train_rows.filter((F.col("symbol") == sym) & (F.col("fold_id") == fid))
+            return key, pipe.fit(part)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        models = dict(pool.map(fit, trained))
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            models = dict(pool.map(fit, trained))
 
     plan = wf.fold_plan(idx, n_train, n_test)
     test = assigned.filter(F.col("role") == "test").join(
@@ -195,6 +202,10 @@ def feature_importance(res: WalkForwardResult) -> DataFrame:
     normalised to sum 1. The per-fold vectors are model metadata (folds x
     features numbers), turned into a long table and aggregated by Spark.
     """
+    if isinstance(res.models, DataFrame):
+        long = softmax.importance(res.models, res.features)
+        return long.groupBy("symbol", "feature").agg(F.avg("importance").alias("mean_importance"),
+                                                     F.stddev_pop("importance").alias("std_importance"))
     rows = []
     for (sym, fid), model in sorted(res.models.items()):
         st = model.stages[-1]
@@ -219,14 +230,22 @@ def feature_importance(res: WalkForwardResult) -> DataFrame:
 def export_ensemble(res: WalkForwardResult, artifacts_dir: str, horizon: int | None = None) -> None:
     """K7: one saved pipeline per fold, scaler stats and weights as Parquet, config as JSON."""
     root = artifacts_dir.rstrip("/")
-    for (sym, fid), model in res.models.items():
-        model.write().overwrite().save(f"{root}/models/symbol={sym}/fold={fid}")
+    if isinstance(res.models, DataFrame):
+        res.models.write.mode("overwrite").parquet(f"{root}/coefs")
+        keys = sorted((r["symbol"], int(r["fold_id"])) for r in res.models.select("symbol", "fold_id").collect())
+        kind = "softmax"
+    else:
+        for (sym, fid), model in res.models.items():
+            model.write().overwrite().save(f"{root}/models/symbol={sym}/fold={fid}")
+        keys = sorted(res.models)
+        kind = "pipeline"
     res.scalers.write.mode("overwrite").parquet(f"{root}/scalers")
     res.weights.write.mode("overwrite").parquet(f"{root}/weights")
     rng = wf.date_range(res.results, by=["symbol"]).collect()
     cfg = {
         "feature_cols": list(res.features),
-        "folds": [{"symbol": s, "fold_id": f} for s, f in sorted(res.models)],
+        "model_kind": kind,
+        "folds": [{"symbol": s, "fold_id": f} for s, f in keys],
         "date_range": {r["symbol"]: [str(r["date_min"]), str(r["date_max"])] for r in rng},
         "label_horizon_days": DEFAULTS.horizon if horizon is None else horizon,
     }
@@ -246,6 +265,17 @@ def load_ensemble(spark: SparkSession, artifacts_dir: str):
         raise FileNotFoundError(f"Missing ensemble config in {root}")
     cfg = json.loads(txt[0])
     models, missing = {}, []
+    if cfg.get("model_kind") == "softmax":
+        try:
+            coefs = spark.read.parquet(f"{root}/coefs")
+        except Exception as e:  # noqa: BLE001
+            raise FileNotFoundError(f"Missing model coefficients in {root}") from e
+        have = {(r["symbol"], int(r["fold_id"])) for r in coefs.select("symbol", "fold_id").collect()}
+        missing = [(f["symbol"], int(f["fold_id"])) for f in cfg["folds"]
+                   if (f["symbol"], int(f["fold_id"])) not in have]
+        if missing:
+            raise FileNotFoundError(f"Missing artifacts for folds {missing} in {root}")
+        return cfg["feature_cols"], coefs, spark.read.parquet(f"{root}/scalers"), spark.read.parquet(f"{root}/weights")
     for f in cfg["folds"]:
         key = (f["symbol"], int(f["fold_id"]))
         try:

@@ -1133,7 +1133,7 @@ def q_mutual_information(spark, sf):
 def q_walkforward_ensemble(spark, sf):
     from ..operators import model
     ml, cols = _ml(spark, sf)
-    res = model.train_walkforward(ml, cols, classifier="logistic")
+    res = model.train_walkforward(ml, cols)
     return res.results.select("symbol", "quote_date", "fold_id", "model_id", "label", "pred_dir", "proba_down",
                               "proba_flat", "proba_up", "proba_down_ens", "proba_flat_ens", "proba_up_ens",
                               "pred_dir_ens", "train_start", "test_start")
@@ -1218,3 +1218,77 @@ def q_price_topup_stream(spark, sf):
     q = jobs.price_topup_stream(spark, f"{root}/landing", f"{root}/prices", checkpoint=f"{root}/ckpt")
     q.awaitTermination()
     return spark.read.parquet(sinks.latest_version(spark, f"{root}/prices"))
+
+
+# ---------------------------------------------------------------- scans, sinks, top-k
+
+@register("s5_expiration_scan", with_views("expirations") + """
+SELECT symbol, expiration, CAST(expiration AS DATE) AS expiry FROM expirations WHERE expiration >= '2000-06-01'""")
+def q_expiration_scan(spark, sf):
+    from ..operators import chain
+    return chain.read_expirations(fx.expirations(spark, sf), "2000-06-01")
+
+
+@register("t3_latest_row", with_views("px") + """
+SELECT * FROM px WHERE symbol = '2-HIGH' ORDER BY quote_date DESC LIMIT 1""")
+def q_latest_row(spark, sf):
+    return quality.latest_rows(fx.px(spark, sf).filter(F.col("symbol") == "2-HIGH"), symbol_col=None)
+
+
+@register("t5_head", with_views("px") + """
+SELECT * FROM px WHERE symbol = '1-URGENT' ORDER BY quote_date LIMIT 5""")
+def q_head(spark, sf):
+    return fx.px(spark, sf).filter(F.col("symbol") == "1-URGENT").orderBy("quote_date").limit(5)
+
+
+@register("k4_replace_signal_rows", _RES_SQL + """,
+new AS (SELECT quote_date, symbol, -signal_dir AS signal_dir FROM res WHERE day(quote_date) = 15)
+SELECT r.quote_date, r.symbol, r.signal_dir FROM res r ANTI JOIN new n ON r.quote_date = n.quote_date AND r.symbol = n.symbol
+UNION ALL SELECT * FROM new""")
+def q_replace_signal_rows(spark, sf):
+    from ..sources import sinks
+    base = _results(spark, sf).select("quote_date", "symbol", "signal_dir")
+    new = base.filter(F.dayofmonth("quote_date") == 15).withColumn("signal_dir", -F.col("signal_dir"))
+    return sinks.upsert(base, new, ["quote_date", "symbol"], seq_col=None)
+
+
+@register("k1_s9_chain_partitions")
+def q_chain_partitions(spark, sf):
+    """K1 append partitioned by trade_date, then S9 reads one quarter back (partition pruning)."""
+    from ..sources import sinks
+    from ..sources.tables import chain_scan
+    from ..operators import chain
+    root = _scratch(spark, "k1")
+    sinks.append_chain(chain.conform(_snapshot(spark, sf)), f"{root}/option_chains")
+    return chain_scan(spark, f"{root}/option_chains", start="1996-01-01", end="1996-03-31",
+                      columns=["trade_date", "Symbol", "Strike", "righttype", "OpenInterest"])
+
+
+@register("s3_feed_csv_scan")
+def q_feed_csv_scan(spark, sf):
+    """The open-interest feed landed as CSV text and scanned back with an all-string schema."""
+    from ..operators import chain
+    root = _scratch(spark, "s3")
+    oi = fx.oi_feed(spark, sf)
+    oi.write.option("header", True).csv(f"{root}/oi")
+    return chain.read_feed_csv(spark, f"{root}/oi", oi.columns)
+
+
+@register("m9_daily_signal")
+def q_daily_signal(spark, sf):
+    """K7 -> K8 -> M9: train, export the ensemble, load it back, score the latest row per symbol."""
+    from ..operators import model
+    ml, cols = _ml(spark, sf)
+    res = model.train_walkforward(ml, cols)
+    root = _scratch(spark, "ens")
+    model.export_ensemble(res, root)
+    fc, models, scalers, weights = model.load_ensemble(spark, root)
+    return model.run_inference(ml.drop("label", "fwd_ret_1d", "y"), fc, models, scalers, weights)
+
+
+@register("a25_feature_importance")
+def q_feature_importance(spark, sf):
+    from ..operators import model
+    ml, cols = _ml(spark, sf)
+    res = model.train_walkforward(ml, cols)
+    return model.feature_importance(res)

@@ -13,7 +13,7 @@ from chainsight.streaming import jobs
 def trained(spark, sf):
     ft = labels.path_labels(features.feature_table(fx.chain(spark, sf), fx.und(spark, sf)), price_col="und_price")
     ml, cols = wf.ml_table(ft)
-    return model.train_walkforward(ml, cols, classifier="logistic", parallelism=8), ml
+    return model.train_walkforward(ml, cols), ml
 
 
 def test_walkforward_results_and_properties(trained):
@@ -34,7 +34,9 @@ def test_export_load_and_inference(spark, trained):
     root = tempfile.mkdtemp(prefix="cs-ens-", dir="/tmp")
     model.export_ensemble(res, root)
     cols, models, scalers, weights = model.load_ensemble(spark, root)
-    assert cols == res.features and set(models) == set(res.models)
+    assert cols == res.features
+    keys = lambda df: {(r["symbol"], r["fold_id"]) for r in df.select("symbol", "fold_id").collect()}
+    assert keys(models) == keys(res.models)
     feats = ml.drop("label", "fwd_ret_1d", "y")
     sig = model.run_inference(feats, cols, models, scalers, weights, trade_date="2001-09-03")
     got = sig.collect()
@@ -81,3 +83,32 @@ def test_entry_contract(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_softmax_matches_spark_logistic_regression(spark):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+    from chainsight.operators.softmax import fit_softmax
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(300, 3))
+    y = np.argmax(x @ rnd.normal(size=(3, 3)) + rnd.normal(size=(300, 3)), axis=1)
+    w, _ = fit_softmax(x, y, l2=0.05)
+    df = spark.createDataFrame([(Vectors.dense(r), int(c)) for r, c in zip(x.tolist(), y)], ["features", "y"])
+    m = LogisticRegression(labelCol="y", family="multinomial", regParam=0.05, standardization=False,
+                           tol=1e-10, maxIter=200).fit(df)
+    xb = np.hstack([np.ones((300, 1)), x])
+    z = xb @ w.T
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    ps = np.array([r.probability.toArray() for r in m.transform(df).select("probability").collect()])
+    assert np.abs(p - ps).max() < 1e-3
+
+
+def test_pipeline_engine_one_symbol(trained):
+    _, ml = trained
+    one = ml.filter(F.col("symbol") == "1-URGENT")
+    cols = [c for c in ml.columns if c not in ("symbol", "quote_date", "label", "fwd_ret_1d", "y")]
+    res = model.train_walkforward(one, cols, classifier="forest", parallelism=8)
+    assert res.results.count() > 0 and len(res.models) > 0
+    assert model.feature_importance(res).count() == len(cols)
