@@ -1201,7 +1201,7 @@ def q_chain_snapshot_stream(spark, sf):
     lg = fx.legs(spark, sf)
     fx.iv_feed(spark, sf, lg).repartition(8, "trade_date").write.option("header", True).csv(f"{root}/landing")
     q = jobs.chain_snapshot_stream(spark, f"{root}/landing", fx.oi_feed(spark, sf, lg), fx.ohlc_feed(spark, sf, lg),
-                                   f"{root}/out", checkpoint=f"{root}/ckpt", max_files=2)
+                                   f"{root}/out", checkpoint=f"{root}/ckpt", max_files=4)
     q.awaitTermination()
     from ..operators.chain import CHAIN_SCHEMA
     return spark.read.parquet(f"{root}/out").select(*[c for c, _ in CHAIN_SCHEMA])

@@ -99,10 +99,13 @@ def union_all(frames: list[DataFrame], by_name: bool = True, allow_missing: bool
 
 def append_chain(df: DataFrame, path: str, replace_day: bool = False) -> None:
     """K1: append chain rows partitioned by trade_date (a re-run duplicates, like the source);
-    ``replace_day=True`` overwrites only the partitions present in ``df`` (dynamic overwrite)."""
-    if not df.limit(1).take(1):
-        return
-    w = df.write.partitionBy("trade_date")
+    ``replace_day=True`` overwrites only the partitions present in ``df`` (dynamic overwrite).
+    An empty input writes no partition (no-op) without a separate emptiness job."""
+    # cluster rows by (day, symbol) before the partitioned write: each task then writes whole
+    # groups instead of one small file per day it happens to hold; the file size stays bounded
+    # by maxRecordsPerFile even for a very large (day, symbol)
+    df = df.repartition("trade_date", "Symbol") if "Symbol" in df.columns else df.repartition("trade_date")
+    w = df.write.partitionBy("trade_date").option("maxRecordsPerFile", 5_000_000)
     if replace_day:
         w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:

@@ -17,7 +17,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan one input table.
+
+    A Parquet file is split only at row-group boundaries, so a small table
+    stored as one row group is read by ONE task and everything up to the
+    first shuffle would run single-threaded. Only in that case (fewer splits
+    than the session's default parallelism) the rows are spread round-robin;
+    a large table already has at least that many splits and is left as is.
+    Filters and column pruning still reach the scan through the repartition.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
 
 
 def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -54,7 +54,8 @@ def chain_snapshot_stream(spark: SparkSession, iv_dir: str, oi: DataFrame, ohlc:
         iv = batch.withColumn("seq", F.col("seq").cast("bigint")).withColumn(
             "trade_date", F.to_date("trade_date"))
         rows = chain.conform(chain.chain_snapshot(iv, oi_d, oh_d, snapshot_ts, dedupe=False))
-        rows.write.mode("overwrite").partitionBy("trade_date").parquet(f"{out.rstrip('/')}/batch_id={epoch}")
+        (rows.repartition("trade_date", "Symbol").write.mode("overwrite").partitionBy("trade_date")
+         .option("maxRecordsPerFile", 5_000_000).parquet(f"{out.rstrip('/')}/batch_id={epoch}"))
 
     return (src.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint or _ckpt(spark, "chain_snapshot"))
