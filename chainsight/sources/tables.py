@@ -22,14 +22,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     A Parquet file is split only at row-group boundaries, so a small table
     stored as one row group is read by ONE task and everything up to the
     first shuffle would run single-threaded. Only in that case (fewer splits
-    than the session's default parallelism) the rows are spread round-robin;
-    a large table already has at least that many splits and is left as is.
-    Filters and column pruning still reach the scan through the repartition.
+    than the session's default parallelism) the rows are hash-spread on the
+    table's first (key) column: no sort (unlike round-robin), deterministic
+    on a retry, and only that column joins the read schema. A large table
+    already has at least that many splits and is left as is. Filters and
+    column pruning still reach the scan through the repartition.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
+    try:
+        want = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect): leave the scan as is
+        return df
+    if splits < want:
+        df = df.repartition(want, df.columns[0])
     return df
 
 
