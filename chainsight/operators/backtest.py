@@ -56,22 +56,58 @@ def annualised_expr(final_equity: Column, n: Column, periods: int | None = None)
 
 # ---------------------------------------------------------------- curves
 
+def _bucket(date_col: str, bucket: str):
+    return F.date_trunc(bucket, F.col(date_col))
+
+
 def equity_curve(df: DataFrame, ret_col: str, out_col: str, by: list[str] | None = None,
-                 date_col: str = "quote_date") -> DataFrame:
-    """Cumulative product of (1 + r) in date order."""
-    return df.withColumn(out_col, F.product(1 + F.col(ret_col)).over(_running(by or ["symbol"], date_col)))
+                 date_col: str = "quote_date", bucket: str | None = None) -> DataFrame:
+    """Cumulative product of (1 + r) in date order.
+
+    ``bucket`` (a ``date_trunc`` unit such as "month" or "day") selects the
+    two-level form for very long single series (intraday data): running
+    products inside each (series, bucket) window, a running product over the
+    small per-bucket table, joined back. No task then holds a whole series.
+    """
+    by = by or ["symbol"]
+    if bucket is None:
+        return df.withColumn(out_col, F.product(1 + F.col(ret_col)).over(_running(by, date_col)))
+    b = df.withColumn("_b", _bucket(date_col, bucket))
+    b = b.withColumn("_in", F.product(1 + F.col(ret_col)).over(_running(by + ["_b"], date_col)))
+    tot = b.groupBy(*by, "_b").agg(F.product(1 + F.col(ret_col)).alias("_t"))
+    # per-bucket table: one row per (series, bucket), bounded by the calendar
+    prev = tot.withColumn("_prev", F.coalesce(F.product("_t").over(
+        Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
+    return (b.join(prev.select(*by, "_b", "_prev"), by + ["_b"], "inner")
+            .withColumn(out_col, F.col("_prev") * F.col("_in")).drop("_b", "_in", "_prev"))
 
 
 def drawdown(df: DataFrame, equity_col: str, by: list[str] | None = None, date_col: str = "quote_date",
-             peak_col: str = "running_max", dd_col: str = "drawdown") -> DataFrame:
-    """Running max of the equity and (equity - peak) / peak (the 1.0 start is not part of the curve)."""
-    peak = F.max(equity_col).over(_running(by or ["symbol"], date_col))
-    return (df.withColumn(peak_col, peak)
-            .withColumn(dd_col, (F.col(equity_col) - F.col(peak_col)) / F.col(peak_col)))
+             peak_col: str = "running_max", dd_col: str = "drawdown", bucket: str | None = None) -> DataFrame:
+    """Running max of the equity and (equity - peak) / peak (the 1.0 start is not part of the curve).
+
+    ``bucket`` selects the two-level form, as in ``equity_curve``: running max
+    inside each bucket combined with the max of all earlier buckets.
+    """
+    by = by or ["symbol"]
+    if bucket is None:
+        peak = F.max(equity_col).over(_running(by, date_col))
+        out = df.withColumn(peak_col, peak)
+    else:
+        b = df.withColumn("_b", _bucket(date_col, bucket))
+        b = b.withColumn("_in", F.max(equity_col).over(_running(by + ["_b"], date_col)))
+        tops = b.groupBy(*by, "_b").agg(F.max(equity_col).alias("_t"))
+        prev = tops.withColumn("_prev", F.max("_t").over(
+            Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+        out = (b.join(prev.select(*by, "_b", "_prev"), by + ["_b"], "inner")
+               .withColumn(peak_col, F.greatest(F.col("_in"), F.coalesce(F.col("_prev"), F.col("_in"))))
+               .drop("_b", "_in", "_prev"))
+    return out.withColumn(dd_col, (F.col(equity_col) - F.col(peak_col)) / F.col(peak_col))
 
 
 def daily_pnl(df: DataFrame, by: list[str] | None = None, date_col: str = "quote_date",
-              position_col: str = "position_dir", ret_col: str = "fwd_ret_1d") -> DataFrame:
+              position_col: str = "position_dir", ret_col: str = "fwd_ret_1d",
+              bucket: str | None = None) -> DataFrame:
     """B1: strat_ret = position * forward 1-day return, NULL returns dropped, both equity curves.
 
     The position is already lagged and the return is forward, so the trade
@@ -80,8 +116,8 @@ def daily_pnl(df: DataFrame, by: list[str] | None = None, date_col: str = "quote
     by = by or ["symbol"]
     out = (df.withColumn("strat_ret", F.col(position_col) * F.col(ret_col))
            .dropna(subset=["strat_ret", ret_col]))
-    out = equity_curve(out, "strat_ret", "strat_equity", by, date_col)
-    return equity_curve(out, ret_col, "spy_equity", by, date_col)
+    out = equity_curve(out, "strat_ret", "strat_equity", by, date_col, bucket)
+    return equity_curve(out, ret_col, "spy_equity", by, date_col, bucket)
 
 
 # ---------------------------------------------------------------- performance

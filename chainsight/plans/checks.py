@@ -250,6 +250,18 @@ def q_drawdown(spark, sf):
     return round_doubles(d.select("symbol", "quote_date", "strat_equity", "running_max", "drawdown"))
 
 
+_B3_SQL = ORACLE["b3_drawdown"]
+
+
+@register("b3_drawdown_two_level", _B3_SQL)
+def q_drawdown_two_level(spark, sf):
+    """Same result from the two-level (per-month buckets) equity and drawdown scans."""
+    from ..operators import backtest
+    bt = backtest.daily_pnl(_results(spark, sf), bucket="month")
+    d = backtest.drawdown(bt, "strat_equity", bucket="month")
+    return round_doubles(d.select("symbol", "quote_date", "strat_equity", "running_max", "drawdown"))
+
+
 @register("b4_filter_impact", _RES_SQL + f""",
 raw0 AS (SELECT symbol, quote_date, pred_dir_ens, lag(pred_dir_ens, 1) {_w()} * fwd_ret_1d AS r FROM res),
 raw1 AS (SELECT * FROM raw0 WHERE r IS NOT NULL),

@@ -79,3 +79,19 @@ def test_threshold_coverage_counts_leading_null(spark):
     t = {r["threshold"]: r for r in backtest.threshold_sensitivity(df, [0.3, 0.6]).collect()}
     assert t[0.3]["coverage"] == 1.0
     assert t[0.6]["coverage"] == 0.25   # only the leading NULL lag counts as covered
+
+
+def test_two_level_curves_equal_plain(spark):
+    import random
+    rnd = random.Random(5)
+    data = [("A", D + dt.timedelta(days=i), 1, rnd.uniform(-0.03, 0.03)) for i in range(400)]
+    data += [("B", D + dt.timedelta(days=i), 1, rnd.uniform(-0.03, 0.03)) for i in range(0, 400, 3)]
+    df = spark.createDataFrame(data, "symbol string, quote_date date, position_dir int, fwd_ret_1d double")
+    plain = backtest.drawdown(backtest.equity_curve(df, "fwd_ret_1d", "eq"), "eq")
+    two = backtest.drawdown(backtest.equity_curve(df, "fwd_ret_1d", "eq", bucket="month"), "eq", bucket="month")
+    a = {(r["symbol"], r["quote_date"]): (r["eq"], r["running_max"], r["drawdown"]) for r in plain.collect()}
+    b = {(r["symbol"], r["quote_date"]): (r["eq"], r["running_max"], r["drawdown"]) for r in two.collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for x, y in zip(a[k], b[k]):
+            assert x == pytest.approx(y, rel=1e-12, abs=1e-12)
