@@ -83,27 +83,31 @@ def fold_weights(folds: DataFrame, alpha: float | None = None, fold_col: str = "
 def ensemble_average(member_probs: DataFrame, weights: DataFrame, keys: list[str],
                      fold_col: str = "fold_id", weight_keys: list[str] | None = None,
                      probs=("p_down", "p_flat", "p_up"),
-                     out=("proba_down_ens", "proba_flat_ens", "proba_up_ens")) -> DataFrame:
+                     out=("proba_down_ens", "proba_flat_ens", "proba_up_ens"),
+                     min_weight: float = 0.0) -> DataFrame:
     """J4 + A24: weighted mean of member probabilities per key.
 
+    ``min_weight`` [ext] also skips folds whose weight is at or below it (with
+    alpha 0.7 the oldest folds carry almost nothing); the rest renormalise.
+
     Weight lookup is a LEFT join on fold id (missing weight = 0); folds with
     weight <= 0 are skipped; rows with no positive weight get 1/3 each. The
-    weights table has one row per fold, so it is broadcast (size bounded by
-    the fold count); the aggregation is partial (map-side) per key.
+    aggregation is partial (map-side) per key.
     """
     wk = [fold_col] + list(weight_keys or [])
     # keyed by fold only, the weights table is bounded by the fold count: broadcast it;
     # keyed by (symbol, fold) it grows with the symbol count, so AQE picks the join
     w_side = F.broadcast(weights) if not weight_keys else weights
     j = member_probs.join(w_side, wk, "left")
-    return weighted_average(j, keys, probs, out)
+    return weighted_average(j, keys, probs, out, min_weight=min_weight)
 
 
 def weighted_average(members: DataFrame, keys: list[str], probs=("p_down", "p_flat", "p_up"),
                      out=("proba_down_ens", "proba_flat_ens", "proba_up_ens"),
-                     weight_col: str = "weight") -> DataFrame:
-    """A24 core: sum(w * p) / sum(w) per key over members with w > 0; 1/3 each when none."""
-    w = F.when(F.col(weight_col) > 0, F.col(weight_col))
+                     weight_col: str = "weight", min_weight: float = 0.0) -> DataFrame:
+    """A24 core: sum(w * p) / sum(w) per key over members with w > max(0, min_weight);
+    1/3 each when none."""
+    w = F.when(F.col(weight_col) > max(0.0, float(min_weight)), F.col(weight_col))
     aggs = [F.sum(w * F.col(p)).alias(f"_s{i}") for i, p in enumerate(probs)]
     g = members.groupBy(*keys).agg(*aggs, F.sum(w).alias("_w"))
     third = F.lit(1.0 / 3.0)

@@ -52,6 +52,18 @@ def median_fill(df: DataFrame, cols: list[str], by: list[str] | None = None) ->
         *[f"_med_{c}" for c in cols])
 
 
+def fold_median_fill(assigned: DataFrame, cols: list[str], keys=("symbol", "fold_id")) -> DataFrame:
+    """P16 variant [ext]: fill NULLs of a fold's train AND test rows with medians of that
+    fold's TRAIN rows only (no look-ahead). ``assigned`` is the J2 output; the
+    medians table has one row per fold."""
+    keys = list(keys)
+    med = (assigned.filter(F.col("role") == "train").groupBy(*keys)
+           .agg(*[F.median(c).alias(f"_med_{c}") for c in cols]))
+    j = assigned.join(med, keys, "left")
+    return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in cols}).drop(
+        *[f"_med_{c}" for c in cols])
+
+
 def zero_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     """NULL features become 0.0 at inference."""
     return df.fillna(0.0, subset=list(cols))

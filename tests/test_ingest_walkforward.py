@@ -82,3 +82,11 @@ def test_scaler_uses_population_std_and_unit_for_constants(spark):
 def test_keep_dense_features_threshold(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None), (3.0, None), (4.0, None), (5.0, 1.0)], "a double, b double")
     assert wf.keep_dense_features(df, ["a", "b", "zz"]) == ["a"]
+
+
+def test_fold_median_fill_uses_train_rows_only(spark):
+    df = spark.createDataFrame([("A", 0, "train", 1.0), ("A", 0, "train", 3.0), ("A", 0, "test", None),
+                                ("A", 0, "test", 100.0), ("A", 1, "train", None), ("A", 1, "train", 7.0)],
+                               "symbol string, fold_id int, role string, x double")
+    got = sorted(rows(wf.fold_median_fill(df, ["x"]), "fold_id", "role", "x"))
+    assert (0, "test", 2.0) in got and (1, "train", 7.0) in got and (0, "test", 100.0) in got

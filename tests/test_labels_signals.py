@@ -100,3 +100,11 @@ def test_signal_report_labels(spark):
     df = spark.createDataFrame([(1, 0.123456), (-1, 0.5), (7, 0.2)], "signal_dir int, proba_up_ens double")
     got = rows(signals.signal_report(df), "Signal", "P(Up)")
     assert got == [("BUY", 0.1235), ("SELL", 0.5), ("FLAT", 0.2)]
+
+
+def test_min_weight_skips_light_folds(spark):
+    w = spark.createDataFrame([(0, 0.01), (1, 0.99)], "fold_id int, weight double")
+    m = spark.createDataFrame([("A", 0, 1.0, 0.0, 0.0), ("A", 1, 0.0, 0.0, 1.0)],
+                              "symbol string, fold_id int, p_down double, p_flat double, p_up double")
+    e = signals.ensemble_average(m, w, ["symbol"], min_weight=0.05).first()
+    assert e.proba_up_ens == 1.0 and e.proba_down_ens == 0.0
