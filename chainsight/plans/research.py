@@ -29,7 +29,7 @@ class ResearchOutputs:
     sub_periods: DataFrame | None = None   # B6, when periods are given
 
 
-def research_run(feature_table: DataFrame, price_col: str = "und_price", classifier: str = "logistic",
+def research_run(feature_table: DataFrame, price_col: str = "und_price", classifier: str = "softmax",
                  periods: list | None = None, parallelism: int = 4) -> ResearchOutputs:
     """Section 3.1 of the survey as one call, for every symbol of ``feature_table`` at once."""
     lab = labels.path_labels(feature_table, price_col=price_col)

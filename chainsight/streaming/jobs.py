@@ -119,7 +119,7 @@ def price_topup_stream(spark: SparkSession, feed_dir: str, table_root: str, chec
 
 # ---------------------------------------------------------------- R4
 
-def signal_stream(spark: SparkSession, features_dir: str, schema: str, ensemble, table_root: str,
+def signal_stream(spark: SparkSession, features_dir: str, schema, ensemble, table_root: str,
                   checkpoint: str | None = None) -> StreamingQuery:
     """Score new feature rows with a loaded ensemble (K8 output), K4 upsert of the signal rows."""
     from ..operators.model import run_inference
