@@ -85,7 +85,7 @@ def q_profile(spark, sf):
 
 
 @register("a2_null_profile", with_views("iv_feed") + """
-, c AS (SELECT count(*) AS n, count_if(underlying_price IS NULL) AS u, count_if(right_ IS NULL) AS r FROM iv_feed)
+, c AS (SELECT count(*) AS n, CAST(count_if(underlying_price IS NULL) AS BIGINT) AS u, CAST(count_if(right_ IS NULL) AS BIGINT) AS r FROM iv_feed)
 SELECT column_name, null_count, round(null_count * 100.0 / n, 6) AS null_pct FROM (
   SELECT 'underlying_price' AS column_name, u AS null_count, n FROM c
   UNION ALL SELECT 'right_', r, n FROM c) WHERE null_count > 0""")
@@ -341,7 +341,7 @@ def q_monthly_returns(spark, sf):
 _MN = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
-@register("a16_monthly_pivot", _MONTHLY_SQL + "SELECT symbol, year(month_end) AS year, "
+@register("a16_monthly_pivot", _MONTHLY_SQL + "SELECT symbol, CAST(year(month_end) AS INTEGER) AS year, "
           + ", ".join(f"round(max(ret) FILTER (WHERE month(month_end) = {i + 1}), 6) AS {m}" for i, m in enumerate(_MN))
           + " FROM monthly GROUP BY 1, 2")
 def q_monthly_pivot(spark, sf):
@@ -358,8 +358,8 @@ def q_signal_distribution(spark, sf):
 
 
 @register("a6_signal_counts", _RES_SQL + """
-SELECT quote_date, count_if(signal_dir = 1) AS buys, count_if(signal_dir = -1) AS sells,
-       count_if(signal_dir = 0) AS flats FROM res GROUP BY quote_date""")
+SELECT quote_date, CAST(count_if(signal_dir = 1) AS BIGINT) AS buys, CAST(count_if(signal_dir = -1) AS BIGINT) AS sells,
+       CAST(count_if(signal_dir = 0) AS BIGINT) AS flats FROM res GROUP BY quote_date""")
 def q_signal_counts(spark, sf):
     from ..operators import signals
     return signals.signal_counts(_results(spark, sf), by=["quote_date"])
@@ -927,7 +927,7 @@ def q_fold_assignment(spark, sf):
 
 
 @register("a22_fold_sizes", _ML_SQL + """
-SELECT symbol, fold_id, count_if(role = 'train') AS n_train, count_if(role = 'test') AS n_test,
+SELECT symbol, fold_id, CAST(count_if(role = 'train') AS BIGINT) AS n_train, CAST(count_if(role = 'test') AS BIGINT) AS n_test,
        count_if(role = 'train') >= 50 AND count_if(role = 'test') >= 5 AS trained FROM asg GROUP BY 1, 2""")
 def q_fold_sizes(spark, sf):
     from ..operators import walkforward as wf
@@ -1029,8 +1029,8 @@ def q_mean_fold_accuracy(spark, sf):
 
 
 @register("a8_confusion_matrix", _EVAL_SQL + """
-SELECT l.label, count_if(pred_dir_ens = -1) AS pred_down, count_if(pred_dir_ens = 0) AS pred_flat,
-       count_if(pred_dir_ens = 1) AS pred_up
+SELECT l.label, CAST(count_if(pred_dir_ens = -1) AS BIGINT) AS pred_down, CAST(count_if(pred_dir_ens = 0) AS BIGINT) AS pred_flat,
+       CAST(count_if(pred_dir_ens = 1) AS BIGINT) AS pred_up
 FROM (SELECT -1 AS label UNION ALL SELECT 0 UNION ALL SELECT 1) l LEFT JOIN ev ON ev.label = l.label GROUP BY l.label""")
 def q_confusion_matrix(spark, sf):
     from ..operators import evaluate
@@ -1047,7 +1047,7 @@ def _report_sql():
   CASE WHEN {tp} + {fp} > 0 THEN {tp} / ({tp} + {fp}) ELSE 0.0 END AS precision,
   CASE WHEN {tp} + {fn} > 0 THEN {tp} / ({tp} + {fn}) ELSE 0.0 END AS recall,
   CASE WHEN 2 * {tp} + {fp} + {fn} > 0 THEN 2.0 * {tp} / (2 * {tp} + {fp} + {fn}) ELSE 0.0 END AS f1,
-  {tp} + {fn} AS support FROM ev""")
+  CAST({tp} + {fn} AS BIGINT) AS support FROM ev""")
     return ",\ncls AS (" + " UNION ALL ".join(rows) + ")\n" + """
 SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM cls
 UNION ALL SELECT 'accuracy', NULL, NULL, round((SELECT avg(CASE WHEN label = pred_dir_ens THEN 1.0 ELSE 0.0 END) FROM ev), 6),
