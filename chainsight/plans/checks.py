@@ -1304,3 +1304,28 @@ def q_feature_importance(spark, sf):
     ml, cols = _ml(spark, sf)
     res = model.train_walkforward(ml, cols)
     return model.feature_importance(res)
+
+
+# ---------------------------------------------------------------- P9, P20
+
+@register("p9_expiry_formats", with_views("expirations") + """
+SELECT symbol, expiration, replace(expiration, '-', '') AS legacy,
+       TRY_CAST(expiration AS DATE) AS expiry_iso, TRY_STRPTIME(replace(expiration, '-', ''), '%Y%m%d')::DATE AS expiry_legacy
+FROM expirations""")
+def q_expiry_formats(spark, sf):
+    from ..functions.columns import expiry_date
+    e = fx.expirations(spark, sf).withColumn("legacy", F.regexp_replace("expiration", "-", ""))
+    return e.select("symbol", "expiration", "legacy", expiry_date("expiration").alias("expiry_iso"),
+                    expiry_date("legacy").alias("expiry_legacy"))
+
+
+@register("p20_context_columns", with_views("proba") + """
+SELECT symbol, quote_date, CAST(above_sma200 AS DOUBLE) AS above_sma200, CAST(vol_regime AS DOUBLE) AS vol_regime,
+       CAST(NULL AS DOUBLE) AS sma_200, CAST(NULL AS DOUBLE) AS ret_20d, CAST(NULL AS DOUBLE) AS ret_60d,
+       CAST(NULL AS DOUBLE) AS vol_20d, CAST(NULL AS DOUBLE) AS vol_5d, CAST(NULL AS DOUBLE) AS daily_ret
+FROM proba""")
+def q_context_columns(spark, sf):
+    from ..operators import signals
+    from ..config import DEFAULTS
+    c = signals.context_columns(fx.proba(spark, sf))
+    return c.select("symbol", "quote_date", *DEFAULTS.context_cols)
