@@ -165,10 +165,12 @@ def train(plain: list[bytes], settings: Settings = Settings()) -> Model:
 
 
 def plain_sample(docs: DataFrame, settings: Settings = Settings()) -> list[bytes]:
-    """Bounded training sample: the first lines without licence words, of documents in the order of a hash."""
+    """Bounded training sample: the first lines without licence words, of documents in the order of a hash.
+    Only documents whose hash falls below some three times the sample are sorted at all."""
+    n = docs.count()
     line = F.element_at(F.split(F.col("text").cast("string"), "\n"), 1)
     lines = docs.select(F.substring(line, 1, 400).alias("line"), F.xxhash64("doc_id", F.lit(settings.seed)).alias("h"))
-    rows = lines.filter(~F.col("line").rlike(_HINT)).orderBy("h", "line").limit(settings.sample).select("line").collect()
+    rows = lines.filter(F.pmod("h", F.lit(max(n, 1))) < 3 * settings.sample).filter(~F.col("line").rlike(_HINT)).orderBy("h", "line").limit(settings.sample).select("line").collect()
     return [r[0].encode() for r in rows]
 
 
