@@ -40,7 +40,7 @@ class Tree:
     routers: int = 32
     sample: int = 2000
     page: int = 128
-    group: int = 65_536
+    group: int = 16_384
     block: int = 256
 
 
