@@ -4,7 +4,7 @@ Linked documents are those of one group (here: equal texts). The documents of a
 interchangeable, so the labels are kept as counts (group, shard, n) and never per row; a group that holds a third of all rows is 40 rows
 here. Each round every group pulls its members towards the shard that holds most of them (its
 neighbours' shard); joins with the shards' free room and running totals in two levels
-accept moves up to the quota plus ``slack``. After the rounds, shards above their quota hand
+accept moves up to the quota plus a slack that shrinks by round. After the rounds, shards above their quota hand
 on members of the least gathered groups, and documents without links fill what is free. The
 law is ``rows``: shard counts differ by at most one. Rows get their shard by their rank in their group, in two levels, so
 no window holds a whole group or shard.
@@ -85,10 +85,12 @@ def _changed(labels: DataFrame, change: DataFrame) -> DataFrame:
 
 
 def propagate(labels: DataFrame, quota: list[int], slack: float, buckets: int) -> DataFrame:
-    """One round: members move to the shard that holds most of their group, as far as it has room."""
-    best = labels.groupBy("grp").agg(F.max(F.struct("n", F.negative("shard").alias("s"))).alias("top")).select("grp", F.negative("top.s").alias("goal"), F.col("top.n").alias("pull"))
+    """One round: members move to the shard that holds most of their group among those with room, as far
+    as it has room; members in a shard that holds still more of the group stay."""
     room = [max(0, int(q * (1 + slack)) - n) for q, n in zip(quota, loads(labels, len(quota)))]
-    wish = labels.join(best, "grp").filter("shard <> goal")
+    free = labels.filter(_at(room, F.col("shard")) > 0)
+    best = free.groupBy("grp").agg(F.max(F.struct("n", F.negative("shard").alias("s"))).alias("top")).select("grp", F.negative("top.s").alias("goal"), F.col("top.n").alias("pull"))
+    wish = labels.join(best, "grp").filter("n < pull or (n = pull and shard > goal)")
     queue = _running(wish, ["goal"], "grp", [F.col("pull").desc(), F.col("grp"), F.col("shard")], "n", "before", buckets)
     go = F.greatest(F.lit(0), F.least(F.col("n"), _at(room, F.col("goal")) - F.col("before"))).cast("long")
     moved = queue.withColumn("go", go).filter("go > 0")
@@ -109,7 +111,7 @@ def settle(labels: DataFrame, quota: list[int], buckets: int) -> DataFrame:
     return _changed(labels, out.select("grp", "shard", F.negative("go").alias("n")).unionByName(got.select("grp", F.col("spot.shard").alias("shard"), n.cast("long").alias("n"))))
 
 
-def assign(docs: DataFrame, shards: int = 40, rounds: int = 4, slack: float = 0.05) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, rounds: int = 5, slack: float = 0.05) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, grp): law ``rows``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
@@ -120,13 +122,14 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 4, slack: float = 0.
     n = base.count()
     quota, buckets = quotas(n, shards), buckets_for(n)
     labels = written(start(groups, shards, buckets), "labels")
-    for _ in range(rounds):
-        labels = written(propagate(labels, quota, slack, buckets), "labels")
+    for r in range(rounds):  # more slack at first lets whole groups meet; settle() brings every shard to its quota
+        labels = written(propagate(labels, quota, max(slack, 0.5 ** r), buckets), "labels")
     labels = written(settle(labels, quota, buckets), "labels")
     # a group's shards with the first rank that goes elsewhere, at most one entry a shard
     ends = labels.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("l"))
     upto = lambda i: F.aggregate(F.slice("l", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"])
-    ends = ends.select(F.col("grp").alias("unit"), F.transform("l", lambda x, i: F.struct(x["shard"].alias("shard"), upto(i).alias("hi"))).alias("ends"))
+    ends = ends.select(F.col("grp").alias("g"), F.transform("l", lambda x, i: F.struct(x["shard"].alias("shard"), upto(i).alias("hi"))).alias("ends"))
+    ends = written(ends, "ends")  # both sides then come straight from a shuffle, which AQE may split at a very common text
     # documents without links fill the free places, as one unit of their own
     free = _spots([q - m for q, m in zip(quota, loads(labels, shards))])
     marked = base.join(groups.select(F.col("grp").alias("g")), F.col("grp") == F.col("g"), "left").withColumn("unit", F.coalesce("g", F.lit(""))).drop("g")
@@ -134,6 +137,6 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 4, slack: float = 0.
     free = F.transform(free, lambda x: F.struct(x["shard"].alias("shard"), x["hi"].alias("hi")))
     spots = F.when(F.col("unit") == "", free).otherwise(F.col("ends"))
     pick = F.filter(spots, lambda x: x["hi"] > F.col("rank"))[0]["shard"]
-    placed = order.join(ends, "unit", "left").select("doc_id", "size", "text_crc32", "grp", "row", pick.alias("shard"))
+    placed = order.join(ends, F.col("grp") == F.col("g"), "left").select("doc_id", "size", "text_crc32", "grp", "row", pick.alias("shard"))
     out = ranked(placed, ["shard"], F.xxhash64("row", F.lit(1)), ["doc_id", "row"], "slot", buckets)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "grp")
