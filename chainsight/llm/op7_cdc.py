@@ -168,6 +168,7 @@ def deduplicated(docs: DataFrame, settings: Chunks = Chunks()) -> DataFrame:
     found = written(passages(docs, settings), "passages")
     spans = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("__spans"))  # at most a document's own chunks
     cols = [c for c in docs.columns if c not in ("text", "n_chars")]
+    spans = spans.hint("merge")  # they grow with the documents: not to be broadcast
     src = docs.select(*cols, F.col("text").cast("string").cast("binary").alias("__b")).join(spans, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema.fields)
     words = "[^ \\t-\\r]"
