@@ -1,15 +1,15 @@
 """Substring deduplication by content-defined chunks of a gear rolling hash.
 
 Each byte shifts a 16-bit gear hash (h = 2 h + gear[byte]), so the hash at a byte depends on the
-16 bytes up to it. A chunk ends where the hash is the largest within ``radius`` bytes on either side: boundaries
-depend on nearby content alone, so an insertion moves only the chunks it touches, and chunks are
-never shorter than the radius. Chunks of all documents are compared by a 64-bit digest; of equal chunks the one
+16 bytes up to it. A chunk ends where no hash within ``radius`` bytes on either side is larger: boundaries
+depend on nearby content alone, so an insertion moves only the chunks it touches, and no two boundaries
+are nearer than the radius. Chunks of all documents are compared by a 64-bit digest; of equal chunks the one
 of the smallest (doc_id, start) stays. Runs of neighbouring repeated chunks with at least ``min_words`` words in
 whole chunks are repeated passages; a passage of 50 words always holds well over that, and short runs (a common
 phrase, a licence line) are left alone.
 
 Defined cases: null or empty texts have no chunk and stay; documents without a doc_id take no part and stay;
-repeated rows of one document count as one; runs of one repeated byte are cut every ``most`` bytes; the later of two
+repeated rows of one document count as one; a chunk without a boundary is cut every ``most`` bytes; the later of two
 repeats within one document goes too; an empty table gives an empty result.
 """
 
@@ -51,7 +51,8 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def boundaries(data: np.ndarray, radius: int) -> np.ndarray:
-    """Positions after which a chunk ends: a hash above all ``radius`` before it and none below any after it."""
+    """Positions after which a chunk ends: no larger hash within ``radius`` on either side, and no other
+    boundary this near before it. Equal hashes count, so periodic text is cut at one place of its period."""
     n = len(data)
     if n <= radius:
         return np.zeros(0, np.int64)
@@ -67,7 +68,15 @@ def boundaries(data: np.ndarray, radius: int) -> np.ndarray:
 
     before = largest(np.concatenate([pad, h]), radius)[:n]  # of the radius values before i
     after = largest(np.concatenate([h, pad]), radius)[1:n + 1]  # of the radius values after i
-    return np.flatnonzero((h > before) & (h >= after))
+    at = np.flatnonzero((h >= before) & (h >= after))
+    if len(at) > 1 and np.diff(at).min() <= radius:
+        out, last = [], -radius - 1
+        for i in at.tolist():
+            if i - last > radius:
+                out.append(i)
+                last = i
+        at = np.array(out, np.int64)
+    return at
 
 
 def chunk_spans(text: bytes, settings: Chunks = Chunks()) -> list[tuple[int, int]]:
@@ -98,7 +107,7 @@ def _pack(start, length, words):
 
 def _chunks(it, settings):
     for batch in it:
-        doc, digest, meta = [], [], []
+        doc, digest, meta, more = [], [], [], []
         for i, b in enumerate(batch.column(1).to_pylist()):
             if not b:
                 continue
@@ -108,16 +117,21 @@ def _chunks(it, settings):
             begins = np.flatnonzero(~space & np.r_[True, space[:-1]])
             edge = np.array([s for s, _ in spans] + [len(b)])
             words = np.diff(np.searchsorted(begins, edge)).tolist()
-            doc += [i] * len(spans)
-            digest += [_signed(xxhash.xxh3_64_intdigest(b[s:e])) for s, e in spans]
-            meta += [_pack(s, e - s, w) for (s, e), w in zip(spans, words)]
-        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), batch.column(0).take(pa.array(doc, pa.int64())), pa.array(meta, pa.int64())], names=["digest", "doc_id", "meta"])
+            own: dict = {}
+            for (s, e), w in zip(spans, words):
+                own.setdefault(_signed(xxhash.xxh3_64_intdigest(b[s:e])), []).append(_pack(s, e - s, w))
+            doc += [i] * len(own)
+            digest += own
+            meta += [m[0] for m in own.values()]
+            more += [m[1:] or None for m in own.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), batch.column(0).take(pa.array(doc, pa.int64())), pa.array(meta, pa.int64()), pa.array(more, pa.list_(pa.int64()))], names=["digest", "doc_id", "meta", "more"])
 
 
 def chunk_table(docs: DataFrame, settings: Chunks = Chunks()) -> DataFrame:
-    """(digest, doc_id, meta) of every chunk of the documents that have a doc_id."""
+    """(digest, doc_id, meta, more) of every chunk of the documents that have a doc_id: one row for each digest of
+    a document, with its first place and its further ones, so text that repeats itself makes few rows."""
     src = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("b"))
-    return src.mapInArrow(lambda it: _chunks(it, settings), "digest long, doc_id long, meta long")
+    return src.mapInArrow(lambda it: _chunks(it, settings), "digest long, doc_id long, meta long, more array<long>")
 
 
 def passages(docs: DataFrame, settings: Chunks = Chunks()) -> DataFrame:
@@ -128,9 +142,11 @@ def passages(docs: DataFrame, settings: Chunks = Chunks()) -> DataFrame:
     same = Window.partitionBy("digest").orderBy("doc_id", "meta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # a running minimum in sorted order: streams through a common digest's rows without holding them
     first = F.min(F.struct("doc_id", "meta")).over(same)
-    repeated = chunks.withColumn("first", first).filter("first.doc_id <> doc_id or first.meta <> meta").select(
-        "doc_id", (F.shiftright("meta", _LEN + _WORDS)).alias("start"), F.shiftright("meta", _WORDS).bitwiseAND(F.lit((1 << _LEN) - 1)).alias("size"),
-        F.col("meta").bitwiseAND(F.lit((1 << _WORDS) - 1)).alias("words"), F.col("first.doc_id").alias("source")).distinct()
+    other = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.meta") != F.col("meta"))
+    later = F.concat(F.when(other, F.array("meta")).otherwise(F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>")))
+    repeated = chunks.withColumn("first", first).filter(other | F.col("more").isNotNull()).select("doc_id", F.col("first.doc_id").alias("source"), F.explode(later).alias("meta")).select(
+        "doc_id", F.shiftright("meta", _LEN + _WORDS).alias("start"), F.shiftright("meta", _WORDS).bitwiseAND(F.lit((1 << _LEN) - 1)).alias("size"),
+        F.col("meta").bitwiseAND(F.lit((1 << _WORDS) - 1)).alias("words"), "source").distinct()
     # neighbouring repeated chunks share (start - bytes of repeated chunks so far in the document)
     order = Window.partitionBy("doc_id").orderBy("start")
     runs = repeated.withColumn("run", F.col("start") + F.col("size") - F.sum("size").over(order))
