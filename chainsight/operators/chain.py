@@ -11,7 +11,7 @@ still spreads over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -29,9 +29,9 @@ CHAIN_SCHEMA = [
     ("Theta", "double"), ("Vega", "double"), ("UndPrice", "double"),
 ]
 
-# Tick code names (price and size ticks), unknown codes become "T<code>".
-TICK_NAMES = {1: "Bid", 2: "Ask", 4: "Last", 6: "High", 7: "Low", 9: "Close", 14: "Open",
-              8: "Volume", 27: "CallOpenInterest", 28: "PutOpenInterest", 78: "OpenInterest"}
+# Code names of price ticks and of size ticks, unknown codes become "T<code>".
+PRICE_TICKS = {1: "Bid", 2: "Ask", 4: "Last", 6: "High", 7: "Low", 9: "Close", 14: "Open"}
+SIZE_TICKS = {8: "Volume", 27: "CallOpenInterest", 28: "PutOpenInterest", 78: "OpenInterest"}
 # Option-computation tick prefixes and the fields each one carries.
 OPTION_TICK_PREFIX = {10: "Bid", 11: "Ask", 12: "Last", 13: "Model"}
 OPTION_TICK_FIELDS = ("IV", "Delta", "Gamma", "Theta", "Vega", "OptPrice", "UndPrice")
@@ -236,10 +236,26 @@ def band_strikes(chain: DataFrame, spot: DataFrame, atm_range: float | None = No
 
 # ---------------------------------------------------------------- ticks
 
-def tick_names(ticks: DataFrame, code_col: str = "tick_type") -> DataFrame:
-    """Tick code to field name; unknown codes become ``T<code>`` (literal map lookup, no join)."""
-    m = F.create_map(*[x for k, v in TICK_NAMES.items() for x in (F.lit(k), F.lit(v))])
-    return ticks.withColumn("field", F.coalesce(m[F.col(code_col)], F.concat(F.lit("T"), F.col(code_col).cast("string"))))
+def _named(names: dict[int, str], code_col: str) -> Column:
+    m = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(m[F.col(code_col)], F.concat(F.lit("T"), F.col(code_col).cast("string")))
+
+
+def tick_names(ticks: DataFrame, code_col: str = "tick_type", kind_col: str | None = None) -> DataFrame:
+    """Tick code to field name by the tick's kind (``price`` or ``size``; all price ticks without a kind
+    column); unknown codes become ``T<code>`` (literal map lookup, no join)."""
+    price = _named(PRICE_TICKS, code_col)
+    if kind_col is None:
+        return ticks.withColumn("field", price)
+    return ticks.withColumn("field", F.when(F.col(kind_col) == "size", _named(SIZE_TICKS, code_col)).otherwise(price))
+
+
+def tick_fields(feed: DataFrame) -> DataFrame:
+    """A feed of all three kinds (seq, ts, req_id, kind, tick_type, value, option columns) as long rows
+    (seq, ts, req_id, field, value)."""
+    keep = ["seq", "ts", "req_id"]
+    plain = tick_names(feed.filter("kind <> 'option'"), kind_col="kind").select(*keep, "field", F.col("value").cast("double").alias("value"))
+    return plain.unionByName(option_tick_fields(feed.filter("kind = 'option'").drop("value")).select(*keep, "field", "value"))
 
 
 def option_tick_fields(opt_ticks: DataFrame, code_col: str = "tick_type") -> DataFrame:
@@ -268,10 +284,14 @@ def latest_ticks(ticks: DataFrame, fields: list[str], key: str = "req_id", ts_co
             .agg(F.max_by("value", F.struct(ts_col, seq_col))))
 
 
+def _field(wide: DataFrame, name: str) -> Column:
+    return F.col(name) if name in wide.columns else F.lit(None).cast("double")
+
+
 def contract_prices(wide: DataFrame, right_col: str | None = None) -> DataFrame:
-    """P10-P12 on the wide tick row: option price fallback, spot fallback, right-dependent OI."""
-    def col(name):
-        return F.col(name) if name in wide.columns else F.lit(None).cast("double")
+    """P10-P12 on the wide tick row: option price fallback, spot fallback, right-dependent OI. A contract without
+    any positive price has no row."""
+    col = lambda name: _field(wide, name)
     out = wide.withColumns({
         "price": C.price_fallback(col("Last"), col("Close"), col("Model_OptPrice")),
         "spot": C.spot_fallback(col("Last"), col("Close"), col("Bid"), col("Ask")),
@@ -279,4 +299,18 @@ def contract_prices(wide: DataFrame, right_col: str | None = None) -> DataFrame:
     if right_col:
         out = out.withColumn("open_interest", C.right_open_interest(F.col(right_col), col("CallOpenInterest"),
                                                                     col("PutOpenInterest")))
-    return out
+    return out.filter(F.col("price").isNotNull())
+
+
+def tick_chain_rows(contracts: DataFrame, wide: DataFrame, trade_date, snapshot_ts=None) -> DataFrame:
+    """Contracts (req_id, symbol, expiry, strike, right_) and their wide tick rows to the 19 chain columns: P10
+    price, quotes, P12 open interest, model IV and greeks. Contracts without a price are left out."""
+    x = contract_prices(contracts.join(wide, "req_id"), "right_")
+    col = lambda name: _field(x, name).cast("double")
+    ts = F.lit(snapshot_ts).cast("string")
+    got = {"trade_date": F.lit(str(trade_date)).cast("date"), "Timestamp": ts, "Symbol": F.col("symbol"), "Expiry": F.col("expiry").cast("string"),
+           "Strike": F.col("strike").cast("double"), "righttype": F.col("right_"), "Price": F.col("price").cast("double"),
+           "OpenInterest": F.col("open_interest").cast("double"), "UndPrice": col("Model_UndPrice"),
+           **{n: col(n) for n in ("Last", "Close", "Bid", "Ask", "Volume")},
+           **{n: col(f"Model_{n}") for n in ("IV", "Delta", "Gamma", "Theta", "Vega")}}
+    return x.select(*[got[n].alias(n) for n, _ in CHAIN_SCHEMA])

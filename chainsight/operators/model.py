@@ -21,6 +21,7 @@ or a ``pyspark.ml`` pipeline per fold: "logistic", "forest", "gbt"
 from __future__ import annotations
 
 import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -38,12 +39,14 @@ from . import signals, softmax, walkforward as wf
 PROBS = ("p_down", "p_flat", "p_up")
 
 
-def _classifier(kind: str, cfg=DEFAULTS):
+def _classifier(kind: str, cfg=DEFAULTS, n_trees: int | None = None):
+    """The optional engines; trees and boosting rounds are ``n_trees``, ``cfg.n_trees`` unless given."""
+    trees = cfg.n_trees if n_trees is None else n_trees
     if kind == "logistic":
         return LogisticRegression(featuresCol="features", labelCol="y", family="multinomial",
                                   maxIter=100, regParam=0.01)
     if kind == "forest":
-        return RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=50,
+        return RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees,
                                       maxDepth=cfg.max_depth, subsamplingRate=cfg.subsample,
                                       featureSubsetStrategy=str(cfg.colsample),
                                       minInstancesPerNode=cfg.min_child_weight, seed=cfg.seed)
@@ -51,7 +54,7 @@ def _classifier(kind: str, cfg=DEFAULTS):
         gbt = GBTClassifier(featuresCol="features", labelCol="y", maxDepth=cfg.max_depth,
                             stepSize=cfg.learning_rate, subsamplingRate=cfg.subsample,
                             featureSubsetStrategy=str(cfg.colsample),
-                            minInstancesPerNode=cfg.min_child_weight, seed=cfg.seed, maxIter=20)
+                            minInstancesPerNode=cfg.min_child_weight, seed=cfg.seed, maxIter=trees)
         return OneVsRest(classifier=gbt, featuresCol="features", labelCol="y")
     raise ValueError("classifier must be 'logistic', 'forest' or 'gbt'")
 
@@ -62,9 +65,9 @@ def scale_rows(rows: DataFrame, stats: DataFrame, features: list[str], keys=("sy
     return j.withColumns({f"z_{c}": (F.col(c) - F.col(f"mean_{c}")) / F.col(f"scale_{c}") for c in features})
 
 
-def _pipeline(features: list[str], kind: str) -> Pipeline:
+def _pipeline(features: list[str], kind: str, n_trees: int | None = None) -> Pipeline:
     asm = VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[asm, _classifier(kind)])
+    return Pipeline(stages=[asm, _classifier(kind, n_trees=n_trees)])
 
 
 def _probs(scored: DataFrame, model) -> DataFrame:
@@ -112,7 +115,7 @@ def member_probabilities(rows: DataFrame, models: dict, scalers: DataFrame, feat
         s = _probs(model.transform(z), model)
         outs.append(s.select(*keys, "fold_id", *PROBS))
     if not outs:
-        raise RuntimeError("No folds were trained; check train/test size thresholds.")
+        raise RuntimeError("every fold failed the size gate, so there is no model to use")
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
@@ -121,7 +124,7 @@ def member_probabilities(rows: DataFrame, models: dict, scalers: DataFrame, feat
 
 def train_walkforward(ml: DataFrame, features: list[str], classifier: str = "softmax",
                       n_train: int | None = None, n_test: int | None = None, alpha: float | None = None,
-                      parallelism: int = 4) -> WalkForwardResult:
+                      parallelism: int = 4, n_trees: int | None = None) -> WalkForwardResult:
     """M2-M5: folds, per-fold scaler + classifier, test predictions, recency-weighted ensemble.
 
     Folds failing the size gate (A22) are skipped but keep their ids; no
@@ -135,7 +138,7 @@ def train_walkforward(ml: DataFrame, features: list[str], classifier: str = "sof
     assigned = cut_lineage(assigned)
     sizes = cut_lineage(wf.fold_sizes(assigned))
     if not sizes.filter("trained").limit(1).take(1):
-        raise RuntimeError("No folds were trained; check train/test size thresholds.")
+        raise RuntimeError("every fold failed the size gate, so there is no model to use")
     stats = wf.scaler_stats(assigned, features)
     stats = cut_lineage(stats)
     train_rows = scale_rows(assigned.filter(F.col("role") == "train").join(
@@ -143,7 +146,7 @@ def train_walkforward(ml: DataFrame, features: list[str], classifier: str = "sof
     if classifier == "softmax":
         models = cut_lineage(softmax.train_grouped(train_rows, features))
     else:
-        pipe = _pipeline(features, classifier)
+        pipe = _pipeline(features, classifier, n_trees)
         trained = [(r["symbol"], int(r["fold_id"])) for r in
                    sizes.filter("trained").select("symbol", "fold_id").collect()]
 
@@ -228,21 +231,25 @@ def feature_importance(res: WalkForwardResult) -> DataFrame:
 # ---------------------------------------------------------------- artifacts (K7, K8)
 
 def export_ensemble(res: WalkForwardResult, artifacts_dir: str, horizon: int | None = None) -> None:
-    """K7: one saved pipeline per fold, scaler stats and weights as Parquet, config as JSON."""
-    root = artifacts_dir.rstrip("/")
+    """K7: one saved model per fold, scaler stats and weights, in a new folder; the config, written last, names
+    it, so a failed export leaves the ensemble before it whole."""
+    top = artifacts_dir.rstrip("/")
+    version = f"v-{uuid.uuid4().hex}"
+    root = f"{top}/{version}"
     if isinstance(res.models, DataFrame):
-        res.models.write.mode("overwrite").parquet(f"{root}/coefs")
+        res.models.write.parquet(f"{root}/coefs")
         keys = sorted((r["symbol"], int(r["fold_id"])) for r in res.models.select("symbol", "fold_id").collect())
         kind = "softmax"
     else:
         for (sym, fid), model in res.models.items():
-            model.write().overwrite().save(f"{root}/models/symbol={sym}/fold={fid}")
+            model.write().save(f"{root}/models/symbol={sym}/fold={fid}")
         keys = sorted(res.models)
         kind = "pipeline"
-    res.scalers.write.mode("overwrite").parquet(f"{root}/scalers")
-    res.weights.write.mode("overwrite").parquet(f"{root}/weights")
+    res.scalers.write.parquet(f"{root}/scalers")
+    res.weights.write.parquet(f"{root}/weights")
     rng = wf.date_range(res.results, by=["symbol"]).collect()
     cfg = {
+        "version": version,
         "feature_cols": list(res.features),
         "model_kind": kind,
         "folds": [{"symbol": s, "fold_id": f} for s, f in keys],
@@ -251,7 +258,7 @@ def export_ensemble(res: WalkForwardResult, artifacts_dir: str, horizon: int | N
     }
     spark = res.results.sparkSession
     spark.createDataFrame([(json.dumps(cfg),)], "config string").coalesce(1).write.mode("overwrite").text(
-        f"{root}/config")
+        f"{top}/config")
 
 
 def load_ensemble(spark: SparkSession, artifacts_dir: str):
@@ -264,7 +271,13 @@ def load_ensemble(spark: SparkSession, artifacts_dir: str):
     if txt is None:
         raise FileNotFoundError(f"Missing ensemble config in {root}")
     cfg = json.loads(txt[0])
+    root = f"{root}/{cfg['version']}"
     models, missing = {}, []
+    try:
+        scaled = {(r["symbol"], int(r["fold_id"])) for r in
+                  spark.read.parquet(f"{root}/scalers").select("symbol", "fold_id").distinct().collect()}
+    except Exception as e:  # noqa: BLE001
+        raise FileNotFoundError(f"no scaler table in {root}") from e
     if cfg.get("model_kind") == "softmax":
         try:
             coefs = spark.read.parquet(f"{root}/coefs")
@@ -272,12 +285,15 @@ def load_ensemble(spark: SparkSession, artifacts_dir: str):
             raise FileNotFoundError(f"Missing model coefficients in {root}") from e
         have = {(r["symbol"], int(r["fold_id"])) for r in coefs.select("symbol", "fold_id").collect()}
         missing = [(f["symbol"], int(f["fold_id"])) for f in cfg["folds"]
-                   if (f["symbol"], int(f["fold_id"])) not in have]
+                   if (f["symbol"], int(f["fold_id"])) not in have & scaled]
         if missing:
             raise FileNotFoundError(f"Missing artifacts for folds {missing} in {root}")
         return cfg["feature_cols"], coefs, spark.read.parquet(f"{root}/scalers"), spark.read.parquet(f"{root}/weights")
     for f in cfg["folds"]:
         key = (f["symbol"], int(f["fold_id"]))
+        if key not in scaled:
+            missing.append(key)
+            continue
         try:
             models[key] = PipelineModel.load(f"{root}/models/symbol={key[0]}/fold={key[1]}")
         except Exception:  # noqa: BLE001
@@ -292,18 +308,18 @@ def load_ensemble(spark: SparkSession, artifacts_dir: str):
 # ---------------------------------------------------------------- inference (M9)
 
 def run_inference(features_df: DataFrame, feature_cols: list[str], models: dict, scalers: DataFrame,
-                  weights: DataFrame, trade_date=None) -> DataFrame:
-    """M9: latest feature row per symbol, all fold models, zero fill, weighted ensemble,
+                  weights: DataFrame, trade_date=None, latest: bool = True) -> DataFrame:
+    """M9: latest feature row per symbol (every row with ``latest=False``), all fold models, zero fill, weighted ensemble,
     live gate, one signal row per symbol (date = ``trade_date`` override or the row's date)."""
     missing = [c for c in feature_cols if c not in features_df.columns]
     if missing:
-        raise RuntimeError(f"Feature columns missing from the feature table: {missing}")
+        raise RuntimeError(f"the features lack columns that the ensemble was trained on: {missing}")
     from .quality import latest_rows, require_rows
-    latest = latest_rows(require_rows(features_df, "feature table"))
-    rows = wf.zero_fill(latest, feature_cols)
+    chosen = latest_rows(require_rows(features_df, "feature table")) if latest else features_df
+    rows = wf.zero_fill(chosen, feature_cols)
     members = member_probabilities(rows, models, scalers, feature_cols)
     ens = signals.ensemble_average(members, weights, ["symbol", "quote_date"], weight_keys=["symbol"])
-    ctx = signals.context_columns(latest).select("symbol", "quote_date", *DEFAULTS.context_cols)
+    ctx = signals.context_columns(chosen).select("symbol", "quote_date", *DEFAULTS.context_cols)
     out = signals.signal_gate(ens.join(ctx, ["symbol", "quote_date"], "inner"), mode="live")
     if trade_date is not None:
         out = out.withColumn("quote_date", F.lit(str(trade_date)).cast("date"))

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULTS
 from ..operators import labels, quality
 from ..sources import fixtures as fx
 from .fixture_sql import with_views
@@ -589,16 +590,45 @@ def q_tick_names(spark, sf):
     return chain.tick_names(fx.ticks(spark, sf)).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("p10_contract_prices", _TICKS_SQL + """
-SELECT req_id,
-       coalesce(CASE WHEN "Last" > 0 THEN "Last" END, CASE WHEN "Close" > 0 THEN "Close" END) AS price,
-       CASE WHEN coalesce(nullif("Last", 0), nullif("Close", 0), nullif("Bid", 0), nullif("Ask", 0)) > 0
-            THEN coalesce(nullif("Last", 0), nullif("Close", 0), nullif("Bid", 0), nullif("Ask", 0)) END AS spot
-FROM wide""")
+_TICK_WIDE = ["Last", "Close", "Bid", "Ask", "Volume", "CallOpenInterest", "PutOpenInterest", "Model_OptPrice",
+              "Model_IV", "Model_Delta", "Model_Gamma", "Model_Theta", "Model_Vega", "Model_UndPrice"]
+_FEED_WIDE_SQL = with_views("tick_rows", "contracts", extra="""
+lastv AS (SELECT req_id, field, arg_max(value, (ts, seq)) AS value FROM tick_rows GROUP BY 1, 2),
+wide AS (SELECT req_id, """ + ", ".join(f"max(value) FILTER (WHERE field = '{f}') AS \"{f}\"" for f in _TICK_WIDE) + """ FROM lastv GROUP BY req_id),
+priced AS (SELECT *, coalesce(CASE WHEN "Last" > 0 THEN "Last" END, CASE WHEN "Close" > 0 THEN "Close" END,
+                             CASE WHEN "Model_OptPrice" > 0 THEN "Model_OptPrice" END) AS price,
+                  coalesce(nullif("Last", 0), nullif("Close", 0), nullif("Bid", 0), nullif("Ask", 0)) AS s FROM wide)""")
+
+
+def _feed_wide(spark, sf):
+    from ..operators import chain
+    return chain.latest_ticks(chain.tick_fields(fx.tick_feed(spark, sf)), _TICK_WIDE)
+
+
+@register("p10_contract_prices", _FEED_WIDE_SQL + """
+SELECT req_id, price, CASE WHEN s > 0 THEN s END AS spot FROM priced WHERE price IS NOT NULL""")
 def q_contract_prices(spark, sf):
     from ..operators import chain
-    w = chain.contract_prices(chain.latest_ticks(fx.ticks(spark, sf), _TICK_FIELDS))
-    return w.select("req_id", "price", "spot")
+    return chain.contract_prices(_feed_wide(spark, sf)).select("req_id", "price", "spot")
+
+
+@register("s8_tick_fields_by_kind", with_views("tick_rows") + """
+SELECT field, count(*) AS n, count(value) AS n_values, round(sum(value), 4) AS total FROM tick_rows GROUP BY field""")
+def q_tick_fields(spark, sf):
+    from ..operators import chain
+    f = chain.tick_fields(fx.tick_feed(spark, sf)).groupBy("field").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.sum("value").alias("total"))
+    return round_doubles(f, 4)
+
+
+@register("p12_tick_chain_rows", _FEED_WIDE_SQL + """
+SELECT DATE '2024-06-03' AS trade_date, CAST(NULL AS VARCHAR) AS "Timestamp", symbol AS "Symbol", expiry AS "Expiry", strike AS "Strike", right_ AS righttype,
+       price AS "Price", "Last", "Close", "Bid", "Ask", "Volume", CASE WHEN right_ = 'C' THEN "CallOpenInterest" ELSE "PutOpenInterest" END AS "OpenInterest",
+       "Model_IV" AS "IV", "Model_Delta" AS "Delta", "Model_Gamma" AS "Gamma", "Model_Theta" AS "Theta", "Model_Vega" AS "Vega", "Model_UndPrice" AS "UndPrice"
+FROM contracts JOIN priced USING (req_id) WHERE price IS NOT NULL""")
+def q_tick_chain_rows(spark, sf):
+    from ..operators import chain
+    return chain.tick_chain_rows(fx.contracts(spark, sf), _feed_wide(spark, sf), "2024-06-03")
 
 
 @register("p6_trade_date_cutoff", with_views("ticks") + """
@@ -1205,31 +1235,88 @@ def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/work/{name}-{uuid.uuid4().hex[:10]}"
 
 
-@register("r1_chain_snapshot_stream")
+def _land(df, path, fmt="csv"):
+    """Land rows as several files that each hold parts of every day and symbol."""
+    df.repartition(4, df.columns[0]).write.mode("append").option("header", True).format(fmt).save(path)
+
+
+@register("r1_chain_snapshot_stream", _MERGE_SQL + "SELECT * FROM rows_")
 def q_chain_snapshot_stream(spark, sf):
-    """End-to-end stream: IV feed files landed by week, streamed through merge/band/build/append."""
+    """End-to-end stream in two runs on one checkpoint; every file and every batch holds parts of all days."""
+    from ..operators.chain import CHAIN_SCHEMA
     from ..streaming import jobs
     root = _scratch(spark, "r1")
     lg = fx.legs(spark, sf)
-    fx.iv_feed(spark, sf, lg).repartition(8, "trade_date").write.option("header", True).csv(f"{root}/landing")
-    q = jobs.chain_snapshot_stream(spark, f"{root}/landing", fx.oi_feed(spark, sf, lg), fx.ohlc_feed(spark, sf, lg),
-                                   f"{root}/out", checkpoint=f"{root}/ckpt", max_files=4)
-    q.awaitTermination()
-    from ..operators.chain import CHAIN_SCHEMA
+    oi, ohlc = fx.oi_feed(spark, sf, lg), fx.ohlc_feed(spark, sf, lg)
+    feed = fx.iv_feed(spark, sf, lg)
+    for part in (F.col("seq") % 3 == 0, F.col("seq") % 3 != 0):
+        _land(feed.filter(part), f"{root}/landing")
+        jobs.chain_snapshot_stream(spark, f"{root}/landing", oi, ohlc, f"{root}/out", checkpoint=f"{root}/ckpt",
+                                   max_files=4).awaitTermination()
     return spark.read.parquet(f"{root}/out").select(*[c for c, _ in CHAIN_SCHEMA])
 
 
-@register("r3_price_topup_stream")
+@register("r3_price_topup_stream", _FEED_SQL + """,
+newest AS (SELECT symbol, quote_date, arg_max(close, (seq, close)) AS close FROM ok GROUP BY 1, 2)
+SELECT s.symbol, s.quote_date, s.close FROM stored s ANTI JOIN newest d ON s.symbol = d.symbol AND s.quote_date = d.quote_date
+UNION ALL SELECT * FROM newest""")
 def q_price_topup_stream(spark, sf):
-    """End-to-end stream: EOD feed files upserted per micro-batch into a versioned price table."""
+    """End-to-end stream: EOD files, the newest first, in two runs of several batches each."""
     from ..sources import sinks
     from ..streaming import jobs
     root = _scratch(spark, "r3")
-    sinks.write_table_version(fx.stored(spark, sf), f"{root}/prices")
-    fx.price_feed(spark, sf).repartition(4).write.option("header", True).csv(f"{root}/landing")
-    q = jobs.price_topup_stream(spark, f"{root}/landing", f"{root}/prices", checkpoint=f"{root}/ckpt")
-    q.awaitTermination()
-    return spark.read.parquet(sinks.latest_version(spark, f"{root}/prices"))
+    sinks.write_keyed(fx.stored(spark, sf).select(F.lit(None).cast("bigint").alias("seq"), "symbol", "quote_date", "close"), f"{root}/prices")
+    feed = fx.price_feed(spark, sf)
+    for part in (F.col("created") >= "1996", F.coalesce(F.col("created") < "1996", F.lit(True))):
+        _land(feed.filter(part), f"{root}/landing")
+        jobs.price_topup_stream(spark, f"{root}/landing", f"{root}/prices", checkpoint=f"{root}/ckpt", max_files=3).awaitTermination()
+    return sinks.read_keyed(spark, f"{root}/prices").select("symbol", "quote_date", "close")
+
+
+_SOFTMAX_SQL = with_views("proba", extra="""
+feats AS (SELECT symbol, quote_date, CAST(day(quote_date) % 7 AS DOUBLE) AS f1,
+                 CASE WHEN day(quote_date) <> 13 THEN CAST(month(quote_date) % 3 AS DOUBLE) ELSE 0 END AS f2, above_sma200, vol_regime FROM proba),
+logit AS (SELECT symbol, quote_date, f AS fold_id, """ + ", ".join(
+    f"({0.1 * k} - 0.05 * f) + {0.9 * (k - 1)} * ((f1 - 3) / 2) + 0.4 * (f + 1) * {1 - k} * ((f2 - 1) / (1.0 + f)) AS l{k}" for k in range(3)) + """
+          FROM feats, (SELECT unnest([0, 1, 2]) AS f)),
+probs AS (SELECT symbol, quote_date, fold_id, exp(l0) / (exp(l0) + exp(l1) + exp(l2)) AS p_down, exp(l1) / (exp(l0) + exp(l1) + exp(l2)) AS p_flat,
+                 exp(l2) / (exp(l0) + exp(l1) + exp(l2)) AS p_up FROM logit),
+ens AS (SELECT symbol, quote_date, sum(w * p_down) / sum(w) AS pd, sum(w * p_flat) / sum(w) AS pf, sum(w * p_up) / sum(w) AS pu
+        FROM probs JOIN (VALUES (1, 0.4::DOUBLE), (2, 0.6::DOUBLE)) t(fold_id, w) USING (fold_id) GROUP BY 1, 2)""")
+
+
+def _symbols(spark, sf):
+    return [r[0] for r in fx.px(spark, sf).select("symbol").distinct().collect()]
+
+
+@register("j3_member_probabilities", _SOFTMAX_SQL + """
+SELECT symbol, quote_date, CAST(fold_id AS INT) AS fold_id, round(p_down, 6) AS p_down, round(p_flat, 6) AS p_flat, round(p_up, 6) AS p_up FROM probs""")
+def q_member_probabilities(spark, sf):
+    """J3 with stated coefficients and scalers: every row by every fold of its symbol."""
+    from ..operators import model, walkforward as wf
+    cols, coefs, scalers, _ = fx.fixed_ensemble(spark, _symbols(spark, sf))
+    rows = wf.zero_fill(fx.signal_features(spark, sf), cols)
+    return round_doubles(model.member_probabilities(rows, coefs, scalers, cols))
+
+
+@register("r4_daily_signal_stream", _SOFTMAX_SQL + f"""
+SELECT symbol, quote_date, round(pu, 6) AS proba_up_ens, round(pf, 6) AS proba_flat_ens, round(pd, 6) AS proba_down_ens,
+       CASE WHEN pf >= pu AND pf >= pd THEN 0 WHEN vol_regime = 0 THEN 0
+            WHEN pu >= {DEFAULTS.conf_threshold_up} AND pu >= pd THEN CASE WHEN above_sma200 <> 1 THEN 0 ELSE 1 END
+            WHEN pd >= {DEFAULTS.conf_threshold_down} AND pd >= pu THEN -1 ELSE 0 END AS signal_dir
+FROM ens JOIN feats USING (symbol, quote_date)""")
+def q_daily_signal_stream(spark, sf):
+    """Every (symbol, day) scored by a stated ensemble, in two runs of several batches each."""
+    from ..sources import sinks
+    from ..streaming import jobs
+    root = _scratch(spark, "r4")
+    feats = fx.signal_features(spark, sf)
+    ens = fx.fixed_ensemble(spark, _symbols(spark, sf))
+    for part in (F.year("quote_date") % 2 == 0, F.year("quote_date") % 2 == 1):
+        _land(feats.filter(part).select("quote_date", *[c for c in feats.columns if c != "quote_date"]), f"{root}/landing", "parquet")
+        jobs.signal_stream(spark, f"{root}/landing", feats.schema, ens, f"{root}/signals", checkpoint=f"{root}/ckpt", max_files=3).awaitTermination()
+    out = sinks.read_keyed(spark, f"{root}/signals").select("symbol", "quote_date", "proba_up_ens", "proba_flat_ens", "proba_down_ens", "signal_dir")
+    return round_doubles(out)
 
 
 # ---------------------------------------------------------------- scans, sinks, top-k
@@ -1242,15 +1329,40 @@ def q_expiration_scan(spark, sf):
 
 
 @register("t3_latest_row", with_views("px") + """
-SELECT * FROM px WHERE symbol = '2-HIGH' ORDER BY quote_date DESC LIMIT 1""")
+SELECT * FROM px ORDER BY quote_date DESC, symbol DESC LIMIT 1""")
 def q_latest_row(spark, sf):
-    return quality.latest_rows(fx.px(spark, sf).filter(F.col("symbol") == "2-HIGH"), symbol_col=None)
+    return fx.px(spark, sf).orderBy(F.col("quote_date").desc(), F.col("symbol").desc()).limit(1)
+
+
+@register("s2_t3_latest_rows", with_views("px") + """
+SELECT symbol, max(quote_date) AS quote_date, arg_max(close, quote_date) AS close FROM px GROUP BY symbol""")
+def q_latest_rows(spark, sf):
+    return quality.latest_rows(fx.px(spark, sf)).select("symbol", "quote_date", "close")
 
 
 @register("t5_head", with_views("px") + """
-SELECT * FROM px WHERE symbol = '1-URGENT' ORDER BY quote_date LIMIT 5""")
+SELECT * FROM px ORDER BY quote_date, symbol LIMIT 5""")
 def q_head(spark, sf):
-    return fx.px(spark, sf).filter(F.col("symbol") == "1-URGENT").orderBy("quote_date").limit(5)
+    return fx.px(spark, sf).orderBy("quote_date", "symbol").limit(5)
+
+
+@register("s1_stored_feature_scan", with_views("proba") + "SELECT * FROM proba")
+def q_stored_feature_scan(spark, sf):
+    """A stored feature table scanned back, NaN as NULL, by date."""
+    from ..sources.tables import read_feature_table
+    root = _scratch(spark, "s1")
+    p = fx.proba(spark, sf)
+    p.withColumns({"quote_date": F.col("quote_date").cast("string"),
+                   "proba_up_ens": F.col("proba_up_ens")}).write.parquet(f"{root}/features")
+    return read_feature_table(spark, f"{root}/features").select(*p.columns)
+
+
+@register("u2_union_all", with_views("px", "stored") + """
+SELECT symbol, quote_date, close, 'px' AS src FROM px UNION ALL SELECT symbol, quote_date, close, NULL FROM stored""")
+def q_union_all(spark, sf):
+    from ..sources import sinks
+    return sinks.union_all([fx.px(spark, sf).select("symbol", "quote_date", "close", F.lit("px").alias("src")),
+                            fx.stored(spark, sf).select("close", "quote_date", "symbol")], allow_missing=True)
 
 
 @register("k4_replace_signal_rows", _RES_SQL + """,
@@ -1264,26 +1376,50 @@ def q_replace_signal_rows(spark, sf):
     return sinks.upsert(base, new, ["quote_date", "symbol"], seq_col=None)
 
 
-@register("k1_s9_chain_partitions")
+def _appended(spark, sf) -> str:
+    from ..sources import sinks
+    from ..operators import chain
+    path = f"{_scratch(spark, 'k1')}/option_chains"
+    sinks.append_chain(chain.conform(_snapshot(spark, sf)), path)
+    return path
+
+
+@register("k1_chain_append", _MERGE_SQL + "SELECT * FROM rows_")
+def q_chain_append(spark, sf):
+    """K1: the whole append read back."""
+    from ..operators.chain import CHAIN_SCHEMA
+    return spark.read.parquet(_appended(spark, sf)).select(*[c for c, _ in CHAIN_SCHEMA])
+
+
+@register("k1_s9_chain_partitions", _MERGE_SQL + """
+SELECT trade_date, "Symbol", "Strike", righttype, "OpenInterest" FROM rows_ WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'""")
 def q_chain_partitions(spark, sf):
     """K1 append partitioned by trade_date, then S9 reads one quarter back (partition pruning)."""
-    from ..sources import sinks
     from ..sources.tables import chain_scan
-    from ..operators import chain
-    root = _scratch(spark, "k1")
-    sinks.append_chain(chain.conform(_snapshot(spark, sf)), f"{root}/option_chains")
-    return chain_scan(spark, f"{root}/option_chains", start="1996-01-01", end="1996-03-31",
+    return chain_scan(spark, _appended(spark, sf), start="1996-01-01", end="1996-03-31",
                       columns=["trade_date", "Symbol", "Strike", "righttype", "OpenInterest"])
 
 
-@register("s3_feed_csv_scan")
-def q_feed_csv_scan(spark, sf):
-    """The open-interest feed landed as CSV text and scanned back with an all-string schema."""
-    from ..operators import chain
-    root = _scratch(spark, "s3")
-    oi = fx.oi_feed(spark, sf)
-    oi.write.option("header", True).csv(f"{root}/oi")
-    return chain.read_feed_csv(spark, f"{root}/oi", oi.columns)
+def _feed_text(view: str, cols: list[str]) -> str:
+    """The CSV round trip: every value text, the empty text NULL."""
+    return with_views(view) + "SELECT " + ", ".join(f"NULLIF(CAST({c} AS VARCHAR), '') AS {c}" for c in cols) + f" FROM {view}"
+
+
+def _feed_scan(name, feed, cols):
+    def run(spark, sf):
+        from ..operators import chain
+        path = f"{_scratch(spark, name)}/feed"
+        feed(spark, sf).select(*cols).write.option("header", True).csv(path)
+        return chain.read_feed_csv(spark, path, cols)
+    run.__doc__ = f"S3/S4: the {name} feed landed as CSV text and scanned back with an all-string schema."
+    return run
+
+
+for _name, _feed, _cols in (
+        ("s3_feed_csv_scan", fx.oi_feed, ["seq", "symbol", "trade_date", "expiration", "strike", "right_", "open_interest"]),
+        ("s4_iv_feed_csv_scan", fx.iv_feed, ["seq", "symbol", "trade_date", "expiration", "strike", "right_", "bid", "ask", "implied_vol"]),
+        ("s4_ohlc_feed_csv_scan", fx.ohlc_feed, ["seq", "symbol", "trade_date", "expiration", "strike", "right_", "close", "volume"])):
+    register(_name, _feed_text(_feed.__name__, _cols))(_feed_scan(_name, _feed, _cols))
 
 
 @register("m9_daily_signal")

@@ -1,8 +1,8 @@
 """Daily jobs: chain snapshot ingest, EOD price top-up, signal generation and report.
 
 Ordinary driver functions calling the operators (no scheduler). Each job
-handles every symbol in one plan and writes to a new table version or a
-date partition, so a re-run after a failure is safe.
+handles every symbol in one plan and rewrites only the date partitions it
+touches, so a re-run after a failure is safe.
 """
 
 from __future__ import annotations
@@ -22,32 +22,29 @@ def ingest_snapshot(iv: DataFrame, oi: DataFrame, ohlc: DataFrame, chain_path: s
     sinks.append_chain(rows, chain_path, replace_day=replace_day)
 
 
-def top_up_prices(spark: SparkSession, feed: DataFrame, prices_root: str, end, seed_days: int | None = None) -> str:
-    """Step 2: P7 -> J6 (only days after the last stored one) -> K2 into a new table version."""
-    base_path = sinks.latest_version(spark, prices_root)
+def top_up_prices(spark: SparkSession, feed: DataFrame, prices_root: str, end, seed_days: int | None = None) -> None:
+    """Step 2: P7 -> J6 (only days after the last stored one) -> K2 into the months the new days touch."""
     parsed = sinks.parse_price_feed(feed)
-    if base_path is None:
+    base = sinks.read_keyed(spark, prices_root)
+    if base is None:
         base = parsed.select("symbol", "quote_date", "close").limit(0)
-    else:
-        base = spark.read.parquet(base_path)
     batch = sinks.incremental_slice(parsed, base, end, seed_days)
-    return sinks.write_table_version(sinks.upsert(base, batch, ["symbol", "quote_date"]), prices_root)
+    cols = [c for c in ("seq", "symbol", "quote_date", "close") if c in batch.columns]
+    sinks.merge_keyed(batch.select(*cols), prices_root, ["symbol", "quote_date"])
 
 
 def daily_signal(spark: SparkSession, features: DataFrame, artifacts_dir: str, signals_root: str,
-                 trade_date=None) -> str:
-    """Step 3: K8 -> M9 (latest row per symbol, live gate) -> K4 into a new signal table version."""
+                 trade_date=None) -> None:
+    """Step 3: K8 -> M9 (latest row per symbol, live gate) -> K4 into the signal table."""
     cols, models, scalers, weights = model.load_ensemble(spark, artifacts_dir)
     sig = model.run_inference(features, cols, models, scalers, weights, trade_date)
-    base_path = sinks.latest_version(spark, signals_root)
-    base = spark.read.parquet(base_path) if base_path else sig.limit(0)
-    return sinks.write_table_version(sinks.upsert(base, sig, ["quote_date", "symbol"], seq_col=None), signals_root)
+    sinks.merge_keyed(sig, signals_root, ["quote_date", "symbol"], seq_col=None)
 
 
 def signal_report(spark: SparkSession, signals_root: str, trade_date) -> tuple[DataFrame, DataFrame]:
     """Step 4: P19 -> A6 counters and the K6 report table (ordered by symbol at the sink)."""
-    path = sinks.latest_version(spark, signals_root)
-    if path is None:
+    table = sinks.read_keyed(spark, signals_root)
+    if table is None:
         raise RuntimeError("signal table not found: has the signal job been run?")
-    day = signals.day_signals(spark.read.parquet(path), trade_date)
+    day = signals.day_signals(table, trade_date)
     return signals.signal_counts(day), signals.signal_report(day).orderBy(F.col("Symbol"))

@@ -48,6 +48,25 @@ FROM legs GROUP BY 1, 2, 3, 4, 5"""),
 SELECT event_id AS seq, ts, user_id AS req_id,
        CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 9 ELSE 99 END AS tick_type,
        value FROM events"""),
+    "tick_feed": ((), """
+SELECT event_id AS seq, ts, user_id AS req_id,
+       CASE WHEN event_type IN ('view', 'purchase') THEN 'price' WHEN event_type = 'signup' THEN 'option' ELSE 'size' END AS kind,
+       CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 5 = 0 THEN 8 ELSE 1 END WHEN event_type = 'purchase' THEN 4
+            WHEN event_type = 'signup' THEN CASE WHEN event_id % 4 = 0 THEN 10 ELSE 13 END
+            WHEN event_id % 3 = 0 THEN 27 WHEN event_id % 3 = 1 THEN 28 WHEN event_id % 2 = 0 THEN 1 ELSE 8 END AS code,
+       CASE WHEN event_id % 7 = 0 THEN 0.0::DOUBLE ELSE value END AS value, event_id, value AS v FROM events"""),
+    "tick_rows": (("tick_feed",), """
+SELECT seq, ts, req_id, value, CASE WHEN kind = 'size' THEN
+         CASE code WHEN 8 THEN 'Volume' WHEN 27 THEN 'CallOpenInterest' WHEN 28 THEN 'PutOpenInterest' WHEN 78 THEN 'OpenInterest' ELSE 'T' || code END
+       ELSE CASE code WHEN 1 THEN 'Bid' WHEN 2 THEN 'Ask' WHEN 4 THEN 'Last' WHEN 6 THEN 'High' WHEN 7 THEN 'Low' WHEN 9 THEN 'Close' WHEN 14 THEN 'Open'
+         ELSE 'T' || code END END AS field FROM tick_feed WHERE kind <> 'option'
+UNION ALL SELECT seq, ts, req_id, x.val, CASE code WHEN 10 THEN 'Bid' WHEN 11 THEN 'Ask' WHEN 12 THEN 'Last' WHEN 13 THEN 'Model' ELSE 'T' || code END || '_' || x.f
+FROM (SELECT *, unnest([{'f': 'IV', 'val': v / 1000}, {'f': 'Delta', 'val': v / 500 - 0.5}, {'f': 'Gamma', 'val': v / 10000}, {'f': 'Theta', 'val': -v / 100},
+        {'f': 'Vega', 'val': v / 50}, {'f': 'OptPrice', 'val': CASE WHEN event_id % 11 = 0 THEN -1.0 ELSE v / 10 END}, {'f': 'UndPrice', 'val': v + 400}]) AS x
+      FROM tick_feed WHERE kind = 'option')"""),
+    "contracts": ((), """
+SELECT DISTINCT user_id AS req_id, CASE WHEN user_id % 2 = 0 THEN '1-URGENT' ELSE '2-HIGH' END AS symbol, '2024-06-21' AS expiry,
+       CAST(400 + 5 * (user_id % 41) AS DOUBLE) AS strike, CASE WHEN user_id % 3 = 0 THEN 'P' ELSE 'C' END AS right_ FROM events"""),
     "abc": (("px",), """
 SELECT symbol, quote_date, close, EXTRACT(DAY FROM quote_date) AS d,
        CAST(1 + EXTRACT(DAY FROM quote_date) % 7 AS DOUBLE) AS a,

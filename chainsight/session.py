@@ -37,7 +37,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint directory, setting a scratch one only if unset."""
+    """Return the session's checkpoint directory. Where the setting is unset, a scratch folder of this
+    machine is set on a local master only; on a cluster executors could not share it, so it raises."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -46,7 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
-        # only reached when the session names no checkpoint dir (local tests and benches)
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="chainsight-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None and not sc.getCheckpointDir():

@@ -110,6 +110,44 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     code.alias("tick_type"), "value")
 
 
+def tick_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of all three kinds: prices, sizes (with unknown codes) and option computations."""
+    e = read_table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("view", "purchase"), "price").when(F.col("event_type") == "signup", "option").otherwise("size")
+    code = (F.when(F.col("event_type") == "view", F.when(F.col("event_id") % 5 == 0, 8).otherwise(1))
+            .when(F.col("event_type") == "purchase", 4).when(F.col("event_type") == "signup", F.when(F.col("event_id") % 4 == 0, 10).otherwise(13))
+            .when(F.col("event_id") % 3 == 0, 27).when(F.col("event_id") % 3 == 1, 28).otherwise(F.when(F.col("event_id") % 2 == 0, 1).otherwise(8)))
+    v = F.when(F.col("event_id") % 7 == 0, 0.0).otherwise(F.col("value"))
+    opt = {"iv": F.col("value") / 1000, "delta": F.col("value") / 500 - 0.5, "gamma": F.col("value") / 10000, "theta": -F.col("value") / 100,
+           "vega": F.col("value") / 50, "opt_price": F.when(F.col("event_id") % 11 == 0, -1.0).otherwise(F.col("value") / 10), "und_price": F.col("value") + 400}
+    return e.select(F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("req_id"), kind.alias("kind"), code.alias("tick_type"), v.alias("value"),
+                    *[F.when(F.col("event_type") == "signup", x).alias(n) for n, x in opt.items()])
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One contract per market-data request of ``tick_feed``."""
+    r = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("req_id")).distinct()
+    return r.select("req_id", F.when(F.col("req_id") % 2 == 0, "1-URGENT").otherwise("2-HIGH").alias("symbol"), F.lit("2024-06-21").alias("expiry"),
+                    (400 + 5 * (F.col("req_id") % 41)).cast("double").alias("strike"), F.when(F.col("req_id") % 3 == 0, "P").otherwise("C").alias("right_"))
+
+
+def signal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features per (symbol, day) with the context columns of ``proba``."""
+    return proba(spark, sf_dir).select("symbol", "quote_date", (F.dayofmonth("quote_date") % 7).cast("double").alias("f1"),
+                                       F.when(F.dayofmonth("quote_date") != 13, (F.month("quote_date") % 3).cast("double")).alias("f2"),
+                                       F.col("above_sma200").cast("double").alias("above_sma200"), F.col("vol_regime").cast("double").alias("vol_regime"))
+
+
+def fixed_ensemble(spark: SparkSession, symbols: list[str]):
+    """A stated three-fold softmax ensemble: (features, coefficients, scalers, weights)."""
+    coefs = [(s, f, [x for k in range(3) for x in (0.1 * k - 0.05 * f, 0.9 * (k - 1), 0.4 * (f + 1) * (1 - k))]) for s in symbols for f in range(3)]
+    scalers = [(s, f, 3.0, 2.0, 1.0, 1.0 + f) for s in symbols for f in range(3)]
+    weights = [(s, f, w) for s in symbols for f, w in enumerate((0.0, 0.4, 0.6))]
+    return (["f1", "f2"], spark.createDataFrame(coefs, "symbol string, fold_id int, coef array<double>"),
+            spark.createDataFrame(scalers, "symbol string, fold_id int, mean_f1 double, scale_f1 double, mean_f2 double, scale_f2 double"),
+            spark.createDataFrame(weights, "symbol string, fold_id int, weight double"))
+
+
 def _abc(p: DataFrame) -> DataFrame:
     d = F.col("d")
     return p.select(

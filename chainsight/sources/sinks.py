@@ -1,24 +1,24 @@
 """Sinks and incremental ingest on plain Parquet: append, keyed upsert, range replace.
 
-Parquet has no primary key and no MERGE here, so keyed writes are
-expressed as set operations (anti join + union) that produce the new table
-content; ``write_table_version`` writes it to a NEW directory (never the
-path being read) so a failed job leaves the old version intact.
+Parquet has no primary key and no MERGE here. ``upsert`` and ``replace_range`` express keyed writes as set
+operations (anti join + union). A keyed table on disk is partitioned by month; ``merge_keyed`` and
+``replace_keyed`` read and rewrite only the months that a batch touches. Their new content is written
+to a staging table first and put in place by dynamic partition overwrite, so a job that fails before that leaves
+the table as it was, and running a batch again gives the same table. One writer per table at a time.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import columns as C
 from ..operators.chain import dedupe_last
 from ..operators.quality import last_stored_date
+from ..session import cut_lineage
 
 
 # ---------------------------------------------------------------- parsing
@@ -74,16 +74,14 @@ def replace_range(base: DataFrame, batch: DataFrame, date_col: str = "quote_date
     """K3 + J5: delete stored rows with date BETWEEN the batch's min and max AND symbol IN the
     batch's symbols (also days absent from the batch), then insert the batch BY NAME.
 
-    The two bounds are one tiny aggregate; as literals they prune the base
-    scan. The symbol set is a semi-join against the batch's distinct symbols.
+    The bounds are scalar subqueries of the plan (no job runs while it is built); as in SQL, rows without a date are not
+    in any range and stay. The symbol set is a join with the batch's distinct symbols.
     """
-    lo, hi = batch.agg(F.min(date_col), F.max(date_col)).first()
-    if lo is None:
-        return base
+    bounds = batch.agg(F.min(date_col).alias("lo"), F.max(date_col).alias("hi"))
     syms = batch.select(symbol_col).distinct().withColumn("_hit", F.lit(True))
-    in_range = F.col(date_col).between(F.lit(lo), F.lit(hi))
-    kept = (base.join(syms, symbol_col, "left")
-            .filter(~(in_range & F.col("_hit").isNotNull())).drop("_hit"))
+    in_range = F.col(date_col).between(bounds.select("lo").scalar(), bounds.select("hi").scalar())
+    gone = F.coalesce(in_range & F.col("_hit").isNotNull(), F.lit(False))
+    kept = base.join(syms, symbol_col, "left").filter(~gone).drop("_hit")
     return kept.unionByName(batch.select(*[c for c in batch.columns if c in base.columns]),
                             allowMissingColumns=True)
 
@@ -101,43 +99,88 @@ def append_chain(df: DataFrame, path: str, replace_day: bool = False) -> None:
     """K1: append chain rows partitioned by trade_date (a re-run duplicates, like the source);
     ``replace_day=True`` overwrites only the partitions present in ``df`` (dynamic overwrite).
     An empty input writes no partition (no-op) without a separate emptiness job."""
-    # cluster rows by (day, symbol) before the partitioned write: each task then writes whole
-    # groups instead of one small file per day it happens to hold; the file size stays bounded
-    # by maxRecordsPerFile even for a very large (day, symbol)
-    df = df.repartition("trade_date", "Symbol") if "Symbol" in df.columns else df.repartition("trade_date")
-    w = df.write.partitionBy("trade_date").option("maxRecordsPerFile", 5_000_000)
+    # rows of a day come together before the partitioned write, so no task writes a small file for each
+    # day; AQE splits a day that is large, so the busiest day is not one task
+    w = df.hint("rebalance", "trade_date").write.partitionBy("trade_date").option("maxRecordsPerFile", 5_000_000)
     if replace_day:
         w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
         w.mode("append").parquet(path)
 
 
-def write_table_version(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Write a keyed table's new content to ``root/v=<time>-<id>`` and return that path.
+PART = "part"
 
-    Readers pick the latest complete version; nothing reads and overwrites
-    the same directory.
-    """
-    stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S")
-    path = f"{root.rstrip('/')}/v={stamp}-{uuid.uuid4().hex[:8]}"
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path
+
+def _month(date_col: str) -> Column:
+    """Partition value of a date: m1996_01; rows without a date have their own."""
+    return F.coalesce(F.date_format(date_col, "'m'yyyy_MM"), F.lit("none"))
 
 
-def latest_version(spark, root: str) -> str | None:
-    """Path of the newest complete table version under ``root`` (has a _SUCCESS marker)."""
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def table_exists(spark: SparkSession, root: str) -> bool:
+    fs, p = _fs(spark, root)
+    return fs.exists(p) and any(s.getPath().getName().startswith(f"{PART}=") for s in fs.listStatus(p))
+
+
+def _put(df: DataFrame, root: str) -> None:
+    (df.hint("rebalance", PART).write.mode("overwrite").partitionBy(PART)
+     .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 5_000_000).parquet(root))
+
+
+def read_keyed(spark: SparkSession, root: str) -> DataFrame | None:
+    """A keyed table's rows, None if there is no table yet."""
+    return spark.read.parquet(root).drop(PART) if table_exists(spark, root) else None
+
+
+def write_keyed(df: DataFrame, root: str, date_col: str = "quote_date") -> None:
+    """Create a keyed table, or overwrite the months that ``df`` holds."""
+    _put(df.withColumn(PART, _month(date_col)), root)
+
+
+def merge_keyed(new: DataFrame, root: str, keys: list[str], date_col: str = "quote_date",
+                seq_col: str | None = "seq") -> None:
+    """K2/K4 on disk: upsert ``new`` into the table at ``root``; only the months of ``new`` are read and rewritten.
+
+    With ``seq_col`` the table keeps the arrival number and of equal keys the last arrival stays (stored rows without
+    one come first), so the result does not depend on how a feed is cut into batches. Without it the
+    batch's row replaces the stored one. ``new`` is computed once (written); its distinct months,
+    bounded by the calendar, prune the scan.
+    """
+    spark = new.sparkSession
+    if seq_col:
+        new = dedupe_last(new, keys, seq_col)
+    new = cut_lineage(new.withColumn(PART, _month(date_col)))
+    if table_exists(spark, root):
+        months = new.select(PART).distinct()
+        stored = spark.read.parquet(root).join(F.broadcast(months), PART, "left_semi")
+        if seq_col:
+            new = dedupe_last(stored.unionByName(new), keys, seq_col)
+        else:
+            new = upsert(stored, new, keys, seq_col=None)
+        new = cut_lineage(new)
+    _put(new, root)
+
+
+def replace_keyed(batch: DataFrame, root: str, date_col: str = "quote_date", symbol_col: str = "symbol") -> None:
+    """K3 on disk: ``replace_range`` on the months between the batch's first and last date; a month that
+    is left without rows is deleted after the others are in place."""
+    spark = batch.sparkSession
+    batch = cut_lineage(batch.withColumn(PART, _month(date_col)))
+    if not table_exists(spark, root):
+        return _put(batch, root)
+    lo, hi = batch.agg(F.min(F.when(F.col(PART) != "none", F.col(PART))), F.max(F.when(F.col(PART) != "none", F.col(PART)))).first()
+    if lo is None:
         return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                   if s.isDirectory() and s.getPath().getName().startswith("v="))
-    for n in reversed(names):
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{n}/_SUCCESS")):
-            return f"{root.rstrip('/')}/{n}"
+    stored = spark.read.parquet(root).filter(F.col(PART).between(lo, hi))
+    before = [r[0] for r in stored.select(PART).distinct().collect()]  # months: bounded by the calendar
+    out = cut_lineage(replace_range(stored, batch, date_col, symbol_col))
+    _put(out, root)
+    for part in sorted(set(before) - {r[0] for r in out.select(PART).distinct().collect()}):
+        fs, p = _fs(spark, f"{root.rstrip('/')}/{PART}={part}")
+        fs.delete(p, True)
     return None

@@ -17,26 +17,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one input table.
-
-    A Parquet file is split only at row-group boundaries, so a small table
-    stored as one row group is read by ONE task and everything up to the
-    first shuffle would run single-threaded. Only in that case (fewer splits
-    than the session's default parallelism) the rows are hash-spread on the
-    table's first (key) column: no sort (unlike round-robin), deterministic
-    on a retry, and only that column joins the read schema. A large table
-    already has at least that many splits and is left as is. Filters and
-    column pruning still reach the scan through the repartition.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        want = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect): leave the scan as is
-        return df
-    if splits < want:
-        df = df.repartition(want, df.columns[0])
-    return df
+    """Scan one input table; splits and parallelism follow the session's settings at every size."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -49,9 +31,9 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
-    """Feature table scan, quote_date as DATE, NaN as NULL (order applied only at a sink)."""
+    """Feature table scan, quote_date as DATE, NaN as NULL, in the order of the date (range-partitioned sort)."""
     df = spark.read.parquet(path)
-    return nan_to_null(df.withColumn("quote_date", F.to_date("quote_date")))
+    return nan_to_null(df.withColumn("quote_date", F.to_date("quote_date"))).orderBy("quote_date")
 
 
 def price_history(prices: DataFrame, symbol: str) -> DataFrame:

@@ -1,18 +1,18 @@
 """Structured Streaming jobs for the incremental behaviours.
 
-* R1 chain snapshots: IV feed files stream in; each micro-batch is merged
-  with the (static) OI / OHLC feeds, banded, built and appended. Output is
-  written per epoch (``batch_id=<n>`` directory, overwrite), so a replayed
-  epoch after a failure rewrites the same files: exactly-once output.
+* R1 chain snapshots: IV feed files stream in and are kept raw, by trade date; each micro-batch builds the
+  chain rows of the days it touches anew, from all their raw rows, and overwrites just
+  these days. The spot and the band of a day thus never depend on how files fall into batches, and a
+  replay or a run with a new checkpoint gives the same table.
 * R2 tick snapshots: event-time windows with a watermark, latest value per
   (minute, request, field); late ticks beyond the watermark are dropped.
-* R3 price top-up: parsed EOD rows de-duplicated within the watermark and
-  upserted (K2) into a versioned price table per micro-batch.
-* R4 daily signals: new feature rows scored by a loaded ensemble and
-  upserted (K4) into a versioned signal table.
+* R3 price top-up: parsed EOD rows upserted (K2) into a keyed price table per micro-batch; late rows,
+  back-fills and new symbols are upserted like any other.
+* R4 daily signals: every (symbol, day) of the new feature rows scored by a loaded ensemble and
+  upserted (K4) into a keyed signal table.
 * R5 trade-date buckets: tumbling 1-day windows starting at the cut-off hour.
 
-All state is bounded: R2 and R3 keep state only inside the watermark.
+R2 keeps state inside the watermark only; R1, R3 and R4 keep none. Each job needs a checkpoint location of its own.
 """
 
 from __future__ import annotations
@@ -23,17 +23,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import chain
 from ..sources import sinks
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage
 
+# The feeds' columns.
 IV_COLUMNS = ["seq", "symbol", "trade_date", "expiration", "strike", "right_", "bid", "ask",
               "implied_vol", "underlying_price"]
 PRICE_COLUMNS = ["seq", "symbol", "created", "close"]
 
 
-def _ckpt(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-
-
 def _all_string(columns: list[str]) -> str:
     return ", ".join(f"`{c}` string" for c in columns)
 
@@ -41,24 +38,35 @@ def _all_string(columns: list[str]) -> str:
 # ---------------------------------------------------------------- R1
 
 def chain_snapshot_stream(spark: SparkSession, iv_dir: str, oi: DataFrame, ohlc: DataFrame, out: str,
-                          checkpoint: str | None = None, snapshot_ts=None, max_files: int = 16) -> StreamingQuery:
-    """IV CSV files -> J1 (stream-static) -> P4/P2/P1 -> K1 append, one output dir per epoch."""
+                          checkpoint: str, snapshot_ts=None, max_files: int = 1000) -> StreamingQuery:
+    """IV CSV files -> raw rows at ``<out>_raw`` -> J1 (stream-static) -> D3/P4/P2/P1 -> the touched days of ``out``.
+
+    ``max_files`` only bounds a micro-batch; the result does not depend on it. Feed rows carry their arrival
+    number, so rows that are equal in every column are one row delivered again.
+    """
     src = (spark.readStream.schema(_all_string(IV_COLUMNS)).option("header", True)
            .option("maxFilesPerTrigger", max_files).csv(iv_dir))
     keys = chain.FEED_KEYS
-    # the static sides are keep-last deduplicated once and checkpointed, not once per micro-batch
+    # the static sides are keep-last deduplicated once, not once per micro-batch
     oi_d = cut_lineage(chain.dedupe_last(oi.select(*keys, "seq", "open_interest"), keys).drop("seq"))
     oh_d = cut_lineage(chain.dedupe_last(ohlc.select(*keys, "seq", "close", "volume"), keys).drop("seq"))
+    raw = f"{out.rstrip('/')}_raw"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        iv = batch.withColumn("seq", F.col("seq").cast("bigint")).withColumn(
-            "trade_date", F.to_date("trade_date"))
-        rows = chain.conform(chain.chain_snapshot(iv, oi_d, oh_d, snapshot_ts, dedupe=False))
-        (rows.repartition("trade_date", "Symbol").write.mode("overwrite").partitionBy("trade_date")
-         .option("maxRecordsPerFile", 5_000_000).parquet(f"{out.rstrip('/')}/batch_id={epoch}"))
-
-    return (src.writeStream.foreachBatch(write)
-            .option("checkpointLocation", checkpoint or _ckpt(spark, "chain_snapshot"))
+        iv = cut_lineage(batch.withColumns({"seq": F.col("seq").cast("bigint"), "trade_date": F.to_date("trade_date")}))
+        iv.hint("rebalance", "trade_date").write.mode("append").partitionBy("trade_date").parquet(raw)
+        days = [r[0] for r in iv.select("trade_date").distinct().collect()]  # bounded by the calendar
+        if not days:
+            return
+        touched = F.col("trade_date").isin([d for d in days if d is not None])
+        touched = touched | F.col("trade_date").isNull() if None in days else touched
+        schema = iv.schema
+        whole = batch.sparkSession.read.schema(schema).parquet(raw).filter(touched).select(*iv.columns).distinct()
+        rows = chain.conform(chain.chain_snapshot(whole, oi_d, oh_d, snapshot_ts, dedupe=False))
+        (rows.hint("rebalance", "trade_date").write.mode("overwrite").partitionBy("trade_date")
+         .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 5_000_000).parquet(out))
+
+    return (src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -82,58 +90,48 @@ def tick_snapshot_stream(ticks: DataFrame, fields: list[str], watermark: str = "
 
 
 def run_tick_snapshots(spark: SparkSession, ticks_dir: str, fields: list[str], out: str,
-                       checkpoint: str | None = None, schema: str | None = None) -> StreamingQuery:
+                       checkpoint: str, schema: str | None = None) -> StreamingQuery:
     schema = schema or "seq bigint, ts timestamp_ntz, req_id bigint, tick_type int, value double"
     src = spark.readStream.schema(schema).parquet(ticks_dir)
     q = tick_snapshot_stream(src, fields)
     return (q.writeStream.outputMode("append").format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint or _ckpt(spark, "tick_snapshots"))
+            .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 # ---------------------------------------------------------------- R3
 
-def price_topup_stream(spark: SparkSession, feed_dir: str, table_root: str, checkpoint: str | None = None,
-                       watermark: str = "30 days") -> StreamingQuery:
-    """Parsed EOD rows, duplicates within the watermark dropped, K2 upsert per micro-batch
-    into a new table version (re-running a batch yields the same content)."""
-    src = spark.readStream.schema(_all_string(PRICE_COLUMNS)).option("header", True).csv(feed_dir)
+def price_topup_stream(spark: SparkSession, feed_dir: str, table_root: str, checkpoint: str,
+                       max_files: int = 1000) -> StreamingQuery:
+    """Parsed EOD rows, K2 upsert per micro-batch; of a batch's rows of one key the last arrival wins.
+
+    Files are taken in the order of arrival, so a later batch's row replaces an earlier one's, as in the feed.
+    """
+    src = (spark.readStream.schema(_all_string(PRICE_COLUMNS)).option("header", True)
+           .option("maxFilesPerTrigger", max_files).csv(feed_dir))
     parsed = sinks.parse_price_feed(src.withColumn("seq", F.col("seq").cast("bigint")))
-    parsed = (parsed.withColumn("_evt", F.col("quote_date").cast("timestamp"))
-              .withWatermark("_evt", watermark)
-              .dropDuplicatesWithinWatermark(["symbol", "quote_date", "seq"]))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        new = batch.select("seq", "symbol", "quote_date", "close")
-        base_path = sinks.latest_version(batch.sparkSession, table_root)
-        if base_path is None:
-            base = new.limit(0).select("symbol", "quote_date", "close")
-        else:
-            base = batch.sparkSession.read.parquet(base_path)
-        sinks.write_table_version(sinks.upsert(base, new, ["symbol", "quote_date"]), table_root)
-
-    return (parsed.writeStream.foreachBatch(write)
-            .option("checkpointLocation", checkpoint or _ckpt(spark, "price_topup"))
+        sinks.merge_keyed(batch.select("seq", "symbol", "quote_date", "close"), table_root, ["symbol", "quote_date"])
+
+    return (parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 # ---------------------------------------------------------------- R4
 
 def signal_stream(spark: SparkSession, features_dir: str, schema, ensemble, table_root: str,
-                  checkpoint: str | None = None) -> StreamingQuery:
-    """Score new feature rows with a loaded ensemble (K8 output), K4 upsert of the signal rows."""
+                  checkpoint: str, max_files: int = 1000) -> StreamingQuery:
+    """Score every (symbol, day) of new feature rows with a loaded ensemble (K8 output), K4 upsert."""
     from ..operators.model import run_inference
     feature_cols, models, scalers, weights = ensemble
-    src = spark.readStream.schema(schema).parquet(features_dir)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(features_dir)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        sig = run_inference(batch, feature_cols, models, scalers, weights)
-        base_path = sinks.latest_version(batch.sparkSession, table_root)
-        base = batch.sparkSession.read.parquet(base_path) if base_path else sig.limit(0)
-        sinks.write_table_version(sinks.upsert(base, sig, ["quote_date", "symbol"], seq_col=None), table_root)
+        sig = run_inference(batch, feature_cols, models, scalers, weights, latest=False)
+        sinks.merge_keyed(sig, table_root, ["quote_date", "symbol"], seq_col=None)
 
-    return (src.writeStream.foreachBatch(write)
-            .option("checkpointLocation", checkpoint or _ckpt(spark, "signals"))
+    return (src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 

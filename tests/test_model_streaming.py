@@ -49,16 +49,86 @@ def test_export_load_and_inference(spark, trained):
 
 
 def test_price_topup_stream_equals_batch_upsert(spark, sf):
-    root = tempfile.mkdtemp(prefix="cs-r3-", dir="/tmp")
-    stored = fx.stored(spark, sf)
-    sinks.write_table_version(stored, f"{root}/prices")
+    """One file, many files in many batches, and two runs in the wrong order give the same table."""
+    stored = fx.stored(spark, sf).select(F.lit(None).cast("long").alias("seq"), "symbol", "quote_date", "close")
     feed = fx.price_feed(spark, sf)
-    feed.coalesce(1).write.option("header", True).csv(f"{root}/landing")
-    jobs.price_topup_stream(spark, f"{root}/landing", f"{root}/prices", checkpoint=f"{root}/ckpt").awaitTermination()
-    streamed = spark.read.parquet(sinks.latest_version(spark, f"{root}/prices"))
-    batch = sinks.upsert(stored, sinks.parse_price_feed(feed).select("seq", "symbol", "quote_date", "close"),
+    batch = sinks.upsert(stored.drop("seq"), sinks.parse_price_feed(feed).select("seq", "symbol", "quote_date", "close"),
                          ["symbol", "quote_date"])
-    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+    want = sorted(map(tuple, batch.collect()))
+    late = F.coalesce(F.col("created") < "1996", F.lit(True))
+    for parts, files, max_files in (([F.lit(True)], 1, 1), ([F.lit(True)], 4, 2), ([~late, late], 2, 1)):
+        root = tempfile.mkdtemp(prefix="cs-r3-", dir="/tmp")
+        sinks.write_keyed(stored, f"{root}/prices")
+        for part in parts:
+            feed.filter(part).repartition(files, "seq").write.mode("append").option("header", True).csv(f"{root}/landing")
+            jobs.price_topup_stream(spark, f"{root}/landing", f"{root}/prices", f"{root}/ckpt", max_files=max_files).awaitTermination()
+        got = sinks.read_keyed(spark, f"{root}/prices").select("symbol", "quote_date", "close").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_chain_stream_does_not_depend_on_batches(spark):
+    """Spot 100 in the first rows and 200 in the last of one (symbol, day, expiry): the band is around 100 however
+    the rows arrive, and a run with a new checkpoint changes nothing."""
+    rows = [(i, "A", "2024-01-05", "2024-02-16", str(k), "CALL", "1", "2", "0.2", str(u)) for i, (k, u) in
+            enumerate([(100, 100.0), (170, 100.0), (100, 200.0), (170, 200.0)])]
+    rows += [(9, "B", "2024-01-06", "2024-02-16", "100", "CALL", "1", "2", "0.2", None)]
+    iv = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'seq' else 'string'}" for c in jobs.IV_COLUMNS))
+    side = spark.createDataFrame([], "seq long, symbol string, trade_date date, expiration string, strike string, right_ string, open_interest string, close string, volume string")
+    for files in ([F.lit(True)], [F.col("seq") < 2, F.col("seq") >= 2], [F.col("seq") >= 2, F.col("seq") < 2]):
+        root = tempfile.mkdtemp(prefix="cs-r1-", dir="/tmp")
+        for run in ("a", "b"):
+            for part in files if run == "a" else []:
+                iv.filter(part).coalesce(1).write.mode("append").option("header", True).csv(f"{root}/landing")
+                jobs.chain_snapshot_stream(spark, f"{root}/landing", side, side, f"{root}/out", f"{root}/ckpt-{run}", max_files=1).awaitTermination()
+            if run == "b":
+                jobs.chain_snapshot_stream(spark, f"{root}/landing", side, side, f"{root}/out", f"{root}/ckpt-{run}", max_files=1).awaitTermination()
+            got = spark.read.parquet(f"{root}/out").select("Symbol", "Strike", "UndPrice").collect()
+            assert sorted(map(tuple, got), key=str) == [("A", 100.0, 100.0), ("A", 100.0, 200.0), ("B", 100.0, None)]
+
+
+def test_keyed_writes_touch_only_the_batch_months(spark):
+    import os
+    root = f"{tempfile.mkdtemp(prefix='cs-keyed-', dir='/tmp')}/t"
+    files = lambda: {os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs if f.startswith("part-")}
+    mk = lambda *r: spark.createDataFrame(r, "symbol string, quote_date string, close double").withColumn("quote_date", F.to_date("quote_date"))
+    got = lambda: sorted((r.symbol, str(r.quote_date), r.close) for r in sinks.read_keyed(spark, root).collect())
+    assert sinks.read_keyed(spark, root) is None
+    sinks.merge_keyed(mk(("A", "2024-01-02", 1.0), ("A", "2024-02-02", 2.0), ("B", "2024-03-04", 3.0), ("B", None, 9.0)), root, ["symbol", "quote_date"], seq_col=None)
+    before = files()
+    for _ in range(2):
+        sinks.merge_keyed(mk(("A", "2024-02-02", 5.0), ("C", "2024-02-05", 6.0)), root, ["symbol", "quote_date"], seq_col=None)
+        assert got() == [("A", "2024-01-02", 1.0), ("A", "2024-02-02", 5.0), ("B", "2024-03-04", 3.0), ("B", "None", 9.0), ("C", "2024-02-05", 6.0)]
+    assert {f for f in before if "2024_02" not in f} <= files() and not {f for f in before if "2024_02" in f} & files()
+    # K3: A from the batch's first to its last date is replaced, others stay
+    sinks.replace_keyed(mk(("A", "2024-01-09", 7.0), ("A", "2024-03-09", 8.0)), root)
+    assert got() == [("A", "2024-01-02", 1.0), ("A", "2024-01-09", 7.0), ("A", "2024-03-09", 8.0), ("B", "2024-03-04", 3.0), ("B", "None", 9.0), ("C", "2024-02-05", 6.0)]
+    # a month that is left without rows goes
+    sinks.replace_keyed(mk(("C", "2024-01-01", 1.0), ("C", "2024-03-31", 2.0)), root)
+    assert len(got()) == 7 and ("C", "2024-02-05", 6.0) not in got() and not any("2024_02" in f for f in files())
+    same = got()
+    sinks.replace_keyed(mk(("C", "2024-02-05", 1.0)).filter("symbol = 'none'"), root)
+    assert got() == same
+
+
+def test_shared_folder_is_needed_off_a_local_master():
+    from types import SimpleNamespace
+    from chainsight.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=sc))
+
+
+def test_missing_scaler_fold_raises(spark, trained):
+    res, _ = trained
+    root = tempfile.mkdtemp(prefix="cs-ens-", dir="/tmp")
+    one = res.weights.select("symbol", "fold_id").first()
+    short = model.WalkForwardResult(res.results, res.models, res.scalers.filter((F.col("symbol") != one[0]) | (F.col("fold_id") != one[1])),
+                                    res.weights, res.features, res.plan, res.members)
+    model.export_ensemble(short, root)
+    with pytest.raises(FileNotFoundError):
+        model.load_ensemble(spark, root)
+    model.export_ensemble(res, root)
+    assert model.load_ensemble(spark, root)[0] == res.features
 
 
 def test_tick_stream_matches_static(spark, sf):
@@ -109,6 +179,6 @@ def test_pipeline_engine_one_symbol(trained):
     _, ml = trained
     one = ml.filter(F.col("symbol") == "1-URGENT")
     cols = [c for c in ml.columns if c not in ("symbol", "quote_date", "label", "fwd_ret_1d", "y")]
-    res = model.train_walkforward(one, cols, classifier="forest", parallelism=8)
+    res = model.train_walkforward(one, cols, classifier="forest", parallelism=8, n_trees=30)
     assert res.results.count() > 0 and len(res.models) > 0
     assert model.feature_importance(res).count() == len(cols)
