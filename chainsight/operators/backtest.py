@@ -117,7 +117,7 @@ def daily_pnl(df: DataFrame, by: list[str] | None = None, date_col: str = "quote
     out = (df.withColumn("strat_ret", F.col(position_col) * F.col(ret_col))
            .dropna(subset=["strat_ret", ret_col]))
     out = equity_curve(out, "strat_ret", "strat_equity", by, date_col, bucket)
-    return equity_curve(out, ret_col, "spy_equity", by, date_col, bucket)
+    return equity_curve(out, ret_col, "benchmark_equity", by, date_col, bucket)
 
 
 # ---------------------------------------------------------------- performance

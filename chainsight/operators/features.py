@@ -84,8 +84,8 @@ def _strike_table(front: DataFrame) -> DataFrame:
         F.sum("iv").alias("iv_sum"), F.count("iv").alias("iv_n"))
 
 
-def max_pain(strikes: DataFrame) -> DataFrame:
-    """F7 by prefix sums over strikes (no strike x strike join).
+def _pain(strikes: DataFrame) -> DataFrame:
+    """The strike table with the pain of settling at each strike, by prefix sums (no strike x strike join).
 
     pain(K) = K * Cc(<=K) - Cw(<=K) + (Pw_tot - Pw(<=K)) - K * (Pc_tot - Pc(<=K)),
     Cc/Cw cumulative call OI and OI * strike, Pc/Pw the same for puts.
@@ -99,8 +99,15 @@ def max_pain(strikes: DataFrame) -> DataFrame:
         "_pc": F.sum(po).over(run), "_pw": F.sum(po * k).over(run),
         "_pct": F.sum(po).over(tot), "_pwt": F.sum(po * k).over(tot)})
     pain = k * F.col("_cc") - F.col("_cw") + (F.col("_pwt") - F.col("_pw")) - k * (F.col("_pct") - F.col("_pc"))
-    return (s.withColumn("pain", pain).groupBy(*DAY)
-            .agg(F.min_by("strike", F.struct("pain", "strike")).alias("max_pain_strike")))
+    return s.withColumn("pain", pain)
+
+
+_MAX_PAIN = ("strike", ("pain", "strike"))
+
+
+def max_pain(strikes: DataFrame) -> DataFrame:
+    """the strike of least pain per (symbol, day), ties to the lower strike."""
+    return _pain(strikes).groupBy(*DAY).agg(F.min_by(_MAX_PAIN[0], F.struct(*_MAX_PAIN[1])).alias("max_pain_strike"))
 
 
 def chain_features(chain: DataFrame, spot: DataFrame) -> DataFrame:
@@ -125,18 +132,18 @@ def chain_features(chain: DataFrame, spot: DataFrame) -> DataFrame:
                  F.when(front & is_p & F.col("delta").isNotNull(), F.struct(delta_gap, F.col("strike")))).alias("_put_iv"),
         F.min_by(F.when(front & is_c, F.col("iv")),
                  F.when(front & is_c & F.col("delta").isNotNull(), F.struct(delta_gap, F.col("strike")))).alias("_call_iv"),
+        F.max_by(F.when(front & is_c, F.col("strike")),
+                 F.when(front & is_c, F.struct(F.col("oi"), -dist, -F.col("strike")))).alias("_kc"),
+        F.max_by(F.when(front & is_p, F.col("strike")),
+                 F.when(front & is_p, F.struct(F.col("oi"), -dist, -F.col("strike")))).alias("_kp"),
     )
-    fr = c.filter(front)
-    walls = fr.groupBy(*DAY).agg(
-        F.max_by(F.when(is_c, F.col("strike")), F.when(is_c, F.struct(F.col("oi"), -dist, -F.col("strike")))).alias("_kc"),
-        F.max_by(F.when(is_p, F.col("strike")), F.when(is_p, F.struct(F.col("oi"), -dist, -F.col("strike")))).alias("_kp"))
-    st = _strike_table(fr)
-    conc = st.groupBy(*DAY).agg(
+    # windows and aggregate of the strike table share one partitioning by (symbol, day)
+    strikes = _pain(_strike_table(c.filter(front))).groupBy(*DAY).agg(
+        F.min_by(_MAX_PAIN[0], F.struct(*_MAX_PAIN[1])).alias("max_pain_strike"),
         F.try_divide(F.sum(F.col("oi") * F.col("oi")), F.pow(F.sum("oi"), 2)).alias("oi_concentration"),
         F.min_by(F.try_divide(F.col("iv_sum"), F.col("iv_n").cast("double")),
                  F.struct(F.abs(F.col("strike") - F.col("S")), F.col("strike"))).alias("atm_iv"))
-    mp = max_pain(st)
-    out = base.join(walls, DAY, "left").join(conc, DAY, "left").join(mp, DAY, "left")
+    out = base.join(strikes, DAY, "left")
     Sx = F.col("S")
     out = out.withColumns({
         "call_wall_dist_pct": F.try_divide(F.col("_kc") - Sx, Sx),

@@ -63,18 +63,20 @@ def train_grouped(train_rows: DataFrame, features: list[str], keys=("symbol", "f
                   l2: float = 0.01, max_iter: int = 50) -> DataFrame:
     """Fit one softmax regression per (symbol, fold) group; returns (keys..., n_train, n_iter, coef).
 
-    ``train_rows`` carries standardised columns ``z_<feature>`` and the class id ``y``.
+    ``train_rows`` carries standardised columns ``z_<feature>`` and the class id ``y``; a missing
+    standardised value counts as 0, the feature's mean. ``converged`` tells whether Newton's
+    steps fell below the tolerance before the last allowed one.
     ``coef`` is the flattened (3, d + 1) matrix, class-major, intercept first.
     """
     zcols = [f"z_{c}" for c in features]
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in train_rows.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n_train bigint, n_iter int, coef array<double>"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n_train bigint, n_iter int, converged boolean, coef array<double>"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         w, it = fit_softmax(pdf[zcols].to_numpy(dtype=float), pdf["y"].to_numpy(), l2, max_iter)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n_train": [len(pdf)],
-                             "n_iter": [it], "coef": [w.reshape(-1).tolist()]})
+                             "n_iter": [it], "converged": [it < max_iter], "coef": [w.reshape(-1).tolist()]})
 
     return train_rows.select(*keys, "y", *zcols).groupBy(*keys).applyInPandas(fit, schema)
 

@@ -1,8 +1,7 @@
 """Feature statistics: correlations, mutual information, histograms.
 
 Every statistic is computed from partial aggregates (sums, counts,
-min/max): a wide table is unpivoted to (feature, value[, label]) and
-grouped by small keys, so no feature column is ever gathered into one task.
+min/max) grouped by small keys, so no feature column is ever gathered into one task.
 """
 
 from __future__ import annotations
@@ -22,20 +21,41 @@ def corr_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson r for every pair i < j, pairwise complete (a row with a NULL in either
     column is skipped for that pair), returned long (feature_a, feature_b, r).
 
-    Each row is exploded into one (pair, x, y) record per pair and grouped by
-    pair: three small aggregates whose partial (map-side) state is one row
-    per pair and task, instead of one very wide aggregate whose planning and
-    code generation dominate. r = covar_pop / (std_pop x * std_pop y), NULL
-    for a constant column (ANSI-safe, no division error).
+    Each task sums its rows' products as matrices and emits one row per pair, whatever the number of rows; these
+    few rows are summed by pair. Sums are taken about the features' means (one small
+    aggregate before) for precision. r is NULL for a constant column.
     """
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    # one SQL generator expression: building hundreds of Column objects through py4j costs seconds
-    args = ", ".join(f"'{a}', '{b}', CAST(`{a}` AS DOUBLE), CAST(`{b}` AS DOUBLE)" for a, b in pairs)
-    long = (df.selectExpr(f"stack({len(pairs)}, {args}) AS (feature_a, feature_b, x, y)")
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    out = long.groupBy("feature_a", "feature_b").agg(
-        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
-    return out.withColumn("r", F.when(F.isnan("r"), None).otherwise(F.col("r")))
+    shift = list(df.select([F.coalesce(F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))), F.lit(0.0)).alias(c) for c in features]).first())
+    names = list(features)
+    cols = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+        d = len(names)
+        total = np.zeros((6, d, d))
+        for batch in batches:
+            here = np.stack([batch.column(i).is_valid().to_numpy(zero_copy_only=False) for i in range(d)], axis=1).astype(float)
+            x = np.stack([batch.column(i).fill_null(m).to_numpy(zero_copy_only=False) for i, m in enumerate(shift)], axis=1) - np.array(shift)
+            # a NULL became the shift, so its difference is 0 and adds nothing but in the counts of ``here``
+            x2 = x * x
+            total += np.stack([here.T @ here, x.T @ here, here.T @ x, x2.T @ here, here.T @ x2, x.T @ x])
+        i, j = np.triu_indices(d, 1)
+        yield pa.RecordBatch.from_arrays([pa.array([names[a] for a in i], pa.string()), pa.array([names[b] for b in j], pa.string()),
+                                          *[pa.array(t[i, j]) for t in total]], names=["feature_a", "feature_b", *cols])
+
+    src = df.select([F.col(c).cast("double").alias(c) for c in features])
+    part = src.mapInArrow(sums, "feature_a string, feature_b string, " + ", ".join(f"{c} double" for c in cols))
+    g = part.groupBy("feature_a", "feature_b").agg(*[F.sum(c).alias(c) for c in cols])
+    means = F.create_map(*[F.lit(x) for c, m in zip(names, shift) for x in (c, float(m))])
+
+    def var(s, ss, feature):  # a spread below the rounding of the values is none
+        v = F.try_divide(F.col(ss), F.col("n")) - F.pow(F.try_divide(F.col(s), F.col("n")), 2)
+        return F.when(v > 1e-24 * F.pow(means[F.col(feature)], 2), v)
+
+    cov = F.try_divide(F.col("sxy"), F.col("n")) - F.try_divide(F.col("sx"), F.col("n")) * F.try_divide(F.col("sy"), F.col("n"))
+    r = F.try_divide(cov, F.sqrt(var("sx", "sxx", "feature_a") * var("sy", "syy", "feature_b")))
+    return g.select("feature_a", "feature_b", F.when(~F.isnan(r), r).alias("r"))
 
 
 def correlated_pairs(corr: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -223,10 +223,10 @@ def q_positions(spark, sf):
 @register("b1_daily_pnl", _RES_SQL + f"""
 SELECT symbol, quote_date, round(strat_ret, 6) AS strat_ret,
        round(product(1 + strat_ret) OVER (PARTITION BY symbol ORDER BY quote_date {_RUN}), 6) AS strat_equity,
-       round(product(1 + fwd_ret_1d) OVER (PARTITION BY symbol ORDER BY quote_date {_RUN}), 6) AS spy_equity
+       round(product(1 + fwd_ret_1d) OVER (PARTITION BY symbol ORDER BY quote_date {_RUN}), 6) AS benchmark_equity
 FROM bt""")
 def q_daily_pnl(spark, sf):
-    return round_doubles(_bt(spark, sf).select("symbol", "quote_date", "strat_ret", "strat_equity", "spy_equity"))
+    return round_doubles(_bt(spark, sf).select("symbol", "quote_date", "strat_ret", "strat_equity", "benchmark_equity"))
 
 
 @register("b2_performance", _RES_SQL + """,
@@ -1334,12 +1334,6 @@ def q_latest_row(spark, sf):
     return fx.px(spark, sf).orderBy(F.col("quote_date").desc(), F.col("symbol").desc()).limit(1)
 
 
-@register("s2_t3_latest_rows", with_views("px") + """
-SELECT symbol, max(quote_date) AS quote_date, arg_max(close, quote_date) AS close FROM px GROUP BY symbol""")
-def q_latest_rows(spark, sf):
-    return quality.latest_rows(fx.px(spark, sf)).select("symbol", "quote_date", "close")
-
-
 @register("t5_head", with_views("px") + """
 SELECT * FROM px ORDER BY quote_date, symbol LIMIT 5""")
 def q_head(spark, sf):
@@ -1465,3 +1459,103 @@ def q_context_columns(spark, sf):
     from ..config import DEFAULTS
     c = signals.context_columns(fx.proba(spark, sf))
     return c.select("symbol", "quote_date", *DEFAULTS.context_cols)
+
+
+# ---------------------------------------------------------------- checks on inputs that hit the rarer branches
+
+@register("p21_return_outliers_default", with_views("px") + f"""
+SELECT symbol, quote_date, round(ret, 6) AS ret_1d FROM (SELECT symbol, quote_date, c / lag(c) {_w()} - 1 AS ret
+  FROM (SELECT symbol, quote_date, CASE WHEN day(quote_date) = 15 THEN close * 1.1 ELSE close END AS c FROM px)) WHERE abs(ret) > 0.05""")
+def q_return_outliers_default(spark, sf):
+    """P21 at the default 5 %, on closes raised by a tenth on every 15th."""
+    p = fx.px(spark, sf)
+    p = p.withColumn("close", F.when(F.dayofmonth("quote_date") == 15, F.col("close") * 1.1).otherwise(F.col("close")))
+    return round_doubles(quality.return_outliers(p).select("symbol", "quote_date", "ret_1d"))
+
+
+@register("f22_history_gate_short", with_views("px", extra="""
+short AS (SELECT * FROM px WHERE symbol <> '3-MEDIUM' OR quote_date < DATE '1992-06-01')""") + """
+SELECT symbol, quote_date FROM short WHERE symbol IN (SELECT symbol FROM short GROUP BY symbol HAVING count(*) >= 270)""")
+def q_history_gate_short(spark, sf):
+    """F22 with one symbol whose history is too short."""
+    from ..operators import features
+    p = fx.px(spark, sf).filter((F.col("symbol") != "3-MEDIUM") | (F.col("quote_date") < "1992-06-01"))
+    return features.history_gate(p).select("symbol", "quote_date")
+
+
+_CONTEXT = ("sma_200", "ret_20d", "ret_60d", "vol_20d", "vol_5d", "daily_ret")
+
+
+def _with_context(df):
+    """All context columns, made of the close and the probabilities."""
+    return df.withColumns({"sma_200": F.col("close") * 0.98, "ret_20d": F.col("proba_up_ens") / 10, "ret_60d": F.col("proba_down_ens") / 5,
+                           "vol_20d": F.col("proba_flat_ens") / 3, "vol_5d": F.col("proba_flat_ens") / 7,
+                           "daily_ret": F.when(F.dayofmonth("quote_date") != 3, F.col("proba_up_ens") / 100)})
+
+
+_CONTEXT_SQL = ("close * 0.98 AS sma_200, proba_up_ens / 10 AS ret_20d, proba_down_ens / 5 AS ret_60d, proba_flat_ens / 3 AS vol_20d, "
+                "proba_flat_ens / 7 AS vol_5d, CASE WHEN day(quote_date) <> 3 THEN proba_up_ens / 100 END AS daily_ret")
+
+
+@register("p20_context_columns_all", with_views("proba", extra=f"""
+full_ AS (SELECT *, {_CONTEXT_SQL} FROM proba)""") + "SELECT symbol, quote_date, CAST(above_sma200 AS DOUBLE) AS above_sma200, CAST(vol_regime AS DOUBLE) AS vol_regime, "
+          + ", ".join(f"round({c}, 6) AS {c}" for c in _CONTEXT) + " FROM full_")
+def q_context_columns_all(spark, sf):
+    """P20 with every context column present."""
+    from ..operators import signals
+    from ..config import DEFAULTS
+    c = signals.context_columns(_with_context(fx.proba(spark, sf)))
+    return round_doubles(c.select("symbol", "quote_date", *DEFAULTS.context_cols))
+
+
+@register("a8_confusion_matrix_first_last", _EVAL_SQL + """,
+scoped AS (SELECT *, CASE WHEN fold_id = (SELECT min(fold_id) FROM ev) THEN 'first' ELSE 'last' END AS scope FROM ev
+           WHERE fold_id IN ((SELECT min(fold_id) FROM ev), (SELECT max(fold_id) FROM ev)))
+SELECT s.scope, l.label, CAST(count_if(pred_dir_ens = -1) AS BIGINT) AS pred_down, CAST(count_if(pred_dir_ens = 0) AS BIGINT) AS pred_flat,
+       CAST(count_if(pred_dir_ens = 1) AS BIGINT) AS pred_up
+FROM (SELECT DISTINCT scope FROM scoped) s CROSS JOIN (SELECT -1 AS label UNION ALL SELECT 0 UNION ALL SELECT 1) l
+LEFT JOIN scoped e ON e.scope = s.scope AND e.label = l.label GROUP BY 1, 2""")
+def q_confusion_matrix_first_last(spark, sf):
+    """A8 for the first and the last fold."""
+    from ..operators import evaluate
+    ev = _eval(spark, sf)
+    ends = ev.agg(F.min("fold_id").alias("a"), F.max("fold_id").alias("b"))
+    lo, hi = ends.select("a").scalar(), ends.select("b").scalar()
+    scope = F.when(F.col("fold_id") == lo, "first").when(F.col("fold_id") == hi, "last")
+    return evaluate.confusion_matrix(ev.withColumn("scope", scope).filter("scope is not null"), scope_col="scope")
+
+
+@register("j4_weights_zero_and_missing", with_views("members") + """
+SELECT symbol, quote_date, round(sum(w * p_down) / sum(w), 6) AS proba_down_ens, round(sum(w * p_flat) / sum(w), 6) AS proba_flat_ens,
+       round(sum(w * p_up) / sum(w), 6) AS proba_up_ens
+FROM members JOIN (VALUES (1, 0.5::DOUBLE), (4, 0.3::DOUBLE)) t(fold_id, w) USING (fold_id) GROUP BY 1, 2""")
+def q_weights_zero_and_missing(spark, sf):
+    """Fold 0 has weight zero, fold 2 has none, the others are renormalised."""
+    from ..operators import signals
+    w = spark.createDataFrame([(0, 0.0), (1, 0.5), (4, 0.3)], "fold_id int, weight double")
+    return round_doubles(signals.ensemble_average(fx.members(spark, sf), w, ["symbol", "quote_date"]))
+
+
+@register("p17_zero_fill", with_views("proba") + """
+SELECT symbol, quote_date, CAST(day(quote_date) % 7 AS DOUBLE) AS f1, CASE WHEN day(quote_date) <> 13 THEN CAST(month(quote_date) % 3 AS DOUBLE) ELSE 0.0 END AS f2,
+       CAST(above_sma200 AS DOUBLE) AS above_sma200 FROM proba""")
+def q_zero_fill(spark, sf):
+    """Features are zero-filled, context columns keep their NULLs."""
+    from ..operators import walkforward as wf
+    return wf.zero_fill(fx.signal_features(spark, sf), ["f1", "f2"]).select("symbol", "quote_date", "f1", "f2", "above_sma200")
+
+
+@register("k6_signal_report_all", _RES_SQL + f""",
+full_ AS (SELECT r.*, c.* EXCLUDE (symbol, quote_date) FROM res r JOIN (SELECT symbol, quote_date, {_CONTEXT_SQL} FROM proba) c
+          ON c.symbol = r.symbol AND c.quote_date = r.quote_date)
+SELECT quote_date AS "Date", symbol AS "Symbol", CASE signal_dir WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' ELSE 'FLAT' END AS "Signal",
+       round(proba_up_ens, 4) AS "P(Up)", round(proba_flat_ens, 4) AS "P(Flat)", round(proba_down_ens, 4) AS "P(Down)",
+       above_sma200 AS "Above SMA200", vol_regime AS "Vol Regime", round(ret_20d, 4) AS "Ret 20D", round(ret_60d, 4) AS "Ret 60D",
+       round(vol_20d, 4) AS "Vol 20D", round(vol_5d, 4) AS "Vol 5D", round(daily_ret, 4) AS "Daily Ret", round(sma_200, 6) AS "SMA 200"
+FROM full_""")
+def q_signal_report_all(spark, sf):
+    """K6 with all 14 columns."""
+    from ..operators import signals
+    r = _with_context(_results(spark, sf)).select("quote_date", "symbol", "signal_dir", "proba_up_ens", "proba_flat_ens",
+                                                  "proba_down_ens", "above_sma200", "vol_regime", *_CONTEXT)
+    return round_doubles(signals.signal_report(r))

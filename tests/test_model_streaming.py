@@ -25,6 +25,7 @@ def test_walkforward_results_and_properties(trained):
     assert r.filter(F.col("train_end") >= F.col("test_start")).count() == 0
     w = res.weights.groupBy("symbol").agg(F.sum("weight").alias("s")).collect()
     assert all(abs(x["s"] - 1) < 1e-12 for x in w)
+    assert res.models.filter("not converged").count() == 0
     imp = model.feature_importance(res)
     assert imp.count() == len(res.features) * r.select("symbol").distinct().count()
 
