@@ -70,4 +70,51 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_license_scan, op3_chat_formatting, op4_simhash_pivots, op5_mtree_search,
                                    op6_nnls_packing, op7_cdc_dedup, op8_label_propagation, op9_ipf_mixing, op10_edit_counts)}
-ORACLE: dict[str, str] = {}
+# ---------------------------------------------------------------- DuckDB SQL, where SQL can express a query
+
+_TAIL = "\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|s>|/s>|SYS>|/SYS>|INST\\]|/INST\\]"
+
+_OP3 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '([<\\[])(\\\\*)({_TAIL})', '\\1\\2\\\\\\3', 'g')) + length('<|im_end|>') + 1 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+_OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) AS BIGINT) AS score
+      FROM v q, v x WHERE q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+def _op9(mix: op9_mixing.Mix = op9_mixing.Mix()) -> str:
+    """The raking unrolled: one step a marginal and sweep."""
+    steps, last = [], "seed"
+    for i in range(mix.sweeps):
+        for d in op9_mixing.DIMS:
+            steps.append(f"s{i}_{d} AS (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * goal_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM {last})")
+            last = f"s{i}_{d}"
+    goals = ", ".join(f"g{d} AS (SELECT {d}, p / sum(p) OVER () * (SELECT sum(tokens) FROM cells) AS goal_{d} FROM (SELECT {d}, pow(sum(tokens)::DOUBLE, {mix.alpha}) AS p FROM cells GROUP BY {d}))" for d in op9_mixing.DIMS)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0) AS tokens,
+  CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'empty' WHEN regexp_matches(text, '(?i)licen[sc]e|rights reserved|copyright') THEN 'legal'
+       WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[#*$%&]{{3}}') THEN 'symbols' WHEN contains(text, '@') OR contains(text, 'http') THEN 'contact'
+       ELSE 'prose' END AS topic FROM documents),
+cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY 1, 2, 3 HAVING sum(tokens) > 0),
+{goals},
+seed AS (SELECT cells.*, goal_source, goal_lang, goal_topic, tokens::DOUBLE AS w FROM cells JOIN gsource USING (source) JOIN glang USING (lang) JOIN gtopic USING (topic)),
+{", ".join(steps)},
+r AS MATERIALIZED (SELECT source, lang, topic, w / tokens AS ratio FROM {last}),
+p AS (SELECT source, lang, topic, round(ratio / (SELECT max(ratio) FROM r), 9) AS probability FROM r)
+SELECT doc_id, d.source, d.lang, d.topic, d.tokens, round(coalesce(probability, 1.0), 6) AS probability,
+       ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-1') || ':{mix.seed}'), 1, 13))::BIGINT / 4503599627370496.0 < coalesce(probability, 1.0) AS kept
+FROM d LEFT JOIN p USING (source, lang, topic)"""
+
+
+ORACLE = {"op3_chat_formatting": _OP3, "op5_mtree_search": _OP5, "op9_ipf_mixing": _op9()}
