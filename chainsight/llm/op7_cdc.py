@@ -16,6 +16,7 @@ repeats within one document goes too; an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,14 @@ from .common import written
 @dataclass(frozen=True)
 class Chunks:
     """radius: bytes on either side that a boundary's hash is the largest of; min_words: whole-chunk words of
-    a repeated run that make it a passage; most: longest chunk in bytes."""
+    a repeated run that make it a passage; most: longest chunk in bytes; parts: tasks that a common digest's rows
+    are dealt over; sample, share: one document in ``sample`` tells which digests are in more than ``share`` of all."""
     radius: int = 16
     min_words: int = 20
     most: int = 4000
+    parts: int = 64
+    sample: int = 32
+    share: float = 0.002
 
 
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 11) & 0xFFFF for b in range(256)], np.uint16)
@@ -105,9 +110,10 @@ def _pack(start, length, words):
     return (start << (_LEN + _WORDS)) | (length << _WORDS) | words
 
 
-def _chunks(it, settings):
+def _chunks(it, settings, common=frozenset()):
     for batch in it:
-        doc, digest, meta, more = [], [], [], []
+        ids = batch.column(0).to_pylist()
+        doc, digest, meta, more, salt = [], [], [], [], []
         for i, b in enumerate(batch.column(1).to_pylist()):
             if not b:
                 continue
@@ -124,27 +130,50 @@ def _chunks(it, settings):
             digest += own
             meta += [m[0] for m in own.values()]
             more += [m[1:] or None for m in own.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), batch.column(0).take(pa.array(doc, pa.int64())), pa.array(meta, pa.int64()), pa.array(more, pa.list_(pa.int64()))], names=["digest", "doc_id", "meta", "more"])
+            deal = crc32(str(ids[i]).encode()) % settings.parts + 1
+            salt += [deal if d in common else 0 for d in own]
+        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), batch.column(0).take(pa.array(doc, pa.int64())), pa.array(meta, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array(salt, pa.int32())], names=["digest", "doc_id", "meta", "more", "salt"])
 
 
-def chunk_table(docs: DataFrame, settings: Chunks = Chunks()) -> DataFrame:
-    """(digest, doc_id, meta, more) of every chunk of the documents that have a doc_id: one row for each digest of
-    a document, with its first place and its further ones, so text that repeats itself makes few rows."""
+def chunk_table(docs: DataFrame, settings: Chunks = Chunks(), common=None) -> DataFrame:
+    """(digest, doc_id, meta, more, salt) of every chunk of the documents that have a doc_id: one row for each digest of
+    a document, with its first place and its further ones, so text that repeats itself makes few rows. The rows of
+    a digest in ``common`` (a broadcast set) are dealt over salts from 1; salt is 0 elsewhere."""
     src = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("b"))
-    return src.mapInArrow(lambda it: _chunks(it, settings), "digest long, doc_id long, meta long, more array<long>")
+    return src.mapInArrow(lambda it: _chunks(it, settings, common.value if common else frozenset()), "digest long, doc_id long, meta long, more array<long>, salt int")
+
+
+def common_digests(docs: DataFrame, settings: Chunks = Chunks()) -> frozenset:
+    """Digests in more than ``share`` of the documents of a hash sample: at most the chunks of a document over
+    ``share``, whatever the corpus. They only say which rows are dealt over several tasks; no result depends on them."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(settings.sample)) == 0)
+    n = some.count()
+    seen = chunk_table(some, settings).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    return frozenset(r[0] for r in seen.filter(F.col("n") > max(20.0, settings.share * n)).select("digest").collect())
 
 
 def passages(docs: DataFrame, settings: Chunks = Chunks()) -> DataFrame:
     """(doc_id, start_byte, end_byte, n_words, source_doc_id): the repeated passages to remove, each with the
-    document where the chunk that is the longest in it stays. One shuffle of chunk digests by digest; only
+    document that holds the longest of its chunks before. One shuffle of chunk digests by digest; only
     repeated chunks go on, by document."""
-    chunks = chunk_table(docs, settings)
-    same = Window.partitionBy("digest").orderBy("doc_id", "meta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a running minimum in sorted order: streams through a common digest's rows without holding them
-    first = F.min(F.struct("doc_id", "meta")).over(same)
+    common = docs.sparkSession.sparkContext.broadcast(common_digests(docs, settings))
+    chunks = chunk_table(docs, settings, common)
+    # a running minimum in sorted order, first within the salts of a common digest
+    place = F.struct("doc_id", "meta")
+    same = Window.partitionBy("digest", "salt").orderBy("doc_id", "meta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = chunks.withColumn("first", F.min(place).over(same))
+    if common.value:
+        # the firsts of a common digest's salts, one row each, meet; the other rows are repeats already
+        local = written(local.filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.meta") != F.col("meta")) | F.col("more").isNotNull() | (F.col("salt") > 0)), "repeated-chunks")
+        lead = (F.col("salt") > 0) & (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.meta") == F.col("meta"))
+        every = Window.partitionBy("digest").orderBy("doc_id", "meta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        met = local.filter(lead).withColumn("first", F.min(place).over(every))
+        chunks = local.filter(~lead).unionByName(met)
+    else:
+        chunks = local
     other = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.meta") != F.col("meta"))
     later = F.concat(F.when(other, F.array("meta")).otherwise(F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>")))
-    repeated = chunks.withColumn("first", first).filter(other | F.col("more").isNotNull()).select("doc_id", F.col("first.doc_id").alias("source"), F.explode(later).alias("meta")).select(
+    repeated = chunks.filter(other | F.col("more").isNotNull()).select("doc_id", F.col("first.doc_id").alias("source"), F.explode(later).alias("meta")).select(
         "doc_id", F.shiftright("meta", _LEN + _WORDS).alias("start"), F.shiftright("meta", _WORDS).bitwiseAND(F.lit((1 << _LEN) - 1)).alias("size"),
         F.col("meta").bitwiseAND(F.lit((1 << _WORDS) - 1)).alias("words"), "source").distinct()
     # neighbouring repeated chunks share (start - bytes of repeated chunks so far in the document)
