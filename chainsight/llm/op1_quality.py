@@ -207,7 +207,10 @@ def quality_verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with frequent lines taken out of their texts and n_chars renewed."""
-    cols = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = judge(docs, cols, limits=limits, clean_text=True).filter("kept")
-    have = {"text": F.col("__text").alias("text"), "n_chars": F.length("__text").cast("long").alias("n_chars")}
-    return out.select(*[have.get(c, F.col(c)) for c in docs.columns])
+    # under names of their own the columns cannot clash with the verdict's
+    own = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    src = docs.select(*[F.col(c).alias(n) for c, n in own.items()])
+    cols = [n for c, n in own.items() if c not in ("text", "n_chars")]
+    out = judge(src, cols, host=own["source"], text=own["text"], limits=limits, clean_text=True).filter("kept")
+    have = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return out.select(*[have.get(c, F.col(n)).alias(c) for c, n in own.items()])

@@ -114,10 +114,10 @@ def sampled(docs: DataFrame, keep: list[str], targets: dict[str, DataFrame] | No
     """``keep`` columns with __source, __lang, __topic, __tokens, __probability and __kept."""
     cells = written(cell_table(docs), "cells")
     goals = {d: (targets or {}).get(d) or targets_of(cells, d, mix.alpha) for d in DIMS}
-    p = written(probabilities(rake(cells, goals, mix)), "probabilities").select(*[F.col(d).alias(f"_{d}") for d in DIMS], "probability")
+    p = written(probabilities(rake(cells, goals, mix)), "probabilities").select(*[F.col(d).alias(f"__p_{d}") for d in DIMS], F.col("probability").alias("__p"))
     rows = with_cells(docs)
-    joined = rows.join(p, [F.col(f"__{d}") == F.col(f"_{d}") for d in DIMS], "left")  # broadcast only if AQE finds it small
-    prob = F.coalesce("probability", F.lit(1.0))
+    joined = rows.join(p, [F.col(f"__{d}") == F.col(f"__p_{d}") for d in DIMS], "left")  # broadcast only if AQE finds it small
+    prob = F.coalesce("__p", F.lit(1.0))
     return joined.withColumn("__probability", prob).withColumn("__kept", draw(F.col("doc_id"), mix.seed) < F.col("__probability")).select(*keep, *[f"__{d}" for d in DIMS], "__tokens", "__probability", "__kept")
 
 

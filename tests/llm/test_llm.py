@@ -21,7 +21,7 @@ from chainsight.llm.common import components, ranked
 from chainsight.llm.tokens import default_paths, encoder
 
 SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, digest string, unit string, grp string, rank string, host string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, digest string, unit string, grp string, rank string, host string, kept string, probability string, first string, salt string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
@@ -49,8 +49,8 @@ def texts():
 
 @pytest.fixture(scope="module")
 def docs(spark, texts):
-    rows = [(i, t, ["en", "de", None][n % 3], ["a", "a", "b", None][n % 4], len(t or ""), "x", "x", "x", "x", "x", "x") for n, (i, t) in enumerate(texts)]
-    rows += [(403, "One", "en", "a", 3, *"xxxxxx"), (None, "no id", "en", "a", 5, *"xxxxxx"), (None, None, None, None, None, *[None] * 6)]
+    rows = [(i, t, ["en", "de", None][n % 3], ["a", "a", "b", None][n % 4], len(t or ""), *["x"] * 10) for n, (i, t) in enumerate(texts)]
+    rows += [(403, "One", "en", "a", 3, *"xxxxxxxxxx"), (None, "no id", "en", "a", 5, *"xxxxxxxxxx"), (None, None, None, None, None, *[None] * 10)]
     return spark.createDataFrame(rows, DOCS).repartition(5).cache()
 
 
@@ -118,11 +118,11 @@ def test_quality_measures(docs, texts):
 
 def test_frequent_lines_count_documents_not_copies(spark):
     rng = random.Random(2)
-    rows_ = [(i, f"Shared LINE 7 here\n{prose(rng, 12)}", "en", "h", 0, *"xxxxxx") for i in range(30)]
+    rows_ = [(i, f"Shared LINE 7 here\n{prose(rng, 12)}", "en", "h", 0, *"xxxxxxxxxx") for i in range(30)]
     copy = "\n".join(prose(rng, 20) for _ in range(3))
-    rows_ += [(100 + i, copy, "en", "h", 0, *"xxxxxx") for i in range(60)]
-    rows_ += [(200 + i, f"shared line 9   here\n{prose(rng, 12)}", "en", "small", 0, *"xxxxxx") for i in range(4)]
-    rows_ += [(300, "shared line 1 here\n" * 12 + "own", "en", "h", 0, *"xxxxxx")]
+    rows_ += [(100 + i, copy, "en", "h", 0, *"xxxxxxxxxx") for i in range(60)]
+    rows_ += [(200 + i, f"shared line 9   here\n{prose(rng, 12)}", "en", "small", 0, *"xxxxxxxxxx") for i in range(4)]
+    rows_ += [(300, "shared line 1 here\n" * 12 + "own", "en", "h", 0, *"xxxxxxxxxx")]
     d = spark.createDataFrame(rows_, DOCS)
     limits = op1_quality.Limits(share=0.1, least=5)
     often = rows(op1_quality.frequent_lines(d, limits=limits).select("host", "line", "n_docs"))
@@ -470,6 +470,18 @@ def test_every_planted_passage_of_51_words_is_caught(spark):
     assert not any(i % 2 == 0 for i in hit) and len(hit) >= 299
 
 
+def test_common_chunks_are_dealt_over_tasks_with_the_same_result(spark):
+    rng = random.Random(21)
+    passage = prose(rng, 40)
+    data = [(i, f"{prose(rng, 15)}\n{passage}\n{prose(rng, 12)}") for i in range(1500)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    salted, plain = op7_cdc.Chunks(sample=4, parts=7), op7_cdc.Chunks(share=2.0)
+    assert len(op7_cdc.common_digests(d, salted)) > 3 and not op7_cdc.common_digests(d, plain)
+    span = lambda s: {(r.doc_id, r.start_byte, r.end_byte, r.n_words) for r in op7_cdc.passages(d, s).collect()}
+    got = span(salted)
+    assert got == span(plain) and {x[0] for x in got} == set(range(1, 1500))
+
+
 def test_spans_never_break_a_character():
     text = "aé漢b".encode()
     for s in range(len(text) + 1):
@@ -538,7 +550,7 @@ def test_raking_meets_the_marginals(spark, docs):
 
 def test_sampling_is_calibrated_and_total(spark, docs, empty):
     rng = random.Random(4)
-    data = [(i, prose(rng, 20), "en", "a" if i % 4 else "b", 0, *"xxxxxx") for i in range(4000)]
+    data = [(i, prose(rng, 20), "en", "a" if i % 4 else "b", 0, *"xxxxxxxxxx") for i in range(4000)]
     d = spark.createDataFrame(data, DOCS)
     given = {"source": spark.createDataFrame([("a", 1.0), ("b", 1.0), ("absent", 7.0)], "source string, share double")}
     out = op9_mixing.sampled(d, ["doc_id"], given).toPandas()
