@@ -2,7 +2,7 @@
 
 Tokens are white-space words. Documents fall into cells (source, language, topic); the cells' token sums are the
 seed table, pre-aggregated map-side, so a hot source costs one row a task. A sweep scales the cells to each
-marginal's target in turn. The targets are the corpus's own marginals raised to ``alpha`` and
+marginal's target in turn, by sums that are pre-aggregated and joined back, and is written. The targets are the corpus's own marginals raised to ``alpha`` and
 normalised (``alpha`` below 1 lifts small categories), or given tables (category, share). A document
 is kept with probability ratio / largest ratio, ratio being its cell's raked over its actual tokens:
 the kept tokens then have the raked marginals in expectation, at the largest rate that needs no copy of any
@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import written
 
@@ -30,7 +29,7 @@ DIMS = ["source", "lang", "topic"]
 
 @dataclass(frozen=True)
 class Mix:
-    """alpha: exponent of the targets; sweeps: most sweeps; every: sweeps between written tables; close: largest
+    """alpha: exponent of the targets; sweeps: most sweeps; every: sweeps between tests of the fit; close: largest
     relative miss of a marginal that counts as fitted; seed: of the draw."""
     alpha: float = 0.9
     sweeps: int = 24
@@ -81,12 +80,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], mix: Mix = Mix()) -> D
         whole = float(here.agg(F.sum("share")).first()[0] or 1)
         goal = goal.join(here.select(d, (F.col("share") / whole * total).alias(f"goal_{d}")), d, "left").fillna({f"goal_{d}": 0.0})
     state = written(goal.withColumn("w", F.col("tokens").cast("double")), "cells")
-    for _ in range(0, mix.sweeps, mix.every):
-        for _ in range(mix.every):
-            for d in DIMS:
-                have = F.sum("w").over(Window.partitionBy(d))  # cells of one category: bounded by the other two marginals
-                state = state.withColumn("w", F.when(have > 0, F.col("w") * F.col(f"goal_{d}") / have).otherwise(F.lit(0.0)))
+    cols = state.columns
+    for sweep in range(1, mix.sweeps + 1):
+        for d in DIMS:
+            # a category's sum is pre-aggregated and joined back: a language with a third of all cells gathers nowhere
+            have = state.groupBy(F.col(d).alias("__d")).agg(F.sum("w").alias("__have"))
+            scaled = F.when(F.col("__have") > 0, F.col("w") * F.col(f"goal_{d}") / F.col("__have")).otherwise(F.lit(0.0))
+            state = state.join(have, F.col(d) == F.col("__d")).withColumn("w", scaled).select(*cols)
         state = written(state, "cells")
+        if sweep % mix.every:
+            continue
         miss = None
         for d in DIMS:
             one = state.groupBy(d).agg(F.sum("w").alias("have"), F.max(f"goal_{d}").alias("goal")).select(F.max(F.abs(F.col("have") / F.col("goal") - 1)).alias("miss"))
