@@ -55,9 +55,10 @@ _HINT = "(?i)licen[sc]|copyright|rights reserved|public domain|creative commons|
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: most corpus paragraphs trained on; variants: training variants of each template;
+    """sample: most corpus paragraphs trained on; sample_chars: characters of each that training sees; variants: training variants of each template;
     bits: hashed feature space; sure, like: thresholds of probability and of template likeness."""
     sample: int = 4000
+    sample_chars: int = 400
     variants: int = 60
     bits: int = 15
     sure: float = 0.6
@@ -165,11 +166,12 @@ def train(plain: list[bytes], settings: Settings = Settings()) -> Model:
 
 
 def plain_sample(docs: DataFrame, settings: Settings = Settings()) -> list[bytes]:
-    """Bounded training sample: the first lines without licence words, of documents in the order of a hash.
-    Only documents whose hash falls below some three times the sample are sorted at all."""
+    """Bounded training sample: a paragraph without licence words, picked by a hash, of documents in the order of
+    another hash. Only documents whose hash falls below some three times the sample are sorted at all."""
     n = docs.count()
-    line = F.element_at(F.split(F.col("text").cast("string"), "\n"), 1)
-    lines = docs.select(F.substring(line, 1, 400).alias("line"), F.xxhash64("doc_id", F.lit(settings.seed)).alias("h"))
+    lines = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: F.trim(x) != "")
+    one = F.get(lines, F.pmod(F.xxhash64("doc_id", F.lit(settings.seed + 1)), F.greatest(F.size(lines), F.lit(1))).cast("int"))
+    lines = docs.select(F.substring(one, 1, settings.sample_chars).alias("line"), F.xxhash64("doc_id", F.lit(settings.seed)).alias("h"))
     rows = lines.filter(F.pmod("h", F.lit(max(n, 1))) < 3 * settings.sample).filter(~F.col("line").rlike(_HINT)).orderBy("h", "line").limit(settings.sample).select("line").collect()
     return [r[0].encode() for r in rows]
 
