@@ -29,6 +29,23 @@ def _running(by, date_col="quote_date"):
     return _series_window(by, date_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def lagged(df: DataFrame, value: Column, out_col: str, by: list[str], date_col: str = "quote_date",
+           bucket: str | None = None) -> DataFrame:
+    """The previous row's ``value`` in date order. With ``bucket`` (a ``date_trunc`` unit) a window holds one
+    (series, bucket); the first row of a bucket takes the last value of the bucket before it."""
+    if bucket is None:
+        return df.withColumn(out_col, F.lag(value, 1).over(_series_window(by, date_col)))
+    b = df.withColumns({"_b": _bucket(date_col, bucket), "_v": value})
+    w = _series_window(by + ["_b"], date_col)
+    b = b.withColumns({"_first": F.row_number().over(w) == 1, "_own": F.lag("_v", 1).over(w)})
+    last = b.groupBy(*by, "_b").agg(F.max_by(F.struct("_v"), date_col)["_v"].alias("_end"))
+    # one row per (series, bucket), bounded by the calendar
+    prev = last.withColumn("_prev", F.lag("_end", 1).over(Window.partitionBy(*by).orderBy("_b")))
+    return (b.join(prev.select(*by, "_b", "_prev"), by + ["_b"], "inner")
+            .withColumn(out_col, F.when(F.col("_first"), F.col("_prev")).otherwise(F.col("_own")))
+            .drop("_b", "_v", "_first", "_own", "_prev"))
+
+
 # ---------------------------------------------------------------- metric expressions
 
 def sharpe_expr(r: Column, periods: int | None = None) -> Column:
@@ -123,14 +140,14 @@ def daily_pnl(df: DataFrame, by: list[str] | None = None, date_col: str = "quote
 # ---------------------------------------------------------------- performance
 
 def _series_metrics(long: DataFrame, keys: list[str], date_col: str, with_win: bool = True,
-                    with_pf: bool = True, dim_col: str | None = "in_market") -> DataFrame:
+                    with_pf: bool = True, dim_col: str | None = "in_market", bucket: str | None = None) -> DataFrame:
     """Metrics of many series in one pass: windows for equity and drawdown, then one groupBy.
 
     ``long`` has keys..., date, r (return) and optionally ``dim_col`` (bool).
+    ``bucket`` selects the two-level windows of ``equity_curve`` and ``drawdown``.
     """
-    run = _running(keys, date_col)
-    eq = long.withColumn("_eq", F.product(1 + F.col("r")).over(run))
-    eq = eq.withColumn("_dd", (F.col("_eq") - F.max("_eq").over(run)) / F.max("_eq").over(run))
+    eq = equity_curve(long, "r", "_eq", keys, date_col, bucket)
+    eq = drawdown(eq, "_eq", keys, date_col, "_peak", "_dd", bucket)
     r = F.col("r")
     final = F.max_by("_eq", date_col)
     n = F.count(F.lit(1))
@@ -149,12 +166,14 @@ def _series_metrics(long: DataFrame, keys: list[str], date_col: str, with_win: b
 
 
 def performance(bt: DataFrame, by: list[str] | None = None, date_col: str = "quote_date",
-                position_col: str = "position_dir", ret_col: str = "fwd_ret_1d") -> DataFrame:
+                position_col: str = "position_dir", ret_col: str = "fwd_ret_1d",
+                bucket: str | None = None) -> DataFrame:
     """Strategy and benchmark metrics per symbol, as a long (symbol, series) table.
 
     Input is the output of ``daily_pnl``. Metrics: total return, annualised
     return final^(252/n) - 1, Sharpe, max drawdown, win rate, profit factor,
-    days in market (benchmark 1.0).
+    days in market (benchmark 1.0). ``bucket``: two-level windows, for very
+    long series (see ``equity_curve``).
     """
     by = by or ["symbol"]
     s = F.explode(F.array(
@@ -163,12 +182,13 @@ def performance(bt: DataFrame, by: list[str] | None = None, date_col: str = "quo
         F.struct(F.lit("benchmark").alias("series"), F.col(ret_col).alias("r"),
                  F.lit(True).alias("in_market"))))
     long = bt.select(*by, date_col, s.alias("_s")).select(*by, date_col, "_s.*")
-    return _series_metrics(long, by + ["series"], date_col)
+    return _series_metrics(long, by + ["series"], date_col, bucket=bucket)
 
 
 def filter_impact(results: DataFrame, bt: DataFrame, by: list[str] | None = None,
                   date_col: str = "quote_date", raw_dir_col: str = "pred_dir_ens",
-                  position_col: str = "position_dir", ret_col: str = "fwd_ret_1d") -> DataFrame:
+                  position_col: str = "position_dir", ret_col: str = "fwd_ret_1d",
+                  bucket: str | None = None) -> DataFrame:
     """Filtered strategy (``bt`` from daily_pnl) versus the raw ensemble direction.
 
     raw_ret = lag(pred_dir_ens) * fwd_ret_1d over the results, NULLs dropped.
@@ -176,21 +196,21 @@ def filter_impact(results: DataFrame, bt: DataFrame, by: list[str] | None = None
     dropped frame and its leading NULL counts as in market.
     """
     by = by or ["symbol"]
-    w = _series_window(by, date_col)
-    raw = (results.withColumn("r", F.lag(raw_dir_col, 1).over(w) * F.col(ret_col))
-           .dropna(subset=["r"]))
-    raw = raw.withColumn("in_market", F.coalesce(F.lag(raw_dir_col, 1).over(w) != 0, F.lit(True)))
+    raw = lagged(results, F.col(raw_dir_col), "_lag", by, date_col, bucket)
+    raw = raw.withColumn("r", F.col("_lag") * F.col(ret_col)).dropna(subset=["r"])
+    raw = lagged(raw, F.col(raw_dir_col), "_lag", by, date_col, bucket)
+    raw = raw.withColumn("in_market", F.coalesce(F.col("_lag") != 0, F.lit(True)))
     raw = raw.select(*by, date_col, F.lit("raw").alias("scenario"), "r", "in_market")
     filt = bt.select(*by, date_col, F.lit("filtered").alias("scenario"),
                      F.col("strat_ret").alias("r"), (F.col(position_col) != 0).alias("in_market"))
-    m = _series_metrics(filt.unionByName(raw), by + ["scenario"], date_col, with_win=False, with_pf=False)
+    m = _series_metrics(filt.unionByName(raw), by + ["scenario"], date_col, with_win=False, with_pf=False, bucket=bucket)
     return m.select(*by, "scenario", "ann_return", "sharpe", "max_drawdown", "days_in_market")
 
 
 def threshold_sensitivity(results: DataFrame, thresholds: list[float] | None = None,
                           by: list[str] | None = None, date_col: str = "quote_date",
                           dir_col: str = "pred_dir_ens", up="proba_up_ens", down="proba_down_ens",
-                          ret_col: str = "fwd_ret_1d") -> DataFrame:
+                          ret_col: str = "fwd_ret_1d", bucket: str | None = None) -> DataFrame:
     """Per threshold, direction zeroed when max(p_up, p_down) < thr, lagged, times return.
 
     The threshold fan-out is an ``explode`` of the (bounded) threshold list;
@@ -203,11 +223,10 @@ def threshold_sensitivity(results: DataFrame, thresholds: list[float] | None = N
         "threshold", F.explode(F.array(*[F.lit(float(x)) for x in thr])))
     gated = F.when(F.greatest(F.col(up), F.col(down)) < F.col("threshold"), 0).otherwise(F.col(dir_col))
     keys = by + ["threshold"]
-    w = _series_window(keys, date_col)
-    t = t.withColumn("_g", gated).withColumn("_lag", F.lag("_g", 1).over(w))
+    t = lagged(t, gated, "_lag", keys, date_col, bucket)
     cov = t.groupBy(*keys).agg(F.avg(F.coalesce(F.col("_lag") != 0, F.lit(True)).cast("double")).alias("coverage"))
     long = t.withColumn("r", F.col("_lag") * F.col(ret_col)).dropna(subset=["r"]).select(*keys, date_col, "r")
-    m = _series_metrics(long, keys, date_col, with_win=False, with_pf=False, dim_col=None)
+    m = _series_metrics(long, keys, date_col, with_win=False, with_pf=False, dim_col=None, bucket=bucket)
     return (m.join(cov, keys, "inner")
             .select(*keys, "ann_return", "sharpe", "max_drawdown", "coverage"))
 
@@ -217,7 +236,8 @@ def _d(x):
 
 
 def sub_periods(bt: DataFrame, periods: list[tuple[str, object, object]], min_rows: int = 20,
-                by: list[str] | None = None, date_col: str = "quote_date") -> DataFrame:
+                by: list[str] | None = None, date_col: str = "quote_date",
+                bucket: str | None = None) -> DataFrame:
     """B6 + J7: metrics per half-open [start, end) period (open ends allowed, periods may overlap).
 
     Period assignment explodes the small literal periods array and filters
@@ -232,7 +252,7 @@ def sub_periods(bt: DataFrame, periods: list[tuple[str, object, object]], min_ro
          .select(*by, date_col, "r", "_p.*")
          .filter((d >= F.coalesce(F.col("p_start"), d)) & (F.col("p_end").isNull() | (d < F.col("p_end")))))
     keys = by + ["period"]
-    m = _series_metrics(x, keys, date_col, with_win=True, with_pf=False, dim_col=None)
+    m = _series_metrics(x, keys, date_col, with_win=True, with_pf=False, dim_col=None, bucket=bucket)
     return m.filter(F.col("n_days") >= min_rows).select(*keys, "n_days", "ann_return", "sharpe",
                                                         "max_drawdown", "win_rate")
 

@@ -294,6 +294,29 @@ def q_threshold_sensitivity(spark, sf):
     return round_doubles(backtest.threshold_sensitivity(_results(spark, sf)))
 
 
+@register("b2_performance_two_level", ORACLE["b2_performance"])
+def q_performance_two_level(spark, sf):
+    """B2 with per-month windows: no task holds a whole series."""
+    from ..operators import backtest
+    bt = backtest.daily_pnl(_results(spark, sf), bucket="month")
+    return round_doubles(backtest.performance(bt, bucket="month"))
+
+
+@register("b4_filter_impact_two_level", ORACLE["b4_filter_impact"])
+def q_filter_impact_two_level(spark, sf):
+    """B4 with per-month windows, the lags too."""
+    from ..operators import backtest
+    res = _results(spark, sf)
+    return round_doubles(backtest.filter_impact(res, backtest.daily_pnl(res, bucket="month"), bucket="month"))
+
+
+@register("b5_threshold_two_level", ORACLE["b5_threshold_sensitivity"])
+def q_threshold_two_level(spark, sf):
+    """B5 with per-month windows, the lag too."""
+    from ..operators import backtest
+    return round_doubles(backtest.threshold_sensitivity(_results(spark, sf), bucket="month"))
+
+
 # Fixed sub-periods of the fixture calendar (half-open, overlapping like the reference's).
 FIXTURE_PERIODS = [
     ("before 1997", None, "1997-01-01"),

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_staged = threading.local()
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system and path object of ``path``, whatever store it is in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """The tables that ``cut_lineage`` writes inside (in this thread) are deleted at the end, after an error too.
+    For steps whose result stands elsewhere by then: a merge, a micro-batch."""
+    outer = getattr(_staged, "paths", None)
+    _staged.paths = []
+    try:
+        yield
+    finally:
+        for path in _staged.paths:
+            fs, p = file_system(spark, path)
+            fs.delete(p, True)
+        _staged.paths = outer
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table under the shared checkpoint directory and read it back.
 
@@ -66,5 +92,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    if getattr(_staged, "paths", None) is not None:
+        _staged.paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

@@ -18,7 +18,7 @@ from ..config import DEFAULTS
 from ..functions import columns as C
 from ..operators.chain import dedupe_last
 from ..operators.quality import last_stored_date
-from ..session import cut_lineage
+from ..session import cut_lineage, file_system, staging
 
 
 # ---------------------------------------------------------------- parsing
@@ -116,14 +116,8 @@ def _month(date_col: str) -> Column:
     return F.coalesce(F.date_format(date_col, "'m'yyyy_MM"), F.lit("none"))
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def table_exists(spark: SparkSession, root: str) -> bool:
-    fs, p = _fs(spark, root)
+    fs, p = file_system(spark, root)
     return fs.exists(p) and any(s.getPath().getName().startswith(f"{PART}=") for s in fs.listStatus(p))
 
 
@@ -154,22 +148,28 @@ def merge_keyed(new: DataFrame, root: str, keys: list[str], date_col: str = "quo
     spark = new.sparkSession
     if seq_col:
         new = dedupe_last(new, keys, seq_col)
-    new = cut_lineage(new.withColumn(PART, _month(date_col)))
-    if table_exists(spark, root):
-        months = new.select(PART).distinct()
-        stored = spark.read.parquet(root).join(F.broadcast(months), PART, "left_semi")
-        if seq_col:
-            new = dedupe_last(stored.unionByName(new), keys, seq_col)
-        else:
-            new = upsert(stored, new, keys, seq_col=None)
-        new = cut_lineage(new)
-    _put(new, root)
+    with staging(spark):
+        new = cut_lineage(new.withColumn(PART, _month(date_col)))
+        if table_exists(spark, root):
+            months = new.select(PART).distinct()
+            stored = spark.read.parquet(root).join(F.broadcast(months), PART, "left_semi")
+            if seq_col:
+                new = dedupe_last(stored.unionByName(new), keys, seq_col)
+            else:
+                new = upsert(stored, new, keys, seq_col=None)
+            new = cut_lineage(new)
+        _put(new, root)
 
 
 def replace_keyed(batch: DataFrame, root: str, date_col: str = "quote_date", symbol_col: str = "symbol") -> None:
     """K3 on disk: ``replace_range`` on the months between the batch's first and last date; a month that
     is left without rows is deleted after the others are in place."""
     spark = batch.sparkSession
+    with staging(spark):
+        _replace(spark, batch, root, date_col, symbol_col)
+
+
+def _replace(spark: SparkSession, batch: DataFrame, root: str, date_col: str, symbol_col: str) -> None:
     batch = cut_lineage(batch.withColumn(PART, _month(date_col)))
     if not table_exists(spark, root):
         return _put(batch, root)
@@ -181,6 +181,6 @@ def replace_keyed(batch: DataFrame, root: str, date_col: str = "quote_date", sym
     out = cut_lineage(replace_range(stored, batch, date_col, symbol_col))
     _put(out, root)
     for part in sorted(set(before) - {r[0] for r in out.select(PART).distinct().collect()}):
-        fs, p = _fs(spark, f"{root.rstrip('/')}/{PART}={part}")
+        fs, p = file_system(spark, f"{root.rstrip('/')}/{PART}={part}")
         fs.delete(p, True)
     return None

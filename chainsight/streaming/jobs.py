@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import chain
 from ..sources import sinks
-from ..session import cut_lineage
+from ..session import cut_lineage, staging
 
 # The feeds' columns.
 IV_COLUMNS = ["seq", "symbol", "trade_date", "expiration", "strike", "right_", "bid", "ask",
@@ -53,6 +53,10 @@ def chain_snapshot_stream(spark: SparkSession, iv_dir: str, oi: DataFrame, ohlc:
     raw = f"{out.rstrip('/')}_raw"
 
     def write(batch: DataFrame, epoch: int) -> None:
+        with staging(batch.sparkSession):
+            rebuild_days(batch)
+
+    def rebuild_days(batch: DataFrame) -> None:
         iv = cut_lineage(batch.withColumns({"seq": F.col("seq").cast("bigint"), "trade_date": F.to_date("trade_date")}))
         iv.hint("rebalance", "trade_date").write.mode("append").partitionBy("trade_date").parquet(raw)
         days = [r[0] for r in iv.select("trade_date").distinct().collect()]  # bounded by the calendar

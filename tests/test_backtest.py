@@ -95,3 +95,24 @@ def test_two_level_curves_equal_plain(spark):
     for k in a:
         for x, y in zip(a[k], b[k]):
             assert x == pytest.approx(y, rel=1e-12, abs=1e-12)
+
+
+def test_two_level_metrics_equal_plain(spark):
+    import random
+    rnd = random.Random(8)
+    data = [(s, D + dt.timedelta(days=i), rnd.choice([-1, 0, 1, None]), rnd.choice([-1, 0, 1]), rnd.random(), rnd.random(),
+             rnd.uniform(-0.03, 0.03) if rnd.random() > 0.1 else None)
+            for s, step in (("A", 1), ("B", 40)) for i in range(0, 400, step)]
+    df = spark.createDataFrame(data, "symbol string, quote_date date, pred_dir_ens int, position_dir int, "
+                                     "proba_up_ens double, proba_down_ens double, fwd_ret_1d double")
+    bt = backtest.daily_pnl(df)
+    per = [("all", None, None), ("late", D + dt.timedelta(days=100), None)]
+    for make, keys in ((lambda b: backtest.performance(bt, bucket=b), ["symbol", "series"]),
+                       (lambda b: backtest.filter_impact(df, bt, bucket=b), ["symbol", "scenario"]),
+                       (lambda b: backtest.threshold_sensitivity(df, [0.4, 0.8], bucket=b), ["symbol", "threshold"]),
+                       (lambda b: backtest.sub_periods(bt, per, min_rows=5, bucket=b), ["symbol", "period"])):
+        plain, two = ({tuple(r[k] for k in keys): r.asDict() for r in make(b).collect()} for b in (None, "month"))
+        assert plain and plain.keys() == two.keys()
+        for k, r in plain.items():
+            for c, x in r.items():
+                assert two[k][c] == (x if x is None or isinstance(x, str) else pytest.approx(x, rel=1e-9, abs=1e-12)), (k, c)

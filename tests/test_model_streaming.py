@@ -183,3 +183,21 @@ def test_pipeline_engine_one_symbol(trained):
     res = model.train_walkforward(one, cols, classifier="forest", parallelism=8, n_trees=30)
     assert res.results.count() > 0 and len(res.models) > 0
     assert model.feature_importance(res).count() == len(cols)
+
+
+def test_merges_leave_no_staging_tables(spark, tmp_path):
+    import os
+    from chainsight.session import ensure_checkpoint_dir
+    tables = os.path.join(ensure_checkpoint_dir(spark), "tables")
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    root = str(tmp_path / "px")
+    make = lambda v: spark.createDataFrame([(v, "A", "2024-01-02", float(v))], "seq long, symbol string, d string, close double").select(
+        "seq", "symbol", F.to_date("d").alias("quote_date"), "close")
+    for v in (1, 2):
+        sinks.merge_keyed(make(v), root, ["symbol", "quote_date"])
+    sinks.replace_keyed(make(3), root)
+    with pytest.raises(Exception):
+        sinks.merge_keyed(make(4).withColumn("close", F.raise_error(F.lit("broken")).cast("double")), root, ["symbol", "quote_date"])
+    assert [r["close"] for r in sinks.read_keyed(spark, root).collect()] == [3.0]
+    after = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    assert not {t for t in after - before if not t.startswith(".")}
