@@ -10,6 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -39,6 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(batches, column, most: int = 4 << 20):
+    """Arrow batches cut into parts of about ``most`` bytes of the texts in ``column`` (one row at least): what a
+    worker makes of a part is bounded by that, whatever the lengths of the texts."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // most
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
+
+
 def prefix_totals(counts: DataFrame, part: list[str], bucket: str, weight: str, out: str) -> DataFrame:
     """Exclusive running total of ``weight`` over ``bucket`` inside ``part``; ``counts`` has one
     row per (part, bucket), so a window holds at most as many rows as there are buckets."""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = re.compile(rb"[\x20\x09-\x0d]+")
@@ -88,7 +88,7 @@ def repeat_words(words: list[bytes], window: int) -> int:
 
 
 def _lines_of(batches):
-    for batch in batches:
+    for batch in small_batches(batches, 1):
         hosts, lines, keys = [], [], []
         for host, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not b:
@@ -164,7 +164,7 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
 
 def _judged(it, k, sets, limits, clean_text):
     """sets: frequent lines by host, or None where the batch itself has each row's own (last column)."""
-    for batch in it:
+    for batch in small_batches(it, k + 1):
         out, texts = [], []
         own = batch.column(k + 2).to_pylist() if sets is None else None
         for i, (host, b) in enumerate(zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist())):

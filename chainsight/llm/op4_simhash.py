@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, written
+from .common import components, small_batches, written
 
 PIVOTS = 16
 BUCKET_ROWS = 4096
@@ -57,7 +57,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def _fingerprints(it, shingle):
-    for batch in it:
+    for batch in small_batches(it, 1):
         f = np.fromiter((fingerprint(b, shingle) for b in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], names=["doc_id", "fp"])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, written
+from .common import ranked, small_batches, written
 from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -38,7 +38,7 @@ def cut(n: int, window: int) -> list[tuple[int, int]]:
 def _pieces(it, window, end, paths):
     encode = encoder(paths)
     tail = np.array([end], np.uint32)
-    for batch in it:
+    for batch in small_batches(it, 1):
         doc, rows, rests = [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
             ids = np.concatenate([encode(text), tail]) if text else tail

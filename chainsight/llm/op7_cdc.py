@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import written
+from .common import small_batches, written
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def _pack(start, length, words):
 
 
 def _chunks(it, settings, common=frozenset()):
-    for batch in it:
+    for batch in small_batches(it, 1):
         ids = batch.column(0).to_pylist()
         doc, digest, meta, more, salt = [], [], [], [], []
         for i, b in enumerate(batch.column(1).to_pylist()):
@@ -201,7 +201,7 @@ def remove_spans(b: bytes, spans) -> bytes:
 
 
 def _cleaned(it):
-    for batch in it:
+    for batch in small_batches(it, "__b"):
         texts = [None if b is None else b if not spans else remove_spans(b, [(x["start_byte"], x["end_byte"]) for x in spans]) for b, spans in zip(batch.column("__b").to_pylist(), batch.column("__spans").to_pylist())]
         keep = [i for i, n in enumerate(batch.schema.names) if n not in ("__b", "__spans")]
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(texts, pa.binary()).cast(pa.string())], names=[*[batch.schema.names[i] for i in keep], "__text"])
