@@ -652,3 +652,14 @@ def test_batches_without_rows():
     none = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["doc_id", "b"])
     assert list(op4_simhash._fingerprints([none], 3))[0].num_rows == 0
     assert list(op7_cdc._chunks([none], op7_cdc.Chunks()))[0].num_rows == 0
+
+
+def test_small_batches_lose_and_reorder_nothing():
+    import pyarrow as pa
+    from chainsight.llm.common import small_batches
+    texts = [b"a" * 10, None, b"", b"b" * 100, b"c", b"d" * 3, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.binary())], names=["i", "b"])
+    for column in (1, "b"):
+        parts = list(small_batches([batch, batch.slice(2, 3), batch.slice(0, 0)], column, most=8))
+        assert [r for p in parts for r in p.column(1).to_pylist()] == texts + texts[2:5]
+        assert len(parts) > 4 and all(p.schema == batch.schema for p in parts)
