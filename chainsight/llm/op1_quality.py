@@ -5,12 +5,11 @@ number of *distinct documents* holding a line is counted. Lines above the host's
 removed; a document left with too little of its words is rejected as depleted.
 
 Distinct documents: copies of one text say nothing about a line being boilerplate, so documents
-are counted by a content key, the smallest hash over their three-word shingles. Exact copies
-share it, near copies nearly always do, and different documents differ, unless that shingle lies
-in the shared line itself.
+are counted by a 128-bit digest of their whole text, both for the line and for its host. Exact copies
+share it; texts that differ anywhere count each.
 
 Defined cases: null text counts as empty (no words, base_failed); null host is a host of its own;
-repeated rows and copies count once for line frequency and each get their verdict; an empty
+repeated rows and copies count once for line frequency and for their host, the empty text too, and each get their verdict; an empty
 table gives an empty result. Only the named columns are read, other columns cannot clash.
 """
 
@@ -18,7 +17,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +33,7 @@ _DIGIT = re.compile(r"\d")
 
 @dataclass(frozen=True)
 class Limits:
-    """share: of a host's documents above which a line is boilerplate; least: documents it must be in
+    """share: of a host's distinct documents above which a line is boilerplate; least: documents it must be in
     at any rate; left: share of its words a document must keep; window: words of a repeat window;
     broadcast_rows: frequent lines up to which they are sent to every task (else they are joined)."""
     share: float = 0.01
@@ -55,17 +53,6 @@ def line_hash(line: bytes) -> int | None:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def content_key(words: list[bytes]) -> int:
-    """Smallest mixed hash over three-word shingles (over words, where there are fewer)."""
-    if not words:
-        return 0
-    c = np.fromiter(map(crc32, words), np.uint64, len(words))
-    if len(c) >= 3:
-        c = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
-    c = (c ^ (c >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return int((c ^ (c >> np.uint64(32))).min()) >> 1
-
-
 def repeat_words(words: list[bytes], window: int) -> int:
     """Words covered by windows that occur twice or more in the text, the first one included."""
     n = len(words)
@@ -88,28 +75,29 @@ def repeat_words(words: list[bytes], window: int) -> int:
 
 
 def _lines_of(batches):
+    """(host, line, content): a row for each line of a document, and one without a line for the document itself."""
     for batch in small_batches(batches, 1):
         hosts, lines, keys = [], [], []
         for host, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not b:
-                continue
-            key = content_key(b.split())
-            for h in {h for h in map(line_hash, set(b.split(b"\n"))) if h is not None}:
+            b = b or b""
+            key = xxhash.xxh3_128_digest(b)
+            for h in {None, *map(line_hash, set(b.split(b"\n")))}:
                 hosts.append(host)
                 lines.append(h)
                 keys.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(lines, pa.int64()), pa.array(keys, pa.int64())], names=["host", "line", "content"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(lines, pa.int64()), pa.array(keys, pa.binary())], names=["host", "line", "content"])
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """(host, line, n_docs) of the lines above their host's limit. Copies are merged map-side, the
     distinct counts are aggregated in two pre-aggregated steps, so a very common line never
-    gathers in one task."""
+    gathers in one task. A host's documents are counted in the same pass, as the rows without a line."""
     src = docs.select(F.col(host).cast("string").alias("host"), F.col(text).cast("string").cast("binary").alias("b"))
-    seen = src.mapInArrow(_lines_of, "host string, line long, content long")
+    seen = src.mapInArrow(_lines_of, "host string, line long, content binary")
     n = seen.groupBy("host", "line", "content").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("one").alias("n_docs"))
-    hosts = src.groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("host_docs"))
-    over = n.filter(F.col("n_docs") > limits.least).join(hosts, F.col("host").eqNullSafe(F.col("h")))
+    n = written(n.filter(F.col("line").isNull() | (F.col("n_docs") > limits.least)), "line-counts")
+    hosts = n.filter("line is null").select(F.col("host").alias("h"), F.col("n_docs").alias("host_docs"))
+    over = n.filter("line is not null").join(hosts, F.col("host").eqNullSafe(F.col("h")))
     return over.filter(F.col("n_docs") > limits.share * F.col("host_docs")).select("host", "line", "n_docs")
 
 

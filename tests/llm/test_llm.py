@@ -140,6 +140,20 @@ def test_frequent_lines_count_documents_not_copies(spark):
     assert kept.columns == d.columns and kept.count() == 94 and kept.filter("n_chars <> length(text)").count() == 0
 
 
+def test_boilerplate_heavy_documents_are_counted_exactly(spark):
+    rng = random.Random(12)
+    shared = prose(rng, 60)  # most of each text, so that its smallest shingle is nearly always one of the shared line's
+    rows_ = [(i, f"{prose(rng, 10)}\n{shared}", "en", "h", 0, *"xxxxxxxxxx") for i in range(100)]
+    rows_ += [(1000 + i, "copy " + prose(random.Random(1), 30), "en", None, 0, *"xxxxxxxxxx") for i in range(2500)]  # one of this host's 22 texts
+    rows_ += [(None, t, "en", "h", 0, *"xxxxxxxxxx") for t in (None, "")]
+    rows_ += [(2000 + i, f"{prose(rng, 10)}\n{shared}", "en", None, 0, *"xxxxxxxxxx") for i in range(21)]
+    d = spark.createDataFrame(rows_, DOCS)
+    line = op1_quality.line_hash(shared.encode())
+    assert sorted(rows(op1_quality.frequent_lines(d).select("host", "line", "n_docs")), key=str) == sorted([("h", line, 100), (None, line, 21)], key=str)
+    got = op1_quality.quality_verdicts(d).filter("removed_words = 60")
+    assert got.count() == 121 and got.filter("kept").count() == 0
+
+
 # ---------------------------------------------------------------- 2: licences
 
 @pytest.fixture(scope="module")
