@@ -4,9 +4,11 @@ Tokens are white-space words. Documents fall into cells (source, language, topic
 seed table, pre-aggregated map-side, so a hot source costs one row a task. A sweep scales the cells to each
 marginal's target in turn, by sums that are pre-aggregated and joined back, and is written. The targets are the corpus's own marginals raised to ``alpha`` and
 normalised (``alpha`` below 1 lifts small categories), or given tables (category, share). A document
-is kept with probability ratio / largest ratio, ratio being its cell's raked over its actual tokens:
-the kept tokens then have the raked marginals in expectation, at the largest rate that needs no copy of any
-document. The draw is a hash of the doc_id, so it is the same in every run.
+is kept with probability ratio / cap (1 at most), ratio being its cell's raked over its actual tokens. The cap is
+the least ratio above which cells hold no more than the share ``rare`` of the raked weights. These cells keep every
+document and the others the raked proportions: however high the ratio of a tiny cell, it thins out no other, and no
+more than ``rare`` of the weights is short of its target. With ``rare`` 0, which the registered query and its SQL
+take, the cap is the largest ratio: the marginals are met in full, but one tiny cell sets the rate of all. The draw is a hash of the doc_id, so it is the same in every run.
 
 Everything is DataFrame functions: no Python on the executors.
 
@@ -30,12 +32,14 @@ DIMS = ["source", "lang", "topic"]
 @dataclass(frozen=True)
 class Mix:
     """alpha: exponent of the targets; sweeps: most sweeps; every: sweeps between tests of the fit; close: largest
-    relative miss of a marginal that counts as fitted; seed: of the draw."""
+    relative miss of a marginal that counts as fitted; seed: of the draw; rare: share of the raked weights whose cells
+    may have a ratio above the cap."""
     alpha: float = 0.9
     sweeps: int = 24
     every: int = 4
     close: float = 1e-9
     seed: int = 17
+    rare: float = 0.0
 
 
 def topic(text: Column) -> Column:
@@ -100,11 +104,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], mix: Mix = Mix()) -> D
     return state.select(*DIMS, "tokens", "n_docs", "w")
 
 
-def probabilities(cells: DataFrame) -> DataFrame:
-    """Raked cells with ratio = w / tokens and probability = ratio / largest ratio."""
+def cap_of(cells: DataFrame, rare: float) -> float:
+    """The least ratio above which cells hold at most the share ``rare`` of w, to 0.1 %: the cells' weights are summed
+    by the logarithm of their ratio, and only these sums, bounded by the range of the ratios, come to the driver."""
+    steps = cells.filter("ratio > 0").groupBy(F.floor(F.log("ratio") * 1000).alias("step")).agg(F.sum("w").alias("w"), F.max("ratio").alias("top")).collect()
+    left = rare * sum(r["w"] for r in steps)
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        if r["w"] > left:
+            return float(r["top"])
+        left -= r["w"]
+    return 1.0
+
+
+def probabilities(cells: DataFrame, rare: float = 0.0) -> DataFrame:
+    """Raked cells with ratio = w / tokens and probability = ratio / cap, 1 at most."""
     r = cells.withColumn("ratio", F.col("w") / F.col("tokens"))
-    top = float(r.agg(F.max("ratio")).first()[0] or 1)
-    return r.withColumn("probability", F.round(F.col("ratio") / top, 9))
+    return r.withColumn("probability", F.round(F.least(F.col("ratio") / cap_of(r, rare), F.lit(1.0)), 9))
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -117,7 +132,7 @@ def sampled(docs: DataFrame, keep: list[str], targets: dict[str, DataFrame] | No
     """``keep`` columns with __source, __lang, __topic, __tokens, __probability and __kept."""
     cells = written(cell_table(docs), "cells")
     goals = {d: (targets or {}).get(d) or targets_of(cells, d, mix.alpha) for d in DIMS}
-    p = written(probabilities(rake(cells, goals, mix)), "probabilities").select(*[F.col(d).alias(f"__p_{d}") for d in DIMS], F.col("probability").alias("__p"))
+    p = written(probabilities(rake(cells, goals, mix), mix.rare), "probabilities").select(*[F.col(d).alias(f"__p_{d}") for d in DIMS], F.col("probability").alias("__p"))
     rows = with_cells(docs)
     joined = rows.join(p, [F.col(f"__{d}") == F.col(f"__p_{d}") for d in DIMS], "left")  # broadcast only if AQE finds it small
     prob = F.coalesce("__p", F.lit(1.0))

@@ -29,8 +29,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn by their calibrated probabilities."""
-    return op9_mixing.mixed_documents(docs)
+    """Documents are drawn by their calibrated probabilities; cells with at most 1 % of the raked weights keep theirs whole."""
+    return op9_mixing.mixed_documents(docs, mix=op9_mixing.Mix(rare=0.01))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

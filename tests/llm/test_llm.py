@@ -581,6 +581,21 @@ def test_sampling_is_calibrated_and_total(spark, docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_a_tiny_source_does_not_thin_out_the_others(spark):
+    import corpus_pipeline
+    rng = random.Random(8)
+    data = [(i, prose(rng, 200), ["en", "de"][i % 2], "abc"[i % 3 if i % 5 else 0], 0, *"xxxxxxxxxx") for i in range(3000)]
+    stray = [(5000, prose(rng, 10), "en", "stray", 0, *"xxxxxxxxxx"), (5001, prose(rng, 10), None, None, 0, *"xxxxxxxxxx")]
+    alone = {r.doc_id for r in corpus_pipeline.mixing(spark, spark.createDataFrame(data, DOCS), SF).select("doc_id").collect()}
+    out = {r.doc_id for r in corpus_pipeline.mixing(spark, spark.createDataFrame(data + stray, DOCS), SF).select("doc_id").collect()}
+    assert {5000, 5001} <= out and abs(len(out) - len(alone)) < 30 and len(out) > 2500
+    mix = op9_mixing.Mix(rare=0.01)
+    cells = op9_mixing.cell_table(spark.createDataFrame(data + stray, DOCS))
+    p = op9_mixing.probabilities(op9_mixing.rake(cells, {d: op9_mixing.targets_of(cells, d, mix.alpha) for d in op9_mixing.DIMS}, mix), mix.rare).toPandas()
+    cap = (p.ratio / p.probability)[p.probability < 1].median()
+    assert p.w[p.ratio > cap * 1.002].sum() <= 0.01 * p.w.sum() and np.allclose(p.probability, np.minimum(1, p.ratio / cap), atol=1e-6)
+
+
 # ---------------------------------------------------------------- 10: edits
 
 def test_edited_trees_equal_a_full_count():
