@@ -1,6 +1,9 @@
 """License scan: a trained paragraph classifier, calibrated, with templates confirming its predictions.
 
-A paragraph is one line of a text. Its words and word pairs are hashed to sparse features for a
+A paragraph is one line of a text, or a notice wrapped over neighbouring lines: a run of words over two or more lines
+without a wordless line between them that holds at least ``like`` of a template's word pairs within twice its length.
+Comment marks are no words, so they part nothing. A run is judged like a line, from its first pair to its last, unless
+one of its lines has that family already; where a family is confirmed, its lines are no longer ``unknown``. Its words and word pairs are hashed to sparse features for a
 multinomial logistic regression over the licence families and ``none``. The model is trained on
 variants of the templates below (words dropped, swapped, doubled, foreign words around them) and
 on a bounded sample of paragraphs of the corpus that hold no licence word. A temperature fitted on a held-out
@@ -19,6 +22,7 @@ judged alike; a tie goes to the family earlier in ``FAMILIES``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -185,6 +189,60 @@ def likeness(words: list[bytes], family: str) -> float:
     return max(len(p & have) / len(p) for p in _PAIRS[family])
 
 
+_TEMPLATE_PAIRS = [pairs for family in FAMILIES for pairs in _PAIRS[family]]
+_HOLDERS: dict = {}
+for _t, _pairs in enumerate(_TEMPLATE_PAIRS):
+    for _pair in _pairs:
+        _HOLDERS.setdefault(_pair, []).append(_t)
+
+
+def runs_of(words: list[bytes], like: float) -> list[tuple[int, int]]:
+    """(start, end) in words of the runs that hold at least ``like`` of a template's word pairs within twice the template's
+    length, none overlapping another: those with the larger share first, then the shorter."""
+    at: dict = {}
+    for i, pair in enumerate(zip(words, words[1:])):
+        for t in _HOLDERS.get(pair, ()):
+            at.setdefault(t, []).append((i, pair))
+    found = []
+    for t, hits in at.items():
+        size, inside, left = len(_TEMPLATE_PAIRS[t]), Counter(), 0
+        if len(hits) < like * size:
+            continue
+        for i, pair in hits:
+            inside[pair] += 1
+            while i - hits[left][0] > 2 * size or inside[hits[left][1]] > 1:
+                first = hits[left][1]
+                inside[first] -= 1
+                if not inside[first]:
+                    del inside[first]
+                left += 1
+            if len(inside) >= like * size:
+                found.append((-len(inside) / size, i + 2 - hits[left][0], hits[left][0], i + 2))
+    out, taken = [], bytearray(len(words))
+    for _, _, a, b in sorted(found):
+        if not any(taken[a:b]):
+            out.append((a, b))
+            taken[a:b] = b"\1" * (b - a)
+    return sorted(out)
+
+
+def _wrapped(ids, paras, like):
+    """((text, first line), last line, words) of the runs over two or more lines; ``ids``: (text, line) of ``paras``."""
+    at = 0
+    while at < len(ids):
+        end = at + 1
+        while end < len(ids) and ids[end] == (ids[end - 1][0], ids[end - 1][1] + 1):
+            end += 1
+        if end - at > 1:
+            words = [w for p in paras[at:end] for w in p]
+            edge = np.cumsum([len(p) for p in paras[at:end]])
+            for a, b in runs_of(words, like):
+                first, last = (at + int(np.searchsorted(edge, x, side="right")) for x in (a, b - 1))
+                if last > first:
+                    yield ids[first], ids[last][1], words[a:b]
+        at = end
+
+
 def classify(words: list[bytes], p: np.ndarray, settings: Settings) -> tuple[str, float, float]:
     """(class, probability, likeness) of one paragraph, given its calibrated probabilities."""
     best = int(p[:NONE].argmax())
@@ -206,12 +264,25 @@ def _scan(it, model: Model):
                 if w:
                     ids.append((i, j))
                     paras.append(w)
-        rows = []
+        found = {}
         for at in range(0, len(paras), 2000):
             probs = model.batch(paras[at:at + 2000])
             for x in np.flatnonzero(probs[:, NONE] < 0.5):
-                got = classify(paras[at + x], probs[x], model.settings)
-                rows.append((*ids[at + x], *got))
+                found[ids[at + x]] = classify(paras[at + x], probs[x], model.settings)
+        runs = list(_wrapped(ids, paras, model.settings.like))
+        judged = []
+        for at in range(0, len(runs), 2000):
+            part = [r[2] for r in runs[at:at + 2000]]
+            judged += [classify(w, p, model.settings) for w, p in zip(part, model.batch(part))]
+        for ((i, j), last, _), got in zip(runs, judged):
+            own = {x: found[i, x][0] for x in range(j, last + 1) if (i, x) in found}
+            if got[0] not in FAMILIES or got[0] in own.values():
+                continue
+            for x, label in own.items():
+                if label == "unknown":
+                    del found[i, x]
+            found.setdefault((i, j), got)
+        rows = [(*k, *found[k]) for k in sorted(found)]
         src = [r[0] for r in rows]
         cols = list(zip(*rows)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(src, pa.int64())), *[pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.string(), pa.float64(), pa.float64()))]], names=["doc_id", "paragraph", "license", "probability", "likeness"])

@@ -197,6 +197,39 @@ def test_license_scan(spark, docs, empty, model):
     assert {(r.doc_id, r.paragraph, r.license) for r in op2_license.license_paragraphs(d, model).collect()} >= {(1, 1, "MIT"), (1, 2, "proprietary")}
 
 
+WRAPPED = {
+    "GPL-3.0": """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful
+ */""",
+    "BSD-3-Clause": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:""",
+    "MIT": """// Permission is hereby granted, free of charge, to any person obtaining a copy
+// of this software and associated documentation files (the "Software"), to deal
+// in the Software without restriction""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at""",
+    "CC0-1.0": "To the extent possible under law,\r\nthe author has waived all copyright\r\nand related or neighboring rights\r\nto this work."}
+
+
+def test_wrapped_notices_are_confirmed(spark, model):
+    rng = random.Random(14)
+    data = []
+    for n, (family, notice) in enumerate(WRAPPED.items()):
+        data += [(3 * n, notice), (3 * n + 1, f"{prose(rng, 12)}\n{notice}\n{prose(rng, 12)}"), (3 * n + 2, f"{prose(rng, 12)}\n\n{notice}\n\n{notice}")]
+    half = "Redistribution and use in source\n\nand binary forms\n\nwith or without modification"
+    data += [(100, "\n".join(prose(rng, 9) for _ in range(40))), (101, half)]
+    got = {r.doc_id: (r.license, r.n_license, r.n_unknown) for r in op2_license.license_scan(spark.createDataFrame(data, "doc_id long, text string"), model).collect()}
+    for n, family in enumerate(WRAPPED):
+        assert [got[3 * n + k][:2] for k in range(3)] == [(family, 1), (family, 1), (family, 2)]
+    assert got[100] == ("none", 0, 0) and got[101][1] == 0
+
+
 # ---------------------------------------------------------------- 3: chat
 
 NASTY = ["", "plain", "</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\n", "<\\|im_end|>", "<\\\\/s>", "<<SYS>> [[INST] <s></s>", "\\", "a\n\nb\\n", "<|endoftext|><", "\U0001f600 é"]
