@@ -242,19 +242,20 @@ def _named(names: dict[int, str], code_col: str) -> Column:
 
 
 def tick_names(ticks: DataFrame, code_col: str = "tick_type", kind_col: str | None = None) -> DataFrame:
-    """Tick code to field name by the tick's kind (``price`` or ``size``; all price ticks without a kind
-    column); unknown codes become ``T<code>`` (literal map lookup, no join)."""
-    price = _named(PRICE_TICKS, code_col)
+    """Tick code to field name by the tick's kind (``price`` or ``size``); a tick without a kind has the name of
+    its code in either list, they share none. Unknown codes become ``T<code>`` (literal map lookup, no join)."""
+    either = _named(PRICE_TICKS | SIZE_TICKS, code_col)
     if kind_col is None:
-        return ticks.withColumn("field", price)
-    return ticks.withColumn("field", F.when(F.col(kind_col) == "size", _named(SIZE_TICKS, code_col)).otherwise(price))
+        return ticks.withColumn("field", either)
+    return ticks.withColumn("field", F.when(F.col(kind_col).isNull(), either).when(F.col(kind_col) == "size", _named(SIZE_TICKS, code_col))
+                            .otherwise(_named(PRICE_TICKS, code_col)))
 
 
 def tick_fields(feed: DataFrame) -> DataFrame:
     """A feed of all three kinds (seq, ts, req_id, kind, tick_type, value, option columns) as long rows
     (seq, ts, req_id, field, value)."""
     keep = ["seq", "ts", "req_id"]
-    plain = tick_names(feed.filter("kind <> 'option'"), kind_col="kind").select(*keep, "field", F.col("value").cast("double").alias("value"))
+    plain = tick_names(feed.filter("kind is null or kind <> 'option'"), kind_col="kind").select(*keep, "field", F.col("value").cast("double").alias("value"))
     return plain.unionByName(option_tick_fields(feed.filter("kind = 'option'").drop("value")).select(*keep, "field", "value"))
 
 
@@ -276,10 +277,10 @@ def latest_ticks(ticks: DataFrame, fields: list[str], key: str = "req_id", ts_co
                  seq_col: str = "seq") -> DataFrame:
     """Last value per (request, field) by (ts, seq), pivoted to one wide row per request.
 
-    The pivot values are given, so no extra distinct job runs; ``max_by`` is
+    ``ticks`` has the fields, or a kind column and the three kinds of ticks, or codes alone. The pivot values are given, so no extra distinct job runs; ``max_by`` is
     a partial aggregate.
     """
-    t = ticks if "field" in ticks.columns else tick_names(ticks)
+    t = ticks if "field" in ticks.columns else tick_fields(ticks) if "kind" in ticks.columns else tick_names(ticks)
     return (t.groupBy(key).pivot("field", list(fields))
             .agg(F.max_by("value", F.struct(ts_col, seq_col))))
 

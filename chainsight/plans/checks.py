@@ -1252,6 +1252,21 @@ def q_tick_window_snapshots(spark, sf):
                       "req_id", *_TICK_FIELDS)
 
 
+_R2_FEED_FIELDS = ["Bid", "Last", "Volume", "CallOpenInterest", "PutOpenInterest", "Model_IV", "Model_OptPrice", "Bid_Delta", "T1"]
+
+
+@register("r2_tick_window_snapshots_by_kind", with_views("tick_rows", extra="""
+lastv AS (SELECT date_trunc('minute', ts) AS ws, req_id, field, arg_max(value, (ts, seq)) AS value FROM tick_rows GROUP BY 1, 2, 3)""") + """
+SELECT ws AS window_start, ws + INTERVAL 1 MINUTE AS window_end, req_id, """ + ", ".join(
+    f"round(max(value) FILTER (WHERE field = '{f}'), 6) AS \"{f}\"" for f in _R2_FEED_FIELDS) + """
+FROM lastv GROUP BY 1, 2, 3""")
+def q_tick_window_snapshots_by_kind(spark, sf):
+    from ..streaming import jobs
+    out = jobs.tick_snapshot_stream(fx.tick_feed(spark, sf), _R2_FEED_FIELDS)
+    return round_doubles(out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                                    "req_id", *_R2_FEED_FIELDS))
+
+
 def _scratch(spark, name):
     import uuid
     from ..session import ensure_checkpoint_dir

@@ -29,6 +29,8 @@ from ..session import cut_lineage, staging
 IV_COLUMNS = ["seq", "symbol", "trade_date", "expiration", "strike", "right_", "bid", "ask",
               "implied_vol", "underlying_price"]
 PRICE_COLUMNS = ["seq", "symbol", "created", "close"]
+TICK_COLUMNS = ("seq bigint, ts timestamp_ntz, req_id bigint, kind string, tick_type int, value double, iv double, delta double, "
+                "gamma double, theta double, vega double, opt_price double, und_price double")
 
 
 def _all_string(columns: list[str]) -> str:
@@ -80,13 +82,15 @@ def tick_snapshot_stream(ticks: DataFrame, fields: list[str], watermark: str = "
                          window: str = "1 minute") -> DataFrame:
     """R2: latest value per (window, request, field) as one wide row per (window, request).
 
-    ``ticks`` is a streaming (or static) frame (seq, ts, req_id, tick_type, value);
+    ``ticks`` is a streaming (or static) frame (seq, ts, req_id, tick_type, value), with a kind and the option
+    columns where it holds all three kinds of ticks (``chain.tick_fields``);
     pivot is not allowed on streams, so each known field is a conditional ``max_by``.
     """
     if ticks.isStreaming and ticks.schema["ts"].dataType.typeName() == "timestamp_ntz":
         # watermarks need TIMESTAMP; static frames keep the zone-free type
         ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp"))
-    t = chain.tick_names(ticks).withWatermark("ts", watermark)
+    named = chain.tick_fields(ticks) if "kind" in ticks.columns else chain.tick_names(ticks)
+    t = named.withWatermark("ts", watermark)
     order = F.struct("ts", "seq")
     aggs = [F.max_by(F.when(F.col("field") == f, F.col("value")),
                      F.when(F.col("field") == f, order)).alias(f) for f in fields]
@@ -95,7 +99,7 @@ def tick_snapshot_stream(ticks: DataFrame, fields: list[str], watermark: str = "
 
 def run_tick_snapshots(spark: SparkSession, ticks_dir: str, fields: list[str], out: str,
                        checkpoint: str, schema: str | None = None) -> StreamingQuery:
-    schema = schema or "seq bigint, ts timestamp_ntz, req_id bigint, tick_type int, value double"
+    schema = schema or TICK_COLUMNS
     src = spark.readStream.schema(schema).parquet(ticks_dir)
     q = tick_snapshot_stream(src, fields)
     return (q.writeStream.outputMode("append").format("parquet").option("path", out)

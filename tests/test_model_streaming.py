@@ -3,7 +3,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from chainsight.operators import features, labels, model, walkforward as wf
+from chainsight.operators import chain, features, labels, model, walkforward as wf
 from chainsight.sources import fixtures as fx
 from chainsight.sources import sinks
 from chainsight.streaming import jobs
@@ -149,6 +149,29 @@ def test_tick_stream_matches_static(spark, sf):
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
 
 
+def test_tick_snapshots_take_all_three_kinds(spark, sf):
+    root = tempfile.mkdtemp(prefix="cs-r2k-", dir="/tmp")
+    feed = fx.tick_feed(spark, sf)
+    feed.coalesce(1).write.parquet(f"{root}/landing")
+    fields = ["Bid", "Volume", "CallOpenInterest", "PutOpenInterest", "Model_IV", "Model_OptPrice"]
+    jobs.run_tick_snapshots(spark, f"{root}/landing", fields, f"{root}/out", checkpoint=f"{root}/ckpt").awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    import datetime as dt
+    wm = feed.agg(F.max("ts")).first()[0]
+    closed = jobs.tick_snapshot_stream(feed, fields).filter(F.col("window.end") <= F.lit(wm - dt.timedelta(minutes=10)))
+    a = out.select(F.col("window.start").cast("timestamp_ntz").alias("s"), "req_id", *fields)
+    b = closed.select(F.col("window.start").alias("s"), "req_id", *fields)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    assert all(n > 0 for n in a.agg(*[F.count(f) for f in fields]).first())
+    assert all(n > 0 for n in chain.latest_ticks(feed, fields).agg(*[F.count(f) for f in fields]).first())
+    # codes alone, and kinds that are not known
+    rows = [(1, dt.datetime(2024, 1, 1), 5, 8, 3.0), (2, dt.datetime(2024, 1, 1), 5, 78, 4.0), (3, dt.datetime(2024, 1, 1), 5, 4, 5.0)]
+    bare = spark.createDataFrame(rows, "seq long, ts timestamp_ntz, req_id long, tick_type int, value double")
+    full = bare.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), *[(x, "double") for x in ("iv", "delta", "gamma", "theta", "vega", "opt_price", "und_price")])])
+    for d in (bare, full):
+        assert tuple(chain.latest_ticks(d, ["Volume", "OpenInterest", "Last"]).first()) == (5, 3.0, 4.0, 5.0)
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
