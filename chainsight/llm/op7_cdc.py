@@ -5,8 +5,11 @@ Each byte shifts a 16-bit gear hash (h = 2 h + gear[byte]), so the hash at a byt
 depend on nearby content alone, so an insertion moves only the chunks it touches, and no two boundaries
 are nearer than the radius. Chunks of all documents are compared by a 64-bit digest; of equal chunks the one
 of the smallest (doc_id, start) stays. Runs of neighbouring repeated chunks with at least ``min_words`` words in
-whole chunks are repeated passages; a passage of 50 words always holds well over that, and short runs (a common
-phrase, a licence line) are left alone.
+whole chunks are repeated passages; short runs (a common phrase, a licence line) are left alone.
+
+Limits: bytes outside the whole chunks are not compared, so the ends of a repeat stay in the text, and a repeat of 50
+short words may hold fewer than ``min_words`` in whole chunks and be missed. Text with few white-space words does not
+reach ``min_words`` at all.
 
 Defined cases: null or empty texts have no chunk and stay; documents without a doc_id take no part and stay;
 repeated rows of one document count as one; a chunk without a boundary is cut every ``most`` bytes; the later of two
