@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_quality, op2_license, op3_chat, op4_simhash, op5_mtree, op6_packing, op7_cdc, op8_sharding, op9_mixing, op10_edits
+from . import op1_quality, op2_license, op3_chat, op4_simhash, op5_mtree, op6_packing, op7_cdc, op8_sharding, op9_mixing, op10_edits, op11_quality_fm, op12_variants, op13_prefix
 from .common import table
 
 
@@ -68,8 +68,21 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "tokens_before", "tokens_after", "reencoded_chars", "text_chars", F.size("seg_lengths").cast("long").alias("n_segments"))
 
 
+def op11_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_quality_fm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_variants.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_prefix.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_license_scan, op3_chat_formatting, op4_simhash_pivots, op5_mtree_search,
-                                   op6_nnls_packing, op7_cdc_dedup, op8_label_propagation, op9_ipf_mixing, op10_edit_counts)}
+                                   op6_nnls_packing, op7_cdc_dedup, op8_label_propagation, op9_ipf_mixing, op10_edit_counts,
+                                   op11_factorisation_machine, op12_spelling_variants, op13_prefix_trie)}
 # ---------------------------------------------------------------- DuckDB SQL, where SQL can express a query
 
 _TAIL = "\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|s>|/s>|SYS>|/SYS>|INST\\]|/INST\\]"
@@ -117,4 +130,45 @@ SELECT doc_id, d.source, d.lang, d.topic, d.tokens, round(coalesce(probability,
 FROM d LEFT JOIN p USING (source, lang, topic)"""
 
 
-ORACLE = {"op3_chat_formatting": _OP3, "op5_mtree_search": _OP5, "op9_ipf_mixing": _op9()}
+# CRC-32 by its table, which a rule makes; the bytes are those of text in U+0000 to U+07FF
+_CRC_TABLE = """tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t)"""
+
+
+def _crc(text: str) -> str:
+    octets = f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [(192 + (unicode(ch) >> 6))::BIGINT, (128 + (unicode(ch) & 63))::BIGINT] END))"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::INT]), 4294967295::BIGINT))"
+
+
+_OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS MATERIALIZED (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k, run, count(*) AS c FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS MATERIALIZED (SELECT run, c, {_crc('k')} AS h FROM d, tab),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+one AS (SELECT a.word, b.word AS near, b.n AS m FROM x a JOIN x b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+        UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.s = v.word
+        UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.s = v.word),
+f AS MATERIALIZED (SELECT v.word, any_value(v.n) AS n, count(near) AS n_near, (array_agg(near ORDER BY m DESC, near))[1] AS best, max(m) AS m FROM v LEFT JOIN one USING (word) GROUP BY v.word),
+g AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN m >= 10 * n THEN best END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM f),
+chain AS (SELECT word, word AS root, 0 AS step FROM g UNION ALL SELECT c.word, g.form, step + 1 FROM chain c JOIN g ON c.root = g.word WHERE g.form IS NOT NULL)
+SELECT word, form, arg_max(root, step) AS root, any_value(n) AS n, any_value(n_near) AS n_near, form_n FROM chain JOIN g USING (word) GROUP BY word, form, form_n"""
+
+_OP13 = f"""
+WITH {_CRC_TABLE},
+c AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+             {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+l AS MATERIALIZED (SELECT c, list(x ORDER BY i) AS own FROM c GROUP BY c),
+h AS MATERIALIZED (SELECT c, own, c - c % 20 AS b, CAST(crc % 4 AS INT) AS h FROM (SELECT c, own, {_crc('CAST(c AS VARCHAR)')} AS crc FROM l, tab)),
+r AS MATERIALIZED (SELECT h.c, coalesce(l.own[1:h.h], []) || h.own[h.h + 1:] AS seq FROM h LEFT JOIN l ON l.c = h.b),
+p AS MATERIALIZED (SELECT c, d, seq[1:d] AS p, len(seq) = d AS over FROM (SELECT c, seq, unnest(range(len(seq) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE over), '')) AS ends_sha256 FROM p GROUP BY p, d),
+k AS MATERIALIZED (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+o AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.p[n.d].text, '[^ \t-\r]+')) ELSE 0 END AS saved FROM n LEFT JOIN k USING (p, d)),
+s AS (SELECT a.p[1:t] AS p, t AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS t FROM o) a GROUP BY ALL)
+SELECT o.conv_id, CAST(o.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM o JOIN s USING (p, d) LEFT JOIN n u ON o.d > 0 AND u.p = o.p[1:o.d - 1] AND u.d = o.d - 1"""
+
+
+ORACLE = {"op3_chat_formatting": _OP3, "op5_mtree_search": _OP5, "op9_ipf_mixing": _op9(), "op12_spelling_variants": _OP12, "op13_prefix_trie": _OP13}
