@@ -257,6 +257,34 @@ def sub_periods(bt: DataFrame, periods: list[tuple[str, object, object]], min_ro
                                                         "max_drawdown", "win_rate")
 
 
+def in_periods(rows: DataFrame, periods: DataFrame, date_col: str = "quote_date") -> DataFrame:
+    """Rows with each period of a table (period, p_start, p_end) they lie in: half-open, NULL ends are open, periods may overlap.
+
+    Periods are exploded into the months they touch, within the months of the rows (two scalars), and joined on the month;
+    the exact bounds are a filter. A long period has one row a month, bounded by the calendar; a month with very many
+    rows is split by the skew join of adaptive execution, and no nested loop is ever needed.
+    """
+    month = F.trunc(F.col(date_col).cast("date"), "MM")
+    span = rows.agg(F.min(month).alias("lo"), F.max(month).alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    p = periods.select("period", F.col("p_start").cast("date").alias("p_start"), F.col("p_end").cast("date").alias("p_end"))
+    p = p.withColumns({"_first": F.greatest(F.coalesce(F.trunc("p_start", "MM"), lo), lo),
+                       "_last": F.least(F.coalesce(F.trunc(F.date_sub("p_end", 1), "MM"), hi), hi)})
+    months = p.filter("_first <= _last").withColumn("_month", F.explode(F.sequence("_first", "_last", F.expr("INTERVAL 1 MONTH")))).drop("_first", "_last")
+    d = F.col(date_col)
+    inside = (F.col("p_start").isNull() | (d >= F.col("p_start"))) & (F.col("p_end").isNull() | (d < F.col("p_end")))
+    return rows.withColumn("_month", month).join(months, "_month").filter(inside).drop("_month", "p_start", "p_end")
+
+
+def period_metrics(bt: DataFrame, periods: DataFrame, min_rows: int = 20, by: list[str] | None = None,
+                   date_col: str = "quote_date", bucket: str | None = None) -> DataFrame:
+    """B6 over a table of periods: as ``sub_periods``, for any number of them."""
+    by = by or ["symbol"]
+    x = in_periods(bt.select(*by, date_col, F.col("strat_ret").alias("r")), periods, date_col)
+    m = _series_metrics(x, [*by, "period"], date_col, with_win=True, with_pf=False, dim_col=None, bucket=bucket)
+    return m.filter(F.col("n_days") >= min_rows).select(*by, "period", "n_days", "ann_return", "sharpe", "max_drawdown", "win_rate")
+
+
 def monthly_returns(bt: DataFrame, ret_col: str = "strat_ret", by: list[str] | None = None,
                     date_col: str = "quote_date") -> DataFrame:
     """Compounded return per calendar month end; empty months inside the range give 0.

@@ -39,10 +39,47 @@ OPTION_TICK_FIELDS = ("IV", "Delta", "Gamma", "Theta", "Vega", "OptPrice", "UndP
 
 # ---------------------------------------------------------------- scans
 
+#: cells of a CSV line that are read; a header with more raises
+MOST_CELLS = 64
+#: files whose headers may be broadcast
+FEW_FILES = 50_000
+
+
+def cell_schema() -> StructType:
+    return StructType([StructField(f"_c{i}", StringType(), True) for i in range(MOST_CELLS)])
+
+
 def read_feed_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Vendor CSV feed, first line a header, every value a string (no inference)."""
-    schema = StructType([StructField(c, StringType(), True) for c in columns])
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """Vendor CSV feed, every value a string (no inference), columns by the names in each file's header."""
+    cells = spark.read.schema(cell_schema()).option("header", False).option("mode", "PERMISSIVE").csv(path)
+    return feed_by_header(cells.select("*", F.col("_metadata.file_path").alias("_file")), columns)
+
+
+def feed_by_header(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` by name from lines read as cells (``_c0``, ...; ``_file``): each file has its own header, whose names may
+    come in any order. A name that a header lacks is NULL, other columns are ignored.
+
+    A header is the line that holds at least two of the names (one, if only one is asked for) as values. Lines of a file
+    without a header, and a header with more than ``MOST_CELLS`` columns, raise. Headers are one row a file: broadcast
+    if there are at most ``FEW_FILES``, else joined.
+    """
+    width = [c for c in cells.columns if c.startswith("_c")]
+    rows = cells.select("_file", F.array(*width).alias("_cells"))
+    names = F.array(*[F.lit(c) for c in columns])
+    is_header = F.size(F.array_intersect("_cells", names)) >= min(2, len(columns))
+    headers = rows.filter(is_header).groupBy("_file").agg(F.min("_cells").alias("_names"))
+    if headers.limit(FEW_FILES + 1).count() <= FEW_FILES:
+        headers = F.broadcast(headers)
+    known = rows.filter(~is_header).join(headers, "_file", "left")
+    fault = F.when(F.col("_names").isNull(), F.raise_error(F.concat(F.lit("no header line in "), "_file")))
+    fault = fault.when(F.element_at("_names", MOST_CELLS).isNotNull(), F.raise_error(F.concat(F.lit(f"{MOST_CELLS} columns or more in "), "_file")))
+    checked = known.withColumn("_cells", F.coalesce(fault.cast("array<string>"), F.col("_cells")))
+
+    def named(c: str) -> Column:
+        at = F.array_position("_names", c)
+        return F.when(at > 0, F.element_at("_cells", F.greatest(at, F.lit(1)).cast("int"))).alias(c)
+
+    return checked.select(*[named(c) for c in columns])
 
 
 def read_expirations(df: DataFrame, as_of, text_col: str = "expiration") -> DataFrame:

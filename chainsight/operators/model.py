@@ -11,11 +11,10 @@ Scoring writes member probabilities as a LONG table
 (symbol, quote_date, fold_id, p_down, p_flat, p_up) and combines them with
 one weighted aggregation (A24), never with one join or column per fold.
 
-The reference trains 3-class gradient-boosted trees; Spark's GBT is
-binary only and no multi-class booster is installed, so ``classifier`` is
-"softmax" (default: every fold in ONE grouped job, see ``softmax.py``),
+``classifier`` is "boosted" (three-class boosted trees of all folds in one job per level, the reference's model,
+see ``boosting.py``), "softmax" (default: every fold in ONE grouped job, see ``softmax.py``),
 or a ``pyspark.ml`` pipeline per fold: "logistic", "forest", "gbt"
-(one-vs-rest GBTs, normalised). Numbers therefore differ from the reference.
+(one-vs-rest GBTs, normalised). The first two give a TABLE of models, so neither plans nor the driver grow with the folds.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from __future__ import annotations
 import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..session import cut_lineage
-from . import signals, softmax, walkforward as wf
+from . import boosting, signals, softmax, walkforward as wf
 
 PROBS = ("p_down", "p_flat", "p_up")
 
@@ -99,13 +99,19 @@ class WalkForwardResult:
         self.members = members        # DataFrame (symbol, quote_date, fold_id, p_down, p_flat, p_up)
 
 
+def _is_trees(models) -> bool:
+    return isinstance(models, DataFrame) and "threshold" in models.columns
+
+
 def member_probabilities(rows: DataFrame, models: dict, scalers: DataFrame, features: list[str],
                          keys=("symbol", "quote_date")) -> DataFrame:
     """Every row scored by every trained fold model of its symbol (with that fold's scaler).
 
-    ``models`` is either the softmax coefficient table (declarative scoring,
-    one plan) or a dict of fitted pipelines (one transform per fold, unioned).
+    ``models`` is the softmax coefficient table or the table of tree nodes (one plan for any number of folds),
+    or a dict of fitted pipelines (one transform per fold, unioned).
     """
+    if _is_trees(models):
+        return boosting.score(rows, models, features, keys)
     if isinstance(models, DataFrame):
         return softmax.score(rows, models, scalers, features, keys)
     outs = []
@@ -124,7 +130,7 @@ def member_probabilities(rows: DataFrame, models: dict, scalers: DataFrame, feat
 
 def train_walkforward(ml: DataFrame, features: list[str], classifier: str = "softmax",
                       n_train: int | None = None, n_test: int | None = None, alpha: float | None = None,
-                      parallelism: int = 4, n_trees: int | None = None) -> WalkForwardResult:
+                      parallelism: int = 4, n_trees: int | None = None, boost: boosting.Boosting | None = None) -> WalkForwardResult:
     """M2-M5: folds, per-fold scaler + classifier, test predictions, recency-weighted ensemble.
 
     Folds failing the size gate (A22) are skipped but keep their ids; no
@@ -145,6 +151,9 @@ def train_walkforward(ml: DataFrame, features: list[str], classifier: str = "sof
         sizes.filter("trained").select("symbol", "fold_id"), ["symbol", "fold_id"], "left_semi"), stats, features)
     if classifier == "softmax":
         models = cut_lineage(softmax.train_grouped(train_rows, features))
+    elif classifier == "boosted":  # splits do not depend on the scale of a feature: trees take the plain values
+        b = boost or boosting.Boosting()
+        models = cut_lineage(boosting.train_boosted(train_rows, features, b=replace(b, rounds=n_trees) if n_trees else b))
     else:
         pipe = _pipeline(features, classifier, n_trees)
         trained = [(r["symbol"], int(r["fold_id"])) for r in
@@ -201,10 +210,12 @@ def causal_ensemble(members: DataFrame, weights: DataFrame, plan: DataFrame,
 def feature_importance(res: WalkForwardResult) -> DataFrame:
     """Mean and population std of per-fold importances per feature, per symbol.
 
-    Forest: ``featureImportances``; logistic: mean |coefficient| over classes,
+    Boosted trees: mean gain of a feature's splits, as a share; forest: ``featureImportances``; logistic: mean |coefficient| over classes,
     normalised to sum 1. The per-fold vectors are model metadata (folds x
     features numbers), turned into a long table and aggregated by Spark.
     """
+    if _is_trees(res.models):
+        return boosting.importance(res.models, res.features)
     if isinstance(res.models, DataFrame):
         long = softmax.importance(res.models, res.features)
         return long.groupBy("symbol", "feature").agg(F.avg("importance").alias("mean_importance"),
@@ -231,77 +242,72 @@ def feature_importance(res: WalkForwardResult) -> DataFrame:
 # ---------------------------------------------------------------- artifacts (K7, K8)
 
 def export_ensemble(res: WalkForwardResult, artifacts_dir: str, horizon: int | None = None) -> None:
-    """K7: one saved model per fold, scaler stats and weights, in a new folder; the config, written last, names
-    it, so a failed export leaves the ensemble before it whole."""
+    """K7: models, scaler stats, weights, fold list and date ranges as tables in a new folder; the config, written last, names
+    it, so a failed export leaves the ensemble before it whole. Keys stay in tables; only fitted pipelines,
+    which the driver holds anyway, are saved one by one."""
     top = artifacts_dir.rstrip("/")
     version = f"v-{uuid.uuid4().hex}"
     root = f"{top}/{version}"
+    spark = res.results.sparkSession
     if isinstance(res.models, DataFrame):
-        res.models.write.parquet(f"{root}/coefs")
-        keys = sorted((r["symbol"], int(r["fold_id"])) for r in res.models.select("symbol", "fold_id").collect())
-        kind = "softmax"
+        kind = "trees" if _is_trees(res.models) else "softmax"
+        res.models.write.parquet(f"{root}/models")
+        folds = res.models.select("symbol", "fold_id").distinct()
     else:
-        for (sym, fid), model in res.models.items():
-            model.write().save(f"{root}/models/symbol={sym}/fold={fid}")
-        keys = sorted(res.models)
         kind = "pipeline"
+        for (sym, fid), model in res.models.items():
+            model.write().save(f"{root}/pipelines/symbol={sym}/fold={fid}")
+        folds = spark.createDataFrame(sorted(res.models), "symbol string, fold_id int")
+    folds.write.parquet(f"{root}/folds")
     res.scalers.write.parquet(f"{root}/scalers")
     res.weights.write.parquet(f"{root}/weights")
-    rng = wf.date_range(res.results, by=["symbol"]).collect()
+    wf.date_range(res.results, by=["symbol"]).write.parquet(f"{root}/date_range")
     cfg = {
         "version": version,
         "feature_cols": list(res.features),
         "model_kind": kind,
-        "folds": [{"symbol": s, "fold_id": f} for s, f in keys],
-        "date_range": {r["symbol"]: [str(r["date_min"]), str(r["date_max"])] for r in rng},
         "label_horizon_days": DEFAULTS.horizon if horizon is None else horizon,
     }
-    spark = res.results.sparkSession
     spark.createDataFrame([(json.dumps(cfg),)], "config string").coalesce(1).write.mode("overwrite").text(
         f"{top}/config")
 
 
 def load_ensemble(spark: SparkSession, artifacts_dir: str):
-    """K8: (features, models, scalers, weights); a missing config or fold raises with the fold list."""
-    root = artifacts_dir.rstrip("/")
+    """K8: (features, models, scalers, weights); a missing config, table or fold raises and names it (of many folds,
+    the first 20). The fold list is checked against the tables by anti joins."""
+    top = artifacts_dir.rstrip("/")
     try:
-        txt = spark.read.text(f"{root}/config").first()
+        txt = spark.read.text(f"{top}/config").first()
     except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"Missing ensemble config in {root}") from e
+        raise FileNotFoundError(f"Missing ensemble config in {top}") from e
     if txt is None:
-        raise FileNotFoundError(f"Missing ensemble config in {root}")
+        raise FileNotFoundError(f"Missing ensemble config in {top}")
     cfg = json.loads(txt[0])
-    root = f"{root}/{cfg['version']}"
-    models, missing = {}, []
-    try:
-        scaled = {(r["symbol"], int(r["fold_id"])) for r in
-                  spark.read.parquet(f"{root}/scalers").select("symbol", "fold_id").distinct().collect()}
-    except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"no scaler table in {root}") from e
-    if cfg.get("model_kind") == "softmax":
+    root = f"{top}/{cfg['version']}"
+
+    def stored(name: str) -> DataFrame:
         try:
-            coefs = spark.read.parquet(f"{root}/coefs")
+            return spark.read.parquet(f"{root}/{name}")
         except Exception as e:  # noqa: BLE001
-            raise FileNotFoundError(f"Missing model coefficients in {root}") from e
-        have = {(r["symbol"], int(r["fold_id"])) for r in coefs.select("symbol", "fold_id").collect()}
-        missing = [(f["symbol"], int(f["fold_id"])) for f in cfg["folds"]
-                   if (f["symbol"], int(f["fold_id"])) not in have & scaled]
+            raise FileNotFoundError(f"no table of {name} in {root}") from e
+
+    folds, scalers, weights = stored("folds"), stored("scalers"), stored("weights")
+    in_table = cfg["model_kind"] != "pipeline"
+    models = stored("models") if in_table else {}
+    for have in [scalers, *([models] if in_table else [])]:
+        missing = folds.join(have, ["symbol", "fold_id"], "left_anti").orderBy("symbol", "fold_id").limit(20).collect()
         if missing:
-            raise FileNotFoundError(f"Missing artifacts for folds {missing} in {root}")
-        return cfg["feature_cols"], coefs, spark.read.parquet(f"{root}/scalers"), spark.read.parquet(f"{root}/weights")
-    for f in cfg["folds"]:
-        key = (f["symbol"], int(f["fold_id"]))
-        if key not in scaled:
-            missing.append(key)
-            continue
+            raise FileNotFoundError(f"Missing artifacts for folds {[tuple(r) for r in missing]} in {root}")
+    if in_table:
+        return cfg["feature_cols"], models, scalers, weights
+    missing = []
+    for key in sorted((r[0], int(r[1])) for r in folds.collect()):  # pipelines are objects of the driver, one a fold
         try:
-            models[key] = PipelineModel.load(f"{root}/models/symbol={key[0]}/fold={key[1]}")
+            models[key] = PipelineModel.load(f"{root}/pipelines/symbol={key[0]}/fold={key[1]}")
         except Exception:  # noqa: BLE001
             missing.append(key)
     if missing:
         raise FileNotFoundError(f"Missing artifacts for folds {missing} in {root}")
-    scalers = spark.read.parquet(f"{root}/scalers")
-    weights = spark.read.parquet(f"{root}/weights")
     return cfg["feature_cols"], models, scalers, weights
 
 

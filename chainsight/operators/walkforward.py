@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..session import cut_lineage
+from .selection import exact_medians
 
 
 # ---------------------------------------------------------------- P15-P17, M1
@@ -40,14 +41,15 @@ def keep_dense_features(df: DataFrame, candidates=None, max_null_share: float |
 
 def median_fill(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """NULLs replaced by the exact median of the column over the whole table
-    (per ``by`` group when given, e.g. symbol). Looks ahead in time, as the reference does."""
+    (per ``by`` group when given, e.g. symbol). Looks ahead in time, as the reference does. Groups of
+    any size: see ``selection.exact_medians``."""
     keys = list(by or [])
-    med = df.groupBy(*keys).agg(*[F.median(c).alias(f"_med_{c}") for c in cols])
+    med = exact_medians(df, cols, keys)
     if not keys:
         # one row of k medians: applied as literals
         row = med.first()
-        return df.fillna({c: row[f"_med_{c}"] for c in cols if row[f"_med_{c}"] is not None})
-    j = df.join(med, keys, "left")
+        return df.fillna({c: row[c] for c in cols if row is not None and row[c] is not None})
+    j = df.join(med.withColumnsRenamed({c: f"_med_{c}" for c in cols}), keys, "left")
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in cols}).drop(
         *[f"_med_{c}" for c in cols])
 
@@ -57,8 +59,7 @@ def fold_median_fill(assigned: DataFrame, cols: list[str], keys=("symbol", "fold
     fold's TRAIN rows only (no look-ahead). ``assigned`` is the J2 output; the
     medians table has one row per fold."""
     keys = list(keys)
-    med = (assigned.filter(F.col("role") == "train").groupBy(*keys)
-           .agg(*[F.median(c).alias(f"_med_{c}") for c in cols]))
+    med = exact_medians(assigned.filter(F.col("role") == "train"), cols, keys).withColumnsRenamed({c: f"_med_{c}" for c in cols})
     j = assigned.join(med, keys, "left")
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in cols}).drop(
         *[f"_med_{c}" for c in cols])

@@ -1275,20 +1275,24 @@ def _scratch(spark, name):
 
 def _land(df, path, fmt="csv"):
     """Land rows as several files that each hold parts of every day and symbol."""
-    df.repartition(4, df.columns[0]).write.mode("append").option("header", True).format(fmt).save(path)
+    df.repartition(4, "seq" if "seq" in df.columns else df.columns[0]).write.mode("append").option("header", True).format(fmt).save(path)
 
 
 @register("r1_chain_snapshot_stream", _MERGE_SQL + "SELECT * FROM rows_")
 def q_chain_snapshot_stream(spark, sf):
-    """End-to-end stream in two runs on one checkpoint; every file and every batch holds parts of all days."""
+    """End-to-end stream in two runs on one checkpoint; every file and every batch holds parts of all days. The second
+    run's files have another column order, and its row of the day 1990-01-02 leaves no row of that day in the band."""
     from ..operators.chain import CHAIN_SCHEMA
     from ..streaming import jobs
     root = _scratch(spark, "r1")
     lg = fx.legs(spark, sf)
     oi, ohlc = fx.oi_feed(spark, sf, lg), fx.ohlc_feed(spark, sf, lg)
     feed = fx.iv_feed(spark, sf, lg)
-    for part in (F.col("seq") % 3 == 0, F.col("seq") % 3 != 0):
-        _land(feed.filter(part), f"{root}/landing")
+    day = "'none', DATE '1990-01-02', '1990-02-16', '100', 'CALL'"
+    gone = [spark.sql(f"SELECT {s}L AS seq, {day}, {bid} AS bid, {bid} AS ask, '0.2' AS implied_vol, {u}D AS underlying_price").toDF(*feed.columns)
+            for s, bid, u in ((5, "'1'", 100), (1, "CAST(NULL AS STRING)", 1000))]
+    for part, more, order in ((F.col("seq") % 3 == 0, gone[0], feed.columns), (F.col("seq") % 3 != 0, gone[1], feed.columns[::-1])):
+        _land(feed.filter(part).unionByName(more).select(*order), f"{root}/landing")
         jobs.chain_snapshot_stream(spark, f"{root}/landing", oi, ohlc, f"{root}/out", checkpoint=f"{root}/ckpt",
                                    max_files=4).awaitTermination()
     return spark.read.parquet(f"{root}/out").select(*[c for c, _ in CHAIN_SCHEMA])
@@ -1441,9 +1445,12 @@ def _feed_scan(name, feed, cols):
     def run(spark, sf):
         from ..operators import chain
         path = f"{_scratch(spark, name)}/feed"
-        feed(spark, sf).select(*cols).write.option("header", True).csv(path)
+        rows = feed(spark, sf).select(*cols)
+        rows.filter("seq % 2 = 0").write.option("header", True).csv(path)
+        # files of another column order, with a column more
+        rows.filter("seq % 2 <> 0").select(F.lit("x").alias("venue"), *reversed(cols)).write.mode("append").option("header", True).csv(path)
         return chain.read_feed_csv(spark, path, cols)
-    run.__doc__ = f"S3/S4: the {name} feed landed as CSV text and scanned back with an all-string schema."
+    run.__doc__ = f"S3/S4: the {name} feed landed as CSV files of two layouts and scanned back by their headers, every value text."
     return run
 
 
@@ -1597,3 +1604,6 @@ def q_signal_report_all(spark, sf):
     r = _with_context(_results(spark, sf)).select("quote_date", "symbol", "signal_dir", "proba_up_ens", "proba_flat_ens",
                                                   "proba_down_ens", "above_sma200", "vol_regime", *_CONTEXT)
     return round_doubles(signals.signal_report(r))
+
+
+from . import checks_more, checks_trees  # noqa: E402,F401 - they register their queries

@@ -1,17 +1,22 @@
 """Sinks and incremental ingest on plain Parquet: append, keyed upsert, range replace.
 
 Parquet has no primary key and no MERGE here. ``upsert`` and ``replace_range`` express keyed writes as set
-operations (anti join + union). A keyed table on disk is partitioned by month; ``merge_keyed`` and
-``replace_keyed`` read and rewrite only the months that a batch touches. Their new content is written
-to a staging table first and put in place by dynamic partition overwrite, so a job that fails before that leaves
-the table as it was, and running a batch again gives the same table. One writer per table at a time.
+operations (anti join + union). A keyed table on disk is a row of versions: data folders by batch and month, which are
+never changed, and a small pointer file per version that names the folder of each month. ``merge_keyed`` and ``replace_keyed`` read
+and write only the months that a batch touches; the pointer is written last, by a rename that fails if the version is there already. So
+a reader sees the table before or after a write, never between; a job that fails leaves it as it was; of two writers
+that began at the same version one raises ``ConcurrentWrite``; and running a batch again gives the same table. The folders of
+the version before stay for readers that have begun. (The rename is exclusive on HDFS-like stores and local disks; an object store
+needs a committer that makes it so.)
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
@@ -93,6 +98,11 @@ def union_all(frames: list[DataFrame], by_name: bool = True, allow_missing: bool
     return reduce(lambda a, b: a.union(b), frames)
 
 
+def beside(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """U4: the columns of ``values`` put beside ``rows`` by their keys, never by position; ``values`` has one row a key."""
+    return rows.join(values, list(keys), "left")
+
+
 # ---------------------------------------------------------------- physical writes (K1, versioned tables)
 
 def append_chain(df: DataFrame, path: str, replace_day: bool = False) -> None:
@@ -109,6 +119,13 @@ def append_chain(df: DataFrame, path: str, replace_day: bool = False) -> None:
 
 
 PART = "part"
+BATCH = "batch"
+#: versions whose folders stay
+KEEP = 2
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another writer has committed since this one read the table."""
 
 
 def _month(date_col: str) -> Column:
@@ -116,24 +133,129 @@ def _month(date_col: str) -> Column:
     return F.coalesce(F.date_format(date_col, "'m'yyyy_MM"), F.lit("none"))
 
 
-def table_exists(spark: SparkSession, root: str) -> bool:
+def part_folders(spark: SparkSession, root: str, column: str) -> list[str]:
+    """Folders ``column=...`` right below ``root``."""
     fs, p = file_system(spark, root)
-    return fs.exists(p) and any(s.getPath().getName().startswith(f"{PART}=") for s in fs.listStatus(p))
+    if not fs.exists(p):
+        return []
+    return [str(s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{column}=")]
+
+
+def has_parts(spark: SparkSession, root: str, column: str) -> bool:
+    return bool(part_folders(spark, root, column))
+
+
+def drop_parts(spark: SparkSession, root: str, column: str, values: list) -> None:
+    """Delete the folders of some partition values (None: rows without one)."""
+    for v in values:
+        fs, p = file_system(spark, f"{root.rstrip('/')}/{column}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}")
+        fs.delete(p, True)
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    fs, p = file_system(spark, f"{root.rstrip('/')}/_versions")
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
 
-def _put(df: DataFrame, root: str) -> None:
-    (df.hint("rebalance", PART).write.mode("overwrite").partitionBy(PART)
-     .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 5_000_000).parquet(root))
+def _pointer(root: str, n: int) -> str:
+    return f"{root.rstrip('/')}/_versions/v{n:010d}.json"
 
 
-def read_keyed(spark: SparkSession, root: str) -> DataFrame | None:
-    """A keyed table's rows, None if there is no table yet."""
-    return spark.read.parquet(root).drop(PART) if table_exists(spark, root) else None
+def _parts(spark: SparkSession, root: str, n: int) -> dict[str, str]:
+    """Month -> batch folder of a version."""
+    return json.loads(_read_text(spark, _pointer(root, n)))["parts"]
+
+
+def current_version(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """Number and months of the newest version; (0, {}) if there is no table."""
+    have = _versions(spark, root)
+    return (have[-1], _parts(spark, root, have[-1])) if have else (0, {})
+
+
+def table_exists(spark: SparkSession, root: str) -> bool:
+    return bool(_versions(spark, root))
+
+
+def _rows_of(spark: SparkSession, root: str, parts: dict[str, str]) -> DataFrame | None:
+    base = f"{root.rstrip('/')}/data"
+    if not parts:
+        return None
+    return spark.read.option("basePath", base).parquet(*[f"{base}/{BATCH}={b}/{PART}={m}" for m, b in sorted(parts.items())]).drop(BATCH)
+
+
+def read_keyed(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    """A keyed table's rows (of the newest version, or of ``version`` while its folders stay), None if there is no table."""
+    parts = current_version(spark, root)[1] if version is None else _parts(spark, root, version)
+    rows = _rows_of(spark, root, parts)
+    return None if rows is None else rows.drop(PART)
+
+
+def _put(df: DataFrame, root: str) -> dict[str, str]:
+    """Write rows with their month into a new batch folder; returns its months."""
+    spark, batch = df.sparkSession, uuid.uuid4().hex
+    folder = f"{root.rstrip('/')}/data/{BATCH}={batch}"
+    df.hint("rebalance", PART).write.partitionBy(PART).option("maxRecordsPerFile", 5_000_000).parquet(folder)
+    return {f.rsplit(f"{PART}=", 1)[1]: batch for f in part_folders(spark, folder, PART)}
+
+
+def _commit(spark: SparkSession, root: str, n: int, parts: dict[str, str], written: dict[str, str]) -> None:
+    """Make ``parts`` version ``n`` + 1, unless somebody else has; then the batch just written goes."""
+    jvm = spark.sparkContext._jvm
+    draft = f"{root.rstrip('/')}/_versions/draft-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, draft)
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps({"parts": parts}).encode()))
+    out.close()
+    _, final = file_system(spark, _pointer(root, n + 1))
+    never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(p, final, never)
+    except Exception as e:  # noqa: BLE001 - py4j wraps the store's own exception
+        fs.delete(p, True)
+        _drop_batches(spark, root, set(written.values()))
+        if n + 1 in _versions(spark, root):
+            raise ConcurrentWrite(f"version {n + 1} of {root} was committed by another writer") from e
+        raise
+    vacuum(spark, root, KEEP)
+
+
+def _drop_batches(spark: SparkSession, root: str, batches: set[str]) -> None:
+    drop_parts(spark, f"{root.rstrip('/')}/data", BATCH, sorted(batches))
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = KEEP) -> None:
+    """Delete the pointers before the last ``keep`` versions and the month folders that only these named. Folders of writes
+    under way, which no version names yet, stay."""
+    have = _versions(spark, root)
+    old, new = have[:-keep], have[-keep:]
+    used = {(m, b) for n in new for m, b in _parts(spark, root, n).items()}
+    for n in old:
+        for m, b in _parts(spark, root, n).items():
+            if (m, b) not in used:
+                drop_parts(spark, f"{root.rstrip('/')}/data/{BATCH}={b}", PART, [m])
+        fs, p = file_system(spark, _pointer(root, n))
+        fs.delete(p, True)
 
 
 def write_keyed(df: DataFrame, root: str, date_col: str = "quote_date") -> None:
     """Create a keyed table, or overwrite the months that ``df`` holds."""
-    _put(df.withColumn(PART, _month(date_col)), root)
+    spark = df.sparkSession
+    n, parts = current_version(spark, root)
+    new = _put(df.withColumn(PART, _month(date_col)), root)
+    _commit(spark, root, n, {**parts, **new}, new)
 
 
 def merge_keyed(new: DataFrame, root: str, keys: list[str], date_col: str = "quote_date",
@@ -143,44 +265,59 @@ def merge_keyed(new: DataFrame, root: str, keys: list[str], date_col: str = "quo
     With ``seq_col`` the table keeps the arrival number and of equal keys the last arrival stays (stored rows without
     one come first), so the result does not depend on how a feed is cut into batches. Without it the
     batch's row replaces the stored one. ``new`` is computed once (written); its distinct months,
-    bounded by the calendar, prune the scan.
+    bounded by the calendar, choose the folders that are read.
     """
     spark = new.sparkSession
     if seq_col:
         new = dedupe_last(new, keys, seq_col)
     with staging(spark):
+        n, parts = current_version(spark, root)
         new = cut_lineage(new.withColumn(PART, _month(date_col)))
-        if table_exists(spark, root):
-            months = new.select(PART).distinct()
-            stored = spark.read.parquet(root).join(F.broadcast(months), PART, "left_semi")
+        months = {r[0] for r in new.select(PART).distinct().collect()}
+        stored = _rows_of(spark, root, {m: b for m, b in parts.items() if m in months})
+        if stored is not None:
             if seq_col:
                 new = dedupe_last(stored.unionByName(new), keys, seq_col)
             else:
                 new = upsert(stored, new, keys, seq_col=None)
-            new = cut_lineage(new)
-        _put(new, root)
+        put = _put(new, root)
+        _commit(spark, root, n, {**parts, **put}, put)
 
 
 def replace_keyed(batch: DataFrame, root: str, date_col: str = "quote_date", symbol_col: str = "symbol") -> None:
     """K3 on disk: ``replace_range`` on the months between the batch's first and last date; a month that
-    is left without rows is deleted after the others are in place."""
+    is left without rows is not in the new version."""
     spark = batch.sparkSession
     with staging(spark):
-        _replace(spark, batch, root, date_col, symbol_col)
-
-
-def _replace(spark: SparkSession, batch: DataFrame, root: str, date_col: str, symbol_col: str) -> None:
-    batch = cut_lineage(batch.withColumn(PART, _month(date_col)))
-    if not table_exists(spark, root):
-        return _put(batch, root)
-    lo, hi = batch.agg(F.min(F.when(F.col(PART) != "none", F.col(PART))), F.max(F.when(F.col(PART) != "none", F.col(PART)))).first()
-    if lo is None:
-        return None
-    stored = spark.read.parquet(root).filter(F.col(PART).between(lo, hi))
-    before = [r[0] for r in stored.select(PART).distinct().collect()]  # months: bounded by the calendar
-    out = cut_lineage(replace_range(stored, batch, date_col, symbol_col))
-    _put(out, root)
-    for part in sorted(set(before) - {r[0] for r in out.select(PART).distinct().collect()}):
-        fs, p = file_system(spark, f"{root.rstrip('/')}/{PART}={part}")
-        fs.delete(p, True)
-    return None
+        n, parts = current_version(spark, root)
+        batch = cut_lineage(batch.withColumn(PART, _month(date_col)))
+        dated = F.when(F.col(PART) != "none", F.col(PART))
+        lo, hi = batch.agg(F.min(dated), F.max(dated)).first()
+        if not parts:
+            put = _put(batch, root)
+            _commit(spark, root, n, put, put)
+        elif lo is not None:
+            between = {m: b for m, b in parts.items() if lo <= m <= hi}
+            stored = _rows_of(spark, root, between)
+            put = _put(replace_range(stored, batch, date_col, symbol_col) if stored is not None else batch, root)
+            kept = {m: b for m, b in parts.items() if m not in between}
+            _commit(spark, root, n, {**kept, **put}, put)
+
+
+# ---------------------------------------------------------------- ordered output (T4)
+
+def write_ordered(df: DataFrame, path: str, order: list, files: int | None = None) -> None:
+    """T4: rows as sorted files whose names follow the order. Ranges are cut by ``order`` and a tie-breaker, so a
+    value that many rows share is split over files. ``order``: columns, ascending or ``.desc()``."""
+    tie = "_tie"
+    keyed = df.withColumn(tie, F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange(files, *order, tie) if files else keyed.repartitionByRange(*order, tie)
+    ranged.sortWithinPartitions(*order, tie).drop(tie).write.parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """The rows of ``write_ordered`` with their place from 1: by file name, then by row in the file."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    bases = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.join(bases, "_file").withColumn(position, F.col("_base") + F.col("_row") + 1).drop("_file", "_row", "_base")
