@@ -33,11 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, computes once."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, computes once. ``files``: at most so many
+    files, for tables whose size the caller knows to be small."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,23 +74,26 @@ def ranked(df: DataFrame, part: list[str], spread: Column, order: list, out: str
     return joined.select(*[inner[c] for c in df.columns], (inner[out] + bases[base]).alias(out))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hub: int = 20_000) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) by alternating large and small stars.
 
     Returns (node, root) for every node that is not its component's smallest. Each round's edges
-    are written; the driver sees only a count and a checksum. A hub's neighbours are never
-    gathered: the smallest neighbour is a pre-aggregated minimum, joined back.
+    are written; the driver sees only a count and a checksum. The smallest neighbour is a pre-aggregated
+    minimum. It is joined back to the neighbours of a node; those of a hub (more than ``hub``, and more than a thousandth of
+    all rows) meet it in a broadcast table of at most about 1000 hubs, so they are never gathered in a task.
     """
     e = written(edges.filter("a <> b")
                 .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sign = _signature(e)
     while sign[0]:
+        bound = max(hub, 2 * sign[0] // 1000)
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "lowest")
+        large = _with_least(both.filter("v > u"), low, "u", bound).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = written(large, "large-star")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = _with_least(large, least, "a", bound).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         last, sign = sign, _signature(e)
         if sign == last:
@@ -97,5 +101,14 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _with_least(rows: DataFrame, least: DataFrame, key: str, bound: int) -> DataFrame:
+    """``rows`` with ``m`` of their key. ``least`` has (key, m, n): keys with more than ``bound`` rows are looked up in a
+    broadcast table; rows over ``bound`` bounds their number."""
+    hubs = F.broadcast(least.filter(F.col("n") > bound).select(F.col(key).alias("__hub"), F.col("m").alias("__m")))
+    marked = rows.join(hubs, F.col(key) == F.col("__hub"), "left")
+    others = marked.filter("__hub IS NULL").join(least.filter(F.col("n") <= bound).select(F.col(key).alias("__k"), "m"), F.col(key) == F.col("__k"))
+    return others.select(*rows.columns, "m").unionByName(marked.filter("__hub IS NOT NULL").select(*rows.columns, F.col("__m").alias("m")))
+
+
 def _signature(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())

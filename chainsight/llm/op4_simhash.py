@@ -22,7 +22,7 @@ from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -59,13 +59,19 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 def _fingerprints(it, shingle):
     for batch in small_batches(it, 1):
         f = np.fromiter((fingerprint(b, shingle) for b in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
+
+
+def text_digest() -> Column:
+    """128 bits that tell texts apart; a null text is an empty one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(i), text)) for i in (0, 1)])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as the bits of a signed long."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("b"))
-    return src.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
+    """(doc_id, fp, digest): the fingerprint as the bits of a signed long."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("b"), text_digest().alias("digest"))
+    return src.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long, digest string")
 
 
 # ---------------------------------------------------------------- links
@@ -192,24 +198,33 @@ def links(distinct: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS)
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _links(it, radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document; component_id is the smallest doc_id reachable."""
+def _rooted(docs: DataFrame, shingle: int, radius: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Written (doc_id, fp, digest) of the documents, and (fp, rep, root) of the distinct fingerprints."""
     docs_fp = written(fingerprints(docs, shingle), "fingerprints")
     distinct = written(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     comps = components(links(distinct, radius, bucket_rows))
-    rooted = distinct.join(comps, distinct["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return docs_fp, distinct.join(comps, distinct["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, fp, component_id): one row per document; component_id is the smallest doc_id reachable."""
+    docs_fp, rooted = _rooted(docs, shingle, radius, bucket_rows)
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(names, "root").select(F.col("fp").alias("f"), "component_id")
     return docs_fp.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The documents without those that another one stands for: of each component the row with the
-    smallest doc_id stays, once even if the row is repeated. Rows without a doc_id stay."""
-    found = near_duplicates(docs, shingle, radius)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """The documents without those that another one stands for. Of each component one text stays: of its rows with the
+    smallest doc_id the one of smallest fingerprint, then digest, once even if that row is repeated. A doc_id
+    that occurs with texts of several components is judged in each. Rows without a doc_id stay."""
+    docs_fp, rooted = _rooted(docs, shingle, radius, BUCKET_ROWS)
+    roots = rooted.select(F.col("fp").alias("f"), "root")
+    first = docs_fp.filter("doc_id IS NOT NULL").join(roots, F.col("fp") == F.col("f")).groupBy("root").agg(F.min(F.struct("doc_id", "fp", "digest")).alias("m"))
+    keep = first.select(F.col("m.doc_id").alias("__kept_id"), F.col("m.digest").alias("__kept_digest"))
+    row = docs.withColumn("__own_digest", text_digest())
+    named = row.join(keep, (F.col("doc_id").cast("long") == F.col("__kept_id")) & (F.col("__own_digest") == F.col("__kept_digest")), "left_semi")
+    return named.dropDuplicates(["doc_id", "__own_digest"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def hex_fingerprint(col: str = "fp"):

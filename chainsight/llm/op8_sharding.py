@@ -38,6 +38,11 @@ def _running(df: DataFrame, part: list[str], key: str, order: list, weight: str,
     return inner.join(bases.drop("__s"), [*part, "__b"]).withColumn(out, (F.col("__own") + F.col("__base")).cast("long")).drop("__own", "__base", "__b")
 
 
+def files_for(rows: int) -> int:
+    """Files of a table of at most ``rows`` narrow rows."""
+    return max(1, -(-rows // 200_000))
+
+
 def quotas(n: int, shards: int) -> list[int]:
     """Rows of each shard: n over the shards, the first ones one more."""
     return [n // shards + (s < n % shards) for s in range(shards)]
@@ -84,16 +89,20 @@ def _changed(labels: DataFrame, change: DataFrame) -> DataFrame:
     return labels.unionByName(change).groupBy("grp", "shard").agg(F.sum("n").cast("long").alias("n")).filter("n > 0")
 
 
-def propagate(labels: DataFrame, quota: list[int], slack: float, buckets: int) -> DataFrame:
+def propagate(labels: DataFrame, quota: list[int], slack: float, buckets: int, files: int) -> DataFrame | None:
     """One round: members move to the shard that holds most of their group among those with room, as far
-    as it has room; members in a shard that holds still more of the group stay."""
+    as it has room; members in a shard that holds still more of the group stay. None if nothing moves."""
     room = [max(0, int(q * (1 + slack)) - n) for q, n in zip(quota, loads(labels, len(quota)))]
     free = labels.filter(_at(room, F.col("shard")) > 0)
     best = free.groupBy("grp").agg(F.max(F.struct("n", F.negative("shard").alias("s"))).alias("top")).select("grp", F.negative("top.s").alias("goal"), F.col("top.n").alias("pull"))
-    wish = labels.join(best, "grp").filter("n < pull or (n = pull and shard > goal)")
+    wish = written(labels.join(best, "grp").filter("n < pull or (n = pull and shard > goal)"), "wishes", files)
+    if not wish.take(1):
+        return None
     queue = _running(wish, ["goal"], "grp", [F.col("pull").desc(), F.col("grp"), F.col("shard")], "n", "before", buckets)
     go = F.greatest(F.lit(0), F.least(F.col("n"), _at(room, F.col("goal")) - F.col("before"))).cast("long")
-    moved = queue.withColumn("go", go).filter("go > 0")
+    moved = written(queue.withColumn("go", go).filter("go > 0"), "moves", files)
+    if not moved.take(1):
+        return None
     return _changed(labels, moved.select("grp", "shard", F.negative("go").alias("n")).unionByName(moved.select("grp", F.col("goal").alias("shard"), F.col("go").alias("n"))))
 
 
@@ -118,18 +127,24 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 5, slack: float = 0.
                        F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.crc32(text)), F.octet_length(text)).alias("grp"))
     base = written(base.withColumn("row", F.monotonically_increasing_id()), "rows")
     counts = base.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
-    groups = written(counts.filter("members > 1"), "groups")
     n = base.count()
     quota, buckets = quotas(n, shards), buckets_for(n)
-    labels = written(start(groups, shards, buckets), "labels")
+    # the tables of the rounds are small beside the rows and read many times: a few files each
+    groups = written(counts.filter("members > 1"), "groups", files_for(n // 2))
+    linked = int(groups.agg(F.sum(F.least("members", F.lit(shards)))).first()[0] or 0)
+    files = files_for(linked)
+    labels = written(start(groups, shards, buckets), "labels", files)
     for r in range(rounds):  # more slack at first lets whole groups meet; settle() brings every shard to its quota
-        labels = written(propagate(labels, quota, max(slack, 0.5 ** r), buckets), "labels")
-    labels = written(settle(labels, quota, buckets), "labels")
+        after = propagate(labels, quota, max(slack, 0.5 ** r), buckets, files)
+        if after is None:
+            continue  # a later round has other slack
+        labels = written(after, "labels", files)
+    labels = written(settle(labels, quota, buckets), "labels", files)
     # a group's shards with the first rank that goes elsewhere, at most one entry a shard
     ends = labels.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("l"))
     upto = lambda i: F.aggregate(F.slice("l", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"])
     ends = ends.select(F.col("grp").alias("g"), F.transform("l", lambda x, i: F.struct(x["shard"].alias("shard"), upto(i).alias("hi"))).alias("ends"))
-    ends = written(ends, "ends")  # both sides then come straight from a shuffle, which AQE may split at a very common text
+    ends = written(ends, "ends", files)  # both sides then come straight from a shuffle, which AQE may split at a very common text
     # documents without links fill the free places, as one unit of their own
     free = _spots([q - m for q, m in zip(quota, loads(labels, shards))])
     marked = base.join(groups.select(F.col("grp").alias("g")), F.col("grp") == F.col("g"), "left").withColumn("unit", F.coalesce("g", F.lit(""))).drop("g")

@@ -2,7 +2,8 @@
 
 ``ids`` equals ``tokenizers``' ``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids``. The bulk goes
 through tiktoken, which has the same vocabulary as ranks and is several times faster; a text that holds the
-vocabulary's special string goes to ``tokenizers`` itself.
+vocabulary's special string, or one that tiktoken's pattern cannot match (very long runs of white space exceed its
+backtracking stack), goes to ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -34,12 +35,18 @@ def encoder(paths: tuple[str, str] | None = None):
         fast = tiktoken.Encoding("byte_bpe_50k", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
         slow = []
 
+        def whole(text: str) -> np.ndarray:
+            if not slow:
+                slow.append(Tokenizer.from_file(json_path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
         def ids(text: str) -> np.ndarray:
             if SPECIAL in text:
-                if not slow:
-                    slow.append(Tokenizer.from_file(json_path))
-                return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
-            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+                return whole(text)
+            try:
+                return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+            except ValueError:
+                return whole(text)
 
         _made[paths] = ids
     return _made[paths]
