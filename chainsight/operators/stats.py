@@ -147,12 +147,12 @@ def mutual_information_knn(df: DataFrame, features: list[str], label: str = "lab
     task that holds a feature or a class.
     """
     k_of = lambda c: decimals.get(c, 6) if isinstance(decimals, dict) else decimals
-    clean = df.select(*[F.round(F.nanvl(F.col(c).cast("double"), F.lit(None)) * float(10 ** k_of(c)), 0).cast("long").alias(c) for c in features],
-                      F.col(label).alias("_y")).dropna()
-    sizes = clean.groupBy("_y").agg(F.count(F.lit(1)).alias("n_y")).filter("n_y > 1")
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in features])
-    long = clean.select("_y", F.explode(pairs).alias("p")).groupBy("p.feature", "_y", "p.v").agg(F.count(F.lit(1)).alias("n"))
-    long = cut_lineage(long.toDF("feature", "_y", "v", "n").join(sizes, "_y"))
+    clean = df.select(F.col(label).alias("_y"), *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in features]).dropna()
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), F.lit(float(10 ** k_of(c))).alias("scale")) for c in features])
+    one = clean.select("_y", F.explode(pairs).alias("p")).select("p.feature", "_y", F.round(F.col("p.value") * F.col("p.scale"), 0).cast("long").alias("v"))
+    counted = cut_lineage(one.groupBy("feature", "_y", "v").agg(F.count(F.lit(1)).alias("n")))
+    sizes = counted.filter(F.col("feature") == features[0]).groupBy("_y").agg(F.sum("n").alias("n_y")).filter("n_y > 1")
+    long = counted.join(sizes, "_y").select("feature", "_y", "v", "n", "n_y")
     ranked = cut_lineage(ranks(in_order(long, ["feature", "_y", "v"]), ["feature", "_y"], "i").select("feature", "_y", "v", "n", "n_y", "i"))
     # each value goes to the places of its next ``neighbours`` values on both sides
     near = ranked.select("feature", "_y", "v", "n", "n_y", F.explode(F.sequence(F.col("i") - neighbours, F.col("i") + neighbours)).alias("to"), "i")
