@@ -6,10 +6,15 @@ are. ``render`` writes each turn with markers and escapes control strings in its
 parses the rendered turns again. Every step is a row at a time or a sorted stream, so a conversation
 of any length is never held whole.
 
+A mapping names the paths it needs and may leave further fields aside: a record is taken by the mapping of its whole fingerprint, or else by
+the one of the most needed paths among those whose paths it holds. Literal ``.``, ``[`` and ``\\`` in keys are escaped in paths, so a key
+never reads as nesting.
+
 Defined cases: null text is empty; null role is written as the empty role; rows of one turn number are
 ordered by role, then text, and repeated rows are turns of their own; null conv_id is one conversation;
-a record whose fingerprint has no mapping gets one turn of role ``unmapped`` holding the record, so nothing is lost;
-a record that isn't JSON likewise. An empty table gives no turns.
+a record that no mapping fits gets one turn of role ``unmapped`` holding the record, so nothing is lost;
+a record that isn't JSON or is nested too deeply likewise; half a surrogate pair, which no UTF-8 text can hold, becomes U+FFFD. An empty
+table gives no turns.
 """
 
 from __future__ import annotations
@@ -25,10 +30,19 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- fingerprints and mappings
 
+def _key(k: str) -> str:
+    """A key as a path step: what could read as nesting is escaped."""
+    return k.replace("\\", "\\\\").replace(".", "\\.").replace("[", "\\[")
+
+
 def paths(value, prefix: str = "") -> set[str]:
     """Nested field paths of a JSON value; list items share one path."""
     if isinstance(value, dict):
-        return {p for k, v in value.items() for p in (paths(v, f"{prefix}.{k}" if prefix else k) or {f"{prefix}.{k}" if prefix else k})}
+        out = set()
+        for k, v in value.items():
+            step = f"{prefix}.{_key(k)}" if prefix else _key(k)
+            out |= paths(v, step) or {step}
+        return out
     if isinstance(value, list):
         return {p for v in value for p in paths(v, f"{prefix}[]")} or {f"{prefix}[]"}
     return {prefix} if prefix else set()
@@ -39,7 +53,17 @@ def fingerprint(field_paths) -> str:
 
 
 def _layout(fields, **mapping):
-    return fingerprint(fields), mapping
+    return fingerprint(fields), {"needs": frozenset(fields), **mapping}
+
+
+def mapping_of(field_paths: set[str], mappings: dict) -> dict | None:
+    """The mapping of the paths' fingerprint, or of the most needed paths among those that the record holds (ties: the
+    first one declared); a list of turns goes before single fields."""
+    found = mappings.get(fingerprint(field_paths))
+    if found is not None:
+        return found
+    fits = [m for m in mappings.values() if m.get("needs") and m["needs"] <= field_paths]
+    return max(fits, key=lambda m: ("list" in m, len(m["needs"])), default=None)
 
 
 #: fingerprint -> mapping. ``list``: where the turns are, with ``role`` and ``text`` in each; ``pairs``:
@@ -67,16 +91,28 @@ def turns_of(record: str | None, mappings=None) -> tuple[str, list[tuple[str, st
     """(fingerprint, canonical turns) of one record."""
     try:
         value = json.loads(record) if record is not None else None
-    except ValueError:
-        value = None
-    if not isinstance(value, dict):
+        if not isinstance(value, dict):
+            return "", [("unmapped", record or "")]
+        held = paths(value)
+        mark, m = fingerprint(held), mapping_of(held, mappings or MAPPINGS)
+        return mark, [(_whole(r), _whole(t)) for r, t in _mapped(value, m)] if m else [("unmapped", record)]
+    except (ValueError, RecursionError):
         return "", [("unmapped", record or "")]
-    mark = fingerprint(paths(value))
-    m = (mappings or MAPPINGS).get(mark)
-    if m is None:
-        return mark, [("unmapped", record)]
+
+
+def _whole(text: str) -> str:
+    """Halves of surrogate pairs replaced: no UTF-8 text can hold them."""
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _mapped(value: dict, m: dict) -> list[tuple[str, str]]:
     if "list" in m:
-        return mark, [(ROLES.get(_text(t.get(m["role"])), _text(t.get(m["role"]))), _text(t.get(m["text"]))) for t in value[m["list"]]]
+        turns = [t if isinstance(t, dict) else {m["text"]: t} for t in value[m["list"]]]
+        return [(ROLES.get(_text(t.get(m["role"])), _text(t.get(m["role"]))), _text(t.get(m["text"]))) for t in turns]
     out = []
     for role, field in m["pairs"]:
         text = _text(value.get(field))
@@ -86,7 +122,7 @@ def turns_of(record: str | None, mappings=None) -> tuple[str, list[tuple[str, st
             out.append((_text(value.get(role[1:])), text))
         elif text or role != "system":
             out.append((role, text))
-    return mark, out
+    return out
 
 
 def _canonical(it, mappings):
@@ -160,7 +196,7 @@ def _render(it):
 
 def render(turns: DataFrame) -> DataFrame:
     """Canonical turns to (conv_id, turn, part, formatted, loss_start, loss_end); a conversation's text is its
-    turns' ``formatted`` in the order of ``turn``, ``part``, ``formatted``."""
+    turns' ``formatted`` in the order of ``turn``, ``part``, role, text."""
     return turns.select("conv_id", "turn", "part", "role", "text").mapInArrow(_render, "conv_id long, turn long, part long, formatted string, loss_start long, loss_end long")
 
 
@@ -209,8 +245,10 @@ def _read_back(it):
 
 def read_back(rendered: DataFrame) -> DataFrame:
     """Digests per conversation, from the rendered turns: a sorted stream that holds one turn at a time.
-    A hash over a whole conversation needs its turns one after the other, so one task per conversation."""
-    sorted_turns = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", "formatted")
+    A hash over a whole conversation needs its turns one after the other, so one task per conversation.
+    Turns of equal number are in the order of their own role and text, not of the escaped ones."""
+    plain = F.regexp_replace("formatted", rf"([<\[])(\\*)\\({_TAIL})", "$1$2$3")
+    sorted_turns = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", F.substring_index(plain, "\n", 1), plain)
     return sorted_turns.mapInArrow(_read_back, DIGEST)
 
 

@@ -221,10 +221,10 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
     docs_fp, rooted = _rooted(docs, shingle, radius, BUCKET_ROWS)
     roots = rooted.select(F.col("fp").alias("f"), "root")
     first = docs_fp.filter("doc_id IS NOT NULL").join(roots, F.col("fp") == F.col("f")).groupBy("root").agg(F.min(F.struct("doc_id", "fp", "digest")).alias("m"))
-    keep = first.select(F.col("m.doc_id").alias("__kept_id"), F.col("m.digest").alias("__kept_digest"))
-    row = docs.withColumn("__own_digest", text_digest())
-    named = row.join(keep, (F.col("doc_id").cast("long") == F.col("__kept_id")) & (F.col("__own_digest") == F.col("__kept_digest")), "left_semi")
-    return named.dropDuplicates(["doc_id", "__own_digest"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    keep = first.select(F.col("m.doc_id").alias("kept_id"), F.col("m.digest").alias("kept_digest"))
+    rows = docs.filter("doc_id IS NOT NULL").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_digest().alias("digest"))
+    named = rows.join(keep, (F.col("id") == F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi").dropDuplicates(["id", "digest"])
+    return named.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def hex_fingerprint(col: str = "fp"):

@@ -15,13 +15,15 @@ cannot exclude it. The groups' top-k lists are merged by (score, vec_id), k rows
 Defined cases: vectors that are null or hold null or non-finite components take no part; short vectors
 count as padded with zeros; ties go to the smaller vec_id; rows that share a query's vec_id are not its candidates, and repeated
 query rows give one list; with fewer candidates than k all are returned; an empty table gives an empty result;
-rows without a vec_id take no part.
+rows without a vec_id take no part. Large vectors, whose scores doubles cannot hold, are scored in whole numbers of any size
+and found with a wider margin; a score beyond a long is NULL, its rank is exact. Squared norms above 1e37 raise.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +47,17 @@ class Tree:
 
 
 def vectors(rows: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, v: array<long>, n2: squared norm as double) of the rows that take part."""
+    """(vec_id, v: whole numbers as array<double>, n2: squared norm) of the rows that take part."""
     v = F.col(vec_col)
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     out = rows.filter(F.col(id_col).isNotNull()).filter(F.coalesce(good, F.lit(False)))
-    return out.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v")) \
-        .withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+    def whole(x):  # a double of 2^53 or more is a whole number already
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) >= 2.0 ** 53, y).otherwise(F.floor(y).cast("double"))
+
+    return out.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, whole).alias("v")) \
+        .withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
 
 
 def _matrix(col, dim: int) -> np.ndarray:
@@ -82,7 +89,7 @@ def spread_out(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[at]
 
 
-ROUTED = "grp long, router int, dist double, vec_id long, v array<long>"
+ROUTED = "grp long, router int, dist double, vec_id long, v array<double>"
 
 
 def _route(it, routers, m2, dim, groups):
@@ -143,11 +150,11 @@ class Index:
 
 def build(vecs: DataFrame, tree: Tree = Tree()) -> Index | None:
     """Index every row of ``vecs`` (vec_id, v, n2); None for an empty table."""
-    n, m2, dim, most = vecs.agg(F.count(F.lit(1)), F.max("n2"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
+    n, m2, dim = vecs.agg(F.count(F.lit(1)), F.max("n2"), F.max(F.size("v"))).first()
     if not n:
         return None
-    if m2 * 4 >= 2 ** 53:
-        raise ValueError("components too large for exact integer scores in doubles")
+    if not m2 <= 1e37:
+        raise ValueError("components too large for exact scores")
     rows = vecs.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(tree.sample).select("v").collect()
     sample = np.zeros((len(rows), dim))
     for i, r in enumerate(rows):
@@ -163,26 +170,33 @@ def build(vecs: DataFrame, tree: Tree = Tree()) -> Index | None:
     return Index(written(pages, "mtree-pages"), routers, m2, dim, groups, tree)
 
 
+def large(m2: float) -> bool:
+    """Whether sums of products may be beyond the whole numbers that doubles hold."""
+    return m2 * 4 >= 2 ** 53
+
+
 class Best:
-    """A query's k best (score, -vec_id) so far."""
+    """A query's k best (score, -vec_id) so far; ``slack`` covers the rounding of distances."""
 
-    def __init__(self, k, q2m2):
-        self.k, self.c, self.heap, self.reach = k, q2m2, [], np.inf
+    def __init__(self, k, q2m2, slack):
+        self.k, self.c, self.slack, self.heap, self.reach = k, q2m2, slack, [], np.inf
 
     def add(self, scores, ids):
-        for s, i in zip(scores.tolist(), ids.tolist()):
+        for s, i in zip(scores, ids.tolist()):
             if len(self.heap) < self.k:
                 heapq.heappush(self.heap, (s, -i))
             elif (s, -i) > self.heap[0]:
                 heapq.heapreplace(self.heap, (s, -i))
         if len(self.heap) == self.k:  # farther points than this score worse than the k-th
-            self.reach = np.sqrt(max(0.0, self.c - 2 * self.heap[0][0])) * (1 + 1e-9) + 1e-6
+            self.reach = np.sqrt(max(0.0, self.c - 2 * float(self.heap[0][0]))) * (1 + 1e-9) + self.slack
 
 
 def search(q: np.ndarray, q_id: int, k: int, nodes, routers: np.ndarray, m2: float) -> list[tuple[int, int]]:
     """Best-first search of one query in a group's pages; [(score, vec_id)], best first."""
     qx = np.append(q, 0.0)
-    best = Best(k, float(q @ q) + m2)
+    exact = large(m2)
+    best = Best(k, float(q @ q) + m2, 1e-6 * np.sqrt(m2) if exact else 1e-6)
+    ints = [int(c) for c in q] if exact else None
     to_router = np.linalg.norm(routers - qx, axis=1)
     # what the parent distances alone say of each page; its own distance is computed when it is taken
     bound = np.maximum(0.0, np.abs(to_router[nodes.router] - nodes.parent) - nodes.radius)
@@ -204,7 +218,8 @@ def search(q: np.ndarray, q_id: int, k: int, nodes, routers: np.ndarray, m2: flo
         ids, near, x = nodes.entries[p]
         take = (np.abs(d - near) <= best.reach) & (ids != q_id)
         if take.any():
-            best.add(np.rint(x[take, :-1] @ q).astype(np.int64), ids[take])
+            scores = [sum(a * int(b) for a, b in zip(ints, r)) for r in x[take, :-1]] if exact else np.rint(x[take, :-1] @ q).astype(np.int64).tolist()
+            best.add(scores, ids[take])
     return [(s, -i) for s, i in sorted(best.heap, reverse=True)]
 
 
@@ -219,9 +234,6 @@ class Nodes:
         self.entries = [(np.frombuffer(r["vec_ids"], np.int64), np.frombuffer(r["entry_dist"]), np.frombuffer(r["entries"]).reshape(-1, width)) for r in rows]
 
 
-FOUND = "query_id long, vec_id long, score long"
-
-
 def _search(it, k, routers, m2, dim):
     """Rows by grp, pages before query blocks: the group's pages are held, the blocks stream past."""
     grp, rows, nodes = None, [], None
@@ -236,7 +248,8 @@ def _search(it, k, routers, m2, dim):
             nodes = nodes or Nodes(rows, dim + 1)
             for q_id, q in zip(np.frombuffer(r["vec_ids"], np.int64).tolist(), np.frombuffer(r["entries"]).reshape(-1, dim)):
                 found += [(q_id, i, s) for s, i in search(q, q_id, k, nodes, routers, m2)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*found)) or [[]] * 3)], names=["query_id", "vec_id", "score"])
+        types = [pa.int64(), pa.int64(), pa.decimal128(38) if large(m2) else pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([Decimal(v) for v in c] if pa.types.is_decimal(t) else c, t) for c, t in zip(list(zip(*found)) or [[]] * 3, types)], names=["query_id", "vec_id", "score"])
 
 
 def _blocks(it, dim, size):
@@ -262,7 +275,8 @@ def top_k(rows: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id",
     blocks = asked.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(index.groups - 1).cast("long"))))
     blocks = blocks.withColumns({c: F.lit(None).cast(t) for c, t in null.items()}).select(*cols, F.lit(1).alias("kind"))
     both = pages.unionByName(blocks).repartition(max(1, min(index.groups, 4096)), "grp").sortWithinPartitions("grp", "kind")
-    found = both.mapInArrow(lambda it: _search(it, k, routers, m2, dim), FOUND)
+    score = "decimal(38,0)" if large(m2) else "long"
+    found = both.mapInArrow(lambda it: _search(it, k, routers, m2, dim), f"query_id long, vec_id long, score {score}")
     # each group has at most k rows a query
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").try_cast("long").alias("score"))

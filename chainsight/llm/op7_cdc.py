@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import small_batches, written
 
@@ -186,8 +187,6 @@ def passages(docs: DataFrame, settings: Chunks = Chunks()) -> DataFrame:
     return out.filter(F.col("n_words") >= settings.min_words).select("doc_id", "start_byte", "end_byte", "n_words", F.negative("longest.source").alias("source_doc_id"))
 
 
-
-
 def remove_spans(b: bytes, spans) -> bytes:
     """The text without the spans; an edge inside a character moves into the span, so no character is broken."""
     out, at = [], 0
@@ -204,24 +203,25 @@ def remove_spans(b: bytes, spans) -> bytes:
 
 
 def _cleaned(it):
-    for batch in small_batches(it, "__b"):
-        texts = [None if b is None else b if not spans else remove_spans(b, [(x["start_byte"], x["end_byte"]) for x in spans]) for b, spans in zip(batch.column("__b").to_pylist(), batch.column("__spans").to_pylist())]
-        keep = [i for i, n in enumerate(batch.schema.names) if n not in ("__b", "__spans")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(texts, pa.binary()).cast(pa.string())], names=[*[batch.schema.names[i] for i in keep], "__text"])
+    """Rows (row, b, spans) to (row, had, text)."""
+    for batch in small_batches(it, 1):
+        texts = [None if b is None else b if not spans else remove_spans(b, [(x["start_byte"], x["end_byte"]) for x in spans]) for b, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(texts, pa.binary()).cast(pa.string())], names=["row", "had", "text"])
 
 
 def deduplicated(docs: DataFrame, settings: Chunks = Chunks()) -> DataFrame:
     """The documents with repeated passages cut out of their texts and n_chars renewed; a document left
-    without a word goes, unless it had none before."""
+    without a word goes, unless it had none before. Columns of the input cannot clash: they are kept in one struct."""
     found = written(passages(docs, settings), "passages")
-    spans = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("__spans"))  # at most a document's own chunks
+    spans = found.groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("spans"))  # at most a document's own chunks
     cols = [c for c in docs.columns if c not in ("text", "n_chars")]
     spans = spans.hint("merge")  # they grow with the documents: not to be broadcast
-    src = docs.select(*cols, F.col("text").cast("string").cast("binary").alias("__b")).join(spans, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema.fields)
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("text").cast("string").cast("binary").alias("b"))
+    src = src.join(spans, F.col("row.doc_id") == F.col("span_id"), "left")
     words = "[^ \\t-\\r]"
-    out = src.withColumn("__had", F.coalesce(F.col("__b").cast("string").rlike(words) & F.col("__spans").isNotNull(), F.lit(False)))
-    out = out.mapInArrow(_cleaned, f"{schema}, __had boolean, __text string")
-    out = out.filter(~F.col("__had") | F.col("__text").rlike(words))
-    have = {"text": F.col("__text").alias("text"), "n_chars": F.length("__text").cast("long").alias("n_chars")}
-    return out.select(*[have.get(c, F.col(c)) for c in docs.columns])
+    had = F.coalesce(F.col("b").cast("string").rlike(words) & F.col("spans").isNotNull(), F.lit(False))
+    src = src.select("row", "b", "spans", had.alias("had"))
+    out = src.mapInArrow(_cleaned, StructType([src.schema["row"], src.schema["had"], StructField("text", StringType())]))
+    out = out.filter(~F.col("had") | F.col("text").rlike(words))
+    have = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return out.select(*[have[c] if c in have else F.col(f"row.`{c}`") for c in docs.columns])

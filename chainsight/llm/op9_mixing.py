@@ -14,7 +14,9 @@ Everything is DataFrame functions: no Python on the executors.
 
 Defined cases: null source or language is a category of its own, ``""``; a null text has no tokens and topic ``empty``; documents without tokens
 carry no weight and are kept; repeated rows share their draw; a null doc_id is drawn as -1; an empty table
-gives an empty result; target categories that the corpus lacks are left out and the rest renormalised.
+gives an empty result; target categories that the corpus lacks are left out and the rest renormalised; a category without a target has
+share 0, so its documents with tokens go. A target table must hold each category once, with a finite share above 0; one that does not, or
+names no category of the corpus, raises. Columns of the input cannot clash with the operator's own: they are kept in one struct.
 """
 
 from __future__ import annotations
@@ -58,17 +60,28 @@ def tokens(text: Column) -> Column:
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """``docs`` with __source, __lang, __topic and __tokens."""
+    """(row, source, lang, topic, tokens): each document as a struct, with its cell."""
     text = F.col("text").cast("string")
-    return docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__topic": topic(text), "__tokens": tokens(text)})
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+                       F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), topic(text).alias("topic"), tokens(text).alias("tokens"))
 
 
 def cell_table(docs: DataFrame) -> DataFrame:
     """(source, lang, topic, tokens, n_docs) of the cells that have tokens."""
-    src = with_cells(docs.select("source", "lang", "text")).select(*[F.col(f"__{d}").alias(d) for d in DIMS], F.col("__tokens").alias("tokens"))
+    src = with_cells(docs.select("source", "lang", "text")).select(*DIMS, "tokens")
     return src.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")).filter("tokens > 0")
 
 
+def checked_target(target: DataFrame, dim: str) -> DataFrame:
+    """(dim, share) of a given target table, NULL as the empty category; raises unless each category has one finite share above 0."""
+    t = target.select(F.coalesce(F.col(dim).cast("string"), F.lit("")).alias(dim), F.col("share").cast("double").alias("share"))
+    good = F.col("share").isNotNull() & ~F.isnan("share") & (F.col("share") > 0) & (F.col("share") < float("inf"))
+    bad = t.groupBy(dim).agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(good, F.lit(False))).alias("good")).filter("n > 1 OR NOT good").limit(5).collect()
+    if bad:
+        raise ValueError(f"target table of {dim}: more than one row or no finite share above 0 for {[r[0] for r in bad]}")
+    return t
+
+
 def targets_of(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
     """(dim, share): the corpus's marginal to the power ``alpha``."""
     t = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(alpha)).alias("p"))
@@ -81,7 +94,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], mix: Mix = Mix()) -> D
     goal = cells
     for d in DIMS:
         here = targets[d].select(d, "share").join(cells.select(d).distinct(), d)
-        whole = float(here.agg(F.sum("share")).first()[0] or 1)
+        whole = here.agg(F.sum("share")).first()[0]
+        if whole is None and total:
+            raise ValueError(f"the targets of {d} name no category of the corpus")
+        whole = float(whole or 1)
         goal = goal.join(here.select(d, (F.col("share") / whole * total).alias(f"goal_{d}")), d, "left").fillna({f"goal_{d}": 0.0})
     state = written(goal.withColumn("w", F.col("tokens").cast("double")), "cells")
     cols = state.columns
@@ -96,7 +112,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], mix: Mix = Mix()) -> D
             continue
         miss = None
         for d in DIMS:
-            one = state.groupBy(d).agg(F.sum("w").alias("have"), F.max(f"goal_{d}").alias("goal")).select(F.max(F.abs(F.col("have") / F.col("goal") - 1)).alias("miss"))
+            one = state.groupBy(d).agg(F.sum("w").alias("have"), F.max(f"goal_{d}").alias("goal")).filter("goal > 0").select(F.max(F.abs(F.col("have") / F.col("goal") - 1)).alias("miss"))
             miss = one if miss is None else miss.unionByName(one)
         worst = miss.agg(F.max("miss")).first()[0]
         if worst is None or worst <= mix.close:
@@ -128,17 +144,22 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def placed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, mix: Mix = Mix()) -> DataFrame:
+    """(row, source, lang, topic, tokens, probability, kept): ``row`` is the whole document."""
+    cells = written(cell_table(docs), "cells")
+    goals = {d: checked_target(targets[d], d) if d in (targets or {}) else targets_of(cells, d, mix.alpha) for d in DIMS}
+    p = written(probabilities(rake(cells, goals, mix), mix.rare), "probabilities").select(*[F.col(d).alias(f"p_{d}") for d in DIMS], "probability")
+    joined = with_cells(docs).join(p, [F.col(d) == F.col(f"p_{d}") for d in DIMS], "left")  # broadcast only if AQE finds it small
+    prob = F.coalesce("probability", F.lit(1.0))
+    return joined.select("row", *DIMS, "tokens", prob.alias("probability"), (draw(F.col("row.doc_id"), mix.seed) < prob).alias("kept"))
+
+
 def sampled(docs: DataFrame, keep: list[str], targets: dict[str, DataFrame] | None = None, mix: Mix = Mix()) -> DataFrame:
     """``keep`` columns with __source, __lang, __topic, __tokens, __probability and __kept."""
-    cells = written(cell_table(docs), "cells")
-    goals = {d: (targets or {}).get(d) or targets_of(cells, d, mix.alpha) for d in DIMS}
-    p = written(probabilities(rake(cells, goals, mix), mix.rare), "probabilities").select(*[F.col(d).alias(f"__p_{d}") for d in DIMS], F.col("probability").alias("__p"))
-    rows = with_cells(docs)
-    joined = rows.join(p, [F.col(f"__{d}") == F.col(f"__p_{d}") for d in DIMS], "left")  # broadcast only if AQE finds it small
-    prob = F.coalesce("__p", F.lit(1.0))
-    return joined.withColumn("__probability", prob).withColumn("__kept", draw(F.col("doc_id"), mix.seed) < F.col("__probability")).select(*keep, *[f"__{d}" for d in DIMS], "__tokens", "__probability", "__kept")
+    own = [*DIMS, "tokens", "probability", "kept"]
+    return placed(docs, targets, mix).select(*[F.col(f"row.`{c}`") for c in keep], *[F.col(c).alias(f"__{c}") for c in own])
 
 
 def mixed_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None, mix: Mix = Mix()) -> DataFrame:
     """The documents drawn, with their own columns."""
-    return sampled(docs, docs.columns, targets, mix).filter("__kept").select(*docs.columns)
+    return placed(docs, targets, mix).filter("kept").select("row.*")

@@ -47,9 +47,8 @@ def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ipf_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = op9_mixing.sampled(table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"),
-                      F.col("__tokens").alias("tokens"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"))
+    out = op9_mixing.placed(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
 def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
