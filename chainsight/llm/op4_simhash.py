@@ -59,7 +59,8 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 def _fingerprints(it, shingle):
     for batch in small_batches(it, 1):
         f = np.fromiter((fingerprint(b, shingle) for b in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
+        more = batch.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64)), *[batch.column(c) for c in more]], names=["doc_id", "fp", *more])
 
 
 def text_digest() -> Column:
