@@ -1,7 +1,8 @@
 """Exact medians of many columns at once by histogram narrowing (P16 on large tables).
 
 One aggregate finds each column's count, least and greatest value per group. Each further pass counts the values of
-all open columns in ``bins`` equal parts of their open interval and keeps the part in which the median lies. Passes read the rows,
+all open columns in ``bins`` parts of their open interval and keeps the part in which the median lies: parts of equal ratio while the
+interval spans magnitudes, then of equal width, so a heavy tail costs a pass or two and any doubles are told apart in some ten. Passes read the rows,
 but shuffle only counts: no task holds a column. As soon as an interval holds few values, an
 exact aggregate over those alone ends it. NaN counts as missing, as at the scan.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -49,6 +50,11 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], few: bool) -> Da
     return left.join(F.broadcast(r) if few else r, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]).drop(*[f"_r_{k}" for k in keys])
 
 
+def _magnitude(x: Column) -> Column:
+    """Sign and logarithm in one rising number, from the least double to the greatest."""
+    return F.when(x > 0, F.log(x) + 750).when(x < 0, -(F.log(-x) + 750)).otherwise(F.lit(0.0))
+
+
 def _medians(rows: DataFrame, cols: list[str], keys: list[str], few: int, bins: int) -> DataFrame:
     """(keys..., _c, _m) by narrowing."""
     at = [*keys, "_c"]
@@ -70,8 +76,10 @@ def _medians(rows: DataFrame, cols: list[str], keys: list[str], few: int, bins:
         done.append(cut_lineage(got.select(*at, ((F.get("s", F.col("r1").cast("int")) + F.get("s", F.col("r2").cast("int"))) / 2).alias("_m"))))
         if not large.take(1):
             break
-        # halves first, so that the widest interval of doubles does not overflow
-        share = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        lo, hi = F.col("lo"), F.col("hi")
+        narrow = ((lo > 0) & (hi <= 4 * lo)) | ((hi < 0) & (lo >= 4 * hi))
+        at_v, at_lo, at_hi = (F.when(narrow, x).otherwise(_magnitude(x)) for x in (F.col("_v"), lo, hi))
+        share = (at_v - at_lo) / (at_hi - at_lo)
         binned = _joined(_values(rows, cols, keys), large, at, close).filter(inside).withColumn("b", F.least(F.floor(share * bins), F.lit(bins - 1)))
         counts = binned.groupBy(*at, "b", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
         upto = F.sum("n").over(Window.partitionBy(*at).orderBy("b").rowsBetween(Window.unboundedPreceding, 0))  # at most ``bins`` rows

@@ -124,7 +124,7 @@ def mutual_information(df: DataFrame, features: list[str], label: str = "label",
 
 
 def digamma(n: Column) -> Column:
-    """psi(n) of a positive integer: six steps up, then the asymptotic series."""
+    """psi(n) of a positive integer, to 5e-12: six steps up, then the asymptotic series."""
     x = n.cast("double")
     steps = sum((1 / (x + i) for i in range(1, 6)), 1 / x)
     y = x + 6

@@ -2,13 +2,16 @@
 need no shuffle (S9, J1).
 
 A table is written once with its rows dealt to buckets by a hash of the keys and sorted inside them; joins and aggregates on
-these keys (and any more) then read matching buckets side by side. A busy (symbol, day) is one bucket's; the number of
+these keys (and any more) then read matching buckets side by side. Spark joins on more keys than those of the buckets without a shuffle only where
+``co_partitioned`` (a session setting) allows it; without it the result is the same and the feeds are shuffled. A busy (symbol, day) is one bucket's; the number of
 buckets is the number of tasks, so choose it by the size of the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chain import FEED_KEYS, dedupe_last
@@ -30,6 +33,18 @@ def write_bucketed(df: DataFrame, name: str, keys: list[str] = KEYS, buckets: in
     return spark.table(name)
 
 
+@contextmanager
+def co_partitioned(spark: SparkSession):
+    """Plans made inside may join tables by buckets of only some of the join keys."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def merge_bucketed(iv: DataFrame, oi: DataFrame, ohlc: DataFrame, seq_col: str = "seq") -> DataFrame:
     """J1 on bucketed feeds: as ``chain.merge_feeds``, with plain equality on the bucket columns."""
     rest = [k for k in FEED_KEYS if k not in KEYS]

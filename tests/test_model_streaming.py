@@ -99,13 +99,17 @@ def test_keyed_writes_touch_only_the_batch_months(spark):
     for _ in range(2):
         sinks.merge_keyed(mk(("A", "2024-02-02", 5.0), ("C", "2024-02-05", 6.0)), root, ["symbol", "quote_date"], seq_col=None)
         assert got() == [("A", "2024-01-02", 1.0), ("A", "2024-02-02", 5.0), ("B", "2024-03-04", 3.0), ("B", "None", 9.0), ("C", "2024-02-05", 6.0)]
+    assert {f for f in before if "2024_02" not in f} <= files()  # other months' files are not written again
+    sinks.vacuum(spark, root, keep=1)
     assert {f for f in before if "2024_02" not in f} <= files() and not {f for f in before if "2024_02" in f} & files()
     # K3: A from the batch's first to its last date is replaced, others stay
     sinks.replace_keyed(mk(("A", "2024-01-09", 7.0), ("A", "2024-03-09", 8.0)), root)
     assert got() == [("A", "2024-01-02", 1.0), ("A", "2024-01-09", 7.0), ("A", "2024-03-09", 8.0), ("B", "2024-03-04", 3.0), ("B", "None", 9.0), ("C", "2024-02-05", 6.0)]
     # a month that is left without rows goes
     sinks.replace_keyed(mk(("C", "2024-01-01", 1.0), ("C", "2024-03-31", 2.0)), root)
-    assert len(got()) == 7 and ("C", "2024-02-05", 6.0) not in got() and not any("2024_02" in f for f in files())
+    assert len(got()) == 7 and ("C", "2024-02-05", 6.0) not in got() and "m2024_02" not in sinks.current_version(spark, root)[1]
+    sinks.vacuum(spark, root, keep=1)
+    assert not any("2024_02" in f for f in files())
     same = got()
     sinks.replace_keyed(mk(("C", "2024-02-05", 1.0)).filter("symbol = 'none'"), root)
     assert got() == same
