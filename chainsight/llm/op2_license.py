@@ -9,8 +9,9 @@ variants of the templates below (words dropped, swapped, doubled, foreign words
 on a bounded sample of paragraphs of the corpus that hold no licence word. A temperature fitted on a held-out
 fifth calibrates the probabilities. A paragraph is
 
-* a family, where that family has the largest calibrated probability, at least ``sure``, and one of its
-  templates shares at least ``like`` of its word pairs with the paragraph;
+* a family, where that family has the largest calibrated probability, at least ``sure``, one of its
+  templates shares at least ``like`` of its word pairs with the paragraph, and no mark of a neighbouring licence contradicts it: another
+  version number, or a word such as ``lesser`` or ``sharealike``;
 * ``unknown``, where ``none`` has less than half but no family is both sure and confirmed;
 * ``none`` otherwise.
 
@@ -51,6 +52,15 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "proprietary": ["All rights reserved.", "Copyright holder. All rights reserved. No part of this publication may be reproduced without permission."],
 }
+# The version a family's notices name, and words (or word pairs) that only its neighbours' notices hold.
+VERSIONS = {"Apache-2.0": "2", "GPL-3.0": "3", "MPL-2.0": "2", "CC-BY-4.0": "4", "CC-BY-NC-4.0": "4"}
+NEIGHBOURS = {
+    "GPL-3.0": ["lesser", "library", "affero", "lgpl", "agpl"],
+    "BSD-3-Clause": ["2 clause", "4 clause", "simplified"],
+    "CC-BY-4.0": ["sharealike", "noncommercial", "noderivatives", "noderivs", "by sa", "by nc", "by nd"],
+    "CC-BY-NC-4.0": ["sharealike", "noderivatives", "noderivs", "nc sa", "nc nd"],
+    "MIT": ["mit 0", "no attribution"],
+}
 FAMILIES = list(TEMPLATES)
 NONE = len(FAMILIES)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -189,6 +199,21 @@ def likeness(words: list[bytes], family: str) -> float:
     return max(len(p & have) / len(p) for p in _PAIRS[family])
 
 
+_NUMBERED = re.compile(rb"(?:version|v|license|licence|gpl|by|nc|international|attribution)?v?([0-9]+)$")
+_VERSION_OF = {b"version", b"v", b"gpl", b"attribution", b"noncommercial", b"by", b"nc", b"mpl", b"apache", b"sharealike", b"sa", b"nd"}
+
+
+def contradicted(words: list[bytes], family: str) -> bool:
+    """Whether the paragraph names another version than the family's (and not that one too) or holds a mark of a neighbour."""
+    text = b" " + b" ".join(words) + b" "
+    if any(b" " + mark.encode() + b" " in text for mark in NEIGHBOURS.get(family, ())):
+        return True
+    if family not in VERSIONS:
+        return False
+    named = {m[1] for a, b in zip([b"", *words], words) if (m := _NUMBERED.match(b)) and (a in _VERSION_OF or b != m[1])}
+    return bool(named) and VERSIONS[family].encode() not in named
+
+
 _TEMPLATE_PAIRS = [pairs for family in FAMILIES for pairs in _PAIRS[family]]
 _HOLDERS: dict = {}
 for _t, _pairs in enumerate(_TEMPLATE_PAIRS):
@@ -247,7 +272,7 @@ def classify(words: list[bytes], p: np.ndarray, settings: Settings) -> tuple[str
     """(class, probability, likeness) of one paragraph, given its calibrated probabilities."""
     best = int(p[:NONE].argmax())
     alike = likeness(words, FAMILIES[best]) if p[NONE] < 0.5 else 0.0
-    if p[best] >= settings.sure and p[best] > p[NONE] and alike >= settings.like:
+    if p[best] >= settings.sure and p[best] > p[NONE] and alike >= settings.like and not contradicted(words, FAMILIES[best]):
         return FAMILIES[best], float(p[best]), alike
     return ("unknown" if p[NONE] < 0.5 else "none"), float(p[best]), alike
 

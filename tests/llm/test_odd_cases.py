@@ -104,3 +104,19 @@ def test_shards_when_nothing_is_linked_or_all_is(spark):
         docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
         got = op8_sharding.assign(docs, shards=8).groupBy("shard").count().collect()
         assert sum(r["count"] for r in got) == len(texts) and (not texts or max(r["count"] for r in got) - min(r["count"] for r in got) <= 1)
+
+
+def test_neighbouring_licences_are_not_confirmed():
+    from chainsight.llm import op2_license as op2
+    plain = [f"word{i} tells of house{i % 7} and tree{i % 11} in the evening".encode() for i in range(400)]
+    model = op2.train(plain)
+    label = lambda t: op2.classify(op2.words_of(t.encode()), model.probabilities(op2.words_of(t.encode())), model.settings)[0]
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    for text in (gpl.format("", 2), gpl.format("Lesser ", 3), gpl.format("Affero ", 3), gpl.format("Lesser ", "2.1"), "This work is licensed under the GNU General Public License, version 2.",
+                 "Licensed under the BSD 2-Clause License.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-ND 4.0.",
+                 "Licensed under CC BY 3.0.", "Licensed under the Apache License, Version 1.1.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."):
+        assert label(text) in ("unknown", "none"), text
+    for family, templates in op2.TEMPLATES.items():
+        for t in templates:
+            assert label(t) == family and label(f"{t} See page 7, section 12 of 2019.") == family, t
+    assert label(gpl.format("", "2 or version 3")) == "GPL-3.0"
