@@ -69,8 +69,9 @@ def chain_snapshot_stream(spark: SparkSession, iv_dir: str, oi: DataFrame, ohlc:
             rebuild(batch.sparkSession, chain.feed_by_header(cut_lineage(batch), IV_COLUMNS), f"{raw}/batch={run}-{epoch}")
 
     def rebuild(spark: SparkSession, feed: DataFrame, folder: str) -> None:
-        iv = cut_lineage(feed.withColumns({"seq": F.col("seq").cast("bigint"), "trade_date": F.to_date("trade_date")}))
+        iv = feed.withColumns({"seq": F.col("seq").cast("bigint"), "trade_date": F.to_date("trade_date")})
         iv.hint("rebalance", "trade_date").write.mode("overwrite").partitionBy("trade_date").parquet(folder)
+        iv = spark.read.schema(iv.schema).parquet(folder).select(*iv.columns)  # computed once: the batch is what was stored
         days = [r[0] for r in iv.select("trade_date").distinct().collect()]  # bounded by the calendar
         if not days:
             return
@@ -85,12 +86,12 @@ def chain_snapshot_stream(spark: SparkSession, iv_dir: str, oi: DataFrame, ohlc:
             stored = spark.read.schema(rows.schema).parquet(out).filter(touched)
             before = [r[0] for r in stored.select("trade_date").distinct().collect()]
             others = _matching(stored, groups, ["Symbol", "trade_date", "Expiry"], "left_anti")
-            rows = cut_lineage(others.select(*rows.columns).unionByName(rows))
+            rows = cut_lineage(others.select(*rows.columns).unionByName(rows))  # it reads the days that it replaces
         else:
-            rows, before = cut_lineage(rows), []
+            before = []
         (rows.hint("rebalance", "trade_date").write.mode("overwrite").partitionBy("trade_date")
          .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 5_000_000).parquet(out))
-        now = {r[0] for r in rows.select("trade_date").distinct().collect()}
+        now = {r[0] for r in rows.select("trade_date").distinct().collect()} if before else set()
         sinks.drop_parts(spark, out, "trade_date", [d for d in before if d not in now])
 
     return (_csv_cells(spark, iv_dir, max_files).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
