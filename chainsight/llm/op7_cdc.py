@@ -4,12 +4,14 @@ Each byte shifts a 16-bit gear hash (h = 2 h + gear[byte]), so the hash at a byt
 16 bytes up to it. A chunk ends where no hash within ``radius`` bytes on either side is larger: boundaries
 depend on nearby content alone, so an insertion moves only the chunks it touches, and no two boundaries
 are nearer than the radius. Chunks of all documents are compared by a 64-bit digest; of equal chunks the one
-of the smallest (doc_id, start) stays. Runs of neighbouring repeated chunks with at least ``min_words`` words in
-whole chunks are repeated passages; short runs (a common phrase, a licence line) are left alone.
+of the smallest (doc_id, start) stays. Runs of neighbouring repeated chunks are extended byte by byte on both sides, as far as the
+text agrees with the text around their source. A run with at least ``min_words`` words in whole chunks, or, extended,
+``full_words`` words or ``full_bytes`` bytes (text with few white-space words), is a repeated passage, removed with its extension;
+short runs (a common phrase, a licence line) are left alone. Each removed byte equals one at an earlier (doc_id, place), so the first of
+all copies stays.
 
-Limits: bytes outside the whole chunks are not compared, so the ends of a repeat stay in the text, and a repeat of 50
-short words may hold fewer than ``min_words`` in whole chunks and be missed. Text with few white-space words does not
-reach ``min_words`` at all.
+Limits: a repeat is seen by a whole chunk in it. All but the first 31 bytes and the last 16 of a repeat are cut as in its source, so 51 words hold
+one but for a very long gap between boundaries (3 of 6000 repeats of the shortest words). Extended passages of one document may overlap.
 
 Defined cases: null or empty texts have no chunk and stay; documents without a doc_id take no part and stay;
 repeated rows of one document count as one; a chunk without a boundary is cut every ``most`` bytes; the later of two
@@ -35,12 +37,17 @@ from .common import small_batches, written
 @dataclass(frozen=True)
 class Chunks:
     """radius: bytes on either side that a boundary's hash is the largest of; min_words: whole-chunk words of
-    a repeated run that make it a passage; most: longest chunk in bytes; parts: tasks that a common digest's rows
-    are dealt over; sample, share: one document in ``sample`` tells which digests are in more than ``share`` of all."""
+    a repeated run that make it a passage; full_words, full_bytes: words or bytes of an extended run that make it one; most: longest chunk in bytes; near: bytes that are compared on each side at first, further ones
+    where all of these agree; parts, rows: a common digest's rows are dealt over ``parts`` tasks, or more, of about ``rows`` rows;
+    sample, share: one document in ``sample`` tells which digests are in more than ``share`` of all documents or ``rows`` of them."""
     radius: int = 16
     min_words: int = 20
+    full_words: int = 50
+    full_bytes: int = 300
     most: int = 4000
+    near: int = 128
     parts: int = 64
+    rows: int = 20_000
     sample: int = 32
     share: float = 0.002
 
@@ -114,7 +121,7 @@ def _pack(start, length, words):
     return (start << (_LEN + _WORDS)) | (length << _WORDS) | words
 
 
-def _chunks(it, settings, common=frozenset()):
+def _chunks(it, settings, common={}):
     for batch in small_batches(it, 1):
         ids = batch.column(0).to_pylist()
         doc, digest, meta, more, salt = [], [], [], [], []
@@ -134,32 +141,32 @@ def _chunks(it, settings, common=frozenset()):
             digest += own
             meta += [m[0] for m in own.values()]
             more += [m[1:] or None for m in own.values()]
-            deal = crc32(str(ids[i]).encode()) % settings.parts + 1
-            salt += [deal if d in common else 0 for d in own]
+            deal = crc32(str(ids[i]).encode())
+            salt += [deal % common[d] + 1 if d in common else 0 for d in own]
         yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), batch.column(0).take(pa.array(doc, pa.int64())), pa.array(meta, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array(salt, pa.int32())], names=["digest", "doc_id", "meta", "more", "salt"])
 
 
 def chunk_table(docs: DataFrame, settings: Chunks = Chunks(), common=None) -> DataFrame:
     """(digest, doc_id, meta, more, salt) of every chunk of the documents that have a doc_id: one row for each digest of
     a document, with its first place and its further ones, so text that repeats itself makes few rows. The rows of
-    a digest in ``common`` (a broadcast set) are dealt over salts from 1; salt is 0 elsewhere."""
+    a digest in ``common`` (a broadcast dict of digest and tasks) are dealt over salts from 1; salt is 0 elsewhere."""
     src = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("b"))
-    return src.mapInArrow(lambda it: _chunks(it, settings, common.value if common else frozenset()), "digest long, doc_id long, meta long, more array<long>, salt int")
+    return src.mapInArrow(lambda it: _chunks(it, settings, common.value if common else {}), "digest long, doc_id long, meta long, more array<long>, salt int")
 
 
-def common_digests(docs: DataFrame, settings: Chunks = Chunks()) -> frozenset:
-    """Digests in more than ``share`` of the documents of a hash sample: at most the chunks of a document over
-    ``share``, whatever the corpus. They only say which rows are dealt over several tasks; no result depends on them."""
+def common_digests(docs: DataFrame, settings: Chunks = Chunks()) -> dict:
+    """Digests in more than ``share`` of the documents of a hash sample, or in about ``rows`` of all, with the tasks to deal them over:
+    the 100,000 commonest at most. They only say which rows are dealt over several tasks; no result depends on them."""
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(settings.sample)) == 0)
-    n = some.count()
-    seen = chunk_table(some, settings).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    return frozenset(r[0] for r in seen.filter(F.col("n") > max(20.0, settings.share * n)).select("digest").collect())
+    least = max(20.0, min(settings.share * some.count(), settings.rows / settings.sample))
+    seen = chunk_table(some, settings).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+    return {d: max(settings.parts, n * settings.sample // settings.rows + 1) for d, n in seen.orderBy(F.desc("n"), "digest").limit(100_000).collect()}
 
 
 def passages(docs: DataFrame, settings: Chunks = Chunks()) -> DataFrame:
     """(doc_id, start_byte, end_byte, n_words, source_doc_id): the repeated passages to remove, each with the
     document that holds the longest of its chunks before. One shuffle of chunk digests by digest; only
-    repeated chunks go on, by document."""
+    repeated chunks go on, by document; the texts meet the edges of their runs once."""
     common = docs.sparkSession.sparkContext.broadcast(common_digests(docs, settings))
     chunks = chunk_table(docs, settings, common)
     # a running minimum in sorted order, first within the salts of a common digest
@@ -167,24 +174,97 @@ def passages(docs: DataFrame, settings: Chunks = Chunks()) -> DataFrame:
     same = Window.partitionBy("digest", "salt").orderBy("doc_id", "meta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = chunks.withColumn("first", F.min(place).over(same))
     if common.value:
-        # the firsts of a common digest's salts, one row each, meet; the other rows are repeats already
+        # the firsts of a common digest's salts meet, one row each; what the digest's first is goes back to every salt, a row for each of
+        # the common digests, whose number is bounded
         local = written(local.filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.meta") != F.col("meta")) | F.col("more").isNotNull() | (F.col("salt") > 0)), "repeated-chunks")
-        lead = (F.col("salt") > 0) & (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.meta") == F.col("meta"))
-        every = Window.partitionBy("digest").orderBy("doc_id", "meta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        met = local.filter(lead).withColumn("first", F.min(place).over(every))
-        chunks = local.filter(~lead).unionByName(met)
+        met = local.filter("salt > 0").groupBy("digest").agg(F.min("first").alias("met"))
+        chunks = local.join(F.broadcast(met), "digest", "left").withColumn("first", F.coalesce("met", "first")).drop("met")
     else:
         chunks = local
     other = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.meta") != F.col("meta"))
     later = F.concat(F.when(other, F.array("meta")).otherwise(F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>")))
-    repeated = chunks.filter(other | F.col("more").isNotNull()).select("doc_id", F.col("first.doc_id").alias("source"), F.explode(later).alias("meta")).select(
+    repeated = chunks.filter(other | F.col("more").isNotNull()).select("doc_id", F.col("first.doc_id").alias("source"), F.shiftright("first.meta", _LEN + _WORDS).alias("at"), F.explode(later).alias("meta")).select(
         "doc_id", F.shiftright("meta", _LEN + _WORDS).alias("start"), F.shiftright("meta", _WORDS).bitwiseAND(F.lit((1 << _LEN) - 1)).alias("size"),
-        F.col("meta").bitwiseAND(F.lit((1 << _WORDS) - 1)).alias("words"), "source").distinct()
+        F.col("meta").bitwiseAND(F.lit((1 << _WORDS) - 1)).alias("words"), "source", "at").distinct()
     # neighbouring repeated chunks share (start - bytes of repeated chunks so far in the document)
     order = Window.partitionBy("doc_id").orderBy("start")
     runs = repeated.withColumn("run", F.col("start") + F.col("size") - F.sum("size").over(order))
-    out = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("size")).alias("end_byte"), F.sum("words").alias("n_words"), F.max(F.struct("size", F.negative("source").alias("source"))).alias("longest"))
-    return out.filter(F.col("n_words") >= settings.min_words).select("doc_id", "start_byte", "end_byte", "n_words", F.negative("longest.source").alias("source_doc_id"))
+    runs = runs.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.max(F.struct("size", F.negative("source").alias("source"))).alias("longest"),
+        F.min(F.struct("start", "source", "at")).alias("left"), F.max(F.struct("start", "source", (F.col("at") + F.col("size")).alias("at"))).alias("right"))
+    runs = written(runs.select("doc_id", "start", "end", "words", F.negative("longest.source").alias("source_doc_id"), "left", "right"), "runs")
+    gains = _extended(docs, runs, settings).groupBy("doc_id", "start").agg(*[
+        F.coalesce(F.max(F.when(F.col("side") == side, F.col(c))), F.lit(0)).alias(f"{c}{side}") for side in (0, 1) for c in ("gain", "more")])
+    out = runs.join(gains, ["doc_id", "start"], "left").fillna(0, ["gain0", "gain1", "more0", "more1"]).select(
+        "doc_id", (F.col("start") - F.col("gain0")).alias("start_byte"), (F.col("end") + F.col("gain1")).alias("end_byte"),
+        (F.col("words") + F.col("more0") + F.col("more1")).alias("n_words"), "source_doc_id", "words")
+    whole = (F.col("words") >= settings.min_words) | (F.col("n_words") >= settings.full_words) | (F.col("end_byte") - F.col("start_byte") >= settings.full_bytes)
+    return out.filter(whole).drop("words")
+
+
+# ---- the edges of runs: side 0 is the text before ``pos``, side 1 the text from ``pos``
+
+def _slices(it, reach):
+    """Rows (id, b, edges of that document) to the ``reach`` bytes at each edge and one more before them."""
+    for batch in small_batches(it, 1):
+        for i in range(batch.num_rows):
+            doc, b, edges = (c[i].as_py() for c in batch.columns)
+            for at in range(0, len(edges), 8192):
+                part = edges[at:at + 8192]
+                near = [b[max(0, e["pos"] - 1):e["pos"] + reach] if e["side"] else b[max(0, e["pos"] - reach - 1):e["pos"]] for e in part]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(part), pa.int64()), *[pa.array([e[c] for e in part], t) for c, t in (("pos", pa.int64()), ("side", pa.int32()), ("n", pa.int64()))], pa.array(near, pa.binary())], names=["id", "pos", "side", "n", "near"])
+
+
+def agreement(own: bytes, source: bytes, side: int, reach: int) -> tuple[int, int]:
+    """(bytes, words that begin in them) over which two edges agree, outwards, at most ``reach``."""
+    a, b = np.frombuffer(own, np.uint8), np.frombuffer(source, np.uint8)
+    a, b = (a[1:], b[1:]) if side else (a[::-1], b[::-1])
+    n = min(len(a), len(b), reach)
+    differ = np.flatnonzero(a[:n] != b[:n])
+    n = int(differ[0]) if len(differ) else n
+    text = np.frombuffer(own, np.uint8)
+    a, b = (1, n + 1) if side else (len(text) - n, len(text))
+    space = _SPACE[text]
+    return n, int((~space[a:b] & (space[a - 1:b - 1] if a else np.r_[True, space[:b - 1]])[:b - a]).sum())
+
+
+def _gains(it, reach):
+    for batch in it:
+        got = [agreement(a, b, side, reach) for a, b, side in zip(*(batch.column(c).to_pylist() for c in ("near", "source_near", "side")))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "start", "side")], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", "start", "side", "gain", "more"])
+
+
+def _agreed(docs: DataFrame, edges: DataFrame, reach: int) -> DataFrame:
+    """(doc_id, start, side, gain, more) of ``edges`` (doc_id, start, side, pos, source, at). The bytes at each edge of a run and of its
+    source are cut out where the texts are; an edge of a source that very many runs share is broadcast (at most about 1000 of them)."""
+    n = edges.count()
+    wanted = edges.select(F.col("doc_id").alias("id"), "pos", "side", F.lit(0).alias("n")).unionByName(edges.select(F.col("source").alias("id"), F.col("at").alias("pos"), "side", F.lit(1).alias("n")))
+    wanted = wanted.groupBy("id", "pos", "side").agg(F.sum("n").alias("n"))
+    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("pos", "side", "n")).alias("edges")).hint("merge")  # at most a document's own chunks
+    src = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("b")).filter("b is not null")
+    near = written(src.join(wanted, "id").mapInArrow(lambda it: _slices(it, reach), "id long, pos long, side int, n long, near binary"), "edges")
+    source = near.select(F.col("id").alias("source"), F.col("pos").alias("at"), "side", F.col("near").alias("source_near"), "n")
+    hub = F.col("n") > max(20_000, n // 1000)
+    marks = F.broadcast(source.filter(hub).select("source", "at", "side").distinct().withColumn("hub", F.lit(True)))
+    edges = edges.join(marks, ["source", "at", "side"], "left")
+    met = edges.filter("hub is null").join(source.filter(~hub).drop("n"), ["source", "at", "side"]).unionByName(edges.filter("hub").join(F.broadcast(source.filter(hub).drop("n")), ["source", "at", "side"]))
+    own = near.select(F.col("id").alias("doc_id"), "pos", "side", "near")
+    met = met.join(own, ["doc_id", "pos", "side"]).select("doc_id", "start", "side", "near", "source_near")
+    got = met.mapInArrow(lambda it: _gains(it, reach), "doc_id long, start long, side int, gain long, more long")
+    # a doc_id with several texts: what all of them agree in
+    return got.groupBy("doc_id", "start", "side").agg(F.min(F.struct("gain", "more")).alias("least")).select("doc_id", "start", "side", "least.gain", "least.more")
+
+
+def _extended(docs: DataFrame, runs: DataFrame, settings: Chunks) -> DataFrame:
+    """(doc_id, start, side, gain, more) of the edges of runs that go on: bytes and words to add. Text that agrees for longer
+    than the longest chunk and the bytes a boundary depends on would be in the run already."""
+    side = lambda k, pos, end: F.struct(F.lit(k).alias("side"), F.col(pos).alias("pos"), F.col(f"{end}.source").alias("source"), F.col(f"{end}.at").alias("at"))
+    edges = runs.select("doc_id", "start", F.explode(F.array(side(0, "start", "left"), side(1, "end", "right"))).alias("e")).select("doc_id", "start", "e.*")
+    edges = edges.filter("side = 1 or (pos > 0 and at > 0)")
+    near = written(_agreed(docs, edges, settings.near), "gains")
+    on = near.filter(F.col("gain") >= settings.near)
+    more = _agreed(docs, edges.join(on.select("doc_id", "start", "side"), ["doc_id", "start", "side"]), settings.most + 64)
+    return near.filter(F.col("gain") < settings.near).unionByName(more)
 
 
 def remove_spans(b: bytes, spans) -> bytes:

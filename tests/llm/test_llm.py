@@ -502,19 +502,75 @@ def test_repeated_passages_are_found_and_clean_texts_left(docs, texts, empty):
     for i in (0, 1, 39, 404, 405, 408):
         assert out[i].text == by[i] and out[i].n_chars == len(by[i])
     assert 101 not in out and None in out and out[400].text is None and out[401].text == ""
-    assert all(len(out[i].text.split()) < len(by[i].split()) - 20 for i in range(301, 306))
+    assert not set(range(301, 306)) & set(out)  # base, passage and next base all stand in earlier documents
+    assert len(out[300].text.split()) == 60  # the passage, held first here; both texts around it stand in documents 0 and 1
     assert op7_cdc.deduplicated(docs).columns == docs.columns
     assert rows(op7_cdc.passages(empty)) == [] and rows(op7_cdc.deduplicated(empty)) == []
 
 
-def test_every_planted_passage_of_51_words_is_caught(spark):
+def short_words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def two_digits(rng, n):
+    return " ".join(str(rng.randint(10, 99)) for _ in range(n))
+
+
+@pytest.mark.parametrize("words", [prose, short_words, two_digits])
+def test_every_planted_passage_of_51_words_is_cut_whole(spark, words):
     rng = random.Random(11)
     data = []
     for i in range(300):
-        p = prose(rng, 51)
-        data += [(2 * i, f"{prose(rng, 20)} {p} {prose(rng, 20)}"), (2 * i + 1, f"{prose(rng, 9)}\n{p}\n{prose(rng, 33)}")]
-    hit = {r.doc_id for r in op7_cdc.passages(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert not any(i % 2 == 0 for i in hit) and len(hit) >= 299
+        p = words(rng, 51)
+        data += [(2 * i, f"{words(rng, 20)} {p} {words(rng, 20)}", p), (2 * i + 1, f"{words(rng, 9)}\n{p}\n{words(rng, 33)}", p)]
+    docs = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
+    found = {r.doc_id: r for r in op7_cdc.passages(docs).collect()}
+    assert not any(i % 2 == 0 for i in found)
+    whole = 0
+    for i, text, p in data[1::2]:
+        r = found.get(i)
+        whole += r is not None and r.start_byte <= text.index(p) and r.end_byte >= text.index(p) + len(p) and r.n_words >= 51
+    assert whole == 300
+
+
+def test_extended_runs_equal_brute_force(spark):
+    """Each run, grown to the largest common stretch of the two documents around it, by comparing characters one by one."""
+    rng = random.Random(8)
+    data, want = [], {}
+    for i in range(60):
+        p = (prose, short_words)[i % 2](rng, rng.randint(60, 90))
+        a, b = f"{prose(rng, 30)} {p} {prose(rng, 30)}", f"{prose(rng, 12)} {p} {prose(rng, 7)}"
+        x, y = a.index(p), b.index(p)
+        e, f = x + len(p), y + len(p)
+        while x and y and a[x - 1] == b[y - 1]:
+            x, y = x - 1, y - 1
+        while e < len(a) and f < len(b) and a[e] == b[f]:
+            e, f = e + 1, f + 1
+        words = len([k for k in range(y, f) if b[k] != " " and (k == 0 or b[k - 1] == " ")])
+        data += [(2 * i, a), (2 * i + 1, b), (2 * i + 1, b)]  # a repeated row counts once
+        want[2 * i + 1] = (y, f, words, 2 * i)
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.start_byte, r.end_byte, r.n_words, r.source_doc_id) for r in op7_cdc.passages(docs).collect()}
+    assert got == want
+    for near in (1, 5):  # long agreements are compared in a second pass
+        assert got == {r.doc_id: (r.start_byte, r.end_byte, r.n_words, r.source_doc_id) for r in op7_cdc.passages(docs, op7_cdc.Chunks(near=near)).collect()}
+
+
+def test_text_without_words_repeats_by_bytes(spark):
+    rng = random.Random(2)
+    blob = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n))
+    p = blob(600)
+    docs = spark.createDataFrame([(1, f"{blob(90)}{p}{blob(200)}"), (2, f"{blob(310)}{p}{blob(20)}"), (3, blob(900)), (4, None), (5, "")], "doc_id long, text string")
+    got = op7_cdc.passages(docs).collect()
+    assert [(r.doc_id, r.source_doc_id) for r in got] == [(2, 1)] and got[0].start_byte <= 310 and got[0].end_byte >= 910
+
+
+def test_agreement_of_edges():
+    assert op7_cdc.agreement(b" one two", b"x one two", 0, 100) == (8, 2)
+    assert op7_cdc.agreement(b"zone two", b"xone two", 0, 100) == (7, 1)
+    assert op7_cdc.agreement(b" one two", b" one twx", 1, 100) == (6, 2)
+    assert op7_cdc.agreement(b"xone two", b"yone two", 1, 4) == (4, 0)
+    assert op7_cdc.agreement(b"", b"abc", 0, 9) == (0, 0) and op7_cdc.agreement(b"a", b"a", 1, 9) == (0, 0)
 
 
 def test_common_chunks_are_dealt_over_tasks_with_the_same_result(spark):
