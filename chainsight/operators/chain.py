@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import DEFAULTS
 from ..functions import columns as C
+from ..session import cut_lineage
 
 FEED_KEYS = ["symbol", "trade_date", "expiration", "strike", "right_"]
 
@@ -45,14 +46,22 @@ MOST_CELLS = 64
 FEW_FILES = 50_000
 
 
-def cell_schema() -> StructType:
-    return StructType([StructField(f"_c{i}", StringType(), True) for i in range(MOST_CELLS)])
+def cell_schema(cells: int = MOST_CELLS) -> StructType:
+    """Names of the ``cells`` that are read and of one more, which is never selected: a scan of some columns only has lines of any
+    length parsed without an error a cell."""
+    return StructType([StructField(f"_c{i}", StringType(), True) for i in range(cells + 1)])
 
 
 def read_feed_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Vendor CSV feed, every value a string (no inference), columns by the names in each file's header."""
-    cells = spark.read.schema(cell_schema()).option("header", False).option("mode", "PERMISSIVE").csv(path)
-    return feed_by_header(cells.select("*", F.col("_metadata.file_path").alias("_file")), columns)
+    """Vendor CSV feed, every value a string (no inference), columns by the names in each file's header.
+
+    The headers are looked for among the lines as text; then the files are parsed once, as far as the last asked column."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    line = F.from_csv("value", cell_schema().simpleString()[len("struct<"):-1].replace(":", " "))
+    few = cut_lineage(lines.filter(_may_be_header(columns)))
+    headers, width = _headers(few.select("_file", F.array(*[line[f"_c{i}"] for i in range(MOST_CELLS)]).alias("_cells")), columns)
+    cells = spark.read.schema(cell_schema(width)).option("header", False).option("mode", "PERMISSIVE").csv(path)
+    return _by_headers(cells.select(*[f"_c{i}" for i in range(width)], F.col("_metadata.file_path").alias("_file")), headers, columns)
 
 
 def feed_by_header(cells: DataFrame, columns: list[str]) -> DataFrame:
@@ -64,22 +73,51 @@ def feed_by_header(cells: DataFrame, columns: list[str]) -> DataFrame:
     if there are at most ``FEW_FILES``, else joined.
     """
     width = [c for c in cells.columns if c.startswith("_c")]
-    rows = cells.select("_file", F.array(*width).alias("_cells"))
-    names = F.array(*[F.lit(c) for c in columns])
-    is_header = F.size(F.array_intersect("_cells", names)) >= min(2, len(columns))
-    headers = rows.filter(is_header).groupBy("_file").agg(F.min("_cells").alias("_names"))
-    if headers.limit(FEW_FILES + 1).count() <= FEW_FILES:
-        headers = F.broadcast(headers)
-    known = rows.filter(~is_header).join(headers, "_file", "left")
-    fault = F.when(F.col("_names").isNull(), F.raise_error(F.concat(F.lit("no header line in "), "_file")))
-    fault = fault.when(F.element_at("_names", MOST_CELLS).isNotNull(), F.raise_error(F.concat(F.lit(f"{MOST_CELLS} columns or more in "), "_file")))
+    headers, n = _headers(cut_lineage(cells.select("_file", F.array(*width).alias("_cells")).filter(_is_header(columns))), columns)
+    return _by_headers(cells.select(*width[:n], "_file"), headers, columns)
+
+
+def _few(columns: list[str]) -> int:
+    return min(2, len(columns))
+
+
+def _is_header(columns: list[str]) -> Column:
+    return F.size(F.array_intersect("_cells", F.array(*[F.lit(c) for c in columns]))) >= _few(columns)
+
+
+def _may_be_header(columns: list[str]) -> Column:
+    """True for every line of text that is a header, and for few others: enough names stand between separators. A name with a
+    quote or a backslash may be written in another way, then any line may be one."""
+    if any(set(c) & set('"\\') for c in columns):
+        return F.lit(True)
+    names = sorted(set(columns))
+    holds = sum((F.col("value").contains(c).cast("int") for c in names), F.lit(0))
+    apart = sum((F.col("value").rlike(f'(^|,)[\\x00-\\x20]*"?\\Q{c}\\E"?[\\x00-\\x20]*(,|$)').cast("int") for c in names), F.lit(0))
+    return (holds >= _few(columns)) & (apart >= _few(columns))
+
+
+def _headers(lines: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """Of the few stored lines (``_file``, ``_cells``) that may be headers: one row a file, with the place of each name in its header
+    (0: none) and whether that is too wide; and the place of the last name in any header line."""
+    at = F.array(*[F.array_position("_cells", F.lit(c)).cast("int") for c in columns])
+    found = lines.filter(_is_header(columns)).groupBy("_file").agg(F.min("_cells").alias("_cells"), F.max(F.array_max(at)).alias("_last"))
+    files, last = found.agg(F.count(F.lit(1)), F.max("_last")).first()
+    headers = found.select("_file", at.alias("_at"), F.element_at("_cells", MOST_CELLS).isNotNull().alias("_wide"))
+    return F.broadcast(headers) if files <= FEW_FILES else headers, last or 1
+
+
+def _by_headers(cells: DataFrame, headers: DataFrame, columns: list[str]) -> DataFrame:
+    rows = cells.select("_file", F.array(*[c for c in cells.columns if c != "_file"]).alias("_cells"))
+    known = rows.filter(~_is_header(columns)).join(headers, "_file", "left")
+    fault = F.when(F.col("_at").isNull(), F.raise_error(F.concat(F.lit("no header line in "), "_file")))
+    fault = fault.when(F.col("_wide"), F.raise_error(F.concat(F.lit(f"{MOST_CELLS} columns or more in "), "_file")))
     checked = known.withColumn("_cells", F.coalesce(fault.cast("array<string>"), F.col("_cells")))
 
-    def named(c: str) -> Column:
-        at = F.array_position("_names", c)
-        return F.when(at > 0, F.element_at("_cells", F.greatest(at, F.lit(1)).cast("int"))).alias(c)
+    def named(i: int) -> Column:
+        at = F.col("_at")[i]
+        return F.when(at > 0, F.get("_cells", at - 1)).alias(columns[i])
 
-    return checked.select(*[named(c) for c in columns])
+    return checked.select(*[named(i) for i in range(len(columns))])
 
 
 def read_expirations(df: DataFrame, as_of, text_col: str = "expiration") -> DataFrame:

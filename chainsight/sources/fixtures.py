@@ -63,7 +63,7 @@ def iv_feed(spark: SparkSession, sf_dir: str, legs_df: DataFrame | None = None,
     """Implied-vol feed rows (all text, like a vendor CSV) with the spot attached."""
     lg = legs_df if legs_df is not None else legs(spark, sf_dir)
     u = und_df if und_df is not None else und(spark, sf_dir)
-    j = lg.join(u, ["symbol", "trade_date"], "left")
+    j = lg.join(F.broadcast(u), ["symbol", "trade_date"], "left")  # one spot a symbol and week: the legs stay where they are
     return j.select(
         "seq", "symbol", "trade_date",
         _s("expiry").alias("expiration"), _s("k").alias("strike"),

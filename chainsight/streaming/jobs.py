@@ -43,7 +43,7 @@ TICK_COLUMNS = ("seq bigint, ts timestamp_ntz, req_id bigint, kind string, tick_
 def _csv_cells(spark: SparkSession, path: str, max_files: int) -> DataFrame:
     """CSV files as a stream of cells with their file, for ``chain.feed_by_header``. A file is in one batch whole."""
     src = spark.readStream.schema(chain.cell_schema()).option("header", False).option("maxFilesPerTrigger", max_files).csv(path)
-    return src.select("*", F.col("_metadata.file_path").alias("_file"))
+    return src.select(*[f"_c{i}" for i in range(chain.MOST_CELLS)], F.col("_metadata.file_path").alias("_file"))
 
 
 _GROUP = ["symbol", "trade_date", "_expiry"]

@@ -43,6 +43,18 @@ def test_a_file_without_a_header_raises(spark):
         chain.read_feed_csv(spark, wide, ["symbol", "bid", "ask"]).collect()
 
 
+def test_a_feed_is_parsed_once_and_as_far_as_its_last_asked_name(spark):
+    root = _tmp("csv")
+    _land(root, "a", "symbol,bid,ask,venue,note", "A,1.0,2.0,x,y,more,cells", "symbol and bid,,", "", "ask,symbol,bid,venue", "B")
+    _land(root, "b", '"ask" ,note,"symbol"', '4.0,"bid,ask",C', "x,symbol")
+    rows = chain.read_feed_csv(spark, root, ["symbol", "bid", "ask"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and "_c2" in plan and "_c3:" not in plan
+    # a second header line is no row; the smallest of a file's headers holds
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([
+        ("1.0", "2.0", "A"), (None, None, "symbol and bid"), (None, None, "B"), ("C", None, "4.0"), (None, None, "x")], key=str)
+
+
 # ---------------------------------------------------------------- R1, R3
 
 _SIDE = "seq long, symbol string, trade_date date, expiration string, strike string, right_ string, open_interest string, close string, volume string"
