@@ -8,6 +8,7 @@ independent SQL restatement over the same tables. Doubles are rounded to
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1273,9 +1274,9 @@ def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/work/{name}-{uuid.uuid4().hex[:10]}"
 
 
-def _land(df, path, fmt="csv"):
+def _land(df, path, fmt="csv", files=4, **options):
     """Land rows as several files that each hold parts of every day and symbol."""
-    df.repartition(4, "seq" if "seq" in df.columns else df.columns[0]).write.mode("append").option("header", True).format(fmt).save(path)
+    df.repartition(files, "seq" if "seq" in df.columns else df.columns[0]).write.mode("append").options(header=True, **options).format(fmt).save(path)
 
 
 @register("r1_chain_snapshot_stream", _MERGE_SQL + "SELECT * FROM rows_")
@@ -1288,13 +1289,14 @@ def q_chain_snapshot_stream(spark, sf):
     lg = fx.legs(spark, sf)
     oi, ohlc = fx.oi_feed(spark, sf, lg), fx.ohlc_feed(spark, sf, lg)
     feed = fx.iv_feed(spark, sf, lg)
+    files = 4 * max(1, math.ceil(lg.count() / 2_000_000))  # one batch a run; a compressed file is read by one task
     day = "'none', DATE '1990-01-02', '1990-02-16', '100', 'CALL'"
     gone = [spark.sql(f"SELECT {s}L AS seq, {day}, {bid} AS bid, {bid} AS ask, '0.2' AS implied_vol, {u}D AS underlying_price").toDF(*feed.columns)
             for s, bid, u in ((5, "'1'", 100), (1, "CAST(NULL AS STRING)", 1000))]
     for part, more, order in ((F.col("seq") % 3 == 0, gone[0], feed.columns), (F.col("seq") % 3 != 0, gone[1], feed.columns[::-1])):
-        _land(feed.filter(part).unionByName(more).select(*order), f"{root}/landing")
+        _land(feed.filter(part).unionByName(more).select(*order), f"{root}/landing", files=files, compression="gzip")
         jobs.chain_snapshot_stream(spark, f"{root}/landing", oi, ohlc, f"{root}/out", checkpoint=f"{root}/ckpt",
-                                   max_files=4).awaitTermination()
+                                   max_files=files).awaitTermination()
     return spark.read.parquet(f"{root}/out").select(*[c for c, _ in CHAIN_SCHEMA])
 
 

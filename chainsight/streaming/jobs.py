@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -66,7 +66,7 @@ def chain_snapshot_stream(spark: SparkSession, iv_dir: str, oi: DataFrame, ohlc:
 
     def write(batch: DataFrame, epoch: int) -> None:
         with staging(batch.sparkSession):
-            rebuild(batch.sparkSession, chain.feed_by_header(cut_lineage(batch), IV_COLUMNS), f"{raw}/batch={run}-{epoch}")
+            rebuild(batch.sparkSession, chain.feed_by_header(batch, IV_COLUMNS), f"{raw}/batch={run}-{epoch}")
 
     def rebuild(spark: SparkSession, feed: DataFrame, folder: str) -> None:
         iv = feed.withColumns({"seq": F.col("seq").cast("bigint"), "trade_date": F.to_date("trade_date")})
@@ -78,10 +78,12 @@ def chain_snapshot_stream(spark: SparkSession, iv_dir: str, oi: DataFrame, ohlc:
         touched = F.col("trade_date").isin([d for d in days if d is not None])
         touched = touched | F.col("trade_date").isNull() if None in days else touched
         expiry = C.expiry_date("expiration").cast("string")
-        groups = iv.select("symbol", "trade_date", expiry.alias("_expiry")).distinct()
+        # stored, so that a join of them is planned by their size: few groups and spots are broadcast, and the raw rows stay where they are
+        groups = cut_lineage(iv.select("symbol", "trade_date", expiry.alias("_expiry")).distinct())
         whole = spark.read.schema(iv.schema).option("basePath", raw).parquet(raw).filter(touched).select(*iv.columns)
-        whole = _matching(whole.withColumn("_expiry", expiry), groups, _GROUP, "left_semi").drop("_expiry").distinct()
-        rows = chain.conform(chain.chain_snapshot(whole, oi_d, oh_d, snapshot_ts, dedupe=False))
+        whole = _matching(whole.withColumn("_expiry", expiry), groups, _GROUP, "left_semi").drop("_expiry")
+        spot = cut_lineage(chain.first_underlying(whole))  # rows delivered again do not change it
+        rows = chain.conform(_chain_rows(chain.band_filter(whole, spot=spot), oi_d, oh_d, snapshot_ts))
         if sinks.has_parts(spark, out, "trade_date"):
             stored = spark.read.schema(rows.schema).parquet(out).filter(touched)
             before = [r[0] for r in stored.select("trade_date").distinct().collect()]
@@ -98,6 +100,22 @@ def chain_snapshot_stream(spark: SparkSession, iv_dir: str, oi: DataFrame, ohlc:
             .trigger(availableNow=True).start())
 
 
+def _chain_rows(banded: DataFrame, oi_d: DataFrame, oh_d: DataFrame, snapshot_ts) -> DataFrame:
+    """Chain rows of the banded raw rows, each distinct row once. They are dealt by their keys once, for the dropping of equal rows and both
+    merges: the keys stand in one column, and so compare with NULLs equal."""
+    keys, values = chain.FEED_KEYS, [c for c in banded.columns if c not in chain.FEED_KEYS]
+
+    def by_key(df: DataFrame) -> DataFrame:
+        return df.select(F.struct(*keys).alias("_key"), *[c for c in df.columns if c not in keys])
+
+    same = Window.partitionBy("_key", *values).orderBy("seq")  # one sort, which the merges take over
+    x = by_key(banded).repartition("_key").withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
+    for side in (oi_d, oh_d):
+        x = x.join(by_key(side), "_key", "left")
+    merged = x.select("_key.*", *values, "open_interest", "close", "volume")
+    return chain.build_chain_rows(merged, snapshot_ts, band=False)
+
+
 def _matching(rows: DataFrame, groups: DataFrame, columns: list[str], how: str) -> DataFrame:
     """Rows whose ``columns`` are (``left_semi``) or are not (``left_anti``) a row of ``groups``; NULLs compare equal."""
     g = groups.toDF(*[f"_g{i}" for i in range(len(columns))])

@@ -82,6 +82,21 @@ def test_a_day_that_is_left_without_rows_goes(spark):
     assert got() == [("2024-01-08", "2024-02-16", 100.0)] * 2 + [("2024-01-08", "2024-03-15", 50.0)]
 
 
+def test_raw_rows_are_dealt_once_for_equal_rows_and_both_merges(spark):
+    iv = "seq long, symbol string, trade_date date, expiration string, strike string, right_ string, bid string, ask string, implied_vol string, underlying_price string"
+    one = (1, "A", None, "2024-02-16", "100", "CALL", "1", "2", "0.2", "100")
+    banded = spark.createDataFrame([one, one, (2, *one[1:]), (3, None, None, "2024-02-16", "100", None, "1", "2", None, None)], iv)
+    keys = "symbol string, trade_date date, expiration string, strike string, right_ string"
+    oi = spark.createDataFrame([(*one[1:6], "10"), (None, None, "2024-02-16", "100", None, "30")], f"{keys}, open_interest string")
+    oh = spark.createDataFrame([(*one[1:6], "5", "7"), ("B", *one[2:6], "6", "8")], f"{keys}, close string, volume string")
+    rows = jobs._chain_rows(banded, oi.hint("merge"), oh.hint("merge"), None)
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("Join") == 2
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # the rows once, and each side
+    got = sorted(((r.Symbol, r.OpenInterest, r.Close, r.Volume) for r in rows.collect()), key=str)
+    assert got == [("A", 10.0, 5.0, 7.0)] * 2 + [(None, 30.0, None, None)]
+
+
 def test_price_files_of_another_column_order(spark):
     import os
     root = _tmp("r3")
@@ -224,3 +239,9 @@ def test_one_row_a_request_at_its_timer_also_after_a_restart(spark):
         jobs.run_wait_snapshots(spark, f"{root}/landing", ["Bid", "Ask", "Last"], f"{root}/out", f"{root}/ckpt", 15, "30 seconds").awaitTermination()
     got = sorted((r.req_id, str(r.requested_at)[11:19], str(r.snapshot_at)[11:19], r.Bid, r.Ask, r.Last) for r in spark.read.parquet(f"{root}/out").collect())
     assert got == [(1, "10:00:00", "10:00:15", 11.0, 10.5, None), (2, "10:00:04", "10:00:19", 20.0, None, None), (6, "10:01:41", "10:01:56", None, None, 7.0)]
+
+
+def test_buckets_grow_with_the_table(spark):
+    assert buckets.bucket_count(spark.range(10)) == 8
+    assert buckets.bucket_count(spark.range(90), least=2, each=20) == 5
+    assert buckets.bucket_count(spark.range(9 * buckets.BUCKET_ROWS + 1)) == 10
