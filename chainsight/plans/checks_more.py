@@ -212,6 +212,7 @@ def q_bucketed_merge(spark, sf):
     import uuid
     lg = fx.legs(spark, sf)
     run = uuid.uuid4().hex[:10]
-    iv, oi, oh = (buckets.write_bucketed(f(spark, sf, lg), f"{n}_{run}", ["symbol", "trade_date"], 8)
+    count = buckets.bucket_count(lg)
+    iv, oi, oh = (buckets.write_bucketed(f(spark, sf, lg), f"{n}_{run}", ["symbol", "trade_date"], count)
                   for n, f in (("iv", fx.iv_feed), ("oi", fx.oi_feed), ("ohlc", fx.ohlc_feed)))
     return buckets.merge_bucketed(iv, oi, oh)

@@ -18,6 +18,13 @@ from ..operators.chain import FEED_KEYS, dedupe_last
 from ..session import ensure_checkpoint_dir
 
 KEYS = ["symbol", "trade_date"]
+#: rows of a bucket, about: a task sorts them at once
+BUCKET_ROWS = 500_000
+
+
+def bucket_count(rows: DataFrame, least: int = 8, each: int = BUCKET_ROWS) -> int:
+    """Buckets for the largest of the tables that are joined: as many as keep a bucket at about ``each`` rows at every size."""
+    return max(least, -(-rows.count() // each))
 
 
 def write_bucketed(df: DataFrame, name: str, keys: list[str] = KEYS, buckets: int = 200, path: str | None = None) -> DataFrame:
